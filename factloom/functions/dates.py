@@ -20,8 +20,9 @@ def iso(year: Column, month: Column, day: Column) -> Column:
 
 def iso_of(c: Column) -> Column:
     """ISO date of the first Y-M-D or Y/M/D in a text; NULL without one."""
-    parts = [F.regexp_extract(c, ISO_LIKE, g) for g in (1, 2, 3)]
-    return F.when(parts[0] != "", iso(*parts))
+    found = none_if_empty(F.regexp_extract(c, ISO_LIKE, 0))
+    padded = F.regexp_replace(found, "([/\\-])(\\d)(?=[/\\-]|$)", "$10$2")
+    return F.translate(padded, "/", "-")
 
 
 def serial_to_iso(days: Column) -> Column:

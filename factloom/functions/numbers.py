@@ -30,7 +30,7 @@ def number_unit(c: Column | str, units=fv.CELL_UNITS) -> Column:
     pattern = number_pattern(units)
     value = to_double(none_if_empty(F.regexp_extract(text, pattern, 1)))
     unit = none_if_empty(F.regexp_extract(text, pattern, 2))
-    return record(value=value, unit=F.when(value.isNotNull(), unit))
+    return record(value=value, unit=unit)
 
 
 def canonical_value(value: Column, unit: Column, known: Column, canonical: Column,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column
@@ -20,9 +21,8 @@ def as_col(c: Column | str) -> Column:
 
 
 def strings(values) -> Column:
-    """A literal array of strings."""
-    values = list(values)
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    """A literal array of strings (one literal, folded once by the optimizer)."""
+    return F.from_json(F.lit(json.dumps(list(values))), "array<string>")
 
 
 def record(**cols: Column) -> Column:
@@ -85,17 +85,14 @@ def normalize_entity(c: Column | str, suffixes=fv.ENTITY_SUFFIXES) -> Column:
     """Entity name without separators and without one of each trailing suffix."""
     name = F.regexp_replace(F.coalesce(as_col(c), F.lit("")), "(?U)[\\s:：\\-_/]+", "")
     for suffix in suffixes:
-        cut = F.left(name, F.length(name) - len(suffix))
-        name = F.when(name.endswith(suffix) & (F.length(name) > 2), cut).otherwise(name)
+        # Cut only where at least two characters are left.
+        name = F.regexp_replace(name, f"^(.{{2,}}){quote(suffix)}$", "$1")
     return name
 
 
 def strip_one_suffix(c: Column | str, chars: str = fv.TRAILING_SUFFIX_CHARS) -> Column:
     """Lower-cased name without one trailing administrative character when three or longer."""
-    name = F.lower(F.coalesce(as_col(c), F.lit("")))
-    return F.when(
-        (F.length(name) >= 3) & name.rlike(f"[{chars}]$"), F.left(name, F.length(name) - 1)
-    ).otherwise(name)
+    return F.regexp_replace(F.lower(F.coalesce(as_col(c), F.lit(""))), f"(?s)^(.{{2,}})[{chars}]$", "$1")
 
 
 def clean_entity_value(c: Column | str, breaks=fv.ENTITY_BREAKS, run="[\\u4e00-\\u9fff]{2,6}",

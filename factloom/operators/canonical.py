@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.functions.text import record
 from factloom.operators.common import null_safe, top_per_group
 
 GROUP = ("entity_type", "entity_name", "field_name", "year", "unit")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -10,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions import dates, numbers, text
+from factloom.functions import fixed_values as fv
 from factloom.functions.text import record, strings, strip
 from factloom.operators.common import top_per_group
+from factloom.session import checkpointed, take_bounded
 from factloom.sources.blocks import row_entries
 from factloom.sources.vocabulary import Vocabulary
 
@@ -26,14 +29,24 @@ HOOK_CONFIDENCE = {
 }
 
 
+def normalize_name(name: str, suffixes) -> str:
+    """Driver-side twin of ``functions.text.normalize_entity`` for dictionary entries."""
+    name = re.sub(r"[\s:：\-_/]+", "", name)
+    for suffix in suffixes:
+        if name.endswith(suffix) and len(name) > 2:
+            name = name[: -len(suffix)]
+    return name
+
+
 def mentions(c: Column, vocab: Vocabulary, extra: Column | None = None) -> Column:
     """Dictionary names occurring in a text, in dictionary order, then extra candidates.
 
     A name counts plain or with a suffix (which contains it), so one containment test per
-    name is enough; results are normalised and distinct.
+    name is enough; results are normalised and distinct. The dictionary is one literal.
     """
-    found = F.filter(strings(vocab.names), lambda n: F.contains(c, n))
-    normal = F.transform(found, lambda n: text.normalize_entity(n, vocab.name_suffixes))
+    pairs = [{"n": n, "e": normalize_name(n, vocab.name_suffixes)} for n in vocab.names]
+    names = F.from_json(F.lit(json.dumps(pairs)), "array<struct<n:string,e:string>>")
+    normal = F.transform(F.filter(names, lambda p: F.contains(c, p["n"])), lambda p: p["e"])
     if extra is not None:
         more = F.transform(
             F.coalesce(extra, F.array().cast("array<string>")),
@@ -126,34 +139,40 @@ def extract_table_facts(blocks: DataFrame, vocab: Vocabulary, file_name: str = "
     """
     rows = blocks.where((F.col("block_type") == "table_row") & F.col("cells").isNotNull())
     name = F.coalesce(F.col(file_name), F.lit(""))
-    staged = rows.withColumn("_entries", F.filter(row_entries("headers", "cells"), lambda e: e["header"] != ""))
-    ent = lambda e: text.is_entity_header(e["header"], vocab.entity_headers)
-    dat = lambda e: text.is_date_header(
-        e["header"], vocab.date_headers, row_numbers_as_dates)
+    keyed = rows.withColumn("_entries", F.transform(
+        F.filter(row_entries("headers", "cells"), lambda e: e["header"] != ""),
+        lambda e: record(pos=e["pos"], header=e["header"], value=e["value"], key=text.header_key(e["header"])),
+    ))
     known = list(vocab.header_lookup)
-    unknown = lambda e: (
-        ~ent(e) & ~dat(e) & text.passthrough_name(e["header"]).isNotNull()
-        & ~(text.header_key(e["header"]).isin(*known) if known else F.lit(False))
+    dates_ = [*fv.DATE_HEADERS, *vocab.date_headers, *(fv.ROW_NUMBER_HEADERS if row_numbers_as_dates else ())]
+    role = lambda e: (
+        F.when(e["key"].isin(*fv.ENTITY_HEADERS, *vocab.entity_headers), "entity")
+        .when(e["key"].isin(*dates_), "date")
+        .when(e["key"].isin(*known) if known else F.lit(False), "field")
+        .when(text.passthrough_name(e["header"]).isNotNull(), "other")
     )
-    first = lambda pred: F.get(
-        F.filter("_entries", lambda e: pred(e) & (e["value"] != "")), F.lit(0))["value"]
-    by_column = text.none_if_empty(text.normalize_entity(first(ent), vocab.name_suffixes))
+    staged = keyed.withColumn("_entries", F.transform(
+        F.filter("_entries", lambda e: e["value"] != ""),
+        lambda e: record(pos=e["pos"], header=e["header"], value=e["value"], key=e["key"], role=role(e)),
+    ))
+    of_role = lambda r: F.filter("_entries", lambda e: e["role"] == r)
+    first = lambda r: F.get(of_role(r), F.lit(0))["value"]
+    by_column = text.none_if_empty(text.normalize_entity(first("entity"), vocab.name_suffixes))
     in_unknown = F.get(
-        F.flatten(F.transform(F.filter("_entries", unknown), lambda e: mentions(e["value"], vocab))),
-        F.lit(0),
+        F.flatten(F.transform(of_role("other"), lambda e: mentions(e["value"], vocab))), F.lit(0)
     )
     in_text = F.get(mentions(F.coalesce("text", F.lit("")), vocab), F.lit(0))
     staged = staged.select(
         "block_id", "doc_id", "text", "page_or_index", name.alias("_file"),
         F.coalesce(by_column, in_unknown, in_text).alias("_entity"),
-        dates.parse_date(first(dat)).alias("_date"),
+        dates.parse_date(first("date")).alias("_date"),
         F.coalesce(dates.infer_year("text"), dates.infer_year(name)).alias("year"),
-        F.filter("_entries", lambda e: ~ent(e) & ~dat(e) & (e["value"] != "")).alias("_values"),
+        F.filter("_entries", lambda e: e["role"].isin("field", "other")).alias("_values"),
     )
-    cells = staged.select(
-        "*", F.inline_outer("_values")
-    ).where(F.col("pos").isNotNull()).drop("_values")
-    fields = canonicalize_headers(cells, "header", vocab, "field_name").where("field_name is not null")
+    cells = staged.select("*", F.inline_outer("_values")).where(F.col("pos").isNotNull()).drop("_values")
+    lookup = vocab.header_table(blocks.sparkSession).withColumnRenamed("field", "_field")
+    fields = cells.join(lookup, F.col("key") == F.col("alias_key"), "left").withColumn(
+        "field_name", F.coalesce("_field", text.passthrough_name("header")))
     num = numbers.number_unit("value", vocab.cell_units)
     valued = fields.withColumn("_n", num).select(
         "*", F.col("_n.value").alias("value_num"),
@@ -353,11 +372,12 @@ Extractor = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def run_extractor(chunks: DataFrame, extractor: Extractor, vocab: Vocabulary, method: str,
-                  fields: DataFrame | None = None, file_name: str = "file_name") -> DataFrame:
+                  fields=None, file_name: str = "file_name") -> DataFrame:
     """Facts from a user-supplied extractor over chunk rows (doc_id, block_id, text, file_name).
 
     The extractor sees batches of chunks and returns rows of ``HOOK_ROWS``; the checks,
-    number parsing, unit conversion and confidence are column work.
+    number parsing, unit conversion and confidence are column work. ``fields`` (a short
+    list) restricts the accepted field names.
     """
     confidence, status = HOOK_CONFIDENCE[method]
     columns = [c.split(" ")[0] for c in HOOK_ROWS.split(", ")]
@@ -377,19 +397,16 @@ def run_extractor(chunks: DataFrame, extractor: Extractor, vocab: Vocabulary, me
         for c in ("entity_name", "field_name", "value", "unit", "evidence")
     ])
     ok = trimmed.where("entity_name is not null and field_name is not null and value is not null")
-    if fields is not None:
-        wanted = fields.select(F.lower("field").alias("_w")).distinct()
-        ok = ok.join(wanted, F.lower("field_name") == F.col("_w"), "left_semi")
+    wanted = None if fields is None else sorted({f.lower() for f in fields})
+    if wanted is not None:
+        ok = ok.where(F.lower("field_name").isin(*wanted) if wanted else F.lit(False))
     lookup = vocab.header_table(chunks.sparkSession).withColumnRenamed("field", "_canon")
     ok = ok.withColumn("_key", text.header_key("field_name")).join(
         lookup, F.col("_key") == F.col("alias_key"), "left"
     )
-    if fields is not None:
-        again = wanted.withColumnRenamed("_w", "_w2")
-        ok = ok.join(again, F.lower("_canon") == F.col("_w2"), "left")
-        resolved = F.when(F.col("_w2").isNotNull(), F.col("_canon")).otherwise(F.col("field_name"))
-    else:
-        resolved = F.coalesce("_canon", "field_name")
+    resolved = F.coalesce("_canon", "field_name")
+    if wanted:
+        resolved = F.when(F.lower("_canon").isin(*wanted), F.col("_canon")).otherwise(F.col("field_name"))
     num = numbers.number_unit("value", vocab.cell_units)
     ok = ok.withColumn("_n", num).select(
         "doc_id", "block_id", "entity_name", "evidence", "value", "_canon", resolved.alias("field_name"),
@@ -424,8 +441,9 @@ def extract_by_intent(blocks: DataFrame, vocab: Vocabulary, required: DataFrame,
                       date_to: str | None = None, entities=(), file_name: str = "file_name") -> DataFrame:
     """Rule facts, filtered by intent; the extractor runs only for the fields still missing.
 
-    With nothing missing the extractor sees no chunk at all, because the chunks are joined
-    with the missing fields before it is called.
+    The rule facts are checkpointed, since both the missing fields and the result need them
+    and the text would otherwise be parsed twice. Required fields are a parameter, so the
+    missing ones come to the driver as a bounded list.
     """
     from factloom.operators.lineage import with_evidence
     from factloom.operators.selection import intent_filter
@@ -435,9 +453,11 @@ def extract_by_intent(blocks: DataFrame, vocab: Vocabulary, required: DataFrame,
     )
     if extractor is None:
         return rule
-    gaps = missing_fields(required, rule)
-    open_count = gaps.agg(F.count("*").alias("n")).scalar()
-    chunks = blocks.where(F.coalesce("text", F.lit("")) != "").where(open_count > 0)
+    rule = checkpointed(rule)
+    gaps = [r["field"] for r in take_bounded(missing_fields(required, rule), 10_000, "required fields")]
+    if not gaps:
+        return rule
+    chunks = blocks.where(F.coalesce("text", F.lit("")) != "")
     hooked = run_extractor(chunks, extractor, vocab, "intent", gaps, file_name)
     return dedupe_facts(rule.unionByName(hooked))
 

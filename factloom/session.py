@@ -20,6 +20,7 @@ def local_session(cores: str = "8", app: str = "factloom", partitions: int = 8)
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -30,6 +31,8 @@ def shared_dir(spark: SparkSession) -> str:
         "spark.checkpoint.dir", None
     )
     if configured:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(configured)
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -39,6 +42,12 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The table written to the shared checkpoint folder, read back from there afterwards."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 class TooLarge(ValueError):
     """A table that has to be a small parameter is larger than its stated bound."""
 

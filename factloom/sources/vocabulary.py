@@ -53,6 +53,8 @@ class Vocabulary:
         if len(rows) > MAX_ENTRIES or len(self.names) > MAX_ENTRIES:
             raise ValueError(f"vocabulary above {MAX_ENTRIES} entries")
         object.__setattr__(self, "alias_rows", tuple(rows))
+        for name in ("entity_headers", "date_headers"):
+            object.__setattr__(self, name, tuple(header_key(h) for h in getattr(self, name)))
 
     @property
     def header_lookup(self) -> dict[str, str]:
