@@ -25,8 +25,7 @@ def _number_near(text: str, keyword: str, target: str, units: list[str]) -> floa
     return None
 
 
-@F.pandas_udf("double")
-def find_num_udf(text: pd.Series, keyword: pd.Series, target: pd.Series, alternatives: pd.Series) -> pd.Series:
+def find_num_batch(text: pd.Series, keyword: pd.Series, target: pd.Series, alternatives: pd.Series) -> pd.Series:
     """``find_num(text, keyword, target, 'alt1,alt2')`` for keywords that differ per row.
 
     With one keyword for the whole column use ``functions.numbers.find_num``, which stays native.
@@ -40,7 +39,6 @@ def find_num_udf(text: pd.Series, keyword: pd.Series, target: pd.Series, alterna
     return pd.Series([one(*row) for row in zip(text, keyword, target, alternatives)], dtype="float64")
 
 
-@udtf(returnType="block_index int, block_type string, text string, section string")
 class TextBlocks:
     """``LATERAL text_blocks(text)``: one document row to its block rows."""
 
@@ -64,5 +62,7 @@ class TextBlocks:
 
 
 def register(spark: SparkSession) -> None:
-    spark.udf.register("find_num", find_num_udf)
-    spark.udtf.register("text_blocks", TextBlocks)
+    """Make ``find_num`` and ``text_blocks`` callable from SQL in this session."""
+    spark.udf.register("find_num", F.pandas_udf(find_num_batch, "double"))
+    schema = "block_index int, block_type string, text string, section string"
+    spark.udtf.register("text_blocks", udtf(TextBlocks, returnType=schema))

@@ -71,11 +71,12 @@ def find_mentions_join(texts: DataFrame, id_col: str, text_col: str, names: Data
     distinct substring once.
     """
     body = F.coalesce(F.col(text_col), F.lit(""))
-    parts = []
-    for n in lengths:
+
+    def substrings(n: int) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.length(body) - (n - 1), F.lit(1)))
-        parts.append(F.transform(starts, lambda i, n=n: F.substring(body, i, n)))
-    grams = F.array_distinct(F.concat(*parts))
+        return F.transform(starts, lambda i: F.substring(body, i, n))
+
+    grams = F.array_distinct(F.concat(*[substrings(n) for n in lengths]))
     return (
         texts.select(id_col, F.explode(grams).alias("name")).join(names, "name")
         .select(id_col, "ord", F.col("name").alias("entity"))

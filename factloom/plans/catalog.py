@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.plans import facts, scans  # noqa: F401
+from factloom.plans import arrivals, facts, filling, matching, scans, texts  # noqa: F401
 from factloom.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "flagship"]
