@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import fixed_values as fv
 from factloom.functions.numbers import ascii_digits, to_double
-from factloom.functions.text import record, as_col, none_if_empty, quote, strip
+from factloom.functions.text import as_col, let, none_if_empty, quote, record, strip
 
 ISO_LIKE = "((?:19|20)\\d{2})[/\\-](\\d{1,2})[/\\-](\\d{1,2})"
 YEAR_MARK = "((?:19|20)\\d{2})年"
@@ -37,15 +37,17 @@ def infer_year(c: Column | str, pattern: str = YEAR_MARK) -> Column:
 
 
 def parse_date(c: Column | str) -> Column:
-    text = ascii_digits(strip(c))
-    return F.coalesce(iso_of(text), serial_to_iso(to_double(none_if_empty(text))))
+    return let(
+        ascii_digits(strip(c)),
+        lambda t: F.coalesce(iso_of(t), serial_to_iso(to_double(none_if_empty(t)))),
+    )
 
 
 def date_range(c: Column | str) -> Column:
     """struct<lo, hi>: smallest and largest ISO date mentioned."""
     text = ascii_digits(F.coalesce(as_col(c), F.lit("")))
     found = F.transform(F.regexp_extract_all(text, F.lit(f"({ISO_LIKE})"), 1), iso_of)
-    return record(lo=F.array_min(found), hi=F.array_max(found))
+    return let(found, lambda days: record(lo=F.array_min(days), hi=F.array_max(days)))
 
 
 def year_range(c: Column | str) -> Column:
@@ -87,22 +89,23 @@ def entity_list(c: Column | str, list_labels=fv.LIST_LABELS, single_labels=fv.SI
 def row_date(c: Column | str) -> Column:
     """ISO date of a raw time cell: Y-M-D, Y/M/D, Y年M月D日 or a day number above 2500."""
     raw = ascii_digits(strip(c))
-    dashed = strip(F.regexp_replace(F.regexp_replace(raw, "[/年月]", "-"), "[-日]+$", ""))
+    dashed = strip(F.regexp_replace(F.translate(raw, "/年月", "---"), "[-日]+$", ""))
     head = F.get(F.split(dashed, "(?U)\\s+"), F.lit(0))
-    parts = F.split(head, "-")
-    y = F.get(parts, F.lit(0)).try_cast("int")
-    m = F.when(F.size(parts) > 1, F.get(parts, F.lit(1)).try_cast("int")).otherwise(1)
-    d = F.when(F.size(parts) > 2, F.get(parts, F.lit(2)).try_cast("int")).otherwise(1)
+    return let(F.split(head, "-"), date_of_parts)
+
+
+def date_of_parts(parts: Column) -> Column:
+    part = lambda i: F.get(parts, F.lit(i)).try_cast("int")
+    y = part(0)
+    m = F.when(F.size(parts) > 1, part(1)).otherwise(1)
+    d = F.when(F.size(parts) > 2, part(2)).otherwise(1)
     serial = (y > 2500) & (F.size(parts) == 1)
     span = F.when(serial & (y < 2900000), y)
     from_serial = F.date_add(F.lit(EPOCH).cast("date"), span).cast("string")
-    plain = F.concat_ws(
-        "-",
-        F.lpad(y.cast("string"), 4, "0"),
-        F.when(m < 10, F.concat(F.lit("0"), m.cast("string"))).otherwise(m.cast("string")),
-        F.when(d < 10, F.concat(F.lit("0"), d.cast("string"))).otherwise(d.cast("string")),
-    )
-    return F.when(serial, from_serial).when(y.isNotNull() & m.isNotNull() & d.isNotNull(), plain)
+    two = lambda n: F.when(n < 10, F.concat(F.lit("0"), n.cast("string"))).otherwise(n.cast("string"))
+    # A missing part makes the whole date NULL.
+    plain = F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), two(m), F.lit("-"), two(d))
+    return F.when(serial, from_serial).otherwise(plain)
 
 
 def within(date: Column, lo: str | None, hi: str | None) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from factloom.functions import fixed_values as fv
-from factloom.functions.text import record, as_col, none_if_empty, quote, strip
+from factloom.functions.text import as_col, let, none_if_empty, quote, record, strip
 
 FULL_WIDTH, ASCII_DIGITS = "０１２３４５６７８９", "0123456789"
 
@@ -26,11 +26,20 @@ def number_pattern(units=fv.CELL_UNITS) -> str:
 
 def number_unit(c: Column | str, units=fv.CELL_UNITS) -> Column:
     """First number in a text with its unit: struct<value double, unit string>."""
-    text = F.replace(ascii_digits(as_col(c)), F.lit("，"), F.lit(","))
+    # The match is found once; its parts are then read from a few characters.
+    found = F.regexp_extract(
+        F.replace(ascii_digits(as_col(c)), F.lit("，"), F.lit(",")), number_pattern(units), 0
+    )
+    return let(found, lambda m: split_number(m, units))
+
+
+def split_number(match: Column, units) -> Column:
+    """(value, unit) of a matched number; both NULL for an empty match."""
     pattern = number_pattern(units)
-    value = to_double(none_if_empty(F.regexp_extract(text, pattern, 1)))
-    unit = none_if_empty(F.regexp_extract(text, pattern, 2))
-    return record(value=value, unit=unit)
+    return record(
+        value=to_double(none_if_empty(F.regexp_extract(match, pattern, 1))),
+        unit=none_if_empty(F.regexp_extract(match, pattern, 2)),
+    )
 
 
 def canonical_value(value: Column, unit: Column, known: Column, canonical: Column,

@@ -30,6 +30,11 @@ def record(**cols: Column) -> Column:
     return F.named_struct(*[part for name, c in cols.items() for part in (F.lit(name), c)])
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def quote(value: str) -> str:
     """A regex that matches ``value`` literally, for the Java engine."""
     return re.sub(r"([\\^$.|?*+()\[\]{}\-])", r"\\\1", value)

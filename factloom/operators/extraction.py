@@ -168,16 +168,21 @@ def extract_table_facts(blocks: DataFrame, vocab: Vocabulary, file_name: str = "
         F.coalesce(by_column, in_unknown, in_text).alias("_entity"),
         dates.parse_date(first("date")).alias("_date"),
         F.coalesce(dates.infer_year("text"), dates.infer_year(name)).alias("year"),
-        F.filter("_entries", lambda e: e["role"].isin("field", "other")).alias("_values"),
+        F.transform(
+            F.filter("_entries", lambda e: e["role"].isin("field", "other")),
+            lambda e: record(
+                pos=e["pos"], header=e["header"], value=e["value"], key=e["key"],
+                n=numbers.number_unit(e["value"], vocab.cell_units),
+            ),
+        ).alias("_values"),
     )
     cells = staged.select("*", F.inline_outer("_values")).where(F.col("pos").isNotNull()).drop("_values")
     lookup = vocab.header_table(blocks.sparkSession).withColumnRenamed("field", "_field")
     fields = cells.join(lookup, F.col("key") == F.col("alias_key"), "left").withColumn(
         "field_name", F.coalesce("_field", text.passthrough_name("header")))
-    num = numbers.number_unit("value", vocab.cell_units)
-    valued = fields.withColumn("_n", num).select(
-        "*", F.col("_n.value").alias("value_num"),
-        F.coalesce(F.col("_n.unit"), text.header_unit("header")).alias("unit"),
+    valued = fields.select(
+        "*", F.col("n.value").alias("value_num"),
+        F.coalesce(F.col("n.unit"), text.header_unit("header")).alias("unit"),
     )
     # A passthrough header may itself be a catalog field name; conversion follows the field.
     conv = canonicalize(valued, vocab, "field_name", "value_num", "unit", F.col("_known").isNotNull())
@@ -207,6 +212,10 @@ def dedupe_facts(facts: DataFrame) -> DataFrame:
     return top_per_group(facts, keys, [F.desc("confidence"), F.asc("pos"), F.asc("fact_id")])
 
 
+# Fixed patterns: a party name after its label, and a date.
+PARTY_TEXT = "(?:为|是|:|：)(?U:\\s*)([^，。；;\\n]{2,40})"
+DAY_TEXT = "((?:19|20)\\d{2}[年/-]\\d{1,2}[月/-]\\d{1,2}日?)"
+
 # --- running text ----------------------------------------------------------------------
 
 SPAN = "array<struct<start:int,end:int,field:string,alias:string>>"
@@ -283,43 +292,46 @@ def extract_text_facts(blocks: DataFrame, vocab: Vocabulary, file_name: str = "f
         text.collapse_cjk_spaces("text").alias("_body"),
     )
     body = F.col("_body")
-    staged = staged.withColumn("_spans", alias_spans(vocab)("_body")).where(F.size("_spans") > 0)
+    # Not filtered by size: a filter on a UDF result would run the UDF a second time.
+    staged = staged.withColumn("_spans", alias_spans(vocab)("_body"))
+    staged = staged.withColumn("_positions", entity_positions(body, F.col("section_path"), vocab))
+
+    # Everything taken from the text around a span is computed before the spans are exploded,
+    # so it is computed once per span.
+    def around(s: Column) -> Column:
+        start, end = s["start"], s["end"]
+        lead, left = F.least(start, F.lit(40)), F.greatest(start - 24, F.lit(0))
+        return record(
+            field_name=s["field"],
+            _entity=nearest_entity(F.col("_positions"), start),
+            _fwd=numbers_in(_window(body, end, 40), vocab.prose_units, False),
+            _bwd=numbers_in(_window(body, start - lead, lead), vocab.prose_units, True),
+            _party=strip(F.regexp_extract(_window(body, end, 48), PARTY_TEXT, 1)),
+            _day=F.regexp_extract(_window(body, end, 40), DAY_TEXT, 1),
+            _context=strip(_window(body, left, end + 24 - left)),
+        )
+
     staged = staged.select(
-        "*", entity_positions(body, F.col("section_path"), vocab).alias("_positions"),
+        "block_id", "doc_id", "_file", "_body",
         F.coalesce(dates.infer_year(body), dates.infer_year("_file")).alias("year"),
-        F.posexplode("_spans").alias("_i", "_s"),
-    ).drop("_spans")
-    start, end, field = F.col("_s.start"), F.col("_s.end"), F.col("_s.field")
-    after = _window(body, end, 40)
-    lead = F.least(start, F.lit(40))
-    before = _window(body, start - lead, lead)
-    fwd = numbers_in(after, vocab.prose_units, False)
-    bwd = numbers_in(before, vocab.prose_units, True)
-    staged = staged.select(
-        "*", field.alias("field_name"), nearest_entity(F.col("_positions"), start).alias("_entity"),
-        fwd.alias("_fwd"), bwd.alias("_bwd"), after.alias("_after"),
-    )
+        F.posexplode_outer(F.transform("_spans", around)).alias("_i", "_s"),
+    ).where(F.col("_i").isNotNull()).select("*", "_s.*").drop("_s")
     fields = vocab.field_table(staged.sparkSession).select(
         F.col("field").alias("_cf"), F.col("canonical_unit").alias("_cu")
     )
     staged = staged.join(fields, F.col("field_name") == F.col("_cf"), "left")
-    ok_fwd = F.col("_fwd.value").isNotNull() & numbers.unit_compatible(F.col("_fwd.unit"), F.col("_cu"))
-    use = F.when(ok_fwd, F.col("_fwd")).otherwise(F.col("_bwd"))
-    ok = use["value"].isNotNull() & numbers.unit_compatible(use["unit"], F.col("_cu"))
+    fwd, bwd, cu = F.col("_fwd"), F.col("_bwd"), F.col("_cu")
+    use_fwd = fwd["value"].isNotNull() & numbers.unit_compatible(fwd["unit"], cu)
+    use_bwd = ~use_fwd & bwd["value"].isNotNull() & numbers.unit_compatible(bwd["unit"], cu)
+    pick = lambda part: F.when(use_fwd, fwd[part]).when(use_bwd, bwd[part])
     party = F.col("field_name").isin(*vocab.text_fields) if vocab.text_fields else F.lit(False)
     signed = F.col("field_name").isin(*vocab.date_fields) if vocab.date_fields else F.lit(False)
-    party_text = strip(F.regexp_extract(
-        _window(body, end, 48), "(?:为|是|:|：)(?U:\\s*)([^，。；;\\n]{2,40})", 1))
-    date_text = F.regexp_extract(
-        F.col("_after"), "((?:19|20)\\d{2}[年/-]\\d{1,2}[月/-]\\d{1,2}日?)", 1)
-    left = F.greatest(start - 24, F.lit(0))
-    around = strip(_window(body, left, end + 24 - left))
+    as_text = party | signed
     staged = staged.select(
-        "*",
-        F.when(party | signed, F.lit(None).cast("double")).otherwise(F.when(ok, use["value"])).alias("value_num"),
-        F.when(party | signed, F.lit(None).cast("string")).otherwise(F.when(ok, use["unit"])).alias("unit"),
-        F.when(party, party_text).when(signed, date_text).otherwise(around).alias("value_text"),
-        (party | signed).alias("_text_value"),
+        "block_id", "doc_id", "_file", "_body", "year", "_i", "field_name", "_entity",
+        F.when(~as_text, pick("value")).alias("value_num"), F.when(~as_text, pick("unit")).alias("unit"),
+        F.when(party, F.col("_party")).when(signed, F.col("_day")).otherwise(F.col("_context")).alias("value_text"),
+        as_text.alias("_text_value"),
     ).where(F.when(F.col("_text_value"), F.col("value_text") != "").otherwise(F.col("value_num").isNotNull()))
     conv = canonicalize(staged, vocab, "field_name", "value_num", "unit", ~F.col("_text_value"))
     entity_type = F.coalesce("field_entity_type", F.lit("generic"))
@@ -340,21 +352,21 @@ def extract_text_facts(blocks: DataFrame, vocab: Vocabulary, file_name: str = "f
 def numbers_in(window: Column, units, backward: bool) -> Column:
     """First number of a window, or going backward the last one that is no bare year."""
     pattern = numbers.number_pattern(units)
-    value = lambda c: numbers.to_double(text.none_if_empty(F.regexp_extract(c, pattern, 1)))
-    unit = lambda c: text.none_if_empty(F.regexp_extract(c, pattern, 2))
     win = numbers.ascii_digits(window)
     if not backward:
-        return record(value=value(win), unit=unit(win))
+        return text.let(F.regexp_extract(win, pattern, 0), lambda m: numbers.split_number(m, units))
     found = F.transform(
-        F.regexp_extract_all(win, F.lit(f"({pattern})"), 1),
-        lambda m: record(value=value(m), unit=unit(m)),
-    )
-    turned = F.reverse(found)
-    last, second = F.get(turned, F.lit(0)), F.get(turned, F.lit(1))
-    yearlike = last["unit"].isNull() & last["value"].between(1900, 2100) & (
-        last["value"] == F.floor(last["value"])
+        F.regexp_extract_all(win, F.lit(f"({pattern})"), 1), lambda m: numbers.split_number(m, units)
     )
-    return F.when(~yearlike, last).otherwise(second)
+
+    def choose(turned: Column) -> Column:
+        last = F.get(turned, F.lit(0))
+        yearlike = last["unit"].isNull() & last["value"].between(1900, 2100) & (
+            last["value"] == F.floor(last["value"])
+        )
+        return F.when(~yearlike, last).otherwise(F.get(turned, F.lit(1)))
+
+    return text.let(F.reverse(found), choose)
 
 
 def extract_facts(blocks: DataFrame, vocab: Vocabulary, file_name: str = "file_name") -> DataFrame:

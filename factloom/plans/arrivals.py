@@ -70,6 +70,8 @@ def order_files(spark: SparkSession, folder: str, make, suffix: str) -> DataFram
     lines = fx.table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
     flat = F.transform("items", lambda i: F.array(i["l_partkey"].cast("string"), i["q"], i["l_returnflag"]))
     orders = fx.table(spark, folder, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    # Making and reading files is work for every core, though the rows themselves are small.
+    orders = orders.repartition(spark.sparkContext.defaultParallelism)
     rows = orders.select("o_orderkey", "o_orderpriority", "o_orderstatus", flat.alias("rows"))
 
     def build(priority: pd.Series, status: pd.Series, items: pd.Series) -> pd.Series:

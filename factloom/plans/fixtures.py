@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.session import spread
 from factloom.sources.blocks import text_blocks
 from factloom.sources.vocabulary import Field, Vocabulary
 
@@ -148,7 +149,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     """The documents table as registered files; labels give the status."""
     t = lambda n: table(spark, folder, n)
     kind = F.when(F.col("lang") == "en", "txt").when(F.col("lang") == "de", "md").otherwise("docx")
-    return t("documents").join(t("labels"), "doc_id", "left").select(
+    return spread(t("documents")).join(t("labels"), "doc_id", "left").select(
         F.col("doc_id").cast("string").alias("doc_id"),
         F.concat_ws("", F.col("source"), F.lit("_"), F.col("doc_id").cast("string"), F.lit("."), kind).alias("file_name"),
         kind.alias("doc_type"), "text", "lang", "source", "n_chars",
@@ -249,7 +250,7 @@ def template_cells(spark: SparkSession, folder: str, blank: str = "none") -> Dat
 def customer_text(spark: SparkSession, folder: str) -> DataFrame:
     """One sentence per order, for the prose rules."""
     t = lambda n: table(spark, folder, n)
-    j = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(
+    j = spread(t("orders")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(
         t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     day = F.col("o_orderdate").cast("date").cast("string")
     sentence = F.concat(

@@ -11,11 +11,16 @@ from factloom.operators import extraction, profiles, sequence, transform
 from factloom.plans import fixtures as fx
 from factloom.plans.registry import query
 from factloom.plans.scans import part_blocks, raw_date
+from factloom.session import spread
 from factloom.sources.vocabulary import Field, Vocabulary
 
 
 def lineitem(spark: SparkSession, folder: str) -> DataFrame:
-    return fx.table(spark, folder, "lineitem")
+    return spread(fx.table(spark, folder, "lineitem"))
+
+
+def document_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return spread(fx.table(spark, folder, "documents")).select("doc_id", "text")
 
 
 ITEM = ["l_orderkey", "l_linenumber", "l_partkey"]
@@ -210,7 +215,7 @@ k AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id, lower(token)
    count(*) OVER (PARTITION BY doc_id) AS n FROM u WHERE NOT regexp_full_match(token, '[0-9]+') AND lower(token) NOT IN ('{STOPS}'))
 SELECT doc_id, token AS keyword FROM k WHERE rn = 1""")
 def extract_keywords(spark: SparkSession, folder: str) -> DataFrame:
-    docs = fx.table(spark, folder, "documents").select("doc_id", "text")
+    docs = document_texts(spark, folder)
     return profiles.keyword_table(docs, "doc_id", "text").select("doc_id", "keyword")
 
 
@@ -230,7 +235,7 @@ SELECT doc_id, replace(t2, '. ', '.' || chr(10)) AS text,
   CAST((length(t0) - length(replace(t0, 'the', ''))) / 3 + (length(t1) - length(replace(t1, 'e', ''))) + (length(t2) - length(replace(t2, '. ', ''))) / 2 AS BIGINT) AS changes FROM b""")
 def bulk_replace(spark: SparkSession, folder: str) -> DataFrame:
     new, changes = text.replace_counted("text", PAIRS)
-    return fx.table(spark, folder, "documents").select("doc_id", new.alias("text"), changes.alias("changes"))
+    return document_texts(spark, folder).select("doc_id", new.alias("text"), changes.alias("changes"))
 
 
 @query("replace_first_only", """WITH a AS (SELECT doc_id, text AS t0, CASE WHEN contains(text, 'the') THEN substr(text, 1, strpos(text, 'the') - 1) || 'THE' || substr(text, strpos(text, 'the') + 3) ELSE text END AS t1 FROM documents)
@@ -238,7 +243,7 @@ SELECT doc_id, CASE WHEN contains(t1, '. ') THEN substr(t1, 1, strpos(t1, '. ')
   CAST(contains(t0, 'the') AS BIGINT) + CAST(contains(t1, '. ') AS BIGINT) AS changes FROM a""")
 def replace_first_only(spark: SparkSession, folder: str) -> DataFrame:
     new, changes = text.replace_counted("text", [PAIRS[0], PAIRS[2]], first_only=True)
-    return fx.table(spark, folder, "documents").select("doc_id", new.alias("text"), changes.alias("changes"))
+    return document_texts(spark, folder).select("doc_id", new.alias("text"), changes.alias("changes"))
 
 
 WORDS = Vocabulary(names=("the", "und", "que", "los", "der", "pour", "con", "nicht", "tion", "with"))
@@ -247,7 +252,7 @@ WORDS = Vocabulary(names=("the", "und", "que", "los", "der", "pour", "con", "nic
 @query("entity_mention_join", f"""WITH w AS (SELECT unnest({list(WORDS.names)}) AS entity, unnest(range(1, 11)) AS k)
 SELECT doc_id, entity, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) AS INT) AS ord FROM documents JOIN w ON contains(text, entity)""")
 def entity_mention_join(spark: SparkSession, folder: str) -> DataFrame:
-    return extraction.find_mentions(fx.table(spark, folder, "documents"), "doc_id", "text", WORDS)
+    return extraction.find_mentions(document_texts(spark, folder), "doc_id", "text", WORDS)
 
 
 @query("entity_mention_large_gazetteer", """WITH n AS (SELECT DISTINCT p_name FROM part),
@@ -331,7 +336,7 @@ def preview_assembly(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("chunk_blocks")
 def chunk_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    docs = fx.table(spark, folder, "documents").select("doc_id", "text")
+    docs = document_texts(spark, folder)
     return sequence.chunk_documents(docs, "doc_id", F.split("text", "(?<=[.]) "), 3000)
 
 

@@ -42,6 +42,16 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan in at least as many tasks as there are cores.
+
+    A few small files are read as one split, which leaves text work to one core. Scans that
+    already have enough splits, as all large ones do, come back unchanged and unshuffled.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The table written to the shared checkpoint folder, read back from there afterwards."""
     shared_dir(df.sparkSession)
