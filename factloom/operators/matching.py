@@ -18,6 +18,7 @@ from factloom.session import small_table, take_bounded
 
 # A fill request names its templates; a batch of them is a parameter, not a table.
 MAX_TEMPLATES = 1_000
+MAX_TERMS = 100_000
 MAX_QUERY_VECTORS = 4_096
 
 # Thresholds of the matching rules (fixed values).
@@ -56,7 +57,7 @@ def score_documents(cards: DataFrame, terms: DataFrame, profiles: Sequence[Templ
     wanted = [(p.name, kind, t) for p in profiles for kind, ts in (("field", p.fields), ("entity", p.entities))
               for t in dict.fromkeys(ts)]
     t = small_table(spark, wanted or [("", "", "")], "template string, kind string, term string",
-                    1_000_000, "template terms")
+                    MAX_TERMS, "template terms")
     t = t.withColumn("term", F.when(F.col("kind") == "entity", text.normalize_entity("term")).otherwise(F.col("term")))
     d = terms.withColumn("term", F.when(F.col("kind") == "entity", text.normalize_entity("term")).otherwise(F.col("term")))
     hits = d.join(F.broadcast(t.distinct()), ["kind", "term"]).groupBy("template", "doc_id").agg(
@@ -180,6 +181,10 @@ def vector_scores(blocks: DataFrame, queries: DataFrame, block_id: str, vector:
     schema = f"query_id {dict(queries.dtypes)[query_id]}, " + ", ".join(
         f"{c} {types[c]}" for c in cols) + ", score double"
 
+    def best_of(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["score", block_id], ascending=[False, True])
+        return part.groupby(group, sort=False).head(k) if group else part.head(k)
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch[batch[vector].notna()]
@@ -188,19 +193,21 @@ def vector_scores(blocks: DataFrame, queries: DataFrame, block_id: str, vector:
             m = np.stack(batch[vector].to_numpy()).astype(np.float64)
             norms = np.linalg.norm(m, axis=1)
             live = norms > 0
-            if not live.any():
-                continue
             cos = (m[live] / norms[live, None]) @ matrix.T
             left = batch.loc[live, cols].reset_index(drop=True)
+            floor = np.full(len(ids), -np.inf if min_score is None else min_score)
+            if not group and len(left) > k:
+                # Rows below the k-th score of this batch cannot be among its best; ties stay.
+                floor = np.maximum(floor, np.partition(cos, len(left) - k, axis=0)[len(left) - k])
+            parts = []
             for j, qid in enumerate(ids):
-                part = left.assign(score=cos[:, j])
-                if min_score is not None:
-                    part = part[part["score"] >= min_score]
-                part = part.sort_values(["score", block_id], ascending=[False, True])
-                part = part.groupby(group, sort=False).head(k) if group else part.head(k)
-                if len(part):
+                keep = np.flatnonzero(cos[:, j] >= floor[j])
+                if len(keep):
+                    part = best_of(left.iloc[keep].assign(score=cos[keep, j]))
                     part.insert(0, "query_id", qid)
-                    yield part
+                    parts.append(part)
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
 
     found = blocks.select(*cols, vector).mapInPandas(score, schema)
     return top_per_group(found, keys, [F.desc("score"), F.asc(block_id)], k, rank="rank")

@@ -152,7 +152,7 @@ SOURCE_HEADERS = ("Part", "Brand", "Size", "Retail Price (USD)", "Region", "Date
 
 
 @query("template_source_overlap", """WITH f AS (SELECT 'a' AS template, unnest(['Part', 'Size', 'Colour']) AS field UNION ALL SELECT 'b', unnest(['Weight', 'Colour', 'Maker', 'Shop'])),
-h AS (SELECT unnest(['Part', 'Brand', 'Size', 'Retail Price (USD)']) AS field FROM (SELECT 1 FROM part LIMIT 1))
+h AS (SELECT unnest(['Part', 'Brand', 'Size', 'Retail Price (USD)']) AS field WHERE (SELECT count(*) FROM part) > 0)
 SELECT template, count(*) AS n_fields, count(h.field) AS n_overlap, round(count(h.field) / count(*), 4) AS overlap,
   CAST(1.0 AS DOUBLE) AS sheet_share, true AS all_structured, count(h.field) / count(*) >= 0.3 AS applicable FROM f LEFT JOIN h ON f.field = h.field GROUP BY template""")
 def template_source_overlap(spark: SparkSession, folder: str) -> DataFrame:

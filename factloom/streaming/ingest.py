@@ -9,6 +9,7 @@ facts are a merge of the partial ones and no old file is ever rewritten.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import datetime, timezone
 from time import perf_counter
 
@@ -21,17 +22,20 @@ from factloom.operators.extraction import extract_facts
 from factloom.sources.blocks import text_blocks
 from factloom.sources.vocabulary import Vocabulary
 
-Pipeline = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+@dataclass(frozen=True)
+class Pipeline:
+    """Documents to blocks, and blocks to facts."""
 
+    to_blocks: Callable[[DataFrame], DataFrame]
+    to_facts: Callable[[DataFrame], DataFrame]
 
-def text_pipeline(vocab: Vocabulary) -> Pipeline:
-    """Documents (doc_id, text, file_name) to (blocks, facts)."""
-
-    def run(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        blocks = text_blocks(docs, keep=("file_name",))
-        return blocks, extract_facts(blocks, vocab)
 
-    return run
+def text_pipeline(vocab: Vocabulary) -> Pipeline:
+    """For documents (doc_id, text, file_name)."""
+    return Pipeline(
+        lambda docs: text_blocks(docs, keep=("file_name",)),
+        lambda blocks: extract_facts(blocks, vocab),
+    )
 
 
 def _part(store: str, table: str, batch_id: int) -> str:
@@ -42,20 +46,20 @@ def write_batch(docs: DataFrame, batch_id: int, store: str, pipeline: Pipeline)
     """One micro-batch. Overwrites its own folders only, so a retry is harmless."""
     spark = docs.sparkSession
     started, clock = datetime.now(timezone.utc), perf_counter()
-    bad = docs.where("doc_id is null or text is null")
-    blocks, facts = pipeline(docs.where("doc_id is not null and text is not null"))
-    # Written tables, not caches: later steps read them back even if executors are lost.
+    readable = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
+    # Written tables, not caches: each step reads back what the one before wrote, so nothing
+    # is parsed twice and a lost executor costs no more than its own step.
+    blocks = pipeline.to_blocks(docs.where(readable))
     blocks.write.mode("overwrite").parquet(_part(store, "blocks", batch_id))
-    facts.write.mode("overwrite").parquet(_part(store, "facts", batch_id))
     stored_blocks = spark.read.schema(blocks.schema).parquet(_part(store, "blocks", batch_id))
+    facts = pipeline.to_facts(stored_blocks)
+    facts.write.mode("overwrite").parquet(_part(store, "facts", batch_id))
     stored = spark.read.schema(facts.schema).parquet(_part(store, "facts", batch_id))
     group_winners(stored).write.mode("overwrite").parquet(_part(store, "winners", batch_id))
     b = stored_blocks.groupBy("doc_id").agg(F.count("*").alias("block_count"))
     f = stored.groupBy(F.col("source_doc_id").alias("doc_id")).agg(F.count("*").alias("fact_count"))
-    good = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("string").alias("doc_id"))
-    status = good.withColumn("status", F.lit("parsed")).unionByName(
-        bad.select(F.col("doc_id").cast("string").alias("doc_id")).withColumn("status", F.lit("failed"))
-    )
+    status = docs.select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.when(readable, "parsed").otherwise("failed").alias("status"))
     progress = status.join(b, "doc_id", "left").join(f, "doc_id", "left").select(
         "doc_id", "status",
         F.coalesce("block_count", F.lit(0)).alias("block_count"),
