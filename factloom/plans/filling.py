@@ -247,7 +247,12 @@ def template_profile(spark: SparkSession, folder: str) -> DataFrame:
     return profiles.template_profile(cells, plan, fx.VOCAB).where("kind in ('field', 'entity')")
 
 
-@query("template_profile_texts")
+@query("template_profile_texts", """WITH seg AS (SELECT DISTINCT c_mktsegment AS s FROM customer),
+cells AS (SELECT s, 0 AS row, 0 AS col, s AS v FROM seg
+  UNION ALL SELECT s, 1, unnest([1, 2, 3]), unnest(['Customer', 'Account Balance (USD)', 'Total Price']) FROM seg
+  UNION ALL SELECT c_mktsegment, c_custkey + 2, 1, c_name FROM customer WHERE c_custkey + 2 <= 20)
+SELECT s || '.xlsx' AS template, 'sample' AS kind, v AS term FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY row, col) AS k FROM cells) WHERE k <= 12
+UNION ALL SELECT s || '.xlsx', 'keyword', unnest([s, 'Customer', 'Account', 'Balance', 'USD', 'Total', 'Price']) FROM seg""")
 def template_profile_texts(spark: SparkSession, folder: str) -> DataFrame:
     cells = fx.template_cells(spark, folder).withColumn("template", F.concat("sheet", F.lit(".xlsx")))
     plan, _ = filling.detect_layout(cells, fx.VOCAB)

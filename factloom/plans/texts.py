@@ -334,10 +334,19 @@ def preview_assembly(spark: SparkSession, folder: str) -> DataFrame:
     return sequence.assemble_preview(blocks, "THE")
 
 
-@query("chunk_blocks")
+SQL_CHUNKS = f"""WITH RECURSIVE sp AS (SELECT doc_id, string_split(text, '. ') AS a FROM documents),
+pt AS (SELECT doc_id, i, {fx.sql_strip('a[i]')} AS t FROM (SELECT doc_id, a, unnest(range(1, len(a) + 1)) AS i FROM sp)),
+s AS (SELECT doc_id, t, length(t) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM pt WHERE t <> ''),
+r AS (SELECT doc_id, k, t, n + 1 AS used, 1 AS c FROM s WHERE k = 1
+  UNION ALL SELECT s.doc_id, s.k, s.t, CASE WHEN r.used + s.n > 3000 THEN s.n + 1 ELSE r.used + s.n + 1 END,
+    CASE WHEN r.used + s.n > 3000 THEN r.c + 1 ELSE r.c END FROM r JOIN s ON s.doc_id = r.doc_id AND s.k = r.k + 1)
+SELECT doc_id, c AS chunk_no, string_agg(t, chr(10) ORDER BY k) AS chunk FROM r GROUP BY doc_id, c"""
+
+
+@query("chunk_blocks", SQL_CHUNKS)
 def chunk_blocks(spark: SparkSession, folder: str) -> DataFrame:
     docs = document_texts(spark, folder)
-    return sequence.chunk_documents(docs, "doc_id", F.split("text", "(?<=[.]) "), 3000)
+    return sequence.chunk_documents(docs, "doc_id", F.split("text", "[.] "), 3000)
 
 
 @query("block_udtf", f"{fx.DOC_BLOCKS} SELECT doc_id, page_or_index AS block_index, block_type, text, section FROM blocks")

@@ -29,5 +29,7 @@ TEMPLATE_CELL = (
     "template string, sheet string, row int, col int, value string"
 )
 
+BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
 DOCUMENT_STATUSES = ("uploaded", "parsing", "parsed", "failed")
 REVIEW_STATUSES = ("pending_review", "confirmed", "rejected")

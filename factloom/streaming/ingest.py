@@ -18,26 +18,62 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factloom.operators.canonical import GROUP, conflict_group_id, group_winners, merge_winners
+from factloom.operators.common import top_per_group
 from factloom.operators.extraction import extract_facts
+from factloom.operators.store import is_instruction
 from factloom.sources.blocks import text_blocks
+from factloom.sources.office import file_blocks
 from factloom.sources.vocabulary import Vocabulary
 
 @dataclass(frozen=True)
 class Pipeline:
-    """Documents to blocks, and blocks to facts."""
+    """What a micro-batch goes through.
 
+    ``to_ids``: documents to their ``doc_id``; ``to_blocks``: documents to blocks, with one
+    row carrying ``error`` for a document that cannot be read; ``to_facts``: blocks to facts.
+    """
+
+    to_ids: Callable[[DataFrame], DataFrame]
     to_blocks: Callable[[DataFrame], DataFrame]
     to_facts: Callable[[DataFrame], DataFrame]
 
 
 def text_pipeline(vocab: Vocabulary) -> Pipeline:
     """For documents (doc_id, text, file_name)."""
+
+    def blocks(docs: DataFrame) -> DataFrame:
+        good = text_blocks(docs.where("text is not null"), keep=("file_name",))
+        bad = docs.where("text is null").select(
+            F.col("doc_id").cast("string").alias("doc_id"), "file_name", F.lit("no text").alias("error"))
+        return good.unionByName(bad, allowMissingColumns=True)
+
     return Pipeline(
-        lambda docs: text_blocks(docs, keep=("file_name",)),
-        lambda blocks: extract_facts(blocks, vocab),
+        lambda docs: docs.select(F.col("doc_id").cast("string").alias("doc_id")),
+        blocks, lambda b: extract_facts(b, vocab),
     )
 
 
+def file_pipeline(vocab: Vocabulary, max_sheet_blocks: int | None = None) -> Pipeline:
+    """For files (path, content), as ``sources.office.arriving_files`` delivers them.
+
+    Instruction texts are stored but not extracted from, and neither are spreadsheets with
+    more than ``max_sheet_blocks`` blocks where that is set.
+    """
+
+    def facts(blocks: DataFrame) -> DataFrame:
+        heads = top_per_group(
+            blocks.where(F.lower("file_name").endswith(".txt")), ["doc_id"], [F.asc("page_or_index")], 20
+        ).groupBy("doc_id", "file_name").agg(F.array_join(F.collect_list("text"), "\n").alias("head"))
+        skip = heads.where(is_instruction(F.col("file_name"), F.left("head", F.lit(2048)))).select("doc_id")
+        if max_sheet_blocks is not None:
+            sheets = blocks.where(F.lower("file_name").rlike("[.](xlsx|xls|csv)$")).groupBy("doc_id").count()
+            skip = skip.unionByName(sheets.where(F.col("count") > max_sheet_blocks).select("doc_id"))
+        return extract_facts(blocks.join(skip, "doc_id", "left_anti"), vocab)
+
+    name = lambda: F.substring_index("path", "/", -1).alias("doc_id")
+    return Pipeline(lambda files: files.select(name()), file_blocks, facts)
+
+
 def _part(store: str, table: str, batch_id: int) -> str:
     return f"{store}/{table}/batch_id={batch_id}"
 
@@ -46,20 +82,21 @@ def write_batch(docs: DataFrame, batch_id: int, store: str, pipeline: Pipeline)
     """One micro-batch. Overwrites its own folders only, so a retry is harmless."""
     spark = docs.sparkSession
     started, clock = datetime.now(timezone.utc), perf_counter()
-    readable = F.col("doc_id").isNotNull() & F.col("text").isNotNull()
     # Written tables, not caches: each step reads back what the one before wrote, so nothing
     # is parsed twice and a lost executor costs no more than its own step.
-    blocks = pipeline.to_blocks(docs.where(readable))
+    blocks = pipeline.to_blocks(docs)
     blocks.write.mode("overwrite").parquet(_part(store, "blocks", batch_id))
-    stored_blocks = spark.read.schema(blocks.schema).parquet(_part(store, "blocks", batch_id))
+    written = spark.read.schema(blocks.schema).parquet(_part(store, "blocks", batch_id))
+    bad = written.where("error is not null").select("doc_id").distinct()
+    stored_blocks = written.where("error is null").join(bad, "doc_id", "left_anti")
     facts = pipeline.to_facts(stored_blocks)
     facts.write.mode("overwrite").parquet(_part(store, "facts", batch_id))
     stored = spark.read.schema(facts.schema).parquet(_part(store, "facts", batch_id))
     group_winners(stored).write.mode("overwrite").parquet(_part(store, "winners", batch_id))
     b = stored_blocks.groupBy("doc_id").agg(F.count("*").alias("block_count"))
     f = stored.groupBy(F.col("source_doc_id").alias("doc_id")).agg(F.count("*").alias("fact_count"))
-    status = docs.select(
-        F.col("doc_id").cast("string").alias("doc_id"), F.when(readable, "parsed").otherwise("failed").alias("status"))
+    status = pipeline.to_ids(docs).join(bad.withColumn("_bad", F.lit(True)), "doc_id", "left").select(
+        "doc_id", F.when(F.col("_bad"), "failed").otherwise("parsed").alias("status"))
     progress = status.join(b, "doc_id", "left").join(f, "doc_id", "left").select(
         "doc_id", "status",
         F.coalesce("block_count", F.lit(0)).alias("block_count"),
@@ -72,7 +109,7 @@ def write_batch(docs: DataFrame, batch_id: int, store: str, pipeline: Pipeline)
 
 def ingest_stream(docs: DataFrame, store: str, checkpoint: str, pipeline: Pipeline,
                   available_now: bool = True, every: str = "30 seconds") -> StreamingQuery:
-    """Run the ingest over a streaming DataFrame of documents (doc_id, text, file_name)."""
+    """Run the ingest over a streaming DataFrame of what the pipeline takes."""
     writer = (
         docs.writeStream.foreachBatch(lambda df, n: write_batch(df, n, store, pipeline))
         .option("checkpointLocation", checkpoint)

@@ -49,7 +49,7 @@ def test_word_documents(spark, tmp_path):
 def test_text_encodings(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("济南".encode())
     (tmp_path / "b.txt").write_bytes("济南".encode("gbk"))
-    got = {r["path"][-5:]: r["text"] for r in office.text_files(spark, f"{tmp_path}/*.txt").collect()}
+    got = {r["path"][-5:]: r["text"] for r in office.text_files(office.binary_files(spark, f"{tmp_path}/*.txt")).collect()}
     assert got == {"a.txt": "济南", "b.txt": "济南"}
 
 
@@ -76,3 +76,24 @@ def test_ingest_equals_batch_and_survives_a_retry(spark, tmp_path):
     assert progress == {"1": ("parsed", 1), "2": ("failed", 0), "3": ("parsed", 1), "4": ("parsed", 2)}
     spark.streams.removeListener(log)
     assert log.table(spark).where(F.col("state") == "progress").count() >= 1
+
+
+def test_files_of_all_kinds_stream_in(spark, tmp_path):
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    (inbox / "a.txt").write_text("济南 GDP总量 3亿元")
+    (inbox / "b.txt").write_text("提示词：请填写济南 GDP总量 9亿元")
+    (inbox / "c.md").write_text("|城市|GDP总量（亿元）|\n|-|-|\n|青岛|7|")
+    (inbox / "d.xlsx").write_bytes(make_xlsx({"s": [["城市", "常住人口"], ["上海", "2487万人"]]}))
+    (inbox / "e.docx").write_bytes(make_docx(paragraph("北京GDP总量 4万亿元")))
+    (inbox / "f.xlsx").write_bytes(b"damaged")
+    (inbox / "g.bin").write_bytes(b"?")
+    files = office.arriving_files(spark, str(inbox), 4)
+    store = str(tmp_path / "store")
+    ingest.ingest_stream(files, store, str(tmp_path / "offsets"), ingest.file_pipeline(VOCAB, 2000)).awaitTermination()
+    facts = {(r["source_doc_id"], r["entity_name"], r["field_name"], r["value_num"]) for r in ingest.canonical_store(spark, store).collect()}
+    assert facts == {("a.txt", "济南", "GDP总量", 3.0), ("c.md", "青岛", "GDP总量", 7.0), ("d.xlsx", "上海", "常住人口", 2487.0),
+                     ("e.docx", "北京", "GDP总量", 40000.0)}
+    status = {r["doc_id"]: r["status"] for r in ingest.progress_table(spark, store).collect()}
+    assert {k for k, v in status.items() if v == "failed"} == {"f.xlsx", "g.bin"}
+    assert len(status) == 7
