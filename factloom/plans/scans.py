@@ -71,7 +71,12 @@ def scan_markdown_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return shown_blocks(bl.markdown_blocks(markdown_docs(spark, folder)))
 
 
-@query("scan_markdown_documents")
+# The documents have neither headings nor tables, so their twin knows paragraphs only.
+@query("scan_markdown_documents", f"""WITH {fx.SQL_DOCUMENTS}, {fx.sql_lines('docs')},
+islands AS (SELECT *, sum(CASE WHEN line = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM lines),
+p AS (SELECT doc_id, min(line_no) AS place, string_agg(line, ' ' ORDER BY line_no) AS text FROM islands WHERE line <> '' GROUP BY doc_id, island)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place) AS INT) AS page_or_index, 'paragraph' AS block_type, text, '' AS section FROM p""")
 def scan_markdown_documents(spark: SparkSession, folder: str) -> DataFrame:
     return shown_blocks(bl.markdown_blocks(fx.documents(spark, folder)))
 
