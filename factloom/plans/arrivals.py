@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -14,8 +13,7 @@ from pyspark.sql import functions as F
 from factloom.plans import fixtures as fx
 from factloom.plans.facts import SQL_TEXT_FACTS
 from factloom.plans.registry import query
-from factloom.plans.scans import local_or_none
-from factloom.session import shared_dir
+from factloom.session import scratch_path
 from factloom.sources import office
 from factloom.streaming import ingest
 
@@ -135,7 +133,7 @@ def scan_docx_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 def sentence_store(spark: SparkSession, folder: str) -> str:
     """The order sentences written as files, streamed in, ingested; returns the store."""
-    base = tempfile.mkdtemp(prefix="ingest-", dir=local_or_none(shared_dir(spark)))
+    base = scratch_path(spark, "ingest")
     docs = fx.customer_text(spark, folder).select("doc_id", "text", "file_name")
     docs.repartition(4, "doc_id").write.parquet(f"{base}/inbox")
     arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/inbox")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from factloom.operators import common, profiles, selection, store
 from factloom.operators.canonical import elect_canonical
 from factloom.plans import fixtures as fx
 from factloom.plans.registry import query
-from factloom.session import shared_dir, small_table
+from factloom.session import scratch_path
 from factloom.sources import blocks as bl
 
 
@@ -160,14 +158,9 @@ def export_filled_cells(spark: SparkSession, folder: str) -> DataFrame:
     cells = fx.table(spark, folder, "orders").select(
         F.col("o_orderstatus").alias("task_id"), F.concat(F.lit("R"), F.col("o_orderkey").cast("string")).alias("cell_ref"),
         F.col("o_totalprice").alias("value_num"))
-    path = tempfile.mkdtemp(prefix="result-", dir=local_or_none(shared_dir(spark)))
-    store.write_result(cells, f"{path}/cells")
-    return store.read_result(spark, f"{path}/cells")
-
-
-def local_or_none(folder: str) -> str | None:
-    """Local folders can be made here; on a cluster file system Spark makes them itself."""
-    return folder.removeprefix("file:") if folder.startswith(("/", "file:/")) else None
+    path = scratch_path(spark, "result")
+    store.write_result(cells, path)
+    return store.read_result(spark, path)
 
 
 # --- filters ---------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,11 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder; Spark makes the folder when it first writes there."""
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A table scan in at least as many tasks as there are cores.
 

@@ -192,9 +192,9 @@ def row_entries(headers: Column | str, cells: Column | str) -> Column:
 
 def row_map(headers: Column | str, cells: Column | str) -> Column:
     """Header → value map; the last of repeated headers wins."""
-    h = as_col(headers)
+    names = F.transform(as_col(headers), strip)
     firsts = F.filter(
-        row_entries(headers, cells), lambda e: F.array_position(h, e["header"]) == e["pos"]
+        row_entries(headers, cells), lambda e: F.array_position(names, e["header"]) == e["pos"]
     )
     return F.map_from_entries(
         F.transform(firsts, lambda e: record(key=e["header"], value=e["value"]))

@@ -218,3 +218,13 @@ def test_mixed_fill(spark):
     got = {(r["cell_ref"], r["entity_name"], r["value_num"]) for r in out.collect()}
     # blanks take 青岛 and then 济南 although it has a row already; 北京 is appended
     assert got == {("B2", "济南", 2.5), ("B3", "青岛", 1.0), ("B4", "济南", 2.5), ("B6", "北京", 3.0)}
+
+
+def test_vocabulary_from_tables(spark):
+    aliases = spark.createDataFrame([("gdp", "GDP"), ("output", "GDP"), ("people", "population")], "alias string, field string")
+    fields = spark.createDataFrame([("population", "万人", "city", 2), ("GDP", "亿元", "city", 1)], "field string, unit string, entity_type string, ord int")
+    names = spark.createDataFrame([("B", 2), ("A", 1)], "name string, ord int")
+    v = Vocabulary.from_tables(aliases, fields, names)
+    assert [f.name for f in v.fields] == ["GDP", "population"]
+    assert v.names == ("A", "B")
+    assert v.header_lookup["people"] == "population" and v.header_lookup["output"] == "GDP"
