@@ -15,7 +15,8 @@ def with_section_path(lines: DataFrame, key: str, pos: str, level: str, title: s
     """Current heading path on every line, for documents stored as line tables.
 
     ``level`` is NULL for plain lines. The latest heading of each level is carried forward;
-    a level belongs to the path when no shallower heading came after it.
+    a level belongs to the path when no shallower heading came after it. (Where a document
+    skips levels, ``sources.blocks.markdown_blocks`` keeps headings by depth instead.)
     """
     values = {}
     for n in range(1, max_level + 1):

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from factloom.plans import fixtures as fx
 from factloom.plans.facts import SQL_TEXT_FACTS
 from factloom.plans.registry import query
-from factloom.session import scratch_path
+from factloom.plans.scans import SQL_ORDER_ROWS, order_rows
+from factloom.session import scratch_path, spread
 from factloom.sources import office
 from factloom.streaming import ingest
 
@@ -63,24 +64,19 @@ def make_docx(body: str) -> bytes:
 
 
 def order_files(spark: SparkSession, folder: str, make, suffix: str) -> DataFrame:
-    """One office file per order as (path, content); an order's lines are few."""
-    item = F.struct("l_linenumber", "l_partkey", F.col("l_quantity").cast("string").alias("q"), "l_returnflag")
-    lines = fx.table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    flat = F.transform("items", lambda i: F.array(i["l_partkey"].cast("string"), i["q"], i["l_returnflag"]))
-    orders = fx.table(spark, folder, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    """One office file per order as (path, content), made from the order's own row."""
     # Making and reading files is work for every core, though the rows themselves are small.
-    orders = orders.repartition(spark.sparkContext.defaultParallelism)
-    rows = orders.select("o_orderkey", "o_orderpriority", "o_orderstatus", flat.alias("rows"))
+    orders = spread(fx.table(spark, folder, "orders"))
 
     def build(priority: pd.Series, status: pd.Series, items: pd.Series) -> pd.Series:
         return pd.Series([make(p, s, [list(r) for r in it]) for p, s, it in zip(priority, status, items)])
 
-    content = F.pandas_udf(build, "binary")("o_orderpriority", "o_orderstatus", "rows")
+    content = F.pandas_udf(build, "binary")("o_orderpriority", "o_orderstatus", order_rows())
     path = F.concat(F.lit("/orders/"), F.col("o_orderkey").cast("string"), F.lit(suffix))
-    return rows.select(path.alias("path"), content.alias("content"))
+    return orders.select(path.alias("path"), content.alias("content"))
 
 
-HEAD = ["Part", "Quantity", "Flag"]
+HEAD = ["Key", "Value", "Flag"]
 
 
 def order_xlsx(priority: str, status: str, items: list[list[str]]) -> bytes:
@@ -94,37 +90,32 @@ def order_docx(priority: str, status: str, items: list[list[str]]) -> bytes:
         + word_table([["Status"], [status]]))
 
 
-SQL_ITEMS = """i AS (SELECT l_orderkey AS k, l_partkey || ' | ' || l_quantity || ' | ' || l_returnflag AS line,
-   row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, CAST(l_quantity AS VARCHAR), l_returnflag) AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
-o AS (SELECT o_orderkey AS k, o_orderpriority AS p, o_orderstatus AS s, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n FROM orders)"""
-
-
-@query("scan_xlsx_rows", f"""WITH {SQL_ITEMS}
+@query("scan_xlsx_rows", f"""WITH {SQL_ORDER_ROWS}
 SELECT k || '.xlsx' AS doc_id, CAST(n AS INT) AS page_or_index, 'items' AS sheet, line AS text, CAST(n + 2 AS INT) AS row_index FROM i
-UNION ALL SELECT k || '.xlsx', CAST(n + 1 AS INT), 'state', p || ' | ' || s, 2 FROM o WHERE n > 0""")
+UNION ALL SELECT k || '.xlsx', 3, 'state', p || ' | ' || s, 2 FROM o""")
 def scan_xlsx_rows(spark: SparkSession, folder: str) -> DataFrame:
     rows = office.xlsx_rows(order_files(spark, folder, order_xlsx, ".xlsx"), "name")
     return rows.select("doc_id", "page_or_index", F.array_join("section_path", "/").alias("sheet"), "text", "row_index")
 
 
-@query("scan_docx_blocks", f"""WITH {SQL_ITEMS}, b AS (
-  SELECT k, 1 AS x, 'heading' AS t, 'Order' AS text, 'Order' AS sec FROM o WHERE n > 0
-  UNION ALL SELECT k, 2, 'paragraph', 'Priority ' || p, 'Order' FROM o WHERE n > 0
-  UNION ALL SELECT k, 3, 'heading', 'Items', 'Order/Items' FROM o WHERE n > 0
+@query("scan_docx_blocks", f"""WITH {SQL_ORDER_ROWS}, b AS (
+  SELECT k, 1 AS x, 'heading' AS t, 'Order' AS text, 'Order' AS sec FROM o
+  UNION ALL SELECT k, 2, 'paragraph', 'Priority ' || p, 'Order' FROM o
+  UNION ALL SELECT k, 3, 'heading', 'Items', 'Order/Items' FROM o
   UNION ALL SELECT k, 3 + n, 'table_row', line, 'Order/Items' FROM i
-  UNION ALL SELECT k, 4 + n, 'heading', '1.2.Status', 'Order/Items/1.2.Status' FROM o WHERE n > 0
-  UNION ALL SELECT k, 5 + n, 'paragraph', 'State ' || s, 'Order/Items/1.2.Status' FROM o WHERE n > 0
-  UNION ALL SELECT k, 6 + n, 'table_row', s, 'Order/Items/1.2.Status' FROM o WHERE n > 0)
+  UNION ALL SELECT k, 6, 'heading', '1.2.Status', 'Order/Items/1.2.Status' FROM o
+  UNION ALL SELECT k, 7, 'paragraph', 'State ' || s, 'Order/Items/1.2.Status' FROM o
+  UNION ALL SELECT k, 8, 'table_row', s, 'Order/Items/1.2.Status' FROM o)
 SELECT k || '.docx' AS doc_id, CAST(x AS INT) AS page_or_index, t AS block_type, text, sec AS section FROM b""")
 def scan_docx_blocks(spark: SparkSession, folder: str) -> DataFrame:
     b = office.docx_document_blocks(order_files(spark, folder, order_docx, ".docx"), "name")
     return b.select("doc_id", "page_or_index", "block_type", "text", F.array_join("section_path", "/").alias("section"))
 
 
-@query("scan_docx_tables", f"""WITH {SQL_ITEMS}
-SELECT k || '.docx' AS name, 1 AS table_index, 1 AS row_index, 'Part | Quantity | Flag' AS line, 'Order' || chr(10) || 'Priority ' || p || chr(10) || 'Items' AS context_text FROM o WHERE n > 0
+@query("scan_docx_tables", f"""WITH {SQL_ORDER_ROWS}
+SELECT k || '.docx' AS name, 1 AS table_index, 1 AS row_index, 'Key | Value | Flag' AS line, 'Order' || chr(10) || 'Priority ' || p || chr(10) || 'Items' AS context_text FROM o
 UNION ALL SELECT i.k || '.docx', 1, CAST(i.n + 1 AS INT), line, 'Order' || chr(10) || 'Priority ' || p || chr(10) || 'Items' FROM i JOIN o ON i.k = o.k
-UNION ALL SELECT k || '.docx', 2, unnest([1, 2]), unnest(['Status', s]), '1.2.Status' || chr(10) || 'State ' || s FROM o WHERE n > 0""")
+UNION ALL SELECT k || '.docx', 2, unnest([1, 2]), unnest(['Status', s]), '1.2.Status' || chr(10) || 'State ' || s FROM o""")
 def scan_docx_tables(spark: SparkSession, folder: str) -> DataFrame:
     t = office.docx_tables(order_files(spark, folder, order_docx, ".docx"))
     return t.select(F.substring_index("path", "/", -1).alias("name"), "table_index", "row_index",

@@ -10,7 +10,7 @@ from factloom.operators import common, profiles, selection, store
 from factloom.operators.canonical import elect_canonical
 from factloom.plans import fixtures as fx
 from factloom.plans.registry import query
-from factloom.session import scratch_path
+from factloom.session import scratch_path, spread
 from factloom.sources import blocks as bl
 
 
@@ -30,41 +30,42 @@ def scan_text_blocks_headed(spark: SparkSession, folder: str) -> DataFrame:
     return shown_blocks(fx.blocks(spark, folder))
 
 
-# One Markdown document per order: headings, a paragraph, and its lines as a pipe table.
-SQL_MARKDOWN = """items AS (
-  SELECT o_orderkey, o_orderpriority, o_orderstatus, l_linenumber, l_partkey, l_quantity, l_returnflag
-  FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
-rows_ AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_quantity, l_returnflag) AS k FROM items)"""
+# One Markdown document per order: headings, paragraphs and a pipe table of two rows.
+def order_rows() -> Column:
+    """Two table rows (three texts each) of an order."""
+    day = F.col("o_orderdate").cast("date").cast("string")
+    return F.array(
+        F.array(F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string"), F.col("o_orderstatus")),
+        F.array(F.col("o_custkey").cast("string"), day, F.col("o_orderstatus")),
+    )
+
+
+SQL_ORDER_ROWS = """i AS (
+  SELECT o_orderkey AS k, 1 AS n, o_orderkey || ' | ' || o_totalprice || ' | ' || o_orderstatus AS line FROM orders
+  UNION ALL SELECT o_orderkey, 2, o_custkey || ' | ' || strftime(o_orderdate, '%Y-%m-%d') || ' | ' || o_orderstatus FROM orders),
+o AS (SELECT o_orderkey AS k, o_orderpriority AS p, o_orderstatus AS s FROM orders)"""
 
 
 def markdown_docs(spark: SparkSession, folder: str) -> DataFrame:
-    orders, items = fx.table(spark, folder, "orders"), fx.table(spark, folder, "lineitem")
-    row = F.struct(
-        "l_linenumber", "l_partkey", "l_quantity", "l_returnflag",
-        F.concat(F.lit("| "), F.col("l_partkey").cast("string"), F.lit(" | "), F.col("l_quantity").cast("string"),
-                 F.lit(" | "), F.col("l_returnflag"), F.lit(" |")).alias("line"),
-    )
-    lines = items.groupBy("l_orderkey").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["line"]), "\n").alias("rows"))
+    rows = F.array_join(
+        F.transform(order_rows(), lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))), "\n")
     text_ = F.concat(
-        F.lit("# Order\nPriority "), "o_orderpriority", F.lit("\nopen\n\n### Items\n| Part | Quantity | Flag |\n|---|---|---|\n"),
-        "rows", F.lit("\nend of list\n## Status\n"), "o_orderstatus",
+        F.lit("# Order\nPriority "), "o_orderpriority", F.lit("\nopen\n\n### Items\n| Key | Value | Flag |\n|---|---|---|\n"),
+        rows, F.lit("\n| | | |\nend of list\n## Status\n"), "o_orderstatus",
     )
-    return orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(
+    return spread(fx.table(spark, folder, "orders")).select(
         F.col("o_orderkey").cast("string").alias("doc_id"), text_.alias("text"))
 
 
-@query("scan_markdown_blocks", f"""WITH {SQL_MARKDOWN},
-n AS (SELECT o_orderkey, any_value(o_orderpriority) AS p, any_value(o_orderstatus) AS s, count(*) AS n FROM rows_ GROUP BY 1),
-out_ AS (
-  SELECT o_orderkey, 1 AS i, 'heading' AS t, 'Order' AS x, 'Order' AS sec FROM n
-  UNION ALL SELECT o_orderkey, 2, 'paragraph', 'Priority ' || p || ' open', 'Order' FROM n
-  UNION ALL SELECT o_orderkey, 3, 'heading', 'Items', 'Order > Items' FROM n
-  UNION ALL SELECT o_orderkey, 3 + k, 'table_row', l_partkey || ' | ' || l_quantity || ' | ' || l_returnflag, 'Order > Items' FROM rows_
-  UNION ALL SELECT o_orderkey, n + 4, 'paragraph', 'end of list', 'Order > Items' FROM n
-  UNION ALL SELECT o_orderkey, n + 5, 'heading', 'Status', 'Order > Status' FROM n
-  UNION ALL SELECT o_orderkey, n + 6, 'paragraph', s, 'Order > Status' FROM n)
-SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, CAST(i AS INT) AS page_or_index, t AS block_type, x AS text, sec AS section FROM out_""")
+@query("scan_markdown_blocks", f"""WITH {SQL_ORDER_ROWS}, out_ AS (
+  SELECT k, 1 AS x, 'heading' AS t, 'Order' AS text, 'Order' AS sec FROM o
+  UNION ALL SELECT k, 2, 'paragraph', 'Priority ' || p || ' open', 'Order' FROM o
+  UNION ALL SELECT k, 3, 'heading', 'Items', 'Order > Items' FROM o
+  UNION ALL SELECT k, 3 + n, 'table_row', line, 'Order > Items' FROM i
+  UNION ALL SELECT k, 6, 'paragraph', 'end of list', 'Order > Items' FROM o
+  UNION ALL SELECT k, 7, 'heading', 'Status', 'Order > Status' FROM o
+  UNION ALL SELECT k, 8, 'paragraph', s, 'Order > Status' FROM o)
+SELECT CAST(k AS VARCHAR) AS doc_id, CAST(x AS INT) AS page_or_index, t AS block_type, text, sec AS section FROM out_""")
 def scan_markdown_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return shown_blocks(bl.markdown_blocks(markdown_docs(spark, folder)))
 

@@ -256,15 +256,16 @@ def entity_mention_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("entity_mention_large_gazetteer", """WITH n AS (SELECT DISTINCT p_name FROM part),
-t AS (SELECT o_orderkey, string_agg(p_name, ' and ' ORDER BY l_linenumber, l_partkey) AS body FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey GROUP BY o_orderkey)
-SELECT o_orderkey, p_name AS entity FROM t JOIN n ON contains(body, p_name)""")
+t AS (SELECT l_orderkey || '-' || l_linenumber AS item, p_brand || ' of ' || p_name || ' and small ring' AS body FROM lineitem JOIN part ON l_partkey = p_partkey)
+SELECT item, p_name AS entity FROM t JOIN n ON contains(body, p_name)""")
 def entity_mention_large_gazetteer(spark: SparkSession, folder: str) -> DataFrame:
-    """Part names in order texts through the substring equi join."""
-    part = fx.table(spark, folder, "part").select("p_partkey", "p_name")
-    bodies = lineitem(spark, folder).join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "p_name"))), lambda r: r["p_name"]), " and ").alias("body"))
+    """Part names in line-item texts through the substring equi join."""
+    part = fx.table(spark, folder, "part").select("p_partkey", "p_name", "p_brand")
+    texts = lineitem(spark, folder).join(part, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("item"),
+        F.concat("p_brand", F.lit(" of "), "p_name", F.lit(" and small ring")).alias("body"))
     names = part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ord"))
-    return extraction.find_mentions_join(bodies, "o_orderkey", "body", names, range(5, 16)).select("o_orderkey", "entity")
+    return extraction.find_mentions_join(texts, "item", "body", names, range(5, 16)).select("item", "entity")
 
 
 # --- sequences ---------------------------------------------------------------------------
