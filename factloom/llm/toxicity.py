@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from factloom.llm.shared import in_batches, remainder, words
 
 PER_CLASS = 8_000  # labelled documents of each class that the model is learned from, in expectation
-STEMS = (5, 4)  # letters of the word beginnings that stand in for words the model does not know
-PRIOR = 500.0  # tokens that the Dirichlet prior weighs
-LEAST = 3  # occurrences of a token that gets a score of its own
-SIGNIFICANT = 2.5  # standard deviations of its log-odds
+STEMS = (9, 8, 7, 6, 5, 4)  # letters of the word beginnings that stand in for words the model does not know
+PRIOR = 0.05  # weight of the Dirichlet prior, as a part of all counts
+LEAST = 3  # documents with a token that gets a score of its own
+SIGNIFICANT = 3.0  # standard deviations of its log-odds
 PASSAGE = 0.05  # chance that a clean document holds such a passage somewhere
 CACHED = 200_000
 
@@ -34,12 +34,15 @@ def tokens_of(word: bytes) -> Iterator[bytes]:
 
 @dataclass
 class ToxicModel:
-    """Token scores with the score of all other tokens, extreme-value parameters, and the final curve."""
+    """Token scores with the score of all other tokens, extreme-value parameter, and the final curve.
+
+    Scores are natural log-odds of the toxic against the clean token distribution, so the decay rate lambda of the largest
+    segment score of clean texts is 1; only K is fitted.
+    """
 
     scores: dict[bytes, float]
     other: float
-    rate: float  # lambda: decay of the largest segment score
-    scale: float  # K
+    scale: float = 1.0  # K
     slope: float = 0.0
     offset: float = 0.0
     _known: dict = field(default_factory=dict, repr=False)
@@ -62,7 +65,7 @@ class ToxicModel:
         out = []
         chance = math.log(self.scale * len(read))
         for start, end, score in segments(found):
-            bits = self.rate * score - chance  # -log of the expected number of such passages in a clean text
+            bits = score - chance  # -log of the expected number of such passages in a clean text
             if -math.expm1(-math.exp(-bits)) <= PASSAGE:
                 out.append((start, end, bits))
         return out
@@ -114,16 +117,13 @@ def _labelled(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
 
 
 def _token_counts(rows: DataFrame) -> DataFrame:
+    """Documents of each class that hold a token: words that one document repeats count once."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = (Counter(), Counter())
-            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
-                seen[toxic].update(words(text or ""))
             by_token = (Counter(), Counter())
-            for into, found in zip(by_token, seen):
-                for word, n in found.items():
-                    for token in tokens_of(word):
-                        into[token] += n
+            for toxic, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist()):
+                by_token[toxic].update({t for w in set(words(text or "")) for t in tokens_of(w)})
             tokens = [*dict.fromkeys([*by_token[0], *by_token[1]])]
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), *(pa.array([c[t] for t in tokens], pa.int64()) for c in by_token)],
                                              names=["token", "clean", "toxic"])
@@ -132,10 +132,14 @@ def _token_counts(rows: DataFrame) -> DataFrame:
 
 
 def log_odds(clean, toxic, all_clean: float, all_toxic: float):
-    """Log-odds ratio of a token between the classes under a Dirichlet prior, and its standard deviation (columns)."""
-    prior = F.lit(PRIOR) * (clean + toxic) / F.lit(all_clean + all_toxic)
+    """Log-odds ratio of a token between the classes under a Dirichlet prior, and its standard deviation (columns).
+
+    The prior gives a token the part of the prior weight that it has of all counts.
+    """
+    weight = PRIOR * (all_clean + all_toxic)
+    prior = F.lit(PRIOR) * (clean + toxic)
     t, c = toxic + prior, clean + prior
-    ratio = F.log(t / (F.lit(all_toxic + PRIOR) - t)) - F.log(c / (F.lit(all_clean + PRIOR) - c))
+    ratio = F.log(t / (F.lit(all_toxic + weight) - t)) - F.log(c / (F.lit(all_clean + weight) - c))
     return ratio, F.sqrt(1 / t + 1 / c)
 
 
@@ -153,7 +157,7 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     all_clean, all_toxic = float(totals["c"] or 0), float(totals["t"] or 0)
     if not all_clean or not all_toxic:
         rows.unpersist()
-        return ToxicModel({}, -1.0, 1.0, 1.0, 0.0, -math.inf)
+        return ToxicModel({}, -1.0, 1.0, 0.0, -500.0)
     ratio, deviation = log_odds(F.col("clean"), F.col("toxic"), all_clean, all_toxic)
     scored = (sums.where(F.col("clean") + F.col("toxic") >= LEAST).withColumn("score", ratio)
               .where(F.abs(F.col("score")) >= SIGNIFICANT * deviation).select("token", "clean", "toxic", "score").toArrow().to_pylist())
@@ -161,29 +165,12 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
     rest_toxic = max(1.0, all_toxic - sum(r["toxic"] for r in known))
     rest_clean = max(1.0, all_clean - sum(r["clean"] for r in known))
     other = min(-0.01, math.log(rest_toxic / all_toxic) - math.log(rest_clean / all_clean))
-    model = ToxicModel({bytes(r["token"]): r["score"] for r in scored}, other, *_decay(known, rest_clean, all_clean, other), 1.0)
+    model = ToxicModel({bytes(r["token"]): r["score"] for r in scored}, other)
     _calibrate(model, rows)
     rows.unpersist()
     return model
 
 
-def _decay(known: list[dict], rest: float, total: float, other: float) -> tuple[float, float]:
-    """lambda: the positive root of E[exp(lambda * score)] = 1 over clean tokens (each seen half a time more than it was)."""
-    score = np.array([other, *(r["score"] for r in known)])
-    weight = np.array([rest, *(r["clean"] + 0.5 for r in known)]) / (total + 0.5 * len(known))
-    if not (score > 0).any():
-        return 1.0, 1.0
-    if (weight * score).sum() >= 0:
-        return 1e-3, 1.0  # no negative drift: nothing is significant
-    low, high = 0.0, 1.0
-    while (weight * np.exp(np.minimum(high * score, 600))).sum() < 1:
-        high *= 2
-    for _ in range(80):
-        middle = (low + high) / 2
-        low, high = (middle, high) if (weight * np.exp(np.minimum(middle * score, 600))).sum() < 1 else (low, middle)
-    return high, 1.0
-
-
 def _calibrate(model: ToxicModel, rows: DataFrame) -> None:
     """Fit K on the clean documents, then the curve from statistic to probability, both on the learning documents."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
@@ -196,9 +183,9 @@ def _calibrate(model: ToxicModel, rows: DataFrame) -> None:
             best.append(max((s for *_, s in segments([shared.value.score_of(w) for w in read])), default=0.0))
         return {"n": pa.array(n, pa.int64()), "best": pa.array(best, pa.float64())}
 
-    clean = in_batches(rows.where("toxic = 0").select("text"), largest, "n long, best double").where("best > 0").agg(
-        F.count(F.lit(1)).alias("m"), F.sum(F.col("n") * F.exp(-model.rate * F.col("best"))).alias("z")).first()
-    # Largest likelihood of K where P(S < x) = exp(-K n exp(-lambda x)); half a document more keeps it above 0.
+    clean = in_batches(rows.where("toxic = 0").select("text"), largest, "n long, best double").where("n > 0").agg(
+        F.count(F.lit(1)).alias("m"), F.sum(F.col("n") * F.exp(-F.col("best"))).alias("z")).first()
+    # Largest likelihood of K where P(S < x) = exp(-K n exp(-x)); half a document more keeps it above 0.
     model.scale = (clean["m"] + 0.5) / max((clean["z"] or 0.0) + 0.5, 1e-9)
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
