@@ -17,9 +17,11 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from factloom.llm.shared import in_batches, texts
 
+LATIN_END = "\u0250"
 CACHED = 150_000  # entries of each cache of a worker; the older half goes when it is full
 
 
@@ -70,6 +72,9 @@ class ForcedBpe:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
         self.pieces = regex.compile(pattern)
         self.letters = byte_letters()
+        # Beyond Latin, what is a letter depends on the Unicode version: there the library's own rules cut the pieces.
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
         bare = (t.removesuffix(self.suffix) for t in self.ids)
         self.joined = {pair for t in bare for pair in pairwise(t)}
         self.fragment_ids = _Recent(self._merge)
@@ -101,11 +106,12 @@ class ForcedBpe:
                 found[at] = get((parts[at], parts[at + 1]), none)
         return [self.ids[p] for p in parts]
 
-    def _normal(self, text: str) -> list[str]:
-        text = unicodedata.normalize("NFC", text)
-        # The library lowers letter by letter; only the final sigma would differ.
-        text = "".join(c.lower() for c in text) if "Σ" in text else text.lower()
-        return self.pieces.findall(text)
+    def _words(self, text: str) -> list[str]:
+        """Pieces of a text in byte letters."""
+        if text and max(text) >= LATIN_END:
+            return [piece for piece, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text))]
+        text = unicodedata.normalize("NFC", text).lower()
+        return ["".join([self.letters[b] for b in piece.encode()]) for piece in self.pieces.findall(text)]
 
     def _chunk(self, chunk: str) -> tuple[bytes, bytes, list[int]]:
         """Decimal ids, decoded text and ids of a stretch without blank or line feed."""
@@ -114,8 +120,7 @@ class ForcedBpe:
             if part in self.special:
                 ids.append(self.special[part])
                 continue
-            for piece in self._normal(part):
-                word = "".join([self.letters[b] for b in piece.encode()])
+            for word in self._words(part):
                 *inner, last = self.forced_cuts(word)
                 for fragment in inner:
                     ids += self.fragment_ids[fragment, False]

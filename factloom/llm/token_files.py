@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factloom.llm.bpe import byte_letters
+from factloom.llm.bpe import LATIN_END, byte_letters
 from factloom.llm.shared import atomic_file, file_system, qualified, stored
 from factloom.session import scratch_path
 
@@ -60,7 +60,7 @@ class _Fragments(dict):
             self.clear()
         raw = self.old.get(fragment)
         if raw is None:
-            if fragment[-1:] in self.marks and fragment[-2:-1].isalpha():
+            if fragment[-1:] in self.marks and fragment[-2:-1].isalpha() and fragment[-2] < LATIN_END:
                 # A mark after a letter is a piece of its own.
                 raw = self[fragment[:-1]] + self.marks[fragment[-1]]
             else:
@@ -70,8 +70,8 @@ class _Fragments(dict):
 
     def _encode(self, text: str) -> bytes:
         word = text[1:] if text[0] == " " else text
-        if word.isalpha():
-            # Letters after at most one blank are a single piece: only the model has work to do.
+        if word.isalpha() and max(word) < LATIN_END:
+            # Latin letters after at most one blank are a single piece: only the model has work to do.
             letters = text.encode().decode("latin-1").translate(BYTE_LETTERS)
             return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
