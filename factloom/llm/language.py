@@ -158,7 +158,8 @@ def identify(text: str | None, filters: LanguageFilters) -> tuple[str, float]:
         total += hashes.size
         hits += [np.count_nonzero(found & found.dtype.type(1 << p)) for p in range(len(filters.languages))]
     # Of the n-grams that a filter does not hold, its false positive rate passes all the same.
-    true = np.maximum(0.0, (hits - total * filters.false_rates) / (1 - filters.false_rates))
+    spare = 1 - filters.false_rates
+    true = np.where(spare > 0, np.maximum(0.0, hits - total * filters.false_rates) / np.where(spare > 0, spare, 1), 0)
     if not true.sum():
         return filters.languages[int(np.argmax(hits))], 1.0 / len(filters.languages)
     best = int(np.argmax(true))

@@ -54,7 +54,7 @@ def test_false_positives_are_taken_off():
     full[:1000] |= 1
     for at in language.slots(language.gram_hashes(language.letters("hello"), 3)):
         full[at] |= 1
-    made = language.LanguageFilters(["aa", "bb"], full, np.array([0.0, 1 - 1e-9]))
+    made = language.LanguageFilters(["aa", "bb"], full, np.array([0.0, 1.0]))
     assert language.identify("hello hello", made)[0] == "aa"
 
 
