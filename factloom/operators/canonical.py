@@ -15,15 +15,15 @@ def conflict_group_id() -> Column:
     return F.concat_ws("::", *[F.coalesce(F.col(c).cast("string"), F.lit("None")) for c in GROUP])
 
 
-def group_winners(facts: DataFrame) -> DataFrame:
-    """The elected fact of each conflict group: (group keys, ranking columns, fact_id).
+def group_winners(facts: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The elected fact of each conflict group: (group keys, ranking columns, fact_id, ``keep``).
 
     Best by confidence, having a number, source document and fact id, all descending.
     A group limit before the shuffle leaves one candidate per task and group, and winners
     of winners are winners, so partial elections can be merged (see ``streaming``).
     """
     cols = [*GROUP, "confidence", F.col("value_num").isNotNull().alias("has_number"),
-            "source_doc_id", "fact_id"]
+            "source_doc_id", "fact_id", *keep]
     open_facts = facts.where(F.coalesce(F.col("status"), F.lit("")) != "rejected").select(*cols)
     return merge_winners(open_facts)
 
@@ -68,11 +68,10 @@ def reelect(store: DataFrame, new: DataFrame | None, groups: DataFrame) -> DataF
     return rest.unionByName(elect_canonical(touched), allowMissingColumns=True)
 
 
-def apply_reviews(facts: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Latest review per fact sets the status and is merged into the metadata.
+def apply_latest_reviews(facts: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Facts with status and metadata of their latest review; canonical flags are left to the caller.
 
-    ``reviews(fact_id, status, reviewer, note, reviewed_at string)``. Returns all facts
-    with the groups of reviewed facts re-elected.
+    ``reviews(fact_id, status, reviewer, note, reviewed_at string)``.
     """
     last = top_per_group(reviews, ["fact_id"], [F.desc("reviewed_at"), F.desc("status")])
     notes = F.filter(
@@ -91,16 +90,18 @@ def apply_reviews(facts: DataFrame, reviews: DataFrame) -> DataFrame:
     )
     old = F.coalesce("metadata", F.create_map().cast("map<string,string>"))
     kept = F.map_filter(old, lambda k, v: ~F.map_contains_key(F.col("_notes"), k))
-    updated = (
+    return (
         facts.join(updates, "fact_id", "left")
         .withColumn("metadata", F.when(F.col("_notes").isNull(), F.col("metadata"))
                     .otherwise(F.map_concat(kept, F.col("_notes"))))
         .withColumn("status", F.coalesce("_status", "status"))
-        .withColumn("_reviewed", F.col("_status").isNotNull())
         .drop("_status", "_notes")
     )
-    groups = affected_groups(updated.where("_reviewed"))
-    return reelect(updated.drop("_reviewed"), None, groups)
+
+
+def apply_reviews(facts: DataFrame, reviews: DataFrame) -> DataFrame:
+    """All facts with their latest review, elected anew from narrow columns (see ``elect_canonical``)."""
+    return elect_canonical(apply_latest_reviews(facts, reviews))
 
 
 def delete_documents(docs: DataFrame, blocks: DataFrame, facts: DataFrame, ids: DataFrame):

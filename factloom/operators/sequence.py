@@ -10,26 +10,27 @@ from factloom.operators.common import carry_forward, rank_by_position, top_per_g
 from factloom.operators.extraction import nearest_entity
 
 
-def with_section_path(lines: DataFrame, key: str, pos: str, level: str, title: str,
-                      max_level: int = 4) -> DataFrame:
+def with_section_path(lines: DataFrame, key: str, pos: str, level: str, title: str) -> DataFrame:
     """Current heading path on every line, for documents stored as line tables.
 
-    ``level`` is NULL for plain lines. The latest heading of each level is carried forward;
-    a level belongs to the path when no shallower heading came after it. (Where a document
+    ``level`` is NULL for plain lines; the levels that occur are read from the data, however deep. The latest heading of each
+    level is carried forward; a level belongs to the path when no shallower heading came after it. (Where a document
     skips levels, ``sources.blocks.markdown_blocks`` keeps headings by depth instead.)
     """
-    values = {}
-    for n in range(1, max_level + 1):
-        values[f"_h{n}"] = F.when(F.col(level) == n, F.struct(F.col(pos).alias("at"), F.col(title).alias("t")))
+    levels = sorted(r[0] for r in lines.select(level).where(F.col(level).isNotNull()).distinct().collect())
+    values = {
+        f"_h{n}": F.when(F.col(level) == n, F.struct(F.col(pos).alias("at"), F.col(title).alias("t"))) for n in levels
+    }
     carried = carry_forward(lines, [key], pos, values)
     path = []
-    for n in range(1, max_level + 1):
+    for place, n in enumerate(levels):
         mine = F.col(f"_h{n}")
         newer = F.lit(False)
-        for up in range(1, n):
+        for up in levels[:place]:
             newer = newer | F.coalesce(F.col(f"_h{up}.at") > mine["at"], F.lit(False))
         path.append(F.when(mine.isNotNull() & ~newer, mine["t"]))
-    return carried.withColumn("section_path", F.array_compact(F.array(*path))).drop(*values)
+    empty = F.array().cast("array<string>")
+    return carried.withColumn("section_path", F.array_compact(F.array(*path)) if path else empty).drop(*values)
 
 
 def nearest_entity_at(texts: DataFrame, positions: str, anchors: str) -> DataFrame:

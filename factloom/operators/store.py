@@ -9,8 +9,6 @@ from factloom.functions import fixed_values as fv
 from factloom.functions.text import record, strings
 from factloom.operators.common import top_per_group
 
-SPREADSHEETS = ("xlsx", "xls", "csv")
-
 
 def is_instruction(file_name: Column, head: Column) -> Column:
     """Text files that tell how to fill a template instead of holding facts."""
@@ -21,26 +19,21 @@ def is_instruction(file_name: Column, head: Column) -> Column:
     return base.endswith(".txt") & (F.contains(F.upper(file_name), F.lit("README")) | marked)
 
 
-def register_documents(files: DataFrame, block_counts: DataFrame | None = None,
-                       max_sheet_blocks: int | None = 2000) -> DataFrame:
+def first_bytes(text: Column, n: int = 2048) -> Column:
+    """Text of the first bytes of a text in UTF-8; a character cut in two is no marker's."""
+    return F.substring(text.cast("binary"), 1, n).cast("string")
+
+
+def register_documents(files: DataFrame) -> DataFrame:
     """Documents with role and skip flag.
 
-    ``files(doc_id, file_name, head, status, document_set_id)`` where ``head`` is the text of
-    the first 2 048 bytes; ``block_counts(doc_id, block_count)`` enables the large-sheet rule.
+    ``files(doc_id, file_name, head, status, document_set_id)`` where ``head`` is the text of the first 2 048 bytes.
+    Only instruction texts are skipped, whatever the size of a document.
     """
-    kind = F.lower(F.substring_index("file_name", ".", -1))
-    out = files.withColumn("doc_type", kind)
     prompt = is_instruction(F.col("file_name"), F.coalesce("head", F.lit("")))
-    skip = prompt
-    if block_counts is not None:
-        out = out.join(block_counts, "doc_id", "left")
-        if max_sheet_blocks is not None:
-            large = F.col("doc_type").isin(*SPREADSHEETS) & (
-                F.coalesce("block_count", F.lit(0)) > max_sheet_blocks
-            )
-            skip = skip | large
     role = F.when(prompt, "prompt_instruction").otherwise("source_document")
-    return out.withColumn("document_role", role).withColumn("skip_extraction", skip).drop("head")
+    return files.withColumn("doc_type", F.lower(F.substring_index("file_name", ".", -1))).withColumn(
+        "document_role", role).withColumn("skip_extraction", prompt).drop("head")
 
 
 def replace_blocks(store: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.operators.common import top_per_group
 from factloom.plans import fixtures as fx
 from factloom.plans.facts import SQL_TEXT_FACTS
 from factloom.plans.registry import query
@@ -123,13 +124,15 @@ def scan_docx_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sentence_store(spark: SparkSession, folder: str) -> str:
-    """The order sentences written as files, streamed in, ingested; returns the store."""
+    """The order sentences streamed in and ingested; every third arrives twice, first with other numbers. Returns the store."""
     base = scratch_path(spark, "ingest")
     docs = fx.customer_text(spark, folder).select("doc_id", "text", "file_name")
-    docs.repartition(4, "doc_id").write.parquet(f"{base}/inbox")
-    arriving = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/inbox")
-    stream = ingest.ingest_stream(arriving, f"{base}/store", f"{base}/offsets", ingest.text_pipeline(fx.VOCAB))
-    stream.awaitTermination()
+    early = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    wrong = docs.where(early).withColumn("text", F.regexp_replace("text", "total price of ", "total price of 9"))
+    for arriving in (wrong, docs):
+        arriving.write.mode("append").parquet(f"{base}/inbox")
+        stream = spark.readStream.schema(docs.schema).parquet(f"{base}/inbox")
+        ingest.ingest_stream(stream, f"{base}/store", f"{base}/offsets", ingest.text_pipeline(fx.VOCAB)).awaitTermination()
     return f"{base}/store"
 
 
@@ -142,4 +145,6 @@ def incremental_ingest(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("ingest_progress", f"""WITH {fx.SQL_CUSTOMER_TEXT} SELECT doc_id, 'parsed' AS status, 1 AS block_count, 2 AS fact_count FROM sentences""")
 def ingest_progress(spark: SparkSession, folder: str) -> DataFrame:
-    return ingest.progress_table(spark, sentence_store(spark, folder)).select("doc_id", "status", "block_count", "fact_count")
+    """The latest arrival of each document."""
+    arrivals = ingest.progress_table(spark, sentence_store(spark, folder))
+    return top_per_group(arrivals, ["doc_id"], [F.desc("batch_id")]).select("doc_id", "status", "block_count", "fact_count")

@@ -119,12 +119,12 @@ def source_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("document_registry", f"""WITH {fx.SQL_DOCUMENTS}, b AS (SELECT *, doc_type = 'txt' AND (contains(upper(file_name), 'README')
-   OR contains(lower(substr(text, 1, 2048)), 'prompt')) AS p FROM docs)
+   OR (contains(lower(text), 'prompt') AND octet_length(encode(substr(text, 1, strpos(lower(text), 'prompt') + 5))) <= 2048)) AS p FROM docs)
 SELECT doc_id, file_name, doc_type, status, CASE WHEN p THEN 'prompt_instruction' ELSE 'source_document' END AS document_role,
- p OR (doc_type = 'xlsx') AS skip_extraction FROM b""")
+ p AS skip_extraction FROM b""")
 def document_registry(spark: SparkSession, folder: str) -> DataFrame:
     files = fx.documents(spark, folder).select(
-        "doc_id", "file_name", F.left("text", F.lit(2048)).alias("head"), "status", "document_set_id")
+        "doc_id", "file_name", store.first_bytes(F.col("text")).alias("head"), "status", "document_set_id")
     return store.register_documents(files).select(
         "doc_id", "file_name", "doc_type", "status", "document_role", "skip_extraction")
 

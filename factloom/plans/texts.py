@@ -271,16 +271,22 @@ def entity_mention_large_gazetteer(spark: SparkSession, folder: str) -> DataFram
 # --- sequences ---------------------------------------------------------------------------
 
 
-@query("section_path_carry", """WITH l AS (SELECT o_custkey, o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 1 WHEN '2-HIGH' THEN 2 WHEN '3-MEDIUM' THEN 3 END AS lv FROM orders),
-h AS (SELECT *, max(CASE WHEN lv = 1 THEN o_orderkey END) OVER w AS a, max(CASE WHEN lv = 2 THEN o_orderkey END) OVER w AS b,
-  max(CASE WHEN lv = 3 THEN o_orderkey END) OVER w AS c FROM l
+SQL_LEVELS = range(1, 7)
+SQL_SECTION_PATHS = f"""WITH l AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 9 BETWEEN 1 AND 6 THEN o_orderkey % 9 END AS lv FROM orders),
+h AS (SELECT *, {", ".join(f"max(CASE WHEN lv = {n} THEN o_orderkey END) OVER w AS h{n}" for n in SQL_LEVELS)} FROM l
   WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT o_orderkey, array_to_string(list_filter([CAST(a AS VARCHAR), CASE WHEN b > coalesce(a, -1) THEN CAST(b AS VARCHAR) END,
-  CASE WHEN c > coalesce(a, -1) AND c > coalesce(b, -1) THEN CAST(c AS VARCHAR) END], lambda x: x IS NOT NULL), '/') AS path FROM h""")
+SELECT o_orderkey, array_to_string(list_filter([{", ".join(
+    "CASE WHEN " + " AND ".join([f"h{n} IS NOT NULL", *(f"h{n} > coalesce(h{up}, -1)" for up in range(1, n))]) + f" THEN CAST(h{n} AS VARCHAR) END"
+    for n in SQL_LEVELS)}], lambda x: x IS NOT NULL), '/') AS path FROM h"""
+
+
+@query("section_path_carry", SQL_SECTION_PATHS)
 def section_path_carry(spark: SparkSession, folder: str) -> DataFrame:
-    level = fx.case_of(F.col("o_orderpriority"), (("1-URGENT", 1), ("2-HIGH", 2), ("3-MEDIUM", 3)), None)
+    """Six heading levels."""
+    place = F.col("o_orderkey") % 9
+    level = F.when(place.between(1, 6), place)
     rows = spread(fx.table(spark, folder, "orders")).select("o_custkey", "o_orderkey", level.alias("lv"), F.col("o_orderkey").cast("string").alias("t"))
-    out = sequence.with_section_path(rows, "o_custkey", "o_orderkey", "lv", "t", 3)
+    out = sequence.with_section_path(rows, "o_custkey", "o_orderkey", "lv", "t")
     return out.select("o_orderkey", F.array_join("section_path", "/").alias("path"))
 
 

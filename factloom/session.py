@@ -20,6 +20,7 @@ def local_session(cores: str = "8", app: str = "factloom", partitions: int = 8)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("factloom.scan.partitions", cores if cores.isdigit() else "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -27,35 +28,47 @@ def local_session(cores: str = "8", app: str = "factloom", partitions: int = 8)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None
-    )
-    if configured:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
-    made = tempfile.mkdtemp(prefix="spark-factloom-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only in a local session where it is unset."""
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    if not configured:
+        configured = context.getCheckpointDir()
+    if not configured:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        configured = tempfile.mkdtemp(prefix="spark-factloom-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(configured)
+    return configured
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """Folder of this application's scratch tables inside the shared folder."""
+    return f"{shared_dir(spark)}/factloom-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder; Spark makes the folder when it first writes there."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    return f"{scratch_root(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """A table scan in at least as many tasks as there are cores.
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables; call it when none of its results is read any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
-    A few small files are read as one split, which leaves text work to one core. Scans that
-    already have enough splits, as all large ones do, come back unchanged and unshuffled.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+def materialised(df: DataFrame, what: str) -> DataFrame:
+    """The table written once under the shared folder and read back, so that later uses do not compute it again."""
+    path = scratch_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A table scan dealt to ``factloom.scan.partitions`` tasks where that is set, as in local sessions; else as it is."""
+    wanted = scan.sparkSession.conf.get("factloom.scan.partitions", None)
+    return scan.repartition(int(wanted)) if wanted else scan
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -55,9 +55,14 @@ def explode_blocks(docs: DataFrame, doc_id: str, items: Column, keep: tuple[str,
 def text_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 keep: tuple[str, ...] = ()) -> DataFrame:
     """Plain text to heading and paragraph blocks; a heading resets the section path."""
+    return explode_blocks(docs, doc_id, text_items(F.col(text)), keep)
+
+
+def text_items(text: Column) -> Column:
+    """Array of the blocks of a plain text."""
     marked = F.array_join(
         F.transform(
-            lines(F.coalesce(F.col(text), F.lit(""))),
+            lines(F.coalesce(text, F.lit(""))),
             lambda x: F.when(
                 x.rlike(TEXT_HEADING),
                 F.concat(F.lit(MARK_A), F.regexp_extract(x, TEXT_HEADING, 1), F.lit(MARK_B)),
@@ -74,8 +79,7 @@ def text_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         paras = F.transform(paragraphs(body), lambda p: block_item("paragraph", p, path))
         return F.when(i > 0, F.concat(head, paras)).otherwise(paras)
 
-    items = F.flatten(F.transform(F.split(marked, MARK_A), section))
-    return explode_blocks(docs, doc_id, items, keep)
+    return F.flatten(F.transform(F.split(marked, MARK_A), section))
 
 
 def section_paths(levels_titles: Column) -> Column:
@@ -104,7 +108,13 @@ def fit(cells: Column, headers: Column) -> Column:
 def markdown_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     keep: tuple[str, ...] = ()) -> DataFrame:
     """Markdown to heading, paragraph and table_row blocks."""
-    all_lines = lines(F.coalesce(F.col(text), F.lit("")))
+    staged, items = markdown_items(docs, F.col(text))
+    return explode_blocks(staged, doc_id, items, keep)
+
+
+def markdown_items(docs: DataFrame, text: Column) -> tuple[DataFrame, Column]:
+    """The documents with helper columns, and the array of the blocks of a Markdown text over them."""
+    all_lines = lines(F.coalesce(text, F.lit("")))
     is_table = lambda x: x.startswith("|") & x.endswith("|")
 
     def mark(arr: Column) -> Column:
@@ -120,12 +130,12 @@ def markdown_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # The lines and marked texts are materialised once per document, before they are reused.
     staged = docs.withColumn("_lines", all_lines)
-    staged = staged.withColumn("_sections", F.split(mark(F.col("_lines")), MARK_A))
+    staged = staged.withColumn("_md_sections", F.split(mark(F.col("_lines")), MARK_A))
     headings = F.transform(
-        F.slice(F.col("_sections"), F.lit(2), F.greatest(F.size("_sections") - 1, F.lit(0))),
+        F.slice(F.col("_md_sections"), F.lit(2), F.greatest(F.size("_md_sections") - 1, F.lit(0))),
         lambda s: record(level=F.length(F.substring_index(s, MARK_B, 1)), title=F.get(F.split(s, MARK_B), F.lit(1))),
     )
-    staged = staged.withColumn("_paths", section_paths(headings))
+    staged = staged.withColumn("_md_paths", section_paths(headings))
 
     def table_items(piece: Column, path: Column) -> Column:
         rows = F.filter(F.split(piece, "\n"), lambda r: r != "")
@@ -137,7 +147,7 @@ def markdown_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         )
 
     def section(part: Column, i: Column) -> Column:
-        path = F.when(i == 0, F.array().cast(NO_TEXTS)).otherwise(F.get(F.col("_paths"), i - 1))
+        path = F.when(i == 0, F.array().cast(NO_TEXTS)).otherwise(F.get(F.col("_md_paths"), i - 1))
         fields = F.split(part, MARK_B, 3)
         body = F.when(i == 0, part).otherwise(F.get(fields, F.lit(2)))
         pieces = F.flatten(
@@ -151,8 +161,7 @@ def markdown_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         head = F.array(block_item("heading", F.get(fields, F.lit(1)), path))
         return F.when(i == 0, pieces).otherwise(F.concat(head, pieces))
 
-    items = F.flatten(F.transform(F.col("_sections"), section))
-    return explode_blocks(staged, doc_id, items, keep)
+    return staged, F.flatten(F.transform(F.col("_md_sections"), section))
 
 
 def rows_to_blocks(df: DataFrame, doc_id: str, sheet: str, columns, index: Column | str,

@@ -1,9 +1,11 @@
 """Incremental ingest: files arrive, become blocks and facts, and join the elected store.
 
-The store is append-only per micro-batch: ``blocks/``, ``facts/``, ``winners/`` and
-``progress/``, each with one ``batch_id=N`` folder that a retried batch overwrites. Winners
-are partial elections; since the winner of winners is the winner, the current canonical
-facts are a merge of the partial ones and no old file is ever rewritten.
+The store is append-only per micro-batch: ``blocks/``, ``facts/``, ``winners/``, ``progress/`` and ``reviews/``, each with one
+``batch_id=N`` folder that a retried batch overwrites. A document counts in its latest batch only, so one that arrives again
+replaces what it said before, and a deleted one is a batch without content. Winners are partial elections of one batch each.
+The current winners are a merge of the partial ones; only groups that lost a partial winner to a later batch, a review or a
+deletion are elected anew, and nothing old is rewritten. ``compact_winners`` folds the partial elections into one table that the
+next reads start from.
 """
 
 from __future__ import annotations
@@ -17,8 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from factloom.operators.canonical import GROUP, conflict_group_id, group_winners, merge_winners
-from factloom.operators.common import top_per_group
+from factloom.operators.canonical import GROUP, apply_latest_reviews, conflict_group_id, group_winners, merge_winners
 from factloom.operators.extraction import extract_facts
 from factloom.operators.store import is_instruction
 from factloom.sources.blocks import text_blocks
@@ -39,7 +40,7 @@ class Pipeline:
 
 
 def text_pipeline(vocab: Vocabulary) -> Pipeline:
-    """For documents (doc_id, text, file_name)."""
+    """For documents (doc_id, text, file_name), an id at most once per batch."""
 
     def blocks(docs: DataFrame) -> DataFrame:
         good = text_blocks(docs.where("text is not null"), keep=("file_name",))
@@ -53,25 +54,17 @@ def text_pipeline(vocab: Vocabulary) -> Pipeline:
     )
 
 
-def file_pipeline(vocab: Vocabulary, max_sheet_blocks: int | None = None) -> Pipeline:
-    """For files (path, content), as ``sources.office.arriving_files`` delivers them.
+def file_pipeline(vocab: Vocabulary) -> Pipeline:
+    """For files (path, content), as ``sources.office.arriving_files`` delivers them; the path is the document id.
 
-    Instruction texts are stored but not extracted from, and neither are spreadsheets with
-    more than ``max_sheet_blocks`` blocks where that is set.
+    Instruction texts, told by their name or their first 2 048 bytes, are stored but not extracted from.
     """
 
     def facts(blocks: DataFrame) -> DataFrame:
-        heads = top_per_group(
-            blocks.where(F.lower("file_name").endswith(".txt")), ["doc_id"], [F.asc("page_or_index")], 20
-        ).groupBy("doc_id", "file_name").agg(F.array_join(F.collect_list("text"), "\n").alias("head"))
-        skip = heads.where(is_instruction(F.col("file_name"), F.left("head", F.lit(2048)))).select("doc_id")
-        if max_sheet_blocks is not None:
-            sheets = blocks.where(F.lower("file_name").rlike("[.](xlsx|xls|csv)$")).groupBy("doc_id").count()
-            skip = skip.unionByName(sheets.where(F.col("count") > max_sheet_blocks).select("doc_id"))
-        return extract_facts(blocks.join(skip, "doc_id", "left_anti"), vocab)
+        told = is_instruction(F.col("file_name"), F.coalesce("head", F.lit("")))
+        return extract_facts(blocks.where(~told), vocab)
 
-    name = lambda: F.substring_index("path", "/", -1).alias("doc_id")
-    return Pipeline(lambda files: files.select(name()), file_blocks, facts)
+    return Pipeline(lambda files: files.select(F.col("path").alias("doc_id")), file_blocks, facts)
 
 
 def _part(store: str, table: str, batch_id: int) -> str:
@@ -118,30 +111,111 @@ def ingest_stream(docs: DataFrame, store: str, checkpoint: str, pipeline: Pipeli
     return writer.start()
 
 
+def write_reviews(reviews: DataFrame, batch_id: int, store: str) -> None:
+    """Reviews ``(fact_id, status, reviewer, note, reviewed_at)`` as a batch of their own; they hold for facts stored up to it."""
+    reviews.select("fact_id", "status", "reviewer", "note", "reviewed_at").write.mode("overwrite").parquet(_part(store, "reviews", batch_id))
+
+
+def write_deletions(ids: DataFrame, batch_id: int, store: str) -> None:
+    """Documents ``(doc_id)`` that are gone from this batch on."""
+    ids.select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.lit("deleted").alias("status"), F.lit(0).cast("long").alias("block_count"),
+        F.lit(0).cast("long").alias("fact_count"), F.lit(datetime.now(timezone.utc).isoformat()).alias("started_at"),
+        F.lit(0.0).alias("batch_seconds"),
+    ).distinct().write.mode("overwrite").parquet(_part(store, "progress", batch_id))
+
+
+def next_batch(spark: SparkSession, store: str) -> int:
+    """Number for a batch of reviews or deletions after all that the store holds."""
+    last = -1
+    for table in ("progress", "reviews"):
+        if _there(spark, f"{store}/{table}"):
+            last = max(last, spark.read.parquet(f"{store}/{table}").agg(F.max("batch_id").alias("n")).first()["n"] or 0)
+    return last + 1
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _latest(spark: SparkSession, store: str) -> DataFrame:
+    """The batch in which each document counts."""
+    return spark.read.parquet(f"{store}/progress").groupBy(F.col("doc_id").alias("l_doc")).agg(F.max("batch_id").alias("l_batch"))
+
+
+def _counting(rows: DataFrame, latest: DataFrame, how: str, doc: str = "source_doc_id") -> DataFrame:
+    return rows.join(latest, (F.col(doc) == F.col("l_doc")) & (F.col("batch_id") == F.col("l_batch")), how)
+
+
+def _reviews(spark: SparkSession, store: str) -> DataFrame | None:
+    return spark.read.parquet(f"{store}/reviews") if _there(spark, f"{store}/reviews") else None
+
+
+def current_blocks(spark: SparkSession, store: str) -> DataFrame:
+    """Blocks of every document as it last arrived."""
+    return _counting(spark.read.parquet(f"{store}/blocks").where("error is null"), _latest(spark, store), "leftsemi", "doc_id")
+
+
 def stored_facts(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.parquet(f"{store}/facts")
+    """Facts of every document as it last arrived, with their latest review."""
+    facts = _counting(spark.read.parquet(f"{store}/facts"), _latest(spark, store), "leftsemi")
+    reviews = _reviews(spark, store)
+    return facts if reviews is None else apply_latest_reviews(facts, _held(facts, reviews))
+
+
+def _held(facts: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Reviews of facts as they are now: a fact that arrived again after its review is unreviewed."""
+    now = facts.select(F.col("fact_id").alias("f_id"), F.col("batch_id").alias("f_batch"))
+    return reviews.join(now, (F.col("fact_id") == F.col("f_id")) & (F.col("batch_id") >= F.col("f_batch")), "leftsemi")
 
 
 def current_winners(spark: SparkSession, store: str) -> DataFrame:
-    """Elected fact per conflict group over all batches so far."""
-    return merge_winners(spark.read.parquet(f"{store}/winners").drop("batch_id"))
+    """Elected fact per conflict group over all batches so far, with the batch of the fact."""
+    partial = spark.read.parquet(f"{store}/winners")
+    if _there(spark, f"{store}/compacted"):
+        done = spark.read.parquet(f"{store}/compacted")
+        upto = done.agg(F.max("upto").alias("n")).first()["n"]
+        partial = partial.where(F.col("batch_id") > upto).unionByName(done.where(F.col("upto") == upto).drop("upto"))
+    latest = _latest(spark, store)
+    valid = _counting(partial, latest, "leftsemi")
+    facts = stored_facts(spark, store)
+    open_groups = _counting(partial, latest, "leftanti").select(*GROUP)
+    reviews = _reviews(spark, store)
+    if reviews is not None:
+        reviewed = reviews.select(F.col("fact_id").alias("r_id")).distinct()
+        open_groups = open_groups.unionByName(facts.join(reviewed, F.col("fact_id") == F.col("r_id"), "leftsemi").select(*GROUP))
+        valid = _in_groups(valid, open_groups, "leftanti")
+    again = _in_groups(facts, open_groups, "leftsemi")
+    return merge_winners(valid.select(*group_winners_columns()).unionByName(group_winners(again, ("batch_id",)).select(*group_winners_columns())))
+
+
+def _in_groups(rows: DataFrame, groups: DataFrame, how: str) -> DataFrame:
+    named = groups.select(*[F.col(c).alias(f"g_{c}") for c in GROUP]).distinct()
+    same = F.lit(True)
+    for c in GROUP:
+        same = same & F.col(c).eqNullSafe(F.col(f"g_{c}"))
+    return rows.join(named, same, how)
+
+
+def group_winners_columns() -> list[str]:
+    return [*GROUP, "confidence", "has_number", "source_doc_id", "fact_id", "batch_id"]
 
 
 def canonical_store(spark: SparkSession, store: str) -> DataFrame:
-    """Stored facts with their current canonical flag."""
+    """Current facts with their canonical flag."""
     won = current_winners(spark, store).select("fact_id", F.lit(True).alias("_won"))
     return (
         stored_facts(spark, store).join(won, "fact_id", "left")
         .withColumn("conflict_group_id", conflict_group_id())
-        .withColumn("is_canonical", F.coalesce("_won", F.lit(False))).drop("_won")
+        .withColumn("is_canonical", F.coalesce("_won", F.lit(False))).drop("_won", "batch_id")
     )
 
 
-def compact_winners(spark: SparkSession, store: str, into: str) -> None:
-    """Merge the partial elections into one table (kept beside the store)."""
-    current_winners(spark, store).select(
-        *GROUP, "confidence", "has_number", "source_doc_id", "fact_id"
-    ).write.mode("overwrite").parquet(into)
+def compact_winners(spark: SparkSession, store: str) -> None:
+    """Fold the partial elections up to now into one table; later reads start from it."""
+    upto = spark.read.parquet(f"{store}/winners").agg(F.max("batch_id").alias("n")).first()["n"]
+    current_winners(spark, store).select(*group_winners_columns()).write.mode("overwrite").parquet(f"{store}/compacted/upto={upto}")
 
 
 def progress_table(spark: SparkSession, store: str) -> DataFrame:

@@ -11,14 +11,16 @@ PROGRESS = "query_id string, batch_id bigint, at string, input_rows bigint, batc
 
 
 class ProgressLog(StreamingQueryListener):
-    """Keeps the latest ``size`` progress events for a small status table."""
+    """Keeps the progress events of this session as rows; ``size`` (None: all) keeps the latest ones only."""
 
-    def __init__(self, size: int = 1_000) -> None:
+    def __init__(self, size: int | None = None) -> None:
         self.size = size
         self.rows: list[tuple] = []
 
     def _add(self, row: tuple) -> None:
-        self.rows = (self.rows + [row])[-self.size:]
+        self.rows.append(row)
+        if self.size is not None:
+            del self.rows[:-self.size]
 
     def onQueryStarted(self, event) -> None:
         self._add((str(event.id), None, event.timestamp, None, None, "running", None))

@@ -90,10 +90,86 @@ def test_files_of_all_kinds_stream_in(spark, tmp_path):
     (inbox / "g.bin").write_bytes(b"?")
     files = office.arriving_files(spark, str(inbox), 4)
     store = str(tmp_path / "store")
-    ingest.ingest_stream(files, store, str(tmp_path / "offsets"), ingest.file_pipeline(VOCAB, 2000)).awaitTermination()
-    facts = {(r["source_doc_id"], r["entity_name"], r["field_name"], r["value_num"]) for r in ingest.canonical_store(spark, store).collect()}
+    ingest.ingest_stream(files, store, str(tmp_path / "offsets"), ingest.file_pipeline(VOCAB)).awaitTermination()
+    facts = {(r["source_doc_id"].rsplit("/", 1)[1], r["entity_name"], r["field_name"], r["value_num"]) for r in ingest.canonical_store(spark, store).collect()}
     assert facts == {("a.txt", "济南", "GDP总量", 3.0), ("c.md", "青岛", "GDP总量", 7.0), ("d.xlsx", "上海", "常住人口", 2487.0),
                      ("e.docx", "北京", "GDP总量", 40000.0)}
-    status = {r["doc_id"]: r["status"] for r in ingest.progress_table(spark, store).collect()}
+    status = {r["doc_id"].rsplit("/", 1)[1]: r["status"] for r in ingest.progress_table(spark, store).collect()}
     assert {k for k, v in status.items() if v == "failed"} == {"f.xlsx", "g.bin"}
     assert len(status) == 7
+
+
+SENTENCES = "doc_id string, text string, file_name string"
+
+
+def put(spark, store, batch, rows):
+    ingest.write_batch(spark.createDataFrame(rows, SENTENCES), batch, store, ingest.text_pipeline(VOCAB))
+
+
+def elected_values(spark, store):
+    return sorted((r["source_doc_id"], r["value_num"], r["is_canonical"]) for r in ingest.canonical_store(spark, store).collect())
+
+
+def test_a_document_that_comes_again_replaces_itself(spark, tmp_path):
+    store = str(tmp_path / "store")
+    put(spark, store, 0, [("1", "济南 GDP总量 10亿元", "a.txt")])
+    put(spark, store, 1, [("1", "济南 GDP总量 10亿元", "a.txt"), ("2", "济南 GDP总量 7亿元", "b.txt")])
+    put(spark, store, 2, [("1", "济南 GDP总量 99亿元", "a.txt")])
+    assert elected_values(spark, store) == [("1", 99.0, False), ("2", 7.0, True)]
+    ingest.compact_winners(spark, store)
+    assert elected_values(spark, store) == [("1", 99.0, False), ("2", 7.0, True)]
+    put(spark, store, 3, [("2", None, "b.txt")])  # the winner's document is gone: its group is elected anew
+    assert elected_values(spark, store) == [("1", 99.0, True)]
+    put(spark, store, 4, [("3", "济南 GDP总量 5亿元", "c.txt")])
+    ingest.compact_winners(spark, store)
+    assert elected_values(spark, store) == [("1", 99.0, False), ("3", 5.0, True)]
+
+
+def test_reviews_and_deletions_are_batches(spark, tmp_path):
+    store = str(tmp_path / "store")
+    put(spark, store, 0, [("1", "济南 GDP总量 10亿元", "a.txt"), ("2", "济南 GDP总量 7亿元", "b.txt")])
+    fact = {r["source_doc_id"]: r["fact_id"] for r in ingest.canonical_store(spark, store).collect()}
+    review = spark.createDataFrame([(fact["2"], "rejected", "x", None, "2024-01-01")], "fact_id string, status string, reviewer string, note string, reviewed_at string")
+    assert ingest.next_batch(spark, store) == 1
+    ingest.write_reviews(review, 1, store)
+    assert elected_values(spark, store) == [("1", 10.0, True), ("2", 7.0, False)]
+    put(spark, store, 2, [("2", "济南 GDP总量 8亿元", "b.txt")])  # arrived again: unreviewed
+    assert elected_values(spark, store) == [("1", 10.0, False), ("2", 8.0, True)]
+    ingest.write_deletions(spark.createDataFrame([("2",)], "doc_id string"), ingest.next_batch(spark, store), store)
+    assert elected_values(spark, store) == [("1", 10.0, True)]
+    assert [r["doc_id"] for r in ingest.current_blocks(spark, store).collect()] == ["1"]
+
+
+def test_equal_base_names_and_one_read_per_file(spark, tmp_path):
+    for folder, value in (("x", 3), ("y", 4)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.txt").write_text(f"济南 GDP总量 {value}亿元")
+    blocks = office.file_blocks(office.binary_files(spark, f"{tmp_path}/*/*.txt"))
+    rows = blocks.collect()
+    assert len({r["doc_id"] for r in rows}) == len({r["block_id"] for r in rows}) == 2 and {r["file_name"] for r in rows} == {"a.txt"}
+    assert blocks._jdf.queryExecution().executedPlan().toString().count("FileScan binaryFile") == 1
+
+
+def test_instruction_marker_counts_in_bytes(spark, tmp_path):
+    (tmp_path / "near.txt").write_text("济" * 600 + " 提示词 GDP总量 3亿元")
+    (tmp_path / "far.txt").write_text("济" * 1000 + " 提示词 济南 GDP总量 3亿元")
+    files = office.binary_files(spark, f"{tmp_path}/*.txt")
+    facts = ingest.file_pipeline(VOCAB).to_facts(office.file_blocks(files).where("error is null"))
+    assert {r["source_doc_id"].rsplit("/", 1)[1] for r in facts.collect()} == {"far.txt"}
+
+
+def test_shared_strings_references_and_wide_columns(spark, tmp_path):
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    sheet = (f'<x:worksheet xmlns:x="{main}"><x:sheetData><x:row r="1"><x:c r="A1" t="s"><x:v>0</x:v></x:c><x:c r="AB1" t="s"><x:v>1</x:v></x:c></x:row>'
+             '<x:row r="3"><x:c r="A3"/><x:c r="AB3"><x:v>4.5</x:v></x:c></x:row></x:sheetData></x:worksheet>')
+    from factloom.plans.arrivals import archive
+    parts = {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="u"><sheets><sheet name="A &amp; B" sheetId="1" r:id="q"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="q" Target="/xl/worksheets/one.xml"/></Relationships>',
+        "xl/sharedStrings.xml": "<sst><si><t>c&#233;</t></si><si><r><t>G</t></r><r><t xml:space='preserve'>DP &lt;1&gt;</t></r></si></sst>",
+        "xl/worksheets/one.xml": sheet,
+    }
+    (tmp_path / "a.xlsx").write_bytes(archive(parts))
+    (row,) = office.xlsx_rows(office.binary_files(spark, f"{tmp_path}/*.xlsx"), "name").collect()
+    assert row["section_path"] == ["A & B"] and row["row_index"] == 3
+    assert row["headers"][0] == "cé" and row["headers"][27] == "GDP <1>" and row["cells"][27] == "4.5" and row["cells"][0] == ""

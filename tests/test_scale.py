@@ -11,11 +11,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from factloom.operators import common, matching, sequence
+from factloom.plans import catalog
 from factloom.session import TooLarge, take_bounded
 
-QUERIES = entry.queries()
+QUERIES = catalog.QUERIES
 
 
 def plan_of(df) -> str:
