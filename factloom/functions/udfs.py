@@ -1,68 +1,58 @@
-"""The same rules callable from SQL."""
+"""The same rules callable from SQL: native SQL functions, no Python in the plan."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
 from factloom.functions import fixed_values as fv
+from factloom.functions.text import LINE_BREAK
+from factloom.sources.blocks import TEXT_HEADING
 
 
-def _number_near(text: str, keyword: str, target: str, units: list[str]) -> float | None:
-    scale = fv.UNIT_MAGNITUDE.get(target, 1.0)
-    for unit in units:
-        tail = re.escape(unit) if unit else r"(?![一-鿿\d])"
-        number = r"([\d,]+\.?\d*)\s*" + tail
-        for pattern in (rf"{keyword}[^\d]{{0,12}}{number}", rf"{number}[^。；\n]{{0,12}}?{keyword}"):
-            m = re.search(pattern, text)
-            digits = m.group(1).replace(",", "") if m else ""
-            if digits.strip("."):
-                return float(digits) * fv.UNIT_MAGNITUDE.get(unit, 1.0) / scale
-    return None
+def _literal(text: str) -> str:
+    """A raw SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def find_num_batch(text: pd.Series, keyword: pd.Series, target: pd.Series, alternatives: pd.Series) -> pd.Series:
-    """``find_num(text, keyword, target, 'alt1,alt2')`` for keywords that differ per row.
+def find_num_sql() -> str:
+    """``find_num(text, keyword, target, 'alt1,alt2')``: number next to a keyword (a regex), scaled to the target unit.
 
-    With one keyword for the whole column use ``functions.numbers.find_num``, which stays native.
+    The target is tried first, then the alternatives, then no unit; after the keyword before in front of it.
     """
-    def one(t, k, u, a):
-        if not t or not k:
-            return None
-        units = list(dict.fromkeys([x for x in (u or "", *(a or "").split(",")) if x] + [""]))
-        return _number_near(t, k, u or "", units)
-
-    return pd.Series([one(*row) for row in zip(text, keyword, target, alternatives)], dtype="float64")
-
-
-class TextBlocks:
+    sizes = ", ".join(f"{_literal(u)}, {float(m)!r}D" for u, m in fv.UNIT_MAGNITUDE.items())
+    size = lambda unit: f"coalesce(try_element_at(map({sizes}), {unit}), 1.0D)"
+    number, gap = _literal(r"([\d,]+\.?\d*)(?U:\s*)"), _literal(r"[^\d]{0,12}")
+    tail = f"if(u = '', {_literal(r'(?![\u4e00-\u9fff\d])')}, concat({_literal(chr(92) + 'Q')}, u, {_literal(chr(92) + 'E')}))"
+    digits = "translate(text, '０１２３４５６７８９', '0123456789')"
+    found = lambda pattern: (
+        f"try_cast(replace(nullif(regexp_extract({digits}, {pattern}, 1), ''), ',', '') AS DOUBLE) * {size('u')} / {size('coalesce(target, ' + _literal('') + ')')}")
+    after = found(f"concat(keyword, {gap}, {number}, {tail})")
+    before = found(f"concat({number}, {tail}, {_literal('[^。；' + chr(92) + 'n]{0,12}?')}, keyword)")
+    units = "array_distinct(concat(filter(concat(array(coalesce(target, '')), split(coalesce(alternatives, ''), ',')), u -> u <> ''), array('')))"
+    return (
+        "CREATE OR REPLACE TEMPORARY FUNCTION find_num(text STRING, keyword STRING, target STRING, alternatives STRING) RETURNS DOUBLE "
+        f"RETURN get(filter(flatten(transform({units}, u -> array({after}, {before}))), v -> v IS NOT NULL), 0)")
+
+
+def text_blocks_sql() -> str:
     """``LATERAL text_blocks(text)``: one document row to its block rows."""
-
-    HEADING = re.compile(r"(?:[一二三四五六七八九十]+[、.．]|\d{1,2}(?:\.\d{1,2}){0,2}[、.．])\s*(\S.*)")
-
-    def eval(self, text: str):
-        index, section, run = 0, None, []
-        for line in [*(text or "").splitlines(), ""]:
-            line = line.strip()
-            head = self.HEADING.fullmatch(line)
-            if run and (head or not line):
-                index += 1
-                yield index, "paragraph", " ".join(run), section
-                run = []
-            if head:
-                section = head.group(1)
-                index += 1
-                yield index, "heading", section, section
-            elif line:
-                run.append(line)
+    strip = lambda c: f"regexp_replace({c}, {_literal('(?U)^[' + chr(92) + 's\u001c-\u001f]+|[' + chr(92) + 's\u001c-\u001f]+$')}, '')"
+    heading = _literal(TEXT_HEADING)
+    lines = f"transform(split(coalesce(text, ''), {_literal(LINE_BREAK)}), x -> {strip('x')})"
+    marked = f"array_join(transform({lines}, x -> if(x rlike {heading}, concat('\u001d', regexp_extract(x, {heading}, 1), '\u001e'), x)), '\\n')"
+    paragraphs = ("filter(transform(split(if(i = 0, part, substring_index(part, '\u001e', -1)), '\\n{2,}'), "
+                  "p -> replace(regexp_replace(p, '^\\n|\\n$', ''), '\\n', ' ')), p -> p <> '')")
+    title = "if(i = 0, CAST(NULL AS STRING), substring_index(part, '\u001e', 1))"
+    items = (f"flatten(transform(split({marked}, '\u001d'), (part, i) -> concat("
+             f"if(i = 0, array(), array(named_struct('kind', 'heading', 'body', {title}, 'section', {title}))), "
+             f"transform({paragraphs}, p -> named_struct('kind', 'paragraph', 'body', p, 'section', {title})))))")
+    return (
+        "CREATE OR REPLACE TEMPORARY FUNCTION text_blocks(text STRING) "
+        "RETURNS TABLE (block_index INT, block_type STRING, text STRING, section STRING) "
+        f"RETURN SELECT pos + 1, b.kind, b.body, b.section FROM (SELECT posexplode({items}) AS (pos, b))")
 
 
 def register(spark: SparkSession) -> None:
     """Make ``find_num`` and ``text_blocks`` callable from SQL in this session."""
-    spark.udf.register("find_num", F.pandas_udf(find_num_batch, "double"))
-    schema = "block_index int, block_type string, text string, section string"
-    spark.udtf.register("text_blocks", udtf(TextBlocks, returnType=schema))
+    spark.sql(find_num_sql())
+    spark.sql(text_blocks_sql())

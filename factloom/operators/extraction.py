@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from factloom.functions import dates, numbers, text
 from factloom.functions import fixed_values as fv
 from factloom.functions.text import record, strings, strip
-from factloom.operators.common import top_per_group
+from factloom.operators.common import numbered, top_per_group
 from factloom.session import checkpointed, take_bounded
 from factloom.sources.blocks import row_entries
 from factloom.sources.vocabulary import Vocabulary
@@ -201,11 +201,33 @@ def extract_table_facts(blocks: DataFrame, vocab: Vocabulary, file_name: str = "
         F.lit("confirmed").alias("status"),
         F.when(F.col("_date").isNotNull(), F.create_map(F.lit("date"), F.col("_date")))
         .otherwise(F.create_map().cast("map<string,string>")).alias("metadata"),
-        F.col("pos").cast("long").alias("pos"),
+        place_in_document(F.coalesce("page_or_index", F.lit(0)), F.col("pos")).alias("pos"),
     )
     return facts
 
 
+def place_in_document(index: Column, column: Column) -> Column:
+    """Place of a fact in its document: block index, then column (or number of the span) in the block."""
+    return F.shiftleft(index.cast("long"), 20) + column.cast("long")
+
+
+def running_positions(facts: DataFrame, order: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+    """Facts with ``pos`` as a gap-free running number over all documents: the order in which facts first appear.
+
+    ``order(doc_id, doc_pos)`` gives the order of the documents (default: by id; documents without a place come last).
+    Inside a document facts follow block index and column. Numbered by ranges, so no document is one task.
+    """
+    n = partitions or int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = facts.withColumnRenamed("pos", "_place")
+    if order is None:
+        rows = rows.withColumn("_doc", F.lit(0).cast("long"))
+    else:
+        named = order.select(F.col("doc_id").alias("_id"), F.col("doc_pos").cast("long").alias("_doc"))
+        rows = rows.join(named, F.col("source_doc_id") == F.col("_id"), "left").drop("_id")
+        rows = rows.withColumn("_doc", F.coalesce("_doc", F.lit(1 << 62)))
+    return numbered(rows, [], ["_doc", "source_doc_id", "_place", "fact_id"], "pos", n).drop("_doc", "_place")
+
+
 def dedupe_facts(facts: DataFrame) -> DataFrame:
     """One fact per (entity, field, text value, block): highest confidence, first wins ties."""
     keys = ["entity_name", "field_name", "value_text", "source_block_id"]
@@ -218,47 +240,68 @@ DAY_TEXT = "((?:19|20)\\d{2}[年/-]\\d{1,2}[月/-]\\d{1,2}日?)"
 
 # --- running text ----------------------------------------------------------------------
 
-SPAN = "array<struct<start:int,end:int,field:string,alias:string>>"
+# What an alias stands for (fixed values): a number, a party name after it, or a day after it.
+NUMBER, PARTY, DAY = "number", "party", "day"
+AROUND = 8  # characters on both sides in which a longer alias of another field hides a match
+ALIASES = ("map<string,array<struct<n:int,ord:int,field:string,unit:string,kind:string,required:boolean,longer:array<string>>>>")
 
 
-def alias_spans(vocab: Vocabulary) -> Callable:
-    """Pandas UDF: accepted alias occurrences of a text as (start, end, field, alias).
+def alias_table(vocab: Vocabulary) -> Column:
+    """Longest alias that can stand at a place → all aliases that then stand there, as one literal.
 
-    Longest alias first, no overlap with an accepted one, and not inside a longer name of
-    another field. This bookkeeping is the only part of text extraction done in Python.
+    These are its beginnings that are aliases themselves, each with its field and the longer aliases of other fields
+    that contain it. Keys are lower case.
     """
-    ordered = sorted(
-        ((alias, name) for alias, _, name, _ in vocab.alias_rows), key=lambda p: -len(p[0])
-    )
-    patterns = [(re.compile(re.escape(alias), re.IGNORECASE), name) for alias, name in ordered]
-    lowered = [(alias.lower(), name) for alias, name in ordered]
-
-    def longer_field(body: str, start: int, end: int, name: str) -> bool:
-        around = body[max(0, start - 8): end + 8].lower()
-        hit = body[start:end].lower()
-        return any(
-            other != name and len(alias) > len(hit) and hit in alias and alias in around
-            for alias, other in lowered
-        )
+    fields = {f.name: f for f in vocab.fields}
+    rows = [(alias.lower(), name, ord_) for ord_, (alias, _, name, _) in enumerate(vocab.alias_rows)]
+    known = sorted({alias for alias, *_ in rows})
+    standing = {alias: {"n": len(alias), "longer": {}} for alias in known}
+    for alias in known:
+        standing[alias]["longer"] = [(o, name) for o, name, _ in rows if len(o) > len(alias) and alias in o]
 
-    def spans(body: str | None) -> list[tuple]:
-        taken: list[tuple] = []
-        for pattern, name in patterns if body else ():
-            for m in pattern.finditer(body):
-                start, end = m.span()
-                if any(start < e and end > s for s, e, _, _ in taken):
-                    continue
-                if not longer_field(body, start, end, name):
-                    taken.append((start, end, name, m.group()))
-        return taken
-
-    @F.pandas_udf(SPAN)
-    def find(bodies: pd.Series) -> pd.Series:
-        return bodies.map(
-            lambda b: [dict(zip(("start", "end", "field", "alias"), t)) for t in spans(b)]
-        )
+    def entry(alias: str, name: str, ord_: int) -> dict:
+        kind = PARTY if name in vocab.text_fields else DAY if name in vocab.date_fields else NUMBER
+        field = fields[name]
+        return {"n": len(alias), "ord": ord_, "field": name, "unit": field.unit, "kind": kind,
+                "required": (field.entity_type or "generic") in vocab.entity_required,
+                "longer": sorted({o for o, other in standing[alias]["longer"] if other != name})}
+
+    table = {key: [entry(*row) for row in rows if key.startswith(row[0])] for key in known}
+    return F.from_json(F.lit(json.dumps(table)), ALIASES)
 
-    return find
+
+def alias_spans(body: Column, vocab: Vocabulary) -> Column:
+    """Alias occurrences of a text that no longer alias hides: array of struct<start, end, ord, n, field, unit, kind, required>.
+
+    One alternation over all aliases, longest first, finds the places where one begins: the text is split there, and the
+    lengths of the pieces give the places. The table then has every alias that stands at a place.
+    """
+    words = sorted({alias for alias, *_ in vocab.alias_rows}, key=lambda w: (-len(w), w))
+    if not words:
+        return F.lit(None).cast("array<struct<start:int,end:int,ord:int,n:int,field:string,unit:string,kind:string,required:boolean>>")
+    any_alias = "|".join(text.quote(w) for w in words)
+    table, longest = alias_table(vocab), len(words[0])
+    pieces = F.split(body, f"(?iu)(?={any_alias})")
+    starts = F.aggregate(
+        pieces, record(at=F.lit(0), all=F.array().cast("array<int>")),
+        lambda acc, p: record(at=acc["at"] + F.length(p), all=F.concat(acc["all"], F.array(acc["at"]))), lambda acc: acc["all"])
+
+    def standing(start: Column) -> Column:
+        key = F.lower(F.regexp_extract(_window(body, start, longest), f"^(?iu:{any_alias})", 0))
+        near = lambda e: F.lower(_window(body, F.greatest(start - AROUND, F.lit(0)), F.least(start, F.lit(AROUND)) + e["n"] + AROUND))
+        shown = F.filter(F.coalesce(F.try_element_at(table, key), F.from_json(F.lit("[]"), ALIASES.removeprefix("map<string,").removesuffix(">"))),
+                         lambda e: ~F.exists(e["longer"], lambda w: F.contains(near(e), w)))
+        return F.transform(shown, lambda e: record(
+            start=start, end=start + e["n"], ord=e["ord"], n=e["n"], field=e["field"], unit=e["unit"], kind=e["kind"], required=e["required"]))
+
+    return F.flatten(F.transform(starts, standing))
+
+
+def without_overlaps(found: Column) -> Column:
+    """Of overlapping spans the one that sorts first, in sorted order."""
+    none = F.filter(found, lambda x: F.lit(False))
+    return F.aggregate(F.array_sort(found), none, lambda acc, x: F.when(
+        F.exists(acc, lambda a: (a["start"] < x["end"]) & (x["start"] < a["end"])), acc).otherwise(F.concat(acc, F.array(x))))
 
 
 def _window(body: Column, start: Column, length) -> Column:
@@ -288,64 +331,59 @@ def extract_text_facts(blocks: DataFrame, vocab: Vocabulary, file_name: str = "f
     prose = blocks.where((F.col("block_type") != "table_row") & (F.coalesce("text", F.lit("")) != ""))
     name = F.coalesce(F.col(file_name), F.lit(""))
     staged = prose.select(
-        "block_id", "doc_id", "section_path", name.alias("_file"),
+        "block_id", "doc_id", "section_path", name.alias("_file"), F.coalesce("page_or_index", F.lit(0)).alias("_index"),
         text.collapse_cjk_spaces("text").alias("_body"),
     )
     body = F.col("_body")
-    # Not filtered by size: a filter on a UDF result would run the UDF a second time.
-    staged = staged.withColumn("_spans", alias_spans(vocab)("_body"))
+    staged = staged.withColumn("_spans", alias_spans(body, vocab))
     staged = staged.withColumn("_positions", entity_positions(body, F.col("section_path"), vocab))
 
-    # Everything taken from the text around a span is computed before the spans are exploded,
-    # so it is computed once per span.
-    def around(s: Column) -> Column:
+    # A span counts, and keeps others off its place, only where it gives a value; so values are read
+    # inside the row, before overlaps are settled and the spans exploded.
+    def valued(s: Column) -> Column:
         start, end = s["start"], s["end"]
         lead, left = F.least(start, F.lit(40)), F.greatest(start - 24, F.lit(0))
-        return record(
-            field_name=s["field"],
-            _entity=nearest_entity(F.col("_positions"), start),
-            _fwd=numbers_in(_window(body, end, 40), vocab.prose_units, False),
-            _bwd=numbers_in(_window(body, start - lead, lead), vocab.prose_units, True),
-            _party=strip(F.regexp_extract(_window(body, end, 48), PARTY_TEXT, 1)),
-            _day=F.regexp_extract(_window(body, end, 40), DAY_TEXT, 1),
-            _context=strip(_window(body, left, end + 24 - left)),
-        )
-
+        around = record(
+            fwd=numbers_in(_window(body, end, 40), vocab.prose_units, False),
+            bwd=numbers_in(_window(body, start - lead, lead), vocab.prose_units, True),
+            entity=nearest_entity(F.col("_positions"), start))
+
+        def settled(w: Column) -> Column:
+            fwd, bwd = w["fwd"], w["bwd"]
+            use_fwd = fwd["value"].isNotNull() & numbers.unit_compatible(fwd["unit"], s["unit"])
+            use_bwd = ~use_fwd & bwd["value"].isNotNull() & numbers.unit_compatible(bwd["unit"], s["unit"])
+            number = s["kind"] == NUMBER
+            pick = lambda part: F.when(number & use_fwd, fwd[part]).when(number & use_bwd, bwd[part])
+            return record(
+                by_length=-s["n"], ord=s["ord"], start=start, end=end, field_name=s["field"], entity=w["entity"],
+                value_num=pick("value"), unit=pick("unit"), text_value=~number, required=s["required"],
+                value_text=F.when(s["kind"] == PARTY, strip(F.regexp_extract(_window(body, end, 48), PARTY_TEXT, 1)))
+                .when(s["kind"] == DAY, F.regexp_extract(_window(body, end, 40), DAY_TEXT, 1))
+                .otherwise(strip(_window(body, left, end + 24 - left))))
+
+        return text.let(around, settled)
+
+    holds = lambda v: (v["entity"].isNotNull() | ~v["required"]) & F.when(
+        v["text_value"], v["value_text"] != "").otherwise(v["value_num"].isNotNull())
+    staged = staged.withColumn("_found", F.filter(F.transform("_spans", valued), holds))
     staged = staged.select(
-        "block_id", "doc_id", "_file", "_body",
+        "block_id", "doc_id", "_file", "_body", "_index",
         F.coalesce(dates.infer_year(body), dates.infer_year("_file")).alias("year"),
-        F.posexplode_outer(F.transform("_spans", around)).alias("_i", "_s"),
-    ).where(F.col("_i").isNotNull()).select("*", "_s.*").drop("_s")
-    fields = vocab.field_table(staged.sparkSession).select(
-        F.col("field").alias("_cf"), F.col("canonical_unit").alias("_cu")
-    )
-    staged = staged.join(fields, F.col("field_name") == F.col("_cf"), "left")
-    fwd, bwd, cu = F.col("_fwd"), F.col("_bwd"), F.col("_cu")
-    use_fwd = fwd["value"].isNotNull() & numbers.unit_compatible(fwd["unit"], cu)
-    use_bwd = ~use_fwd & bwd["value"].isNotNull() & numbers.unit_compatible(bwd["unit"], cu)
-    pick = lambda part: F.when(use_fwd, fwd[part]).when(use_bwd, bwd[part])
-    party = F.col("field_name").isin(*vocab.text_fields) if vocab.text_fields else F.lit(False)
-    signed = F.col("field_name").isin(*vocab.date_fields) if vocab.date_fields else F.lit(False)
-    as_text = party | signed
-    staged = staged.select(
-        "block_id", "doc_id", "_file", "_body", "year", "_i", "field_name", "_entity",
-        F.when(~as_text, pick("value")).alias("value_num"), F.when(~as_text, pick("unit")).alias("unit"),
-        F.when(party, F.col("_party")).when(signed, F.col("_day")).otherwise(F.col("_context")).alias("value_text"),
-        as_text.alias("_text_value"),
-    ).where(F.when(F.col("_text_value"), F.col("value_text") != "").otherwise(F.col("value_num").isNotNull()))
+        F.posexplode_outer(without_overlaps(F.col("_found"))).alias("_i", "_s"),
+    ).where(F.col("_i").isNotNull()).select(
+        "block_id", "doc_id", "_file", "_body", "_index", "year", "_i", "_s.field_name", F.col("_s.entity").alias("_entity"),
+        "_s.value_num", "_s.unit", "_s.value_text", F.col("_s.text_value").alias("_text_value"))
     conv = canonicalize(staged, vocab, "field_name", "value_num", "unit", ~F.col("_text_value"))
     entity_type = F.coalesce("field_entity_type", F.lit("generic"))
-    has_entity = F.col("_entity").isNotNull()
-    required = entity_type.isin(*vocab.entity_required) if vocab.entity_required else F.lit(False)
-    confidence = F.when(has_entity, TEXT_WITH_ENTITY).otherwise(TEXT_WITHOUT_ENTITY)
-    return conv.where(has_entity | ~required).select(
+    confidence = F.when(F.col("_entity").isNotNull(), TEXT_WITH_ENTITY).otherwise(TEXT_WITHOUT_ENTITY)
+    return conv.select(
         fact_id("block_id", F.lit("t"), F.col("_i").cast("string")).alias("fact_id"),
         entity_type.alias("entity_type"), F.coalesce("_entity", "_file").alias("entity_name"),
         "field_name", "value_num", "value_text", "unit", "year",
         F.col("doc_id").alias("source_doc_id"), F.col("block_id").alias("source_block_id"),
         body.alias("source_span"), confidence.alias("confidence"),
         F.when(confidence >= CONFIRM_FROM, "confirmed").otherwise("pending_review").alias("status"),
-        F.create_map().cast("map<string,string>").alias("metadata"), F.col("_i").cast("long").alias("pos"),
+        F.create_map().cast("map<string,string>").alias("metadata"), place_in_document(F.col("_index"), F.col("_i")).alias("pos"),
     )
 
 

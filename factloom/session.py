@@ -20,7 +20,7 @@ def local_session(cores: str = "8", app: str = "factloom", partitions: int = 8)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
-        .config("factloom.scan.partitions", cores if cores.isdigit() else "8")
+        .config("spark.factloom.scan.partitions", cores if cores.isdigit() else "8")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -66,8 +66,8 @@ def materialised(df: DataFrame, what: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """A table scan dealt to ``factloom.scan.partitions`` tasks where that is set, as in local sessions; else as it is."""
-    wanted = scan.sparkSession.conf.get("factloom.scan.partitions", None)
+    """A table scan dealt to ``spark.factloom.scan.partitions`` tasks where that is set, as in local sessions; else as it is."""
+    wanted = scan.sparkSession.conf.get("spark.factloom.scan.partitions", None)
     return scan.repartition(int(wanted)) if wanted else scan
 
 
