@@ -46,11 +46,11 @@ def keyword_hits(haystack: Column, words: Column) -> Column:
 
 
 def score_documents(cards: DataFrame, terms: DataFrame, profiles: Sequence[TemplateProfile]) -> DataFrame:
-    """Rule score of every (template, document) with its hits.
+    """Rule score of every (template, document) that has a hit; pairs without one are never made.
 
-    ``cards(doc_id, file_name, text_preview)``, ``terms(doc_id, kind, term)``. Field and
-    entity hits are one equi join against the templates' terms; keyword hits are tested
-    inside the card's row. Hit lists are bounded by the template's own terms.
+    ``cards(doc_id, file_name, text_preview)``, ``terms(doc_id, kind, term)``. Field and entity hits are one equi join
+    against the templates' terms; keyword hits are tested inside the card's row and only the hits leave it. Hit
+    lists are bounded by the template's own terms.
     """
     spark = cards.sparkSession
     profiles = _checked(profiles)
@@ -58,24 +58,19 @@ def score_documents(cards: DataFrame, terms: DataFrame, profiles: Sequence[Templ
               for t in dict.fromkeys(ts)]
     t = small_table(spark, wanted or [("", "", "")], "template string, kind string, term string",
                     MAX_TERMS, "template terms")
-    t = t.withColumn("term", F.when(F.col("kind") == "entity", text.normalize_entity("term")).otherwise(F.col("term")))
-    d = terms.withColumn("term", F.when(F.col("kind") == "entity", text.normalize_entity("term")).otherwise(F.col("term")))
-    hits = d.join(F.broadcast(t.distinct()), ["kind", "term"]).groupBy("template", "doc_id").agg(
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "field", F.col("term")))).alias("field_hits"),
-        F.array_sort(F.collect_set(F.when(F.col("kind") == "entity", F.col("term")))).alias("entity_hits"),
-    )
+    plain = lambda df: df.withColumn(
+        "term", F.when(F.col("kind") == "entity", text.normalize_entity("term")).otherwise(F.col("term")))
+    named = plain(terms).join(F.broadcast(plain(t).distinct()), ["kind", "term"]).select("template", "doc_id", "kind", "term")
     body = F.concat_ws("\n", F.lower("file_name"), F.lower("text_preview"))
     per_template = F.array(*[
-        record(template=F.lit(p.name), keyword_hits=keyword_hits(body, strings(dict.fromkeys(p.keywords))))
-        for p in profiles
+        record(template=F.lit(p.name), hits=keyword_hits(body, strings(dict.fromkeys(p.keywords)))) for p in profiles
     ])
-    base = cards.select("doc_id", "file_name", F.inline(per_template))
-    none = F.array().cast("array<string>")
-    scored = base.join(hits, ["template", "doc_id"], "left").select(
-        "template", "doc_id", "file_name",
-        F.coalesce("field_hits", none).alias("field_hits"),
-        F.coalesce("entity_hits", none).alias("entity_hits"), "keyword_hits",
-    )
+    worded = cards.select("doc_id", F.inline(F.filter(per_template, lambda x: F.size(x["hits"]) > 0))).select(
+        "template", "doc_id", F.lit("keyword").alias("kind"), F.explode("hits").alias("term"))
+    of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("term")))).alias(f"{kind}_hits")
+    hits = named.unionByName(worded).groupBy("template", "doc_id").agg(of("field"), of("entity"), of("keyword"))
+    scored = hits.join(cards.select("doc_id", "file_name"), "doc_id").select(
+        "template", "doc_id", "file_name", "field_hits", "entity_hits", "keyword_hits")
     score = (
         FIELD_WEIGHT * F.size("field_hits") + ENTITY_WEIGHT * F.size("entity_hits")
         + F.least(F.lit(KEYWORD_CAP), KEYWORD_WEIGHT * F.size("keyword_hits"))
@@ -83,10 +78,14 @@ def score_documents(cards: DataFrame, terms: DataFrame, profiles: Sequence[Templ
     return scored.withColumn("score", F.round(score, 4))
 
 
+FALLBACK = "fallback_all"
+
+
 def match_by_rules(scored: DataFrame, profiles: Sequence[TemplateProfile]) -> DataFrame:
     """Tiered choice: any entity hit, else field hit, else score ≥ max(half the top, 1), else all.
 
-    The tier is one small aggregate per template, joined back; no window over all documents.
+    The tier is one small aggregate per template, joined back; no window over all documents. A template that takes all
+    documents is one row without a document, mode ``fallback_all``.
     """
     best = scored.groupBy("template").agg(
         F.bool_or(F.size("entity_hits") > 0).alias("_e"), F.bool_or(F.size("field_hits") > 0).alias("_f"),
@@ -95,30 +94,31 @@ def match_by_rules(scored: DataFrame, profiles: Sequence[TemplateProfile]) -> Da
     has_fields = [p.name for p in profiles if p.fields]
     f_ok = F.col("_f") & (F.col("template").isin(*has_fields) if has_fields else F.lit(False))
     cutoff = F.greatest(F.col("_top") * 0.5, F.lit(1.0))
-    mode = (
-        F.when(F.col("_e"), "entity").when(f_ok, "field")
-        .when(F.col("_top") >= cutoff, "score").otherwise("fallback_all")
-    )
+    mode = F.when(F.col("_e"), "entity").when(f_ok, "field").when(F.col("_top") >= cutoff, "score").otherwise(FALLBACK)
     keep = (
         F.when(F.col("mode") == "entity", F.size("entity_hits") > 0)
         .when(F.col("mode") == "field", F.size("field_hits") > 0)
-        .when(F.col("mode") == "score", (F.col("score") > 0) & (F.col("score") >= cutoff))
-        .otherwise(True)
+        .when(F.col("mode") == "score", F.col("score") >= cutoff).otherwise(False)
     )
-    return scored.join(best, "template").withColumn("mode", mode).where(keep).drop("_e", "_f", "_top")
+    tiers = best.select("template", "_top", mode.alias("mode"))
+    found = scored.join(tiers, "template").where(keep).drop("_top")
+    settled = tiers.where(F.col("mode") != FALLBACK).select("template")
+    asked = small_table(scored.sparkSession, [(p.name,) for p in profiles], "template string", MAX_TEMPLATES, "templates")
+    whole = asked.join(settled, "template", "left_anti").withColumn("mode", F.lit(FALLBACK))
+    return found.unionByName(whole, allowMissingColumns=True)
 
 
 def suggest(scored: DataFrame, matched: DataFrame) -> DataFrame:
-    """All candidates with the score relative to the best one; recommended unless all were taken."""
+    """Candidates with a hit and their score relative to the best one; recommended unless all were taken."""
     top = scored.groupBy("template").agg(F.max("score").alias("_top"))
-    modes = matched.groupBy("template").agg(F.first("mode").alias("mode"))
+    modes = matched.groupBy("template").agg(F.max("mode").alias("mode"))
     real = (F.size("field_hits") > 0) | (F.size("entity_hits") > 0)
     return scored.join(top, "template").join(modes, "template", "left").select(
         "template", "doc_id", "file_name",
         F.round(F.col("score") / F.when(F.col("_top") == 0, 1.0).otherwise(F.col("_top")), 4).alias("score"),
         "field_hits", F.slice("entity_hits", 1, 10).alias("entity_hits"),
         F.slice("keyword_hits", 1, 5).alias("keyword_hits"),
-        (real & (F.col("mode") != "fallback_all")).alias("recommended"),
+        (real & (F.col("mode") != FALLBACK)).alias("recommended"),
     )
 
 
@@ -134,10 +134,10 @@ def match_by_name(docs: DataFrame, templates: Sequence[str]) -> DataFrame:
 
 
 def name_similarity(candidates: DataFrame, name: str, templates: Sequence[str]) -> DataFrame:
-    """Similarity of every candidate name to each template name.
+    """Similarity of candidate names to template names, for pairs that share a trigram or a token.
 
     Jaccard over character trigrams × 0.7 + min(1, token hits / 3) × 0.3. Template grams
-    are literals, so each candidate is scored in its own row.
+    are literals, so each candidate is scored in its own row, and only pairs with a hit leave it.
     """
     staged = candidates.withColumn("_g", text.trigrams(name))
     per = []
@@ -148,7 +148,7 @@ def name_similarity(candidates: DataFrame, name: str, templates: Sequence[str])
         jaccard = F.when((F.size("_g") == 0) | (F.size(grams) == 0), 0.0).otherwise(inter / union)
         hits = F.size(F.filter(text.name_tokens(F.lit(t)), lambda w: F.contains(F.lower(F.col(name)), w)))
         per.append(record(template=F.lit(t), jaccard=jaccard, hits=hits))
-    out = staged.select(*candidates.columns, F.inline(F.array(*per)))
+    out = staged.select(*candidates.columns, F.inline(F.filter(F.array(*per), lambda x: (x["jaccard"] > 0) | (x["hits"] > 0))))
     return out.withColumn(
         "similarity", F.col("jaccard") * 0.7 + F.least(F.lit(1.0), F.col("hits") / 3.0) * 0.3
     )
@@ -231,6 +231,22 @@ def match_by_vector(blocks: DataFrame, queries: DataFrame, doc_id: str = "doc_id
     return best.where(F.col("avg_score") >= DOC_MIN)
 
 
+def match_narrowed_by_vector(blocks: DataFrame, queries: DataFrame, by_name: DataFrame, doc_id: str = "doc_id", block_id: str = "block_id",
+                             vector: str = "embedding") -> DataFrame:
+    """``match_by_vector`` for templates (the query ids), among a template's name hits where it has any.
+
+    ``by_name(template, doc_id)``. The candidates are kept whole per (query, document) before the narrowing, so that the best
+    documents are the best ones of the narrowed set.
+    """
+    top = vector_scores(blocks, queries, block_id, vector, doc_id, BLOCKS_PER_DOC, BLOCK_MIN)
+    docs = top.groupBy("query_id", doc_id).agg(F.avg("score").alias("avg_score")).where(F.col("avg_score") >= DOC_MIN)
+    named = by_name.select(F.col("template").alias("_t"), F.col("doc_id").alias("_d")).distinct()
+    some = named.select(F.col("_t").alias("_s")).distinct()
+    narrowed = docs.join(named, (F.col("query_id") == F.col("_t")) & (F.col(doc_id) == F.col("_d")), "left_semi")
+    free = docs.join(some, F.col("query_id") == F.col("_s"), "left_anti")
+    return top_per_group(narrowed.unionByName(free), ["query_id"], [F.desc("avg_score"), F.asc(doc_id)], DOCS_PER_QUERY)
+
+
 def match_cascade(docs: DataFrame, templates: Sequence[str], by_name: DataFrame,
                   by_vector: DataFrame | None, by_rules: DataFrame) -> DataFrame:
     """Matched (template, doc_id, mode): single document, vector on the narrowed set, name, rules.

@@ -12,7 +12,7 @@ from factloom.operators import canonical, extraction, lineage, profiles, transfo
 from factloom.plans import fixtures as fx
 from factloom.plans.registry import query
 from factloom.plans.scans import elected, part_blocks
-from factloom.session import spread
+from factloom.session import materialised, spread
 from factloom.sources import blocks as bl
 
 ORDER_HEADERS = ["Customer", "Order Date", "Total Price (USD)", "Priority"]
@@ -80,7 +80,7 @@ def dedupe_facts(spark: SparkSession, folder: str) -> DataFrame:
 SELECT fact_id, entity_name, field_name, value_num, is_canonical FROM elected""")
 def extracted_and_elected(spark: SparkSession, folder: str) -> DataFrame:
     """The minimum slice: rows → facts → deduplicated → elected."""
-    facts = extraction.dedupe_facts(table_facts(spark, folder))
+    facts = materialised(extraction.dedupe_facts(table_facts(spark, folder)), "facts")
     return canonical.elect_canonical(facts).select("fact_id", "entity_name", "field_name", "value_num", "is_canonical")
 
 
@@ -95,9 +95,9 @@ def canonical_facts(spark: SparkSession, folder: str) -> DataFrame:
 @query("canonical_incremental", f"{fx.ELECTED} SELECT fact_id, is_canonical FROM elected")
 def canonical_incremental(spark: SparkSession, folder: str) -> DataFrame:
     """Orders of one status arrive late; the outcome must equal the full election."""
-    facts = fx.facts(spark, folder)
+    facts = materialised(fx.facts(spark, folder), "facts")
     late = (F.col("confidence") == 0.88) & (F.col("field_name") == "totalprice")
-    store = canonical.elect_canonical(facts.where(~late))
+    store = materialised(canonical.elect_canonical(facts.where(~late)), "store")
     return canonical.elect_affected(store, facts.where(late)).select("fact_id", "is_canonical")
 
 
@@ -357,18 +357,20 @@ def city_record_join(spark: SparkSession, folder: str) -> DataFrame:
     return transform.fill_from_records(template, records, "city", "o_orderkey")
 
 
-@query("merge_known_documents", f"""WITH {fx.SQL_DOCUMENTS}, a AS (SELECT doc_id, status, file_name FROM docs WHERE lang IN ('en', 'fr')),
-b AS (SELECT doc_id, 'uploaded' AS status, upper(file_name) AS file_name FROM docs WHERE lang IN ('en', 'de'))
+@query("merge_known_documents", f"""WITH {fx.SQL_DOCUMENTS}, a AS (SELECT doc_id, status, file_name FROM docs),
+b AS (SELECT doc_id, 'uploaded' AS status, upper(file_name) AS file_name FROM docs WHERE lang IN ('en', 'de')
+  UNION ALL SELECT 'new ' || doc_id, 'uploaded', file_name FROM docs WHERE lang NOT IN ('en', 'de'))
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, coalesce(a.status, b.status) AS status, coalesce(b.file_name, a.file_name) AS file_name
 FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
 def merge_known_documents(spark: SparkSession, folder: str) -> DataFrame:
     from factloom.operators.store import merge_known
 
     docs = fx.documents(spark, folder)
-    a = docs.where("lang in ('en', 'fr')").select("doc_id", "status", "file_name")
-    b = docs.where("lang in ('en', 'de')").select(
-        "doc_id", F.lit("uploaded").alias("status"), F.upper("file_name").alias("file_name"))
-    return merge_known(a, b)
+    known = F.col("lang").isin("en", "de")
+    b = docs.select(
+        F.when(known, F.col("doc_id")).otherwise(F.concat(F.lit("new "), "doc_id")).alias("doc_id"), F.lit("uploaded").alias("status"),
+        F.when(known, F.upper("file_name")).otherwise(F.col("file_name")).alias("file_name"))
+    return merge_known(docs.select("doc_id", "status", "file_name"), b)
 
 
 @query("resolve_by_name", f"""WITH {fx.SQL_DOCUMENTS}, r AS (SELECT unnest(['src3_23.txt', 'src1', 'copy of src0_0.docx', 'unknown']) AS request),

@@ -205,12 +205,15 @@ def scored_cells(spark: SparkSession, folder: str):
     price = F.col("o_totalprice")
     template = o.select(*key, F.when(p == "1-URGENT", "kept").otherwise("").alias("value"))
     reference = o.select(*key, F.format_number(price, 2).alias("value"))
-    actual = o.select(*key, F.when(p == "2-HIGH", price * 1.005).when(p == "5-LOW", price * 1.02)
-                      .when(p == "4-NOT SPECIFIED", F.lit(None).cast("double")).otherwise(price).cast("string").alias("value"))
+    good = F.col("o_orderstatus") == "F"  # one scenario passes, the others do not
+    actual = o.select(*key, F.when(p == "2-HIGH", price * 1.005).when((p == "5-LOW") & ~good, price * 1.02)
+                      .when((p == "4-NOT SPECIFIED") & (~good | (F.col("o_orderkey") % 4 == 0)), F.lit(None).cast("double"))
+                      .otherwise(price).cast("string").alias("value"))
     return template, reference, actual
 
 
-SQL_DIFF = """d AS (SELECT o_orderstatus AS scenario, 'B' || o_orderkey AS cell_ref, o_totalprice AS price, o_orderpriority IN ('2-HIGH', '3-MEDIUM') AS is_match
+SQL_DIFF = """d AS (SELECT o_orderstatus AS scenario, 'B' || o_orderkey AS cell_ref, o_totalprice AS price, o_orderpriority IN ('2-HIGH', '3-MEDIUM')
+   OR (o_orderstatus = 'F' AND (o_orderpriority = '5-LOW' OR o_orderkey % 4 <> 0)) AS is_match
   FROM orders WHERE o_orderpriority <> '1-URGENT')"""
 
 
@@ -221,9 +224,9 @@ def cell_diff(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query("fill_accuracy", f"""WITH {SQL_DIFF} SELECT scenario, count(*) AS blanks, sum(CAST(is_match AS BIGINT)) AS correct, round(avg(CAST(is_match AS DOUBLE)), 6) AS accuracy,
-  avg(CAST(is_match AS DOUBLE)) >= 0.48 AS passed FROM d GROUP BY scenario""")
+  avg(CAST(is_match AS DOUBLE)) >= 0.8 AS passed FROM d GROUP BY scenario""")
 def fill_accuracy(spark: SparkSession, folder: str) -> DataFrame:
-    out = evaluation.fill_accuracy(evaluation.cell_diff(*scored_cells(spark, folder)), pass_at=0.48)
+    out = evaluation.fill_accuracy(evaluation.cell_diff(*scored_cells(spark, folder)))
     return out.withColumn("accuracy", F.round("accuracy", 6))
 
 

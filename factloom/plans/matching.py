@@ -10,6 +10,7 @@ from factloom.operators.matching import TemplateProfile
 from factloom.plans import fixtures as fx
 from factloom.plans.registry import query
 from factloom.plans.scans import part_blocks
+from factloom.session import materialised
 
 PROFILES = (
     TemplateProfile("english src1 report.xlsx", ("en", "src1"), (), ("src1", "the", "with")),
@@ -21,8 +22,8 @@ NAMES = [p.name for p in PROFILES]
 
 
 def cards(spark: SparkSession, folder: str) -> DataFrame:
-    docs = fx.documents(spark, folder)
-    return docs.select("doc_id", "file_name", F.left("text", F.lit(480)).alias("text_preview"))
+    """Cards whose preview is the whole text."""
+    return fx.documents(spark, folder).select("doc_id", "file_name", F.col("text").alias("text_preview"))
 
 
 def terms(spark: SparkSession, folder: str) -> DataFrame:
@@ -43,14 +44,15 @@ SQL_TEMPLATES = "t AS (" + " UNION ALL ".join(
 ) + ")"
 SQL_SCORED = f"""WITH {fx.SQL_DOCUMENTS}, {SQL_TEMPLATES},
 d AS (SELECT doc_id, file_name, [lang, source] AS df, list_distinct(regexp_split_to_array(text, '[^\\p{{L}}]+')) AS de,
-   lower(file_name) || chr(10) || lower(substr(text, 1, 480)) AS body FROM docs),
+   lower(file_name) || chr(10) || lower(text) AS body FROM docs),
 h AS (SELECT template, doc_id, file_name, len(f) AS nf, list_sort(list_intersect(f, df)) AS fh, list_sort(list_intersect(e, de)) AS eh,
-   list_filter(k, lambda w: contains(body, lower(w))) AS kh FROM d, t),
-scored AS (SELECT *, CAST(3.0 * len(fh) + 4.0 * len(eh) + least(2.0, 0.5 * len(kh)) AS DOUBLE) AS score FROM h),
+   list_sort(list_filter(k, lambda w: contains(body, lower(w)))) AS kh FROM d, t),
+scored AS (SELECT *, CAST(3.0 * len(fh) + 4.0 * len(eh) + least(2.0, 0.5 * len(kh)) AS DOUBLE) AS score FROM h WHERE len(fh) + len(eh) + len(kh) > 0),
 best AS (SELECT template, bool_or(len(eh) > 0) AS ae, bool_or(len(fh) > 0 AND nf > 0) AS af, max(score) AS top FROM scored GROUP BY template),
 moded AS (SELECT s.*, top, greatest(top * 0.5, 1.0) AS cut, CASE WHEN ae THEN 'entity' WHEN af THEN 'field' WHEN top >= greatest(top * 0.5, 1.0) THEN 'score' ELSE 'fallback_all' END AS mode
    FROM scored s JOIN best USING (template)),
-matched AS (SELECT * FROM moded WHERE CASE mode WHEN 'entity' THEN len(eh) > 0 WHEN 'field' THEN len(fh) > 0 WHEN 'score' THEN score >= cut ELSE true END)"""
+matched AS (SELECT template, doc_id, score, mode, fh, eh, kh FROM moded WHERE CASE mode WHEN 'entity' THEN len(eh) > 0 WHEN 'field' THEN len(fh) > 0 WHEN 'score' THEN score >= cut ELSE false END
+   UNION ALL SELECT template, NULL, NULL, 'fallback_all', NULL, NULL, NULL FROM t WHERE template NOT IN (SELECT template FROM moded WHERE mode <> 'fallback_all'))"""
 
 
 def scored(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,14 +66,14 @@ def joined(c: str) -> F:
 @query("document_match_rules", f"""{SQL_SCORED} SELECT template, doc_id, score, mode, array_to_string(fh, ',') AS field_hits,
   array_to_string(eh, ',') AS entity_hits, array_to_string(kh, ',') AS keyword_hits FROM matched""")
 def document_match_rules(spark: SparkSession, folder: str) -> DataFrame:
-    m = matching.match_by_rules(scored(spark, folder), PROFILES)
+    m = matching.match_by_rules(materialised(scored(spark, folder), "scored"), PROFILES)
     return m.select("template", "doc_id", "score", "mode", joined("field_hits"), joined("entity_hits"), joined("keyword_hits"))
 
 
 @query("suggest_documents", f"""{SQL_SCORED} SELECT template, doc_id, round(score / CASE WHEN top = 0 THEN 1 ELSE top END, 4) AS score,
   (len(fh) > 0 OR len(eh) > 0) AND mode <> 'fallback_all' AS recommended FROM moded""")
 def suggest_documents(spark: SparkSession, folder: str) -> DataFrame:
-    s = scored(spark, folder)
+    s = materialised(scored(spark, folder), "scored")
     return matching.suggest(s, matching.match_by_rules(s, PROFILES)).select("template", "doc_id", "score", "recommended")
 
 
@@ -92,7 +94,8 @@ t AS (SELECT unnest(['small ring report.xlsx', 'Brand#2 blue-bolt.docx']) AS tem
 g AS (SELECT p_partkey, template, file_name, toks, list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) AS a,
    list_distinct(list_transform(range(1, length(ts) - 1), lambda i: substr(ts, i, 3))) AS b FROM n, t)
 SELECT p_partkey, template, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) * 0.7
-  + least(1.0, len(list_filter(toks, lambda w: contains(lower(file_name), w))) / 3.0) * 0.3, 9) AS similarity FROM g""")
+  + least(1.0, len(list_filter(toks, lambda w: contains(lower(file_name), w))) / 3.0) * 0.3, 9) AS similarity FROM g
+  WHERE len(list_intersect(a, b)) > 0 OR len(list_filter(toks, lambda w: contains(lower(file_name), w))) > 0""")
 def trigram_similarity_join(spark: SparkSession, folder: str) -> DataFrame:
     names = fx.table(spark, folder, "part").select("p_partkey", F.concat_ws("_", "p_name", "p_brand").alias("file_name"))
     out = matching.name_similarity(names, "file_name", ["small ring report.xlsx", "Brand#2 blue-bolt.docx"])
@@ -123,28 +126,50 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("document_match_vector", f"""WITH {SQL_QUERY_VECTORS}, s AS (SELECT query_id, label, vec_id, {SQL_COSINE} AS score FROM embeddings, q),
+# Matching wants near vectors: here the queries are vectors of the table itself, the first one of each label.
+SQL_FIRST_VECTORS = "q AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label)"
+
+
+def first_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return fx.table(spark, folder, "embeddings").groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("vector"))
+
+
+@query("document_match_vector", f"""WITH {SQL_FIRST_VECTORS}, s AS (SELECT query_id, label, vec_id, {SQL_COSINE.replace(", v)", ", CAST(v AS DOUBLE[]))")} AS score FROM embeddings, q),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS k FROM s WHERE score >= 0.35),
 d AS (SELECT query_id, label, avg(score) AS a FROM r WHERE k <= 5 GROUP BY query_id, label),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY a DESC, label) AS k FROM d)
 SELECT query_id, label, round(a, 6) AS avg_score FROM b WHERE k <= 5 AND a >= 0.45""")
 def document_match_vector(spark: SparkSession, folder: str) -> DataFrame:
-    out = matching.match_by_vector(fx.table(spark, folder, "embeddings"), query_vectors(spark, folder), "label", "vec_id")
+    out = matching.match_by_vector(fx.table(spark, folder, "embeddings"), first_vectors(spark, folder), "label", "vec_id")
     return out.select("query_id", "label", F.round("avg_score", 6).alias("avg_score"))
 
 
-@query("document_match_cascade", f"""{SQL_SCORED}, {SQL_NAME_HITS},
-vec AS (SELECT DISTINCT 'keywords only.xlsx' AS template, CAST(vec_id AS VARCHAR) AS doc_id FROM embeddings JOIN documents ON vec_id = doc_id WHERE label = 3),
+# The label whose first vector stands for a template.
+TEMPLATE_LABELS = (("english src1 report.xlsx", 1), ("keywords only.xlsx", 3))
+SQL_TEMPLATE_LABELS = "(VALUES " + ", ".join(f"('{t}', {n})" for t, n in TEMPLATE_LABELS) + ") AS tl(template, label)"
+
+
+@query("document_match_cascade", f"""{SQL_SCORED}, {SQL_NAME_HITS}, {SQL_FIRST_VECTORS},
+vs AS (SELECT tl.template, CAST(e.vec_id AS VARCHAR) AS doc_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.v AS DOUBLE[])) AS score
+  FROM {SQL_TEMPLATE_LABELS} JOIN q ON q.query_id = tl.label, embeddings e WHERE CAST(e.vec_id AS VARCHAR) IN (SELECT doc_id FROM docs)),
+vn AS (SELECT * FROM vs WHERE score >= 0.45 AND (template NOT IN (SELECT template FROM named) OR (template, doc_id) IN (SELECT template, doc_id FROM named))),
+vec AS (SELECT template, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY score DESC, doc_id) AS k FROM vn) WHERE k <= 5),
 allt AS (SELECT template, doc_id, 1 AS tier, CASE WHEN template IN (SELECT template FROM named) THEN 'filename+vector' ELSE 'vector' END AS mode FROM vec
   UNION ALL SELECT template, doc_id, 2, 'filename' FROM named
   UNION ALL SELECT template, doc_id, 3, CASE WHEN mode = 'fallback_all' THEN mode ELSE 'rules' END FROM matched)
 SELECT a.template, doc_id, mode FROM allt a WHERE tier = (SELECT min(tier) FROM allt b WHERE b.template = a.template)""")
 def document_match_cascade(spark: SparkSession, folder: str) -> DataFrame:
+    """Vector search on the name hits where a template has any, on all documents else; then names, then rules."""
     docs = fx.documents(spark, folder)
-    vec = fx.table(spark, folder, "embeddings").where("label = 3").select(F.col("vec_id").cast("string").alias("doc_id"))
-    by_vector = docs.join(vec.distinct(), "doc_id", "left_semi").select(F.lit("keywords only.xlsx").alias("template"), "doc_id")
-    rules = matching.match_by_rules(scored(spark, folder), PROFILES)
-    out = matching.match_cascade(docs, NAMES, matching.match_by_name(docs, NAMES), by_vector, rules)
+    by_name = materialised(matching.match_by_name(docs, NAMES), "named")
+    queries = first_vectors(spark, folder).join(
+        F.broadcast(spark.createDataFrame(TEMPLATE_LABELS, "template string, label int")), F.col("query_id") == F.col("label")).select(
+        F.col("template").alias("query_id"), "vector")
+    vectors = fx.table(spark, folder, "embeddings").select(F.col("vec_id").cast("string").alias("doc_id"), "vec_id", "embedding").join(
+        docs.select("doc_id"), "doc_id", "left_semi")
+    by_vector = matching.match_narrowed_by_vector(vectors, queries, by_name, "doc_id", "vec_id").withColumnRenamed("query_id", "template")
+    rules = matching.match_by_rules(materialised(scored(spark, folder), "scored"), PROFILES)
+    out = matching.match_cascade(docs, NAMES, by_name, materialised(by_vector, "by-vector"), materialised(rules, "rules"))
     return out.select("template", "doc_id", "mode")
 
 

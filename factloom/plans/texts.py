@@ -310,10 +310,16 @@ def nearest_preceding_entity(spark: SparkSession, folder: str) -> DataFrame:
     return sequence.nearest_entity_at(texts, "positions", "anchors").select("o_orderkey", "anchor", "entity")
 
 
-@query("history_trim", """SELECT conv_id, turn, role, text FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n,
-  row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations) WHERE n <= 6 OR rn <= 4""")
+@query("history_trim", """WITH m AS (SELECT o_custkey % 25 AS conv_id, o_orderkey AS turn, o_orderstatus AS role FROM orders WHERE o_custkey % 25 < 20
+  UNION ALL SELECT o_custkey + 1000, o_orderkey, o_orderstatus FROM orders WHERE o_custkey % 25 >= 20)
+SELECT conv_id, turn, role FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM m) WHERE n <= 40 OR rn <= 30""")
 def history_trim(spark: SparkSession, folder: str) -> DataFrame:
-    return sequence.trim_history(fx.table(spark, folder, "conversations"), above=6, keep=4).select("conv_id", "turn", "role", "text")
+    """Orders as messages: some conversations are long, most are short."""
+    many = F.col("o_custkey") % 25
+    messages = fx.table(spark, folder, "orders").select(
+        F.when(many < 20, many).otherwise(F.col("o_custkey") + 1000).alias("conv_id"), F.col("o_orderkey").alias("turn"), F.col("o_orderstatus").alias("role"))
+    return sequence.trim_history(messages)
 
 
 @query("conversation_titles", """SELECT conv_id, substr(text, 1, 30) || CASE WHEN length(text) > 30 THEN '…' ELSE '' END AS title FROM
