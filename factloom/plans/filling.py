@@ -9,21 +9,26 @@ from factloom.operators import evaluation, filling, profiles, transform
 from factloom.plans import fixtures as fx
 from factloom.plans.facts import ORDER_HEADERS, order_blocks
 from factloom.plans.registry import query
-from factloom.session import spread
+from factloom.session import materialised, spread
 
 SHEET = ["template", "sheet"]
 
 
 def layout(spark: SparkSession, folder: str, blank: str = "none"):
-    cells = fx.template_cells(spark, folder, blank)
+    """Cells, plan and columns of the customer template, each as a stored table."""
+    cells = materialised(fx.template_cells(spark, folder, blank), "cells")
     plan, columns = filling.detect_layout(cells, fx.VOCAB)
-    return cells, plan, columns
+    return cells, materialised(plan, "plan"), materialised(columns, "columns")
 
 
 def customer_facts(spark: SparkSession, folder: str) -> DataFrame:
     return fx.facts(spark, folder, "c_name")
 
 
+def lookup_table(spark: SparkSession, folder: str) -> DataFrame:
+    return materialised(filling.fact_lookup(customer_facts(spark, folder)), "lookup")
+
+
 SQL_BEST = f"""{fx.CUSTOMER_FACTS}, best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_name, field_name ORDER BY confidence DESC, fact_id) AS rn FROM facts) WHERE rn = 1)"""
 SQL_COLS = "cols AS (SELECT unnest(['acctbal', 'totalprice']) AS field, unnest([2, 3]) AS col)"
 CELLS = ["sheet_name", "cell_ref", "entity_name", "field_name", "value_num", "fact_id"]
@@ -54,7 +59,7 @@ def intent_columns(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("fact_lookup_join", f"""{SQL_BEST} SELECT c_custkey, field_name, fact_id, value_num FROM customer JOIN best ON entity_name = c_name""")
 def fact_lookup_join(spark: SparkSession, folder: str) -> DataFrame:
-    lookup = filling.fact_lookup(customer_facts(spark, folder))
+    lookup = lookup_table(spark, folder)
     name = F.when(F.col("c_acctbal") < 0, F.concat("c_name", F.lit("市"))).otherwise(F.col("c_name"))
     cells = fx.table(spark, folder, "customer").select(
         "c_custkey", name.alias("raw"), F.regexp_replace(name, "市$", "").alias("entity"),
@@ -67,7 +72,7 @@ def fact_lookup_join(spark: SparkSession, folder: str) -> DataFrame:
 def fill_prefilled_rows(spark: SparkSession, folder: str) -> DataFrame:
     cells, plan, columns = layout(spark, folder)
     rows = filling.data_rows(cells, plan)
-    filled = filling.fill_by_entity(rows, columns, filling.fact_lookup(customer_facts(spark, folder)))
+    filled = filling.fill_by_entity(rows, columns, lookup_table(spark, folder))
     return filling.as_cells(filled, "t1").select(*CELLS)
 
 
@@ -75,8 +80,8 @@ def sheet_entities(spark: SparkSession, folder: str) -> DataFrame:
     """Entities in scope per sheet, in first-appearance order."""
     cust = fx.table(spark, folder, "customer").select(F.col("c_name").alias("entity_name"), F.col("c_mktsegment").alias("sheet"))
     seen = transform.unique_entities(customer_facts(spark, folder), ["acctbal", "totalprice"])
-    return seen.join(cust, "entity_name").select(
-        F.lit("customers").alias("template"), "sheet", F.col("entity_name").alias("entity"), F.col("first_pos").alias("pos"))
+    return materialised(seen.join(cust, "entity_name").select(
+        F.lit("customers").alias("template"), "sheet", F.col("entity_name").alias("entity"), F.col("first_pos").alias("pos")), "entities")
 
 
 SQL_QUEUE = """queue AS (SELECT sheet, entity, row_number() OVER (PARTITION BY sheet ORDER BY pos) AS k FROM (
@@ -86,7 +91,7 @@ SQL_QUEUE = """queue AS (SELECT sheet, entity, row_number() OVER (PARTITION BY s
 @query("fill_blank_rows", f"""{SQL_BEST}, {SQL_COLS}, {SQL_QUEUE}, r AS (SELECT sheet, 1 + k AS row, entity FROM queue) {filled_sql('r')}""")
 def fill_blank_rows(spark: SparkSession, folder: str) -> DataFrame:
     _, plan, columns = layout(spark, folder, "all")
-    filled = filling.fill_new_rows(plan, columns, sheet_entities(spark, folder), filling.fact_lookup(customer_facts(spark, folder)))
+    filled = filling.fill_new_rows(plan, columns, sheet_entities(spark, folder), lookup_table(spark, folder))
     return filling.as_cells(filled, "t1").select(*CELLS)
 
 
@@ -107,8 +112,8 @@ def fill_mixed_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def mixed_cells(spark: SparkSession, folder: str) -> DataFrame:
     cells, plan, columns = layout(spark, folder, "some")
-    rows = filling.data_rows(cells, plan)
-    filled = filling.fill_mixed(rows, plan, columns, sheet_entities(spark, folder), filling.fact_lookup(customer_facts(spark, folder)))
+    rows = materialised(filling.data_rows(cells, plan), "rows")
+    filled = filling.fill_mixed(rows, plan, columns, sheet_entities(spark, folder), lookup_table(spark, folder))
     return filling.as_cells(filled, "t1")
 
 
@@ -124,8 +129,10 @@ def order_template(spark: SparkSession, folder: str, slots: bool):
             F.lit("orders").alias("template"), F.col("o_orderstatus").alias("sheet"),
             (F.col("o_orderkey") + 4).cast("int").alias("row"), F.lit(1).alias("col"), F.lit("").alias("value"))
         cells = cells.unionByName(blanks)
+    cells = materialised(cells, "cells")
     plan, columns = filling.detect_layout(cells, fx.VOCAB)
-    return filling.data_rows(cells, plan), plan, columns
+    plan = materialised(plan, "plan")
+    return materialised(filling.data_rows(cells, plan), "rows"), plan, materialised(columns, "columns")
 
 
 # Orders of a sheet in key order; the first ones take the blank rows, the others follow below.
@@ -150,7 +157,7 @@ SELECT sheet AS sheet_name, 'B' || row AS cell_ref, entity AS entity_name, o_tot
 UNION ALL SELECT sheet, 'C' || row, entity, qty FROM r""")
 def fill_from_row_groups(spark: SparkSession, folder: str) -> DataFrame:
     rows, plan, columns = order_template(spark, folder, True)
-    o = orders_with_quantity(spark, folder)
+    o = materialised(orders_with_quantity(spark, folder), "orders")
     values = F.map_filter(
         F.create_map(F.lit("totalprice"), F.col("o_totalprice").cast("string"), F.lit("quantity"), F.col("qty").cast("string"),
                      F.lit("priority"), F.col("o_orderpriority")), lambda k, v: v.isNotNull())
@@ -168,7 +175,7 @@ SELECT sheet AS sheet_name, 'B' || row AS cell_ref, entity AS entity_name, 'tota
 UNION ALL SELECT sheet, 'C' || row, entity, 'quantity', qty, 'qty=' || qty FROM r WHERE qty IS NOT NULL""")
 def fill_direct(spark: SparkSession, folder: str) -> DataFrame:
     rows, plan, columns = order_template(spark, folder, True)
-    o = orders_with_quantity(spark, folder).select(
+    o = materialised(orders_with_quantity(spark, folder), "orders").select(
         F.lit("orders").alias("template"), F.col("o_orderstatus").alias("sheet"), F.col("o_orderkey").alias("pos"),
         "c_name", "o_totalprice", "qty")
     filled = filling.fill_direct(o, rows, plan, columns, {"totalprice": "o_totalprice", "quantity": "qty"}, "c_name")
@@ -184,7 +191,7 @@ UNION ALL SELECT sheet_name, cell_ref, 'low_confidence' FROM j WHERE confidence
 def fill_warnings(spark: SparkSession, folder: str) -> DataFrame:
     cells, plan, columns = layout(spark, folder)
     facts = customer_facts(spark, folder)
-    filled = filling.fill_by_entity(filling.data_rows(cells, plan), columns, filling.fact_lookup(facts))
+    filled = filling.fill_by_entity(filling.data_rows(cells, plan), columns, materialised(filling.fact_lookup(facts), "lookup"))
     return filling.fill_warnings(filling.as_cells(filled, "t1"), facts).select("sheet_name", "cell_ref", "warning")
 
 
@@ -198,7 +205,7 @@ def unfilled_fields(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored_cells(spark: SparkSession, folder: str):
-    o = fx.table(spark, folder, "orders")
+    o = materialised(fx.table(spark, folder, "orders").select("o_orderstatus", "o_orderkey", "o_orderpriority", "o_totalprice"), "scored")
     key = [F.col("o_orderstatus").alias("scenario"), F.lit("s1").alias("sheet"),
            F.concat(F.lit("B"), F.col("o_orderkey").cast("string")).alias("cell_ref")]
     p = F.col("o_orderpriority")
@@ -246,8 +253,8 @@ def accuracy_summary(spark: SparkSession, folder: str) -> DataFrame:
 SELECT DISTINCT template, 'field' AS kind, CASE v WHEN 'Account Balance (USD)' THEN 'acctbal' WHEN 'Total Price' THEN 'totalprice' ELSE v END AS term FROM cells WHERE row <= 10
 UNION ALL SELECT DISTINCT template, 'entity', v FROM cells WHERE col = 1 AND row > 1""")
 def template_profile(spark: SparkSession, folder: str) -> DataFrame:
-    cells = fx.template_cells(spark, folder).withColumn("template", F.concat("sheet", F.lit(".xlsx")))
-    plan, _ = filling.detect_layout(cells, fx.VOCAB)
+    cells = materialised(fx.template_cells(spark, folder).withColumn("template", F.concat("sheet", F.lit(".xlsx"))), "cells")
+    plan = materialised(filling.detect_layout(cells, fx.VOCAB)[0], "plan")
     return profiles.template_profile(cells, plan, fx.VOCAB).where("kind in ('field', 'entity')")
 
 
@@ -258,15 +265,15 @@ cells AS (SELECT s, 0 AS row, 0 AS col, s AS v FROM seg
 SELECT s || '.xlsx' AS template, 'sample' AS kind, v AS term FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY row, col) AS k FROM cells) WHERE k <= 12
 UNION ALL SELECT s || '.xlsx', 'keyword', unnest([s, 'Customer', 'Account', 'Balance', 'USD', 'Total', 'Price']) FROM seg""")
 def template_profile_texts(spark: SparkSession, folder: str) -> DataFrame:
-    cells = fx.template_cells(spark, folder).withColumn("template", F.concat("sheet", F.lit(".xlsx")))
-    plan, _ = filling.detect_layout(cells, fx.VOCAB)
+    cells = materialised(fx.template_cells(spark, folder).withColumn("template", F.concat("sheet", F.lit(".xlsx"))), "cells")
+    plan = materialised(filling.detect_layout(cells, fx.VOCAB)[0], "plan")
     return profiles.template_profile(cells, plan, fx.VOCAB).where("kind in ('keyword', 'sample')")
 
 
 @query("template_intent", """SELECT 'customers' AS template, unnest(['Customer', 'acctbal', 'totalprice']) AS field, unnest(['Customer', 'Account Balance (USD)', 'Total Price']) AS header,
   (SELECT min(c_mktsegment) FROM customer) AS sheet, unnest([1, 2, 3]) AS col""")
 def template_intent(spark: SparkSession, folder: str) -> DataFrame:
-    return profiles.template_intent(fx.template_cells(spark, folder), fx.VOCAB)
+    return profiles.template_intent(materialised(fx.template_cells(spark, folder), "cells"), fx.VOCAB)
 
 
 @query("requirement_constraints", """SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN NULL WHEN 'F' THEN strftime(o_orderdate, '%Y-%m-%d') ELSE year(o_orderdate) || '-01-01' END AS date_from,

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.session import spread
+from factloom.session import materialised, spread
 from factloom.sources.blocks import text_blocks
 from factloom.sources.vocabulary import Field, Vocabulary
 
@@ -58,7 +58,7 @@ def sql_case(c: str, pairs, default) -> str:
 
 
 def facts(spark: SparkSession, folder: str, entity: str = "n_name") -> DataFrame:
-    """Account balances of customers and suppliers and values of orders as facts."""
+    """Account balances of customers and suppliers and values of orders as facts, as a stored table."""
     t = lambda n: table(spark, folder, n)
     nation = t("nation").select("n_nationkey", "n_name")
     cust = t("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -100,7 +100,7 @@ def facts(spark: SparkSession, folder: str, entity: str = "n_name") -> DataFrame
         case_of(F.col("o_orderpriority"), PRIORITY_STATUS, "confirmed").alias("status"),
         F.create_map(F.lit("date"), date).alias("metadata"), (F.col("o_orderkey") * 4 + 2).alias("pos"),
     )
-    return a.unionByName(b).unionByName(c)
+    return materialised(a.unionByName(b).unionByName(c), "facts")
 
 
 def sql_facts(entity: str = "n_name") -> str:

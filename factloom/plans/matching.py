@@ -190,19 +190,25 @@ def template_source_overlap(spark: SparkSession, folder: str) -> DataFrame:
 
 def source_headers(spark: SparkSession, folder: str) -> DataFrame:
     """Headers of a source whose rows are parts, with two more columns at the end."""
-    seen = profiles.distinct_headers(part_blocks(spark, folder), F.col("page_or_index")).select(
-        "header", F.col("first_pos.c").alias("pos"))
+    seen = materialised(profiles.distinct_headers(part_blocks(spark, folder), F.col("page_or_index")).select(
+        "header", F.col("first_pos.c").alias("pos")), "headers")
     n = seen.agg(F.max("pos").alias("n"))
     return seen.unionByName(n.select(F.explode(F.array(
         F.struct(F.lit("Region ").alias("header"), (F.col("n") + 1).alias("pos")),
         F.struct(F.lit("Date").alias("header"), (F.col("n") + 2).alias("pos")))).alias("s")).select("s.header", "s.pos"))
 
 
-@query("column_mapping", """SELECT * FROM (VALUES ('t', 'part', 'Part'), ('t', ' SIZE', 'Size'), ('t', 'Retailprice', 'Retail Price (USD)')) v(template, header, source_column)
+@query("column_mapping", """SELECT 't' AS template, lower(n_name) AS header, n_name || ' ' AS source_column FROM nation WHERE n_nationkey % 2 = 0
+UNION ALL SELECT * FROM (VALUES ('t', 'part', 'Part'), ('t', ' SIZE', 'Size'), ('t', 'Retailprice', 'Retail Price (USD)')) v(template, header, source_column)
 WHERE (SELECT count(*) FROM part) > 0""")
 def column_mapping(spark: SparkSession, folder: str) -> DataFrame:
-    wanted = spark.createDataFrame([("t", h) for h in ("part", " SIZE", "Retailprice", "Weight")], "template string, header string")
-    return matching.map_columns(wanted, source_headers(spark, folder), fx.VOCAB.header_table(spark))
+    """Headers of the part rows and one per nation; the template asks for every second nation."""
+    nation = fx.table(spark, folder, "nation")
+    wanted = spark.createDataFrame([("t", h) for h in ("part", " SIZE", "Retailprice", "Weight")], "template string, header string").unionByName(
+        nation.where("n_nationkey % 2 = 0").select(F.lit("t").alias("template"), F.lower("n_name").alias("header")))
+    there = source_headers(spark, folder).unionByName(
+        nation.select(F.concat("n_name", F.lit(" ")).alias("header"), (F.col("n_nationkey") + 100).cast("int").alias("pos")))
+    return matching.map_columns(wanted, there, fx.VOCAB.header_table(spark))
 
 
 @query("column_guess", """SELECT * FROM (VALUES ('entity', 'Region '), ('time', 'Date')) v(role, source_column) WHERE (SELECT count(*) FROM part) > 0""")

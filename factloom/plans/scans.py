@@ -104,7 +104,7 @@ WHERE n > 0 OR nf > 0 UNION ALL SELECT 'part.xlsx', 'blocks'""")
 def source_routing(spark: SparkSession, folder: str) -> DataFrame:
     docs = fx.documents(spark, folder).select("doc_id").unionByName(
         part_blocks(spark, folder).select("doc_id").distinct())
-    both = fx.blocks(spark, folder).drop("file_name").unionByName(part_blocks(spark, folder))
+    both = materialised(fx.blocks(spark, folder).drop("file_name").unionByName(part_blocks(spark, folder)), "blocks")
     labelled = fx.table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("source_doc_id"))
     return store.route_sources(docs, both, labelled)
 
@@ -112,7 +112,7 @@ def source_routing(spark: SparkSession, folder: str) -> DataFrame:
 @query("source_rows", """SELECT 'part.xlsx#' || (p_partkey + 1) AS block_id,
  p_name || ' | ' || p_brand || ' | ' || p_size || ' | ' || p_retailprice AS text FROM part""")
 def source_rows(spark: SparkSession, folder: str) -> DataFrame:
-    rows = part_blocks(spark, folder)
+    rows = materialised(part_blocks(spark, folder), "rows")
     none = rows.select(F.col("doc_id").alias("source_doc_id")).where("false")
     routes = store.route_sources(rows.select("doc_id").distinct(), rows, none)
     return store.source_rows(rows, routes).select("block_id", "text")
@@ -134,7 +134,7 @@ SELECT block_id, doc_id, text FROM blocks WHERE doc_id NOT IN (SELECT CAST(doc_i
 UNION ALL SELECT l.doc_id || '#1', CAST(l.doc_id AS VARCHAR), d.lang || ' ' || d.source
 FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE quality = 1""")
 def replace_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    old = fx.blocks(spark, folder).select("block_id", "doc_id", "text")
+    old = materialised(fx.blocks(spark, folder).select("block_id", "doc_id", "text"), "blocks")
     good = fx.table(spark, folder, "labels").where("quality = 1").join(fx.table(spark, folder, "documents"), "doc_id")
     new = good.select(
         F.concat(F.col("doc_id").cast("string"), F.lit("#1")).alias("block_id"),
@@ -172,7 +172,7 @@ SHOWN_SQL = ", ".join(SHOWN)
 
 def elected(spark: SparkSession, folder: str) -> DataFrame:
     """The elected facts as a stored table: facts are made once, and what builds on the election reads it back."""
-    return materialised(elect_canonical(materialised(fx.facts(spark, folder), "facts")), "elected")
+    return materialised(elect_canonical(fx.facts(spark, folder)), "elected")
 
 
 @query("filter_facts", f"""{fx.ELECTED} SELECT {SHOWN_SQL} FROM elected WHERE field_name = 'totalprice' AND status = 'confirmed'
@@ -296,7 +296,7 @@ UNION ALL SELECT 'set', doc_id FROM p WHERE document_set_id = 'src3'
 UNION ALL SELECT 'list', doc_id FROM p WHERE doc_id IN ('3', '7', '8')
 UNION ALL SELECT 'all', doc_id FROM p""")
 def fallback_scope(spark: SparkSession, folder: str) -> DataFrame:
-    docs = fx.documents(spark, folder)
+    docs = materialised(fx.documents(spark, folder).drop("text"), "documents")
     out = None
     for label, set_id, ids in SCOPES:
         part = selection.resolve_documents(docs, set_id, ids).select(F.lit(label).alias("request"), "doc_id")
@@ -372,7 +372,7 @@ def field_set_algebra(spark: SparkSession, folder: str) -> DataFrame:
 p AS (SELECT t.target, event_id, stamp, abs(CAST(substr(stamp, 12, 2) AS INT) - hour) AS d FROM e JOIN t ON substr(stamp, 1, 10) = t.date AND e.event_type = t.target)
 SELECT target, event_id, stamp FROM p WHERE d = (SELECT min(d) FROM p q WHERE q.target = p.target)""")
 def nearest_hour_match(spark: SparkSession, folder: str) -> DataFrame:
-    e = event_rows(spark, folder)
+    e = materialised(event_rows(spark, folder), "events")
     targets = e.groupBy("event_type").agg(F.date_format(F.max("ts"), "yyyy-MM-dd").alias("date")).select(
         F.col("event_type").alias("target"), "event_type", "date", F.lit(12).alias("hour"))
     return selection.nearest_hour_targets(e, "stamp", targets, ["event_type"]).select("target", "event_id", "stamp")

@@ -11,7 +11,7 @@ from factloom.operators import extraction, profiles, sequence, transform
 from factloom.plans import fixtures as fx
 from factloom.plans.registry import query
 from factloom.plans.scans import part_blocks, raw_date
-from factloom.session import spread
+from factloom.session import materialised, spread
 from factloom.sources.vocabulary import Field, Vocabulary
 
 
@@ -335,7 +335,7 @@ p AS (SELECT doc_id, 0 AS o, 'head' AS part, k, substr(text, 1, 500) AS sample F
 s AS (SELECT *, coalesce(sum(length(sample) + 20) OVER (PARTITION BY doc_id ORDER BY o, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM p)
 SELECT doc_id, part, CAST(k AS INT) AS paragraph, sample FROM s WHERE spent < 6000""")
 def representative_sample(spark: SparkSession, folder: str) -> DataFrame:
-    return sequence.sample_paragraphs(fx.blocks(spark, folder))
+    return sequence.sample_paragraphs(materialised(fx.blocks(spark, folder), "blocks"))
 
 
 @query("preview_assembly", f"""{fx.DOC_BLOCKS}, r AS (SELECT doc_id, substr(text, 1, 500) AS t, row_number() OVER (PARTITION BY doc_id ORDER BY NOT contains(lower(text), 'the'), page_or_index, block_id) AS k FROM blocks)
