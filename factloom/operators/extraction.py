@@ -432,18 +432,18 @@ def run_extractor(chunks: DataFrame, extractor: Extractor, vocab: Vocabulary, me
     """
     confidence, status = HOOK_CONFIDENCE[method]
     columns = [c.split(" ")[0] for c in HOOK_ROWS.split(", ")]
+    shown = ["doc_id", "block_id", "text", file_name]
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield extractor(batch).reindex(columns=columns)
-
-    years = chunks.select(
-        F.col("block_id").alias("_b"),
-        F.coalesce(dates.infer_year("text"), dates.infer_year(file_name)).alias("year"),
-        F.left("text", F.lit(200)).alias("_span"),
-    )
-    raw = chunks.select("doc_id", "block_id", "text", file_name).mapInPandas(call, HOOK_ROWS)
-    trimmed = raw.select("doc_id", "block_id", *[
+            # Year and span of a chunk travel with it, so its text is read once.
+            own = batch[["block_id", "_year", "_span"]].drop_duplicates("block_id")
+            yield extractor(batch[shown]).reindex(columns=columns).merge(own, on="block_id", how="left")
+
+    year = F.coalesce(dates.infer_year("text"), dates.infer_year(file_name))
+    sent = chunks.select(*shown, year.cast("double").alias("_year"), F.left("text", F.lit(200)).alias("_span"))
+    raw = sent.mapInPandas(call, f"{HOOK_ROWS}, _year double, _span string")
+    trimmed = raw.select("doc_id", "block_id", F.col("_year").cast("int").alias("year"), "_span", *[
         text.none_if_empty(strip(F.coalesce(c, F.lit("")))).alias(c)
         for c in ("entity_name", "field_name", "value", "unit", "evidence")
     ])
@@ -460,7 +460,7 @@ def run_extractor(chunks: DataFrame, extractor: Extractor, vocab: Vocabulary, me
         resolved = F.when(F.lower("_canon").isin(*wanted), F.col("_canon")).otherwise(F.col("field_name"))
     num = numbers.number_unit("value", vocab.cell_units)
     ok = ok.withColumn("_n", num).select(
-        "doc_id", "block_id", "entity_name", "evidence", "value", "_canon", resolved.alias("field_name"),
+        "doc_id", "block_id", "year", "_span", "entity_name", "evidence", "value", "_canon", resolved.alias("field_name"),
         F.col("_n.value").alias("value_num"), F.coalesce("_n.unit", "unit").alias("unit"),
     )
     conv = canonicalize(ok, vocab, "_canon", "value_num", "unit", F.col("_canon").isNotNull())
@@ -469,7 +469,7 @@ def run_extractor(chunks: DataFrame, extractor: Extractor, vocab: Vocabulary, me
         F.lit("extraction_method"), F.lit(method),
         F.lit("evidence_text"), F.left(F.coalesce("evidence", F.lit("")), F.lit(200)),
     )
-    return conv.join(years, F.col("block_id") == F.col("_b"), "left").select(
+    return conv.select(
         fact_id("block_id", F.lit(method), "entity_name", "field_name", "value").alias("fact_id"),
         F.coalesce("field_entity_type", F.lit("generic")).alias("entity_type"),
         F.when(norm == "", F.col("entity_name")).otherwise(norm).alias("entity_name"),

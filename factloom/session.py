@@ -89,6 +89,13 @@ def take_bounded(df: DataFrame, bound: int, what: str) -> list[Row]:
     return rows
 
 
+def parameter_table(spark: SparkSession, rows, schema: str, broadcast_rows: int = 20_000) -> DataFrame:
+    """A table made of a parameter: broadcast up to a number of rows, joined like any other table beyond it."""
+    rows = [tuple(r) for r in rows]
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= broadcast_rows else table
+
+
 def small_table(spark: SparkSession, rows, schema: str, bound: int, what: str) -> DataFrame:
     """A parameter-sized table, broadcast because its row count is checked here."""
     rows = [tuple(r) for r in rows]

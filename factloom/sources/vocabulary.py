@@ -8,10 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from factloom.functions import fixed_values as fv
-from factloom.session import small_table, take_bounded
+from factloom.session import parameter_table, take_bounded
 
-# A vocabulary is configuration: larger word lists are joined as tables instead.
-MAX_ENTRIES = 20_000
+# A vocabulary is read as configuration by ``from_tables``; longer lists of names are joined as tables
+# (``extraction.find_mentions_join``).
+MAX_ENTRIES = 200_000
 
 
 def header_key(text: str) -> str:
@@ -50,8 +51,6 @@ class Vocabulary:
             for ord_, f in enumerate(self.fields)
             for alias in dict.fromkeys((f.name, *f.aliases))
         ]
-        if len(rows) > MAX_ENTRIES or len(self.names) > MAX_ENTRIES:
-            raise ValueError(f"vocabulary above {MAX_ENTRIES} entries")
         object.__setattr__(self, "alias_rows", tuple(rows))
         for name in ("entity_headers", "date_headers"):
             object.__setattr__(self, name, tuple(header_key(h) for h in getattr(self, name)))
@@ -63,16 +62,16 @@ class Vocabulary:
 
     def header_table(self, spark: SparkSession) -> DataFrame:
         rows = list(self.header_lookup.items())
-        return small_table(spark, rows, "alias_key string, field string", MAX_ENTRIES, "aliases")
+        return parameter_table(spark, rows, "alias_key string, field string")
 
     def field_table(self, spark: SparkSession) -> DataFrame:
         rows = [(f.name, f.unit, f.entity_type) for f in self.fields]
         schema = "field string, canonical_unit string, field_entity_type string"
-        return small_table(spark, rows, schema, MAX_ENTRIES, "fields")
+        return parameter_table(spark, rows, schema)
 
     def factor_table(self, spark: SparkSession) -> DataFrame:
         schema = "field string, from_unit string, to_unit string, mul double, div double"
-        return small_table(spark, self.factors, schema, MAX_ENTRIES, "unit factors")
+        return parameter_table(spark, self.factors, schema)
 
     @classmethod
     def from_tables(cls, aliases: DataFrame, fields: DataFrame, names: DataFrame | None = None,
