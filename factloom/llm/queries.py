@@ -35,6 +35,38 @@ def op4_quotation_linking(spark: SparkSession, folder: str) -> DataFrame:
     return chat.reply_ordered(table(spark, folder, "conversations"))
 
 
+OP4_SQL = r"""
+WITH RECURSIVE messages AS (
+    SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), 'null') AS conv, turn AS own_turn, coalesce(turn, CAST(1 AS BIGINT) << 60) AS turn, role,
+           string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS lines FROM conversations
+), parsed AS (
+    SELECT *, list_transform(lines, lambda x: length(regexp_replace(regexp_extract(x, '^(?:[ \t]*>)+'), '[^>]', '', 'g'))) AS levels FROM messages
+), whole AS (
+    SELECT *, list_max(levels) AS quote_depth, regexp_replace(array_to_string(list_transform(list_filter(list_zip(lines, levels), lambda z: z[2] = 0), lambda z: z[1]), chr(10)),
+           '^\s*\n|\s+$', '', 'g') AS body FROM parsed
+), lined AS (SELECT conv, turn, unnest(lines) AS line, unnest(levels) AS level FROM parsed
+), units AS (
+    SELECT conv, turn, level, trim(regexp_replace(lower(regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '')), '\s+', ' ', 'g')) AS unit FROM lined
+), links AS (
+    SELECT q.conv, q.turn, q.level, (SELECT max(o.turn) FROM units o WHERE o.level = 0 AND o.conv = q.conv AND o.unit = q.unit AND o.turn < q.turn) AS source
+    FROM units q WHERE q.level > 0 AND q.unit <> ''
+), votes AS (SELECT conv, turn, source, min(level) AS level, count(*) AS n FROM links WHERE source IS NOT NULL GROUP BY conv, turn, source
+), parents AS (SELECT conv, turn, arg_max(source, (-level, n, source)) AS parent, CAST(sum(n) AS BIGINT) AS linked FROM votes GROUP BY conv, turn
+), turns AS (SELECT *, lag(turn) OVER (PARTITION BY conv ORDER BY turn) AS before FROM (SELECT DISTINCT conv, turn FROM messages)
+), opened AS (SELECT t.conv, t.turn, t.before, parent, linked, before IS NULL OR parent <> before AS opens FROM turns t LEFT JOIN parents p ON p.conv = t.conv AND p.turn = t.turn
+), placed AS (SELECT *, max(CASE WHEN opens THEN turn END) OVER (PARTITION BY conv ORDER BY turn) AS start FROM opened
+), heads AS (
+    SELECT h.conv, h.start, p.start AS above FROM placed h LEFT JOIN placed p ON p.conv = h.conv AND p.turn = h.parent WHERE h.opens
+), paths AS (
+    SELECT conv, start, [start] AS path FROM heads WHERE above IS NULL
+    UNION ALL SELECT h.conv, h.start, list_append(p.path, h.start) FROM heads h JOIN paths p ON p.conv = h.conv AND p.start = h.above
+)
+SELECT w.conv_id, row_number() OVER (PARTITION BY w.conv ORDER BY b.path, w.turn, role NULLS FIRST, body) - 1 AS reply_order, own_turn AS turn, role, body AS text,
+       coalesce(parent, before) AS parent_turn, len(b.path) - 1 AS branch_depth, quote_depth, coalesce(linked, 0) AS linked_lines
+FROM whole w JOIN placed p ON p.conv = w.conv AND p.turn = w.turn JOIN paths b ON b.conv = p.conv AND b.start = p.start
+"""
+
+
 def op5_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -76,4 +108,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_token_files, op2_hash_tree_sharding, op3_simhash_trie, op4_quotation_linking, op5_string_tiling, op6_language_filters,
         op7_wrapper_induction, op8_progressive_dedup, op9_forced_bpe, op10_toxic_segments)
 } | {"pipeline": corpus_pipeline.run}
-SQL: dict[str, str] = {"op8_progressive_dedup": OP8_SQL}
+SQL: dict[str, str] = {"op4_quotation_linking": OP4_SQL, "op8_progressive_dedup": OP8_SQL}

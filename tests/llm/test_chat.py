@@ -106,3 +106,19 @@ def test_repeated_rows_empty_and_clashing(spark):
     assert chat.reply_ordered(cases.empty(spark, MESSAGES)).collect() == []
     more = spark.createDataFrame(rows, MESSAGES).withColumns({c: F.lit(1) for c in ("conv", "start", "path", "body", "units", "pos", "_tie", "reply_order", "level")})
     assert chat.reply_ordered(more).count() == 4
+
+
+def test_sql_twin(spark):
+    import duckdb
+    import pandas as pd
+    from factloom.llm.queries import OP4_SQL
+    from tests.oracle import rows_of
+    hot = [(1, n, "u", f"Same line\nown {n}" + (f"\n> own {n // 3}\n> same LINE" if n % 5 == 4 else "")) for n in range(60)]
+    given = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    for rows in (THREAD, hot, given):
+        con = duckdb.connect()
+        frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+        con.register("conversations", frame)
+        want = con.execute(OP4_SQL)
+        names, out = [d[0] for d in want.description], chat.reply_ordered(spark.createDataFrame(rows, MESSAGES))
+        assert rows_of(out.columns, [tuple(r) for r in out.collect()]) == rows_of(names, want.fetchall())
