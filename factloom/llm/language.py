@@ -24,7 +24,8 @@ HASHES = 2
 PER_LANGUAGE = 4_000  # labelled documents that a language is learned from, in expectation
 RATIO = 0.25  # an n-gram belongs to a language where it is at least this frequent, relative to its most frequent language
 LEAST = 1e-5  # and makes up at least this part of the language's n-grams
-RUN = 1 << 22  # bytes hashed at once
+RUN = 1 << 20  # bytes hashed at once
+PENDING, HELD = 1 << 20, 1 << 20  # hashes that wait to be counted, and different ones that a task holds of a language
 
 _MULTIPLIERS = np.random.default_rng(6).integers(1 << 62, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
 
@@ -126,18 +127,48 @@ def train_filters(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Lang
     return LanguageFilters(languages, masks, filled ** HASHES)
 
 
+class _Tally:
+    """Counts of hashes in two sorted arrays; new hashes wait until there are ``PENDING`` of them."""
+
+    def __init__(self):
+        self.grams, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.waiting.append(hashes)
+        self.size += hashes.size
+        if self.size >= PENDING:
+            self.settle()
+
+    def settle(self) -> None:
+        if self.waiting:
+            new, n = np.unique(np.concatenate(self.waiting), return_counts=True)
+            self.grams, place = np.unique(np.concatenate([self.grams, new]), return_inverse=True)
+            self.counts = np.bincount(place, np.concatenate([self.counts, n])).astype(np.int64)
+            self.waiting, self.size = [], 0
+
+
 def _gram_counts(rows: DataFrame) -> DataFrame:
-    """(gram, lang, n) counted per batch of documents."""
+    """(gram, lang, n), counted in each task before they are shuffled; a task holds a bounded number of grams."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, _Tally] = {}
+
+        def passed_on(lang: str) -> pa.RecordBatch:
+            tally = held.pop(lang)
+            tally.settle()
+            return pa.RecordBatch.from_arrays([pa.array(tally.grams.view(np.int64)), pa.array([lang] * tally.grams.size, pa.string()), pa.array(tally.counts)],
+                                              names=["gram", "lang", "n"])
+
         for batch in batches:
-            seen: dict[str, list[np.ndarray]] = {}
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                seen.setdefault(lang, []).extend(_windows(text))
-            for lang, parts in seen.items():
-                if parts:
-                    gram, n = np.unique(np.concatenate(parts), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array([lang] * gram.size), pa.array(n)], names=["gram", "lang", "n"])
+            for text, lang in zip(batch.column("text"), batch.column("lang").to_pylist()):
+                for hashes in _windows(text.as_py()):
+                    held.setdefault(lang, _Tally()).add(hashes)
+                if lang in held and held[lang].grams.size > HELD:
+                    yield passed_on(lang)
+        for lang in [*held]:
+            yield passed_on(lang)
 
     return rows.select("text", "lang").mapInArrow(count, "gram long, lang string, n long")
 
