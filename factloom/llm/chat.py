@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import numbered, stored
-from factloom.operators.common import carry_forward
+from factloom.llm.shared import stored
+from factloom.operators.common import carry_forward, numbered
 
 MARK = r"^(?:[ \t]*>)+[ \t]?"  # the quote marks at the start of a line
 NOBODY = "null"  # key of the messages without a conversation

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import stored
+from factloom.llm.shared import small_side, stored
 
 PREFIX = 256  # characters
 ID, DIGEST = "__factloom_id", "__factloom_digest"  # helper columns beside a caller's own
@@ -34,9 +34,10 @@ def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     sized = stored(sized, "sizes")
     by_length = _repeated(sized, "bytes")
     survivors = stored(_repeated(sized.join(by_length, "bytes", "leftsemi"), "bytes", "head"), "survivors")
-    ids = sized.join(survivors, ["bytes", "head"], "leftsemi").select("doc_id").distinct()
+    ids = stored(sized.join(survivors, ["bytes", "head"], "leftsemi").select("doc_id").distinct(), "ids")
+    ids = small_side(ids.select(F.col("doc_id").alias(ID)), 32)
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    whole = whole.join(ids.select(F.col("doc_id").alias(ID)), F.col("doc_id").eqNullSafe(F.col(ID)), "leftsemi")
+    whole = whole.join(ids, F.col("doc_id").eqNullSafe(F.col(ID)), "leftsemi")
     hashed = whole.groupBy(F.sha2(text.cast("binary"), 256).alias("digest"), "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     hashed = stored(hashed, "digests")
     groups = hashed.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")).where("group_size > 1")
@@ -49,11 +50,12 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     Of equal texts the row with the smallest doc_id stays; of rows that repeat id and text, one stays.
     """
     groups = stored(exact_groups(docs, prefix), "groups")
-    lost = groups.where(~F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias(ID), F.col("digest").alias(DIGEST))
+    named = groups.select(F.col("doc_id").alias(ID), F.col("digest").alias(DIGEST), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("first"), "copies")
+    lost = small_side(named.where("not first").drop("first", "copies"), 128)
     same = F.col("doc_id").eqNullSafe(F.col(ID))
     digest = F.sha2(normalised(F.col("text")).cast("binary"), 256) == F.col(DIGEST)
     kept = docs.join(lost, same & digest, "leftanti")
-    again = groups.where("doc_id <=> keep_id and copies > 1").select(F.col("doc_id").alias(ID), F.col("digest").alias(DIGEST))
+    again = named.where("first and copies > 1").drop("first", "copies")
     if again.isEmpty():
         return kept
     repeated = kept.join(again, same & digest, "leftsemi")

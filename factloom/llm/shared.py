@@ -8,21 +8,22 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.session import scratch_path
+from factloom.session import materialised as stored  # noqa: F401
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """The table written once under the shared folder and read back: later uses do not recompute it."""
-    path = scratch_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+BROADCAST_BYTES = 16 << 20
+
+
+def small_side(side: DataFrame, row_bytes: int) -> DataFrame:
+    """A stored table as the side of a join: broadcast where its rows, counted here, fit the bound, else left to be shuffled."""
+    return F.broadcast(side) if side.count() * row_bytes <= BROADCAST_BYTES else side
 
 
 def qualified(spark: SparkSession, path: str) -> str:
@@ -98,24 +99,3 @@ _WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256
 def words(text: str) -> list[bytes]:
     """Lower-cased words in UTF-8: runs of ASCII letters and digits and of all other characters beyond ASCII."""
     return text.lower().encode("utf-8", "replace").translate(_WORD_BYTES).split()
-
-
-def numbered(df: DataFrame, group: list[str], order: list[str], out: str, partitions: int) -> DataFrame:
-    """Number the rows of each group from 0 in an order, without sorting a group in one task.
-
-    Rows are dealt by ranges of (group, order), written with the number of their range, counted per range, and numbered
-    inside it. Rows that are equal in the whole order are numbered in any order among themselves.
-    """
-    dealt = df.withColumn("_tie", F.monotonically_increasing_id())
-    keys = [*group, *order, "_tie"]
-    cut = stored(dealt.repartitionByRange(partitions, *keys).withColumn("_range", F.spark_partition_id()), "ranges")
-    sizes = cut.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*[F.col(g).alias(f"_g_{g}") for g in group], F.col("_range").alias("_g_range"),
-                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    same = F.col("_range") == F.col("_g_range")
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order, "_tie")).cast("long") - 1
-    return (cut.withColumn("_inside", inside).join(offsets, same).withColumn(out, F.col("_inside") + F.col("_before"))
-            .drop("_tie", "_range", "_inside", "_before", "_g_range", *[f"_g_{g}" for g in group]))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from factloom.llm.components import components
-from factloom.llm.shared import in_batches, stored
+from factloom.llm.shared import in_batches, small_side, stored
 
 SEED = 42
 ID, FP = "__factloom_id", "__factloom_fp"  # helper columns beside a caller's own
@@ -234,7 +234,7 @@ def near_dedup(docs: DataFrame, budget: int = 3) -> DataFrame:
     found = stored(simhash_components(docs, budget), "components")
     several = stored(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias(ID)), "several")
     same = F.col("doc_id").eqNullSafe(F.col(ID))
-    lost = found.where("doc_id <> component_id").select(F.col("doc_id").alias(ID)).unionByName(several)
+    lost = small_side(found.where("doc_id <> component_id").select(F.col("doc_id").alias(ID)).unionByName(several), 32)
     kept = docs.join(lost, same, "leftanti")
     if several.isEmpty():
         return kept
