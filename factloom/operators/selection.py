@@ -58,12 +58,13 @@ def low_confidence(facts: DataFrame, threshold: float = 0.7) -> DataFrame:
     return facts.where(F.col("is_canonical") & (F.col("confidence") < threshold))
 
 
-def list_documents(docs: DataFrame, status: str | None = None, name: str | None = None) -> DataFrame:
-    """Documents by status and by part of their name, case-insensitively."""
+def list_documents(docs: DataFrame, status: str | None = None, name: str | None = None,
+                   newest_first: str | None = None) -> DataFrame:
+    """Documents by status and by part of their name, case-insensitively; in the order of an upload time where one is named."""
     out = docs if status is None else docs.where(F.col("status") == status)
     if name:
         out = out.where(F.contains(F.lower("file_name"), F.lit(name.lower())))
-    return out
+    return out if newest_first is None else out.orderBy(F.desc(newest_first), F.asc("doc_id"))
 
 
 def filter_by_date(facts: DataFrame, lo: str | None, hi: str | None) -> DataFrame:

@@ -70,6 +70,15 @@ def chunk_documents(docs: DataFrame, doc_id: str, texts: Column, max_chars: int
     ).where(F.col("i").isNotNull()).select(doc_id, (F.col("i") + 1).alias("chunk_no"), "chunk")
 
 
+def chunk_blocks(blocks: DataFrame, key: str = "doc_id", pos: str = "page_or_index", max_chars: int = 3000) -> DataFrame:
+    """Chunks of a block table: the block texts of each document packed in the order of ``pos``.
+
+    Packing goes from block to block, so one document is one group; documents are as large as a file is.
+    """
+    texts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("at"), F.col("text").alias("t")))), lambda b: b["t"])
+    return chunk_documents(blocks.where("text is not null").groupBy(key).agg(texts.alias("_texts")), key, F.col("_texts"), max_chars)
+
+
 def sample_paragraphs(blocks: DataFrame, key: str = "doc_id", pos: str = "page_or_index",
                       head: int = 8, middle: int = 4, tail: int = 4, chars: int = 500,
                       budget: int = 6000) -> DataFrame:

@@ -362,6 +362,20 @@ def chunk_blocks(spark: SparkSession, folder: str) -> DataFrame:
     return sequence.chunk_documents(docs, "doc_id", F.split("text", "[.] "), 3000)
 
 
+SQL_BLOCK_CHUNKS = f"""WITH RECURSIVE {fx.DOC_BLOCKS.removeprefix("WITH ")},
+s AS (SELECT doc_id, t, length(t) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY page_or_index) AS k
+  FROM (SELECT doc_id, page_or_index, {fx.sql_strip('text')} AS t FROM blocks) WHERE t <> ''),
+r AS (SELECT doc_id, k, t, n + 1 AS used, 1 AS c FROM s WHERE k = 1
+  UNION ALL SELECT s.doc_id, s.k, s.t, CASE WHEN r.used + s.n > 3000 THEN s.n + 1 ELSE r.used + s.n + 1 END,
+    CASE WHEN r.used + s.n > 3000 THEN r.c + 1 ELSE r.c END FROM r JOIN s ON s.doc_id = r.doc_id AND s.k = r.k + 1)
+SELECT doc_id, c AS chunk_no, string_agg(t, chr(10) ORDER BY k) AS chunk FROM r GROUP BY doc_id, c"""
+
+
+@query("chunk_block_table", SQL_BLOCK_CHUNKS)
+def chunk_block_table(spark: SparkSession, folder: str) -> DataFrame:
+    return sequence.chunk_blocks(fx.blocks(spark, folder)).select("doc_id", "chunk_no", "chunk")
+
+
 @query("block_udtf", f"{fx.DOC_BLOCKS} SELECT doc_id, page_or_index AS block_index, block_type, text, section FROM blocks")
 def block_udtf(spark: SparkSession, folder: str) -> DataFrame:
     register(spark)
