@@ -22,7 +22,8 @@ from tokenizers import Tokenizer
 from factloom.llm.shared import in_batches, texts
 
 LATIN_END = "\u0250"
-CACHED = 150_000  # entries of each cache of a worker; the older half goes when it is full
+MARKS = ".,;:!?"
+CACHED = 150_000  # stretches of text in each generation of a worker's cache
 
 
 def byte_letters() -> list[str]:
@@ -35,12 +36,12 @@ def byte_letters() -> list[str]:
 class _Recent(dict):
     """A cache of two generations: an entry used since the last turn survives the next one."""
 
-    def __init__(self, make):
+    def __init__(self, make, size: int):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.size, self.old = make, size, {}
 
     def __missing__(self, key):
-        if len(self) >= CACHED:
+        if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         value = self.old.get(key)
@@ -72,17 +73,18 @@ class ForcedBpe:
         pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")
         self.pieces = regex.compile(pattern)
         self.letters = byte_letters()
-        # Beyond Latin, what is a letter depends on the Unicode version: there the library's own rules cut the pieces.
-        library = Tokenizer.from_file(path)
-        self.normalizer, self.pre_tokenizer = library.normalizer, library.pre_tokenizer
+        self.path = path
         bare = (t.removesuffix(self.suffix) for t in self.ids)
         self.joined = {pair for t in bare for pair in pairwise(t)}
-        self.fragment_ids = _Recent(self._merge)
-        self.chunks = _Recent(self._chunk)
+        self.fragment_ids = _Recent(self._merge, CACHED // 4)
+        self.chunks = _Recent(self._chunk, CACHED)
+        self.marks = {m: self._spelled(self._any_ids(m)) for m in MARKS}
 
     def forced_cuts(self, word: str) -> list[str]:
         """A word (in byte letters) cut wherever two letters stand side by side in no token."""
         joined, start, out = self.joined, 0, []
+        if joined.issuperset(pairwise(word)):
+            return [word]
         for at, pair in enumerate(pairwise(word), 1):
             if pair not in joined:
                 out.append(word[start:at])
@@ -106,33 +108,58 @@ class ForcedBpe:
                 found[at] = get((parts[at], parts[at + 1]), none)
         return [self.ids[p] for p in parts]
 
+    @functools.cached_property
+    def _library(self) -> Tokenizer:
+        return Tokenizer.from_file(self.path)
+
     def _words(self, text: str) -> list[str]:
         """Pieces of a text in byte letters."""
         if text and max(text) >= LATIN_END:
-            return [piece for piece, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text))]
+            # Beyond Latin, what is a letter depends on the Unicode version: there the library's own rules cut the pieces.
+            rules = self._library
+            return [piece for piece, _ in rules.pre_tokenizer.pre_tokenize_str(rules.normalizer.normalize_str(text))]
         text = unicodedata.normalize("NFC", text).lower()
         return ["".join([self.letters[b] for b in piece.encode()]) for piece in self.pieces.findall(text)]
 
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes, list[int]]:
-        """Decimal ids, decoded text and ids of a stretch without blank or line feed."""
+    def _word_ids(self, word: str) -> list[int]:
+        *inner, last = self.forced_cuts(word)
+        ids = self.fragment_ids[last, True]
+        return [n for fragment in inner for n in self.fragment_ids[fragment, False]] + ids if inner else ids
+
+    def _chunk(self, chunk: str) -> tuple[bytes, bytes, int]:
+        """Decimal ids, decoded text and number of ids of a stretch without blank or line feed."""
+        if chunk[-1] in MARKS and chunk[-2:-1].isalpha() and chunk[-2] < LATIN_END:
+            # A mark after a letter is a piece of its own, as the stretch before it is.
+            ids, decoded, n = self.chunks[chunk[:-1]]
+            more, text, one = self.marks[chunk[-1]]
+            return ids + b" " + more, decoded + b" " + text, n + one
+        if chunk.isalpha() and max(chunk) < LATIN_END and (low := chunk.lower()).isalpha():
+            # Latin letters only: one piece, and composed already.
+            return self.chunks[low] if low != chunk else self._spelled(self._word_ids(self._in_letters(low)))
+        return self._spelled(self._any_ids(chunk))
+
+    def _in_letters(self, piece: str) -> str:
+        return piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+
+    def _any_ids(self, text: str) -> list[int]:
         ids: list[int] = []
-        for part in self.special_cut.split(chunk) if self.special_cut else [chunk]:
+        for part in self.special_cut.split(text) if self.special_cut else [text]:
             if part in self.special:
                 ids.append(self.special[part])
-                continue
-            for word in self._words(part):
-                *inner, last = self.forced_cuts(word)
-                for fragment in inner:
-                    ids += self.fragment_ids[fragment, False]
-                ids += self.fragment_ids[last, True]
-        return " ".join(map(str, ids)).encode(), self.decode(ids).encode(), ids
-
-    def _stretches(self, text: str) -> list[tuple[bytes, bytes, list[int]]]:
+            else:
+                for word in self._words(part):
+                    ids += self._word_ids(word)
+        return ids
+
+    def _spelled(self, ids: list[int]) -> tuple[bytes, bytes, int]:
+        return " ".join(map(str, ids)).encode(), self.decode(ids).encode(), len(ids)
+
+    def _stretches(self, text: str) -> list[tuple[bytes, bytes, int]]:
         chunks = self.chunks
         return [x for x in [chunks[c] for c in text.replace("\n", " ").split(" ") if c] if x[2]]
 
     def encode(self, text: str) -> list[int]:
-        return [n for _, _, ids in self._stretches(text) for n in ids]
+        return [int(n) for ids, _, _ in self._stretches(text) for n in ids.split()]
 
     def decode(self, ids: list[int]) -> str:
         """Token texts joined by one space: the file names no decoder."""
@@ -141,7 +168,7 @@ class ForcedBpe:
     def digests(self, text: str) -> tuple[int, str, str]:
         """Number of ids, sha256 of the decimal ids joined by spaces, sha256 of the decoded text."""
         parts = self._stretches(text)
-        return (sum([len(p[2]) for p in parts]), hashlib.sha256(b" ".join([p[0] for p in parts])).hexdigest(),
+        return (sum([p[2] for p in parts]), hashlib.sha256(b" ".join([p[0] for p in parts])).hexdigest(),
                 hashlib.sha256(b" ".join([p[1] for p in parts])).hexdigest())
 
 
