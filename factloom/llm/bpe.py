@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 from factloom.llm.shared import in_batches, texts
 
@@ -63,8 +64,8 @@ class ForcedBpe:
             raise ValueError(f"{path} is not a vocabulary of the kind that this operator encodes")
         self.ids: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"] or ""
-        pairs = (tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"])
-        self.ranks = {pair: n for n, pair in enumerate(pairs)}
+        self.merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.model = BPE(self.ids, self.merges, end_of_word_suffix=self.suffix)
         self.tokens = {n: t for t, n in self.ids.items()}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {n: t for t, n in special.items()}
@@ -93,20 +94,14 @@ class ForcedBpe:
         return out
 
     def _merge(self, fragment: tuple[str, bool]) -> list[int]:
-        """Merge the pair of lowest rank, leftmost first, until no known pair is left."""
-        word, ends = fragment
-        parts = [*word[:-1], word[-1] + self.suffix] if ends else list(word)
-        get, none = self.ranks.get, len(self.ranks)
-        found = [get(p, none) for p in pairwise(parts)]
-        while found and (best := min(found)) < none:
-            at = found.index(best)
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-            del found[at]
-            if at:
-                found[at - 1] = get((parts[at - 1], parts[at]), none)
-            if at < len(found):
-                found[at] = get((parts[at], parts[at + 1]), none)
-        return [self.ids[p] for p in parts]
+        """Ids of one fragment on its own: merges of the lowest rank first, with or without the word end."""
+        letters, ends = fragment
+        model = self.model if ends else self._inner_model
+        return [t.id for t in model.tokenize(letters)]
+
+    @functools.cached_property
+    def _inner_model(self) -> BPE:
+        return BPE(self.ids, self.merges)
 
     @functools.cached_property
     def _library(self) -> Tokenizer:
@@ -123,7 +118,7 @@ class ForcedBpe:
 
     def _word_ids(self, word: str) -> list[int]:
         *inner, last = self.forced_cuts(word)
-        ids = self.fragment_ids[last, True]
+        ids = self.fragment_ids[last, True] if inner else self._merge((last, True))
         return [n for fragment in inner for n in self.fragment_ids[fragment, False]] + ids if inner else ids
 
     def _chunk(self, chunk: str) -> tuple[bytes, bytes, int]:
