@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import stored
+from factloom.llm.shared import small_batches, stored
 
 LEAST_PAGES = 3  # different pages that must agree before a constant slot counts as template
 HOSTS_HELD = 1_000  # partial wrappers that a task holds before it passes them on
@@ -330,7 +330,7 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
             whole = own if whole is None else whole.add(own)
         return group.slice(0, 1).set_column(group.column_names.index("wrapper"), "wrapper", pa.array([whole.dump()]))
 
-    parts = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(partial, "host string, salt int, wrapper string")
+    parts = small_batches(pages.select(host_of(F.col("url")).alias("host"), "html")).mapInArrow(partial, "host string, salt int, wrapper string")
     salted = parts.groupBy("host", "salt").applyInArrow(merge, "host string, salt int, wrapper string")
     return salted.groupBy("host").applyInArrow(merge, "host string, salt int, wrapper string").select("host", "wrapper")
 

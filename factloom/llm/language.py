@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import in_batches, kept_rows, remainder
+from factloom.llm.shared import in_batches, kept_rows, remainder, small_batches
 
 UNKNOWN = "und"
 WIDTHS = (3, 5)  # bytes of an n-gram
@@ -170,7 +170,7 @@ def _gram_counts(rows: DataFrame) -> DataFrame:
         for lang in [*held]:
             yield passed_on(lang)
 
-    return rows.select("text", "lang").mapInArrow(count, "gram long, lang string, n long")
+    return small_batches(rows.select("text", "lang")).mapInArrow(count, "gram long, lang string, n long")
 
 
 # ---------------------------------------------------------------- deciding

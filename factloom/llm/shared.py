@@ -52,6 +52,17 @@ def atomic_file(folder: str, name: str):
     fs.move(part, target)
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches are set to 2 000 rows where nobody has set them: texts are long rows."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_ROWS) == "10000":
+        conf.set(BATCH_ROWS, "2000")
+    return df
+
+
 def in_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """Apply a function from an Arrow batch to columns, batch by batch; nothing is kept between batches."""
 
@@ -63,7 +74,7 @@ def in_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: st
                 columns = rows(batch)
                 yield pa.RecordBatch.from_arrays([_array(columns[n]) for n in names], names=names)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def _array(values) -> pa.Array:
@@ -90,7 +101,7 @@ def kept_rows(df: DataFrame, columns: list[str], keep: Callable[[pa.RecordBatch]
                 seen = pa.RecordBatch.from_arrays([batch.column(p) for p in places], names=columns)
                 yield batch.filter(pa.array(keep(seen), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)
 
 
 _WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import in_batches, remainder, words
+from factloom.llm.shared import in_batches, remainder, small_batches, words
 
 PER_CLASS = 8_000  # labelled documents of each class that the model is learned from, in expectation
 STEMS = (9, 8, 7, 6, 5, 4)  # letters of the word beginnings that stand in for words the model does not know
@@ -128,7 +128,7 @@ def _token_counts(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.binary()), *(pa.array([c[t] for t in tokens], pa.int64()) for c in by_token)],
                                              names=["token", "clean", "toxic"])
 
-    return rows.select("toxic", "text").mapInArrow(count, "token binary, clean long, toxic long")
+    return small_batches(rows.select("toxic", "text")).mapInArrow(count, "token binary, clean long, toxic long")
 
 
 def log_odds(clean, toxic, all_clean: float, all_toxic: float):
