@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from factloom.llm.bpe import LATIN_END, byte_letters
-from factloom.llm.shared import atomic_file, file_system, qualified, stored
+from factloom.llm.shared import atomic_file, file_system, qualified, small_batches, stored
 from factloom.session import scratch_path
 
 MAGIC = b"FLTOKEN1"
@@ -41,6 +41,7 @@ CACHED = 400_000  # fragments in each generation of a worker's cache
 
 # The letter that stands for each byte in a byte-level vocabulary.
 BYTE_LETTERS = dict(enumerate(byte_letters()))
+BLANK = BYTE_LETTERS[ord(" ")]
 
 
 class _Fragments(dict):
@@ -72,7 +73,10 @@ class _Fragments(dict):
         word = text[1:] if text[0] == " " else text
         if word.isalpha() and max(word) < LATIN_END:
             # Latin letters after at most one blank are a single piece: only the model has work to do.
-            letters = text.encode().decode("latin-1").translate(BYTE_LETTERS)
+            if word.isascii():
+                letters = word if word is text else BLANK + word
+            else:
+                letters = text.encode().decode("latin-1").translate(BYTE_LETTERS)
             return array(self.code, [t.id for t in self.model.tokenize(letters)]).tobytes()
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
@@ -100,15 +104,14 @@ class Encoder:
         if not text:
             return b""
         if self._plain(text):
-            lines = [line.split(" ") for line in text.split("\n")]
-            if sum(map(len, lines)) == len(text.split()):
-                later, parts = self.later, []
-                for n, words in enumerate(lines):
-                    if n:
-                        parts.append(self.first["\n"])
-                    parts.append(self.first[words[0]])
-                    parts += [later[w] for w in words[1:]]
-                return b"".join(parts)
+            lines = text.split("\n")
+            # Printable characters are no white space but the blank.
+            if all(map(str.isprintable, lines)):
+                later, feed, parts = self.later.__getitem__, self.first["\n"], []
+                for line in lines:
+                    first, *words = line.split(" ")
+                    parts += [feed, self.first[first], *map(later, words)]
+                return b"".join(parts[1:])
         words = self.single_space.split(text)
         return self.first[words[0]] + b"".join([self.later[w] for w in words[1:]])
 
@@ -268,7 +271,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int | None = None, *, s
                     names=["doc_id", "seen", "shard", "offset", "n"])
                 batch = next(batches, None)
 
-    places = stored(dealt.mapInArrow(write, "doc_id long, seen long, shard int, offset long, n long"), "places")
+    places = stored(small_batches(dealt).mapInArrow(write, "doc_id long, seen long, shard int, offset long, n long"), "places")
     width = encoder(tokenizer).width
     return {"folder": folder, "width": width, **index_store(places, folder, width, part_keys)}
 
