@@ -27,6 +27,7 @@ SALTS = 32  # parts in which the partial wrappers of one host are first merged
 # Elements by their role in HTML, and names by which pages mark what is no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe title svg math object".split())
+FOREIGN = frozenset("svg math object".split())  # RAW elements that may close themselves, and whose missing end tag hides nothing
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
     h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul caption""".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -48,6 +49,12 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 
 
+def _names_aside(token: str) -> bool:
+    """Whether a class or id says no article with all its words: ``cookie-notice`` does, ``has-sidebar`` and ``post-tags`` do not."""
+    names = [n.lower() for n in _NAME.findall(token)]
+    return bool(names) and ASIDE_NAMES.issuperset(names)
+
+
 class Node:
     """An element: tag, kind (tag with class and id), whether it is marked as no article, and what it contains."""
 
@@ -63,7 +70,7 @@ class Node:
                 self.kind = f"{tag}.{'.'.join(dict.fromkeys(names))}"
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
             if tag not in KEPT_TAGS:
-                self.aside |= bool(ASIDE_NAMES.intersection(names)) or found.get("role", "").lower() in ASIDE_ROLES or hidden
+                self.aside |= any(_names_aside(token) for token in named.split()) or found.get("role", "").lower() in ASIDE_ROLES or hidden
 
     def children(self) -> Iterator[Node]:
         return (c for c in self.content if isinstance(c, Node))
@@ -108,10 +115,14 @@ def parse(page: str) -> Node:
             _close_implied(stack, tag)
             node = Node(tag, found[3])
             stack[-1].content.append(node)
+            closed = found[3].rstrip().endswith("/")
             if tag in RAW:
+                if closed and tag in FOREIGN:
+                    for_text = stack[-1].content
+                    continue
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-            elif tag not in VOID and not found[3].rstrip().endswith("/"):
+                at = end.end() if end else at if tag in FOREIGN else len(page)
+            elif tag not in VOID and not closed:
                 stack.append(node)
         for_text = stack[-1].content
 

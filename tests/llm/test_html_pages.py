@@ -32,6 +32,19 @@ def test_odd_pages(page, want):
     assert text(page) == want
 
 
+@pytest.mark.parametrize("name", ["content-with-sidebar", "has-sidebar", "no-ads", "article-header", "post-tags", "search-result", "legal-text", "hasSidebar"])
+def test_names_that_only_mention_an_aside_keep_their_text(name):
+    assert text(f"<div class='{name}'><p>story</p></div><div class='wide cookie-notice'>c</div><div id=sidebar>s</div>") == "story"
+
+
+@pytest.mark.parametrize("page,want", [
+    ("<p>a</p><svg width=1 /><p>b</p><svg><text>no</text></svg><p>c</p>", "a\nb\nc"), ("<p>a<math/>b</p><p>c</p>", "ab\nc"),
+    ("<p>a</p><object data='x' /><p>b</p>", "a\nb"), ("<p>a</p><svg><p>b</p>", "a\nb"), ("<p>a</p><object>no</object><p>b</p>", "a\nb"),
+])
+def test_foreign_elements_swallow_no_text(page, want):
+    assert text(page) == want
+
+
 def random_tree(rng, depth):
     kids = [random_tree(rng, depth - 1) for _ in range(rng.randrange(4))] if depth else []
     return [rng.choice("abc"), 1, 0, True, kids]
