@@ -146,7 +146,8 @@ def _close_implied(stack: list[Node], tag: str) -> None:
 
 
 # ---------------------------------------------------------------- wrappers
-# A wrapper node is [kind, pages, text hash, constant, children]; a page is a wrapper of one page.
+# A wrapper node is [kind, pages, text hash, constant, children]; a page is a wrapper of one page. Trees may be as deep as pages
+# like: all walks have stacks of their own, and what is stored is flat.
 
 
 def folded(node: Node, members: list | None = None) -> list:
@@ -154,16 +155,30 @@ def folded(node: Node, members: list | None = None) -> list:
 
     ``members`` gets (slot, elements) pairs, for taking decisions about slots back to the page.
     """
-    return _fold([node], members)
+    top = _slot([node])
+    todo = [(top, [node])]
+    while todo:
+        slot, nodes = todo.pop()
+        if members is not None:
+            members.append((slot, nodes))
+        for group in _groups(nodes):
+            child = _slot(group)
+            slot[4].append(child)
+            todo.append((child, group))
+    return top
+
+
+def _slot(nodes: list[Node]) -> list:
+    own = [c for node in nodes for c in node.content if isinstance(c, str)]
+    text = _SPACE.sub(" ", html.unescape(" ".join(own))).strip()
+    return [nodes[0].kind, 1, xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) if text else 0, True, []]
 
 
-def _fold(nodes: list[Node], members: list | None) -> list:
-    own, groups = [], []
+def _groups(nodes: list[Node]) -> list[list[Node]]:
+    groups: list[list[Node]] = []
     for node in nodes:
-        for c in node.content:
-            if isinstance(c, str):
-                own.append(c)
-            elif groups and groups[-1][0].kind == c.kind:
+        for c in node.children():
+            if groups and groups[-1][0].kind == c.kind:
                 groups[-1].append(c)
             else:
                 groups.append([c])
@@ -173,26 +188,37 @@ def _fold(nodes: list[Node], members: list | None) -> list:
         for group in groups:
             by_kind.setdefault(group[0].kind, []).extend(group)
         groups = list(by_kind.values())
-    text = _SPACE.sub(" ", html.unescape(" ".join(own))).strip()
-    slot = [nodes[0].kind, 1, xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) if text else 0, True, [_fold(g, members) for g in groups]]
-    if members is not None:
-        members.append((slot, nodes))
-    return slot
-
-
-def alignment(left: list, right: list) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: largest number of matched nodes of two trees, and the matched places among their children."""
-    if left[0] != right[0]:
-        return 0, []
-    a, b = left[4], right[4]
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    score = {}
-    for i in range(len(a)):
-        for j in range(len(b)):
-            if a[i][0] == b[j][0]:
-                score[i, j] = alignment(a[i], b[j])[0]
+    return groups
+
+
+def alignments(left: list, right: list) -> dict[tuple[int, int], tuple[int, list[tuple[int, int]]]]:
+    """Simple tree matching of two trees of equal root: per pair of slots (by ``id``) that can meet, see ``alignment``."""
+    found: dict[tuple[int, int], tuple[int, list[tuple[int, int]]]] = {}
+    todo = [(left, right, None)]
+    while todo:
+        one, two, same = todo.pop()
+        if same is None:
+            places: dict[str, list[int]] = {}
+            for j, slot in enumerate(two[4]):
+                places.setdefault(slot[0], []).append(j)
+            same = [(i, j) for i, slot in enumerate(one[4]) for j in places.get(slot[0], ())]
+            todo.append((one, two, same))
+            todo += [(one[4][i], two[4][j], None) for i, j in same]
+        else:
+            score = {(i, j): found[id(one[4][i]), id(two[4][j])][0] for i, j in same}
+            found[id(one), id(two)] = _aligned(len(one[4]), len(two[4]), score)
+    return found
+
+
+def _aligned(m: int, n: int, score: dict[tuple[int, int], int]) -> tuple[int, list[tuple[int, int]]]:
+    pairs = sorted(score)
+    if all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:])):
+        return sum(score.values()) + 1, pairs  # no two pairs compete
+    best = [[0] * (n + 1) for _ in range(m + 1)]
+    for i in range(m):
+        for j in range(n):
             best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + score.get((i, j), 0))
-    pairs, i, j = [], len(a), len(b)
+    pairs, i, j = [], m, n
     while i and j:
         if (i - 1, j - 1) in score and best[i][j] == best[i - 1][j - 1] + score[i - 1, j - 1]:
             pairs.append((i - 1, j - 1))
@@ -204,20 +230,52 @@ def alignment(left: list, right: list) -> tuple[int, list[tuple[int, int]]]:
     return best[-1][-1] + 1, pairs[::-1]
 
 
+def alignment(left: list, right: list) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching: largest number of matched nodes of two trees, and the matched places among their children."""
+    return alignments(left, right)[id(left), id(right)] if left[0] == right[0] else (0, [])
+
+
 def merged(left: list, right: list) -> list:
     """One wrapper out of two with equal root: matched nodes are counted together, the others stay in their place."""
-    _, pairs = alignment(left, right)
-    kids, i, j = [], 0, 0
-    for p, q in [*pairs, (len(left[4]), len(right[4]))]:
-        kids += left[4][i:p] + right[4][j:q]
-        if p < len(left[4]) and q < len(right[4]):
-            kids.append(merged(left[4][p], right[4][q]))
-        i, j = p + 1, q + 1
-    return [left[0], left[1] + right[1], left[2], left[3] and right[3] and left[2] == right[2], kids]
+    found = alignments(left, right)
+    top = _joined(left, right)
+    todo = [(left, right, top)]
+    while todo:
+        one, two, whole = todo.pop()
+        kids, i, j = whole[4], 0, 0
+        for p, q in found[id(one), id(two)][1]:
+            kids += one[4][i:p] + two[4][j:q]
+            kids.append(_joined(one[4][p], two[4][q]))
+            todo.append((one[4][p], two[4][q], kids[-1]))
+            i, j = p + 1, q + 1
+        kids += one[4][i:] + two[4][j:]
+    return top
+
+
+def _joined(left: list, right: list) -> list:
+    return [left[0], left[1] + right[1], left[2], left[3] and right[3] and left[2] == right[2], []]
+
+
+def flat(tree: list) -> list:
+    """The nodes of a tree, parents first, with the number of children in place of the children."""
+    out, todo = [], [tree]
+    while todo:
+        slot = todo.pop()
+        out.append([*slot[:4], len(slot[4])])
+        todo += reversed(slot[4])
+    return out
+
+
+def nested(nodes: list) -> list:
+    """The tree of ``flat`` nodes."""
+    todo: list = []
+    for *slot, count in reversed(nodes):
+        todo.append([*slot, [todo.pop() for _ in range(count)]])
+    return todo[0]
 
 
 def _digest(tree: list) -> int:
-    return xxhash.xxh64_intdigest(json.dumps(tree))
+    return xxhash.xxh64_intdigest(json.dumps(flat(tree)))
 
 
 class Wrapper:
@@ -234,11 +292,12 @@ class Wrapper:
         return Wrapper(merged(self.tree, other.tree), sorted({*self.seen, *other.seen})[:LEAST_PAGES])
 
     def dump(self) -> str:
-        return json.dumps([self.tree, self.seen])
+        return json.dumps([flat(self.tree), self.seen])
 
     @classmethod
     def load(cls, text: str) -> Wrapper:
-        return cls(*json.loads(text))
+        nodes, seen = json.loads(text)
+        return cls(nested(nodes), seen)
 
     def mark(self, page: Node) -> None:
         """Mark the elements of a page that stand in a template slot: the same text on all pages, of which enough differ."""
@@ -247,36 +306,37 @@ class Wrapper:
         members: list = []
         tree = folded(page, members)
         of = {id(slot): nodes for slot, nodes in members}
+        found = alignments(self.tree, tree)
         pages, todo = self.tree[1], [(self.tree, tree)]
         while todo:
             slot, own = todo.pop()
             if slot[3] and slot[1] == pages and slot[2]:
                 for node in of[id(own)]:
                     node.template = True
-            todo += [(slot[4][p], own[4][q]) for p, q in alignment(slot, own)[1]]
+            todo += [(slot[4][p], own[4][q]) for p, q in found[id(slot), id(own)][1]]
 
 
 # ---------------------------------------------------------------- text
 
 
-def _blocks(node: Node, out: list[list[str]]) -> None:
-    if node.aside:
-        return
-    block = node.tag in BLOCKS
-    if block:
-        out.append([])
-    for c in node.content:
-        if isinstance(c, str):
-            if not node.template:
-                out[-1].append(c)
-        elif c.tag in ("br", "td", "th"):
-            out[-1].append(" ")
-            _blocks(c, out)
-            out[-1].append(" ")
+def _blocks(top: Node, out: list[list[str]]) -> None:
+    todo: list = [top]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, str):
+            out[-1].append(at)
+        elif at is None:
+            out.append([])
         else:
-            _blocks(c, out)
-    if block:
-        out.append([])
+            if at is not top and at.tag in ("br", "td", "th"):
+                out[-1].append(" ")
+                todo.append(" ")
+            if at.aside:
+                continue
+            if at.tag in BLOCKS:
+                out.append([])
+                todo.append(None)
+            todo += [c for c in reversed(at.content) if not (at.template and isinstance(c, str))]
 
 
 def block_texts(node: Node) -> list[str]:

@@ -76,6 +76,13 @@ def test_alignment_is_simple_tree_matching(seed):
         assert size(h.merged(a, b)) == size(a) + size(b) - score
 
 
+@pytest.mark.parametrize("start,end", [("<div>", "</div>"), ("<font>", ""), ("<a name=x>", "")])
+def test_deep_pages(spark, start, end):
+    rows = [(n, "http://a.example", "<p>top</p>" + start * 5_000 + f"text {n}" + end * 5_000) for n in range(4)]
+    got = {r["page_id"]: r["text"] for r in h.extract_pages(spark.createDataFrame(rows, PAGES).repartition(2)).collect()}
+    assert [got[n].split("\n")[-1] for n in range(4)] == [f"text {n}" for n in range(4)]
+
+
 def site(n, body):
     return f"<html><body><div>My site</div><div class=x>{body}</div><p>Call us</p><p class=y>Number {n}</p></body></html>"
 
