@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper induction over the pages of a host.
 
 Each page becomes a tree; neighbouring siblings of one kind (tag, class, id) fold into one node. Trees of a host are aligned by
-simple tree matching into one wrapper per host: a slot with the same text on every page is template, a slot whose
-text varies is content. Regions that by name are no article (menus, headers, footers, adverts, ...) are left out as well.
+simple tree matching into one wrapper per host: text that a slot shows on nearly every page that has the slot is template, a slot whose
+text varies is content. Pages count once per host and content, so copies show no template. Regions that by name are no article (menus, headers, footers, adverts, ...) are left out as well.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 
 from factloom.llm.shared import small_batches, stored
 
-LEAST_PAGES = 3  # different pages that must agree before a constant slot counts as template
+LEAST_PAGES = 3  # pages of different content that must have a slot before a text of it counts as template
+SHARE = 0.9  # part of the pages with a slot that must show the same text there
+SPREAD = 0.1  # part of the pages of the host that must have the slot
+TEXTS = 16  # texts counted per slot
 HOSTS_HELD = 1_000  # partial wrappers that a task holds before it passes them on
 SALTS = 32  # parts in which the partial wrappers of one host are first merged
 
@@ -146,12 +149,13 @@ def _close_implied(stack: list[Node], tag: str) -> None:
 
 
 # ---------------------------------------------------------------- wrappers
-# A wrapper node is [kind, pages, text hash, constant, children]; a page is a wrapper of one page. Trees may be as deep as pages
+# A wrapper node is [kind, pages, texts, pages whose text is not counted, children], with texts as a list of [hash, pages], or 0 where no
+# page has text; a page is a wrapper of one page. Texts that are no article are not in it. Trees may be as deep as pages
 # like: all walks have stacks of their own, and what is stored is flat.
 
 
 def folded(node: Node, members: list | None = None) -> list:
-    """Page tree as a wrapper of one page; siblings of one kind side by side are one slot.
+    """Page tree without what is marked as no article, as a wrapper of one page; siblings of one kind side by side are one slot.
 
     ``members`` gets (slot, elements) pairs, for taking decisions about slots back to the page.
     """
@@ -171,13 +175,15 @@ def folded(node: Node, members: list | None = None) -> list:
 def _slot(nodes: list[Node]) -> list:
     own = [c for node in nodes for c in node.content if isinstance(c, str)]
     text = _SPACE.sub(" ", html.unescape(" ".join(own))).strip()
-    return [nodes[0].kind, 1, xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) if text else 0, True, []]
+    return [nodes[0].kind, 1, [[xxhash.xxh64_intdigest(text.encode("utf-8", "replace")), 1]] if text else 0, 0, []]
 
 
 def _groups(nodes: list[Node]) -> list[list[Node]]:
     groups: list[list[Node]] = []
     for node in nodes:
         for c in node.children():
+            if c.aside:
+                continue
             if groups and groups[-1][0].kind == c.kind:
                 groups[-1].append(c)
             else:
@@ -253,7 +259,17 @@ def merged(left: list, right: list) -> list:
 
 
 def _joined(left: list, right: list) -> list:
-    return [left[0], left[1] + right[1], left[2], left[3] and right[3] and left[2] == right[2], []]
+    if not left[2] or not right[2]:
+        return [left[0], left[1] + right[1], left[2] or right[2], left[3] + right[3], []]
+    texts = dict(left[2])
+    for text, n in right[2]:
+        texts[text] = texts.get(text, 0) + n
+    lost = 0
+    if len(texts) > TEXTS:
+        # Misra-Gries: what is taken off all counters is at most a seventeenth of the pages, and none of a text that is on all.
+        lost = sorted(texts.values())[-TEXTS - 1]
+        texts = {t: n - lost for t, n in texts.items() if n > lost}
+    return [left[0], left[1] + right[1], sorted(map(list, texts.items())), left[3] + right[3] + lost, []]
 
 
 def flat(tree: list) -> list:
@@ -274,43 +290,54 @@ def nested(nodes: list) -> list:
     return todo[0]
 
 
-def _digest(tree: list) -> int:
-    return xxhash.xxh64_intdigest(json.dumps(flat(tree)))
+def content_digest(tree: list) -> int:
+    """Hash of the texts of a one-page wrapper: what makes it another page, whatever its adverts, menus and class names are."""
+    return xxhash.xxh64_intdigest(json.dumps([slot[2][0][0] for slot in flat(tree) if slot[2]]))
 
 
 class Wrapper:
-    """The wrapper of a host: aligned tree, and up to ``LEAST_PAGES`` digests of different pages in it."""
-
-    def __init__(self, tree: list, seen: list[int]):
-        self.tree, self.seen = tree, seen
+    """The wrapper of a host: aligned tree of its pages of different content."""
 
-    @classmethod
-    def of_page(cls, tree: list) -> Wrapper:
-        return cls(tree, [_digest(tree)])
+    def __init__(self, tree: list):
+        self.tree = tree
 
     def add(self, other: Wrapper) -> Wrapper:
-        return Wrapper(merged(self.tree, other.tree), sorted({*self.seen, *other.seen})[:LEAST_PAGES])
+        return Wrapper(merged(self.tree, other.tree))
 
     def dump(self) -> str:
-        return json.dumps([flat(self.tree), self.seen])
+        return json.dumps(flat(self.tree))
 
     @classmethod
     def load(cls, text: str) -> Wrapper:
-        nodes, seen = json.loads(text)
-        return cls(nested(nodes), seen)
+        return cls(nested(json.loads(text)))
+
+    def template_of(self, slot: list) -> int | None:
+        """Hash of the text that nearly all pages with the slot show in it; none where too few pages have the slot."""
+        if not slot[2] or slot[1] < max(LEAST_PAGES, SPREAD * self.tree[1]):
+            return None
+        text, n = max(slot[2], key=lambda t: t[1])
+        return text if n + slot[3] >= SHARE * slot[1] else None
+
+    def decided(self) -> Wrapper:
+        """The same wrapper with nothing but the template text of each slot, as small as rows that carry it should be."""
+        nodes = []
+        for kind, pages, texts, lost, count in flat(self.tree):
+            text = self.template_of([kind, pages, texts, lost])
+            nodes.append([kind, pages, [[text, pages]] if text is not None else 0, 0, count])
+        return Wrapper(nested(nodes))
 
     def mark(self, page: Node) -> None:
-        """Mark the elements of a page that stand in a template slot: the same text on all pages, of which enough differ."""
-        if len(self.seen) < LEAST_PAGES:
+        """Mark the elements of a page whose text is the template text of their slot."""
+        if self.tree[1] < LEAST_PAGES:
             return
         members: list = []
         tree = folded(page, members)
         of = {id(slot): nodes for slot, nodes in members}
         found = alignments(self.tree, tree)
-        pages, todo = self.tree[1], [(self.tree, tree)]
+        todo = [(self.tree, tree)]
         while todo:
             slot, own = todo.pop()
-            if slot[3] and slot[1] == pages and slot[2]:
+            if own[2] and own[2][0][0] == self.template_of(slot):
                 for node in of[id(own)]:
                     node.template = True
             todo += [(slot[4][p], own[4][q]) for p, q in found[id(slot), id(own)][1]]
@@ -371,10 +398,22 @@ def host_of(url):
 def induce_wrappers(pages: DataFrame) -> DataFrame:
     """``(host, wrapper)`` from all of ``pages(url, html)``.
 
-    Tasks fold the pages they read into one partial wrapper per host; only partial wrappers are shuffled, first merged in
-    ``SALTS`` parts per host, then per host.
+    Pages become small trees of hashes, of which one per host and content stays. Tasks fold the trees they read into one
+    partial wrapper per host; partial wrappers are first merged in ``SALTS`` parts per host, then per host.
     """
 
+    def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hosts, digests, found = [], [], []
+            for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
+                if text := page.as_py():
+                    tree = folded(parse(text))
+                    hosts.append(host)
+                    digests.append(content_digest(tree) - (1 << 63))
+                    found.append(Wrapper(tree).dump())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()), pa.array(found, pa.string())],
+                                             names=["host", "content", "wrapper"])
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Wrapper] = {}
         number = TaskContext.get().partitionId()
@@ -386,12 +425,11 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
-                if text := page.as_py():
-                    own = Wrapper.of_page(folded(parse(text)))
-                    held[host] = held[host].add(own) if host in held else own
-                    if len(held) >= HOSTS_HELD:
-                        yield passed_on()
+            for host, tree in zip(batch.column("host").to_pylist(), batch.column("wrapper").to_pylist()):
+                own = Wrapper.load(tree)
+                held[host] = held[host].add(own) if host in held else own
+                if len(held) >= HOSTS_HELD:
+                    yield passed_on()
         yield passed_on()
 
     def merge(group: pa.Table) -> pa.Table:
@@ -401,9 +439,16 @@ def induce_wrappers(pages: DataFrame) -> DataFrame:
             whole = own if whole is None else whole.add(own)
         return group.slice(0, 1).set_column(group.column_names.index("wrapper"), "wrapper", pa.array([whole.dump()]))
 
-    parts = small_batches(pages.select(host_of(F.col("url")).alias("host"), "html")).mapInArrow(partial, "host string, salt int, wrapper string")
+    def last(group: pa.Table) -> pa.Table:
+        whole = merge(group)
+        decided = Wrapper.load(whole.column("wrapper")[0].as_py()).decided()
+        return whole.set_column(whole.column_names.index("wrapper"), "wrapper", pa.array([decided.dump()]))
+
+    read = small_batches(pages.select(host_of(F.col("url")).alias("host"), "html")).mapInArrow(trees, "host string, content long, wrapper string")
+    different = read.groupBy("host", "content").agg(F.min("wrapper").alias("wrapper")).select("host", "wrapper")
+    parts = different.mapInArrow(partial, "host string, salt int, wrapper string")
     salted = parts.groupBy("host", "salt").applyInArrow(merge, "host string, salt int, wrapper string")
-    return salted.groupBy("host").applyInArrow(merge, "host string, salt int, wrapper string").select("host", "wrapper")
+    return salted.groupBy("host").applyInArrow(last, "host string, salt int, wrapper string").select("host", "wrapper")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -98,6 +98,32 @@ def test_constant_slots_are_template_and_varying_ones_content(spark):
     assert got[20] == "My site\none page\nCall us\nNumber 1" and got[22] == got[23] == ""
 
 
+def test_template_of_nearly_all_pages(spark):
+    rows = [(n, "http://a.example", site(n, f"<p>text {n}</p>")) for n in range(40)]
+    rows += [(40, "http://a.example", "<html><body><h2>Error</h2></body></html>"), (41, "http://a.example", site(41, "<p>text 41</p>").replace("Call us", "Write to us"))]
+    rows += [(100 + n, "http://b.example", f"<html><body><ul class=menu><li>m{n}</ul><div class=ad>{n}</div><p>one story</p></body></html>") for n in range(9)]
+    rows += [(200 + n, "http://c.example", f"<p>copied</p><b>{min(n, 5)}</b>") for n in range(60)]
+    got = {r["page_id"]: r["text"] for r in h.extract_pages(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+    assert [got[n] for n in range(40)] == [f"text {n}\nNumber {n}" for n in range(40)]
+    assert got[40] == "Error" and got[41] == "text 41\nWrite to us\nNumber 41"
+    assert {got[100 + n] for n in range(9)} == {"one story"}  # adverts and menus make no other page
+    assert [got[200 + n] for n in range(60)] == [str(min(n, 5)) for n in range(60)]  # copies count once
+
+
+def test_bounded_texts_find_the_frequent_one():
+    rng = random.Random(1)
+    pages = [["p", 1, [[7 if n % 20 else n + 100, 1]], 0, []] for n in range(2_000)]
+    rng.shuffle(pages)
+    whole = pages[0]
+    for page in pages[1:]:
+        whole = h.merged(whole, page)
+    assert whole[1] == 2_000 and len(whole[2]) <= h.TEXTS and h.Wrapper(whole).template_of(whole) == 7
+    other = ["p", 1, [[1, 1]], 0, []]
+    for n in range(2, 500):
+        other = h.merged(other, ["p", 1, [[n, 1]], 0, []])
+    assert h.Wrapper(other).template_of(other) is None
+
+
 def test_article_of_given_pages_equals_a_plain_cut(spark):
     import html
     import re
