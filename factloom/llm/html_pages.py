@@ -24,6 +24,7 @@ LEAST_PAGES = 3  # pages of different content that must have a slot before a tex
 SHARE = 0.9  # part of the pages with a slot that must show the same text there
 SPREAD = 0.1  # part of the pages of the host that must have the slot
 TEXTS = 16  # texts counted per slot
+ARTICLE = 1 / 3  # part of a page's text that one <article> or <main> must hold to stand for it, on hosts of fewer pages than LEAST_PAGES
 HOSTS_HELD = 1_000  # partial wrappers that a task holds before it passes them on
 SALTS = 32  # parts in which the partial wrappers of one host are first merged
 
@@ -328,8 +329,6 @@ class Wrapper:
 
     def mark(self, page: Node) -> None:
         """Mark the elements of a page whose text is the template text of their slot."""
-        if self.tree[1] < LEAST_PAGES:
-            return
         members: list = []
         tree = folded(page, members)
         of = {id(slot): nodes for slot, nodes in members}
@@ -374,17 +373,25 @@ def block_texts(node: Node) -> list[str]:
 
 
 def main_text(page: str | None, wrapper: Wrapper | None) -> str:
-    """Blocks of the article: what ``<article>`` or ``<main>`` holds where the page has one with text, else the body."""
+    """Blocks of the article: all text in varying slots of the wrapper.
+
+    Where the host has too few different pages for that, ``<article>`` or else ``<main>`` elements decide, if the largest of them holds
+    a good part of the text; otherwise all text that is not marked as no article.
+    """
     if not page:
         return ""
     root = parse(page)
-    if wrapper is not None:
+    if wrapper is not None and wrapper.tree[1] >= LEAST_PAGES:
         wrapper.mark(root)
+        return "\n".join(block_texts(root))
+    whole = block_texts(root)
+    size = sum(map(len, whole))
     for tags in (frozenset(["article"]), frozenset(["main"])):
-        found = [b for node in root.find(tags) for b in block_texts(node)]
-        if found:
-            return "\n".join(found)
-    return "\n".join(block_texts(root))
+        found = [block_texts(node) for node in root.find(tags)]
+        largest = max((sum(map(len, blocks)) for blocks in found), default=0)
+        if largest and largest >= ARTICLE * size:
+            return "\n".join(b for blocks in found for b in blocks)
+    return "\n".join(whole)
 
 
 # ---------------------------------------------------------------- operator

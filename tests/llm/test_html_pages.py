@@ -110,6 +110,21 @@ def test_template_of_nearly_all_pages(spark):
     assert [got[200 + n] for n in range(60)] == [str(min(n, 5)) for n in range(60)]  # copies count once
 
 
+def test_story_beside_teaser_articles_and_without_tags(spark):
+    def page(n):
+        teasers = "".join(f"<article><h3>Teaser {k}</h3></article>" for k in range(3))
+        return f"<html><body><div>My site</div><div class=story><p>{f'story {n} ' * 20}</p></div><div class=more>{teasers}</div><p class=y>Call us</p></body></html>"
+
+    rows = [(n, "http://a.example", page(n)) for n in range(8)] + [(10, "http://b.example", page(10))]
+    rows += [(20 + n, "http://c.example", f"<div class=top>Site</div><div class=x>story {n}</div><main>Read more</main><p>Bye</p>") for n in range(8)]
+    rows += [(30 + n, "http://d.example", f"<div>Site</div><article><h1>Title {n}</h1><p>story</p></article><div class=x>end of story {n}</div>") for n in range(8)]
+    got = {r["page_id"]: r["text"] for r in h.extract_pages(spark.createDataFrame(rows, PAGES).repartition(3)).collect()}
+    assert [got[n] for n in range(8)] == [f"story {n} " * 19 + f"story {n}" for n in range(8)]
+    assert "story 10 story 10" in got[10]  # a host of one page
+    assert [got[20 + n] for n in range(8)] == [f"story {n}" for n in range(8)]
+    assert [got[30 + n] for n in range(8)] == [f"Title {n}\nend of story {n}" for n in range(8)]
+
+
 def test_bounded_texts_find_the_frequent_one():
     rng = random.Random(1)
     pages = [["p", 1, [[7 if n % 20 else n + 100, 1]], 0, []] for n in range(2_000)]
