@@ -1,8 +1,9 @@
 """Conversations from quoting messages: quotes are linked to the messages they repeat, and left out.
 
 Native column expressions throughout. A line that begins with ``>`` is a quote, one level per ``>``; a run of lines of one
-level is a passage, its non-empty lines its units. A unit is normalised (lower case, white space to one blank) and
-hashed; it links to the latest earlier message of the conversation that wrote that line itself.
+level without an empty one is a passage. Passages, their sentences and their lines are normalised (lower case, white space and line ends to one
+blank) and hashed. A quoted passage links to the latest earlier message of the conversation that wrote it itself, however either is
+wrapped; where nobody wrote it whole, its sentences link, and lines that lie in no linked sentence link by themselves.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from factloom.llm.shared import stored
 from factloom.operators.common import carry_forward, numbered
 
 MARK = r"^(?:[ \t]*>)+[ \t]?"  # the quote marks at the start of a line
+SENTENCE_END = r"(?<=[.!?…])(?=\s)|(?<=[。！？])"
+PASSAGE, SENTENCE, LINE = 0, 1, 2  # kinds of units, those that link first come first
 NOBODY = "null"  # key of the messages without a conversation
 
 
@@ -27,39 +30,85 @@ def _unit(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.regexp_replace(line, MARK, "")), r"\s+", " "))
 
 
+def _hash(text: Column) -> Column:
+    """Hash of normalised lines with line feeds between them."""
+    return F.xxhash64(F.trim(F.replace(text, F.lit("\n"), F.lit(" "))))
+
+
+def _passages() -> Column:
+    """Runs of ``lines`` of one level that are not empty: level, first and last place, normalised lines with line feeds between them."""
+
+    def edge(step: int):
+        def at_edge(x: Column) -> Column:
+            beside = F.when(x["place"] + step >= 0, F.get("lines", x["place"] + step))
+            return (x["unit"] != "") & (F.coalesce(beside["unit"], F.lit("")).eqNullSafe("") | (beside["level"] != x["level"]))
+        return F.filter("lines", at_edge)
+
+    def passage(first: Column, last: Column) -> Column:
+        text = F.array_join(F.transform(F.slice("lines", first["place"] + 1, last["place"] - first["place"] + 1), lambda x: x["unit"]), "\n")
+        return F.struct(first["level"].alias("level"), first["place"].alias("place"), last["place"].alias("last"), text.alias("text"))
+
+    return F.zip_with(edge(-1), edge(1), passage)
+
+
+def _units(passage: Column) -> Column:
+    """Units of a passage. A sentence carries its number and line feeds instead of its places; units equal to a bigger one are left out."""
+
+    def unit(kind: int, text: Column, place: Column, last: Column, number: Column, feeds: Column, led: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), passage["level"].alias("level"), _hash(text).alias("hash"), place.alias("place"), last.alias("last"),
+                        number.alias("number"), feeds.alias("feeds"), led.alias("led"))
+
+    none = F.lit(0)
+    whole = F.array(unit(PASSAGE, passage["text"], passage["place"], passage["last"], none, none, none))
+    split = F.split(passage["text"], SENTENCE_END)
+    sentences = F.transform(F.filter(split, lambda x: F.trim(F.replace(x, F.lit("\n"), F.lit(" "))) != ""), lambda x, n: unit(
+        SENTENCE, x, passage["place"], passage["last"], n, F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))), F.startswith(x, F.lit("\n")).cast("int")))
+    lines = F.transform(F.split(passage["text"], "\n"), lambda x, n: unit(LINE, x, passage["place"] + n, passage["place"] + n, none, none, none))
+    return F.concat(whole, F.filter(sentences, lambda x: (passage["level"] > 0) | (F.size(split) > 1)),
+                    F.filter(lines, lambda x: passage["last"] > passage["place"]))
+
+
 def parse_quotes(messages: DataFrame) -> DataFrame:
-    """``messages`` with ``body`` (own lines, outer blank lines off), ``quote_depth`` and ``units`` (level, hash, line number).
+    """``messages`` with ``body`` (own lines, outer blank lines off), ``quote_depth`` and ``units`` (see ``_units``).
 
-    Levels are those of the lines; empty lines are no units. A null text has an empty body.
+    Levels are those of the lines; empty lines are in no unit. A null text has an empty body.
     """
     lines = F.split(F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n"), "\n")
-    read = messages.withColumn("lines", F.transform(lines, lambda x: F.struct(_level(x).alias("level"), x.alias("line"))))
+    read = messages.withColumn("lines", F.transform(lines, lambda x, n: F.struct(
+        _level(x).alias("level"), x.alias("line"), _unit(x).alias("unit"), n.alias("place"))))
     own = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n")
-    units = F.filter(
-        F.transform("lines", lambda x, n: F.struct(x["level"].alias("level"), _unit(x["line"]).alias("unit"), n.alias("place"))),
-        lambda x: x["unit"] != "")
     return (read.withColumn("body", F.regexp_replace(own, r"^\s*\n|\s+$", ""))
             .withColumn("quote_depth", F.array_max(F.transform("lines", lambda x: x["level"])))
-            .withColumn("units", F.transform(units, lambda x: F.struct(x["level"].alias("level"), F.xxhash64(x["unit"]).alias("hash"), x["place"].alias("place"))))
-            .drop("lines"))
+            .withColumn("passages", _passages()).withColumn("units", F.flatten(F.transform("passages", _units)))
+            .drop("lines", "passages"))
 
 
 def link_quotes(parsed: DataFrame) -> DataFrame:
     """``(conv, turn, level, place, source_turn)`` of each quoted line whose source an earlier message is.
 
-    ``parsed(conv, turn, units)``. Only lines that somebody of the conversation quotes are compared; the latest earlier turn is
-    carried forward over the turns in slices, so a line that everybody writes or a conversation that holds most messages is no hot task.
+    ``parsed(row, conv, turn, units)``, with ``row`` unique. Only units that somebody of the conversation quotes are compared; the latest earlier
+    turn is carried forward over the turns in slices, so a unit that everybody writes or a conversation that holds most messages is no hot
+    task. Quoted passages and lines look for passages and lines, quoted sentences for sentences as well.
     """
-    units = parsed.select("conv", "turn", F.explode("units").alias("u")).select("conv", "turn", "u.level", "u.hash", "u.place")
-    quoted = stored(units.where("level > 0"), "quoted")
+    units = parsed.select("row", "conv", "turn", F.explode("units").alias("u")).select("row", "conv", "turn", "u.*")
+    of_passage = Window.partitionBy("row", "place", "kind").orderBy("number")
+    upto = F.sum("feeds").over(of_passage)
+    is_sentence = F.col("kind") == SENTENCE
+    quoted = stored(units.where("level > 0").withColumn("upto", upto).select(
+        "row", "conv", "turn", "kind", "level", "hash", (~is_sentence).alias("whole"),
+        F.when(is_sentence, F.col("place") + F.col("upto") - F.col("feeds") + F.col("led")).otherwise(F.col("place")).alias("first"),
+        F.when(is_sentence, F.col("place") + F.col("upto")).otherwise(F.col("last")).alias("last")), "quoted")
     asked = quoted.select("conv", "hash").distinct()
-    written = units.where("level = 0").select("conv", "hash", "turn").distinct().join(asked, ["conv", "hash"], "leftsemi")
+    written = units.where("level = 0").select("conv", "hash", "turn", "kind").join(asked, ["conv", "hash"], "leftsemi").select(
+        "conv", "hash", "turn", F.explode(F.when(is_sentence, F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))).alias("whole")).distinct()
     # A quote comes before what its own message writes: even positions ask, odd ones answer.
-    both = (quoted.select("conv", "hash", "turn").distinct().withColumn("pos", F.col("turn") * 2).withColumn("source", F.lit(None).cast("long"))
+    both = (quoted.select("conv", "hash", "whole", "turn").distinct().withColumn("pos", F.col("turn") * 2).withColumn("source", F.lit(None).cast("long"))
             .unionByName(written.withColumn("pos", F.col("turn") * 2 + 1).withColumn("source", F.col("turn"))))
-    found = carry_forward(both, ["conv", "hash"], "pos", {"source_turn": F.col("source")}).where("source is null and source_turn is not null")
-    return quoted.join(found.select("conv", "hash", "turn", "source_turn"), ["conv", "hash", "turn"]).select(
-        "conv", "turn", "level", "place", "source_turn")
+    found = carry_forward(both, ["conv", "hash", "whole"], "pos", {"source_turn": F.col("source")}).where("source is null and source_turn is not null")
+    linked = quoted.join(found.select("conv", "hash", "whole", "turn", "source_turn"), ["conv", "hash", "whole", "turn"])
+    best = F.min_by("source_turn", F.struct("kind", -F.col("source_turn")))
+    return (linked.select("row", "conv", "turn", "level", "kind", "source_turn", F.explode(F.sequence("first", "last")).alias("place"))
+            .groupBy("row", "conv", "turn", "level", "place").agg(best.alias("source_turn")).drop("row"))
 
 
 def reply_parents(links: DataFrame) -> DataFrame:
@@ -102,7 +151,7 @@ def reply_ordered(messages: DataFrame, partitions: int | None = None) -> DataFra
         F.col("turn").cast("long").alias("own_turn"), F.coalesce(F.col("turn").cast("long"), F.lit(1 << 60)).alias("turn"), "role", "text")
     parsed = parse_quotes(rows)
     # The narrow table of turns is what all linking reads; texts are read again for the result.
-    turns = stored(parsed.select("conv", "turn", "units"), "turns")
+    turns = stored(parsed.select(F.monotonically_increasing_id().alias("row"), "conv", "turn", "units"), "turns")
     parents = stored(reply_parents(link_quotes(turns)), "parents")
     known = turns.select("conv", "turn").distinct().join(parents, ["conv", "turn"], "left")
     earlier = carry_forward(

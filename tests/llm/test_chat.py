@@ -81,6 +81,24 @@ def test_threads_equal_the_walk(spark):
     assert not any(">" in (r[4] or "") for r in got)
 
 
+def parents(spark, rows):
+    return {r[2]: (r[5], r[8]) for r in run(spark, rows)}
+
+
+def test_wrapped_quotes_link_by_passage(spark):
+    long = "The first half of a long paragraph, which somebody wrote on one line, and its second half. Then one more sentence."
+    rows = [(1, 0, "u", f"Hello.\n\n{long}\n\nBye"), (1, 1, "u", "ok"), (1, 2, "u", "other"),
+            (1, 3, "u", "> The first half of a long paragraph, which\n> somebody wrote on one line,\n> and its second half. Then one\n> more sentence.\nYes"),
+            (1, 4, "u", "> The first half of a long\n> paragraph, which somebody wrote on one line, and its\n> second half. And something new.\nNo"),
+            (1, 5, "u", "first line\nok\nlast line"), (1, 6, "u", "ok"), (1, 7, "u", "> first line\n> ok\n> last line\nfine"),
+            (1, 8, "u", "> Then one more\n> sentence.\nhm")]
+    got = parents(spark, rows)
+    assert got[3] == (0, 4)  # re-wrapped whole paragraph
+    assert got[4] == (0, 3)  # a sentence of it over three lines
+    assert got[7] == (5, 3)  # the common line goes with its passage, not to its latest writer
+    assert got[8] == (0, 2)
+
+
 def test_deep_nesting(spark):
     rows = [(1, 0, "u", "m0"), (1, 1, "u", "x")]
     for n in range(2, 24, 2):
