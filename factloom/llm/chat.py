@@ -60,12 +60,11 @@ def _units(passage: Column) -> Column:
 
     none = F.lit(0)
     whole = F.array(unit(PASSAGE, passage["text"], passage["place"], passage["last"], none, none, none))
-    split = F.split(passage["text"], SENTENCE_END)
-    sentences = F.transform(F.filter(split, lambda x: F.trim(F.replace(x, F.lit("\n"), F.lit(" "))) != ""), lambda x, n: unit(
+    sentences = F.transform(passage["sentences"], lambda x, n: unit(
         SENTENCE, x, passage["place"], passage["last"], n, F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit(""))), F.startswith(x, F.lit("\n")).cast("int")))
     lines = F.transform(F.split(passage["text"], "\n"), lambda x, n: unit(LINE, x, passage["place"] + n, passage["place"] + n, none, none, none))
-    return F.concat(whole, F.filter(sentences, lambda x: (passage["level"] > 0) | (F.size(split) > 1)),
-                    F.filter(lines, lambda x: passage["last"] > passage["place"]))
+    return F.concat(whole, F.when((passage["level"] > 0) | (F.size(passage["sentences"]) > 1), sentences).otherwise(F.slice(whole, 1, 0)),
+                    F.when(passage["last"] > passage["place"], lines).otherwise(F.slice(whole, 1, 0)))
 
 
 def parse_quotes(messages: DataFrame) -> DataFrame:
@@ -79,7 +78,8 @@ def parse_quotes(messages: DataFrame) -> DataFrame:
     own = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n")
     return (read.withColumn("body", F.regexp_replace(own, r"^\s*\n|\s+$", ""))
             .withColumn("quote_depth", F.array_max(F.transform("lines", lambda x: x["level"])))
-            .withColumn("passages", _passages()).withColumn("units", F.flatten(F.transform("passages", _units)))
+            .withColumn("passages", F.transform(_passages(), lambda x: x.withField("sentences", F.split(x["text"], SENTENCE_END))))
+            .withColumn("units", F.flatten(F.transform("passages", _units)))
             .drop("lines", "passages"))
 
 
