@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import re
+import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -106,7 +108,38 @@ def kept_rows(df: DataFrame, columns: list[str], keep: Callable[[pa.RecordBatch]
 
 _WORD_BYTES = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
+# Scripts without spaces between words (ideographs, kana, Bopomofo, Thai, Lao, Burmese, Khmer), as first and last character.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF),
+             (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
+
+
+def _beyond_ascii() -> re.Pattern:
+    """Characters beyond ASCII that end a word; those that are a word each are the group. Others are letters, digits and marks."""
+
+    def spans(chosen: Callable[[int], bool], first: int, last: int) -> str:
+        out, start = [], None
+        for code in range(first, last + 2):
+            if code <= last and chosen(code):
+                start = code if start is None else start
+            elif start is not None:
+                out.append(f"\\U{start:08x}-\\U{code - 1:08x}")
+                start = None
+        return "".join(out)
+
+    def of_word(code: int) -> bool:
+        return unicodedata.category(chr(code))[0] in "LNM"
+
+    alone = "".join(spans(of_word, first, last) for first, last in _UNSPACED)
+    between = spans(lambda code: not of_word(code), 0x80, 0x1FFFF) + r"\U000e0000-\U0010ffff"
+    return re.compile(f"([{alone}])|[{between}]")
+
+
+_BEYOND_ASCII = _beyond_ascii()
+
 
 def words(text: str) -> list[bytes]:
-    """Lower-cased words in UTF-8: runs of ASCII letters and digits and of all other characters beyond ASCII."""
-    return text.lower().encode("utf-8", "replace").translate(_WORD_BYTES).split()
+    """Lower-cased words in UTF-8: runs of letters, digits and marks; in scripts without spaces each character is a word."""
+    lowered = text.lower()
+    if not lowered.isascii():
+        lowered = _BEYOND_ASCII.sub(r" \1 ", lowered)
+    return lowered.encode("utf-8", "replace").translate(_WORD_BYTES).split()

@@ -65,6 +65,18 @@ def test_whole_reordered_and_partial_passages(spark):
         (1, 10): 1.0, (2, 10): 1.0, (8, 10): 1.0, (9, 10): 0.87}
 
 
+def test_words_of_all_scripts():
+    assert words("«L’été»\u00a0— “naïve”…x_y 3½") == [w.encode() for w in ("l", "été", "naïve", "x", "y", "3½")]
+    assert words("東京は、ABC大") == [w.encode() for w in ("東", "京", "は", "abc", "大")]
+    assert words("नमस्ते दुनिया") == [w.encode() for w in ("नमस्ते", "दुनिया")] and len(words("ภาษา")) == 4
+
+
+def test_items_of_other_scripts_and_punctuation(spark):
+    chinese, french = "水在标准大气压下的沸点是多少摄氏度？", "la capitale de la France est une grande ville"
+    docs = [(1, f"昨天老师问我们：「{chinese}」没有人回答。"), (2, "今天天气很好，我们去公园散步。"), (3, f"Il dit «{french.replace(' ', chr(160))}»—puis rien")]
+    assert found(spark, docs, [(10, chinese), (11, french)]) == {(1, 10): 1.0, (3, 11): 1.0}
+
+
 def test_short_items_repeated_items_and_blocks(spark):
     docs = [(1, "one two three"), (2, "one two four"), (1, "one two three"), (None, "x one two three")]
     items = [(1, "two three"), (2, "Two. Three!"), (3, "three two")]
