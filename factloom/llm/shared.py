@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import re
 import unicodedata
 import uuid
@@ -135,11 +136,23 @@ def _beyond_ascii() -> re.Pattern:
 
 
 _BEYOND_ASCII = _beyond_ascii()
+_FEW = 24  # different characters that are worth a pass over the text each
+
+
+@functools.cache
+def _set_off(character: str) -> str:
+    """What stands for a character beyond ASCII: itself, itself between blanks, or blanks."""
+    return _BEYOND_ASCII.sub(r" \1 ", character)
 
 
 def words(text: str) -> list[bytes]:
     """Lower-cased words in UTF-8: runs of letters, digits and marks; in scripts without spaces each character is a word."""
     lowered = text.lower()
     if not lowered.isascii():
-        lowered = _BEYOND_ASCII.sub(r" \1 ", lowered)
+        changed = [c for c in set(lowered) if c > "\x7f" and _set_off(c) != c]
+        if len(changed) > _FEW:
+            lowered = _BEYOND_ASCII.sub(r" \1 ", lowered)
+        else:
+            for c in changed:
+                lowered = lowered.replace(c, _set_off(c))
     return lowered.encode("utf-8", "replace").translate(_WORD_BYTES).split()
