@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from factloom.llm import bpe, chat, decontamination, exact_dedup, html_pages, language, sharding, simhash, token_files, toxicity
+from factloom.llm import (
+    bpe, chat, decontamination, exact_dedup, html_pages, language, lookup_kmeans, periodic_runs, quality, sharding, simhash, token_files, toxicity,
+)
 from factloom.llm.shared import table
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -103,9 +105,42 @@ def op10_toxic_segments(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_of(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_factorisation_machine(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_of(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op12_lookup_kmeans(spark: SparkSession, folder: str) -> DataFrame:
+    return lookup_kmeans.lookup_kmeans(table(spark, folder, "embeddings"))
+
+
+def _kmeans_sql() -> str:
+    """The rounds of op12 as common table expressions: one row for each vector and dimension, joined to the centroids of the round."""
+    parts = [f"""kept AS (
+    SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({lookup_kmeans.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE len(embedding) = {lookup_kmeans.DIMENSIONS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {lookup_kmeans.DIMENSIONS}
+), long AS (SELECT r, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM kept
+), first AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM kept QUALIFY c < {lookup_kmeans.CENTROIDS}
+), c0 AS (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM first)"""]
+    for n in range(lookup_kmeans.ROUNDS + 1):
+        parts.append(f"""a{n} AS (
+    SELECT r, arg_min(c, (s, c)) AS c, min(s) AS s FROM (SELECT r, c, CAST(sum((l.x - k.x) * (l.x - k.x)) AS BIGINT) AS s FROM long l JOIN c{n} k USING (d) GROUP BY r, c) GROUP BY r)""")
+        if n < lookup_kmeans.ROUNDS:
+            parts.append(f"""m{n} AS (SELECT c, d, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM long JOIN a{n} USING (r) GROUP BY c, d
+), c{n + 1} AS (SELECT k.c, k.d, CASE WHEN n IS NULL THEN x ELSE (s - ((s % n) + n) % n) // n END AS x FROM c{n} k LEFT JOIN m{n} USING (c, d))""")
+    last = lookup_kmeans.ROUNDS
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, s AS distance, CAST(sum(s) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(s) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM a{last} JOIN kept USING (r) JOIN (SELECT c, sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY d)) AS h FROM c{last} GROUP BY c) USING (c)"""
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_token_files, op2_hash_tree_sharding, op3_simhash_trie, op4_quotation_linking, op5_string_tiling, op6_language_filters,
-        op7_wrapper_induction, op8_progressive_dedup, op9_forced_bpe, op10_toxic_segments)
+        op7_wrapper_induction, op8_progressive_dedup, op9_forced_bpe, op10_toxic_segments, op11_factorisation_machine,
+        op12_lookup_kmeans, op13_periodic_runs)
 } | {"pipeline": corpus_pipeline.run}
-SQL: dict[str, str] = {"op4_quotation_linking": OP4_SQL, "op8_progressive_dedup": OP8_SQL}
+SQL: dict[str, str] = {"op4_quotation_linking": OP4_SQL, "op8_progressive_dedup": OP8_SQL, "op12_lookup_kmeans": _kmeans_sql()}
