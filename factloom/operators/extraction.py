@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from factloom.functions import dates, numbers, text
 from factloom.functions import fixed_values as fv
 from factloom.functions.text import record, strings, strip
+from factloom.operators import gazetteer
 from factloom.operators.common import numbered, top_per_group
 from factloom.session import checkpointed, take_bounded
 from factloom.sources.blocks import row_entries
@@ -38,15 +39,19 @@ def normalize_name(name: str, suffixes) -> str:
     return name
 
 
+INLINE_NAMES = 64  # names up to which the rows of tables are searched by column expressions
+
+
 def mentions(c: Column, vocab: Vocabulary, extra: Column | None = None) -> Column:
     """Dictionary names occurring in a text, in dictionary order, then extra candidates.
 
-    A name counts plain or with a suffix (which contains it), so one containment test per
-    name is enough; results are normalised and distinct. The dictionary is one literal.
+    A name counts plain or with a suffix (which contains it), so one search for the names is enough; results are
+    normalised and distinct. All names are found in one pass over the text (see ``gazetteer``).
     """
-    pairs = [{"n": n, "e": normalize_name(n, vocab.name_suffixes)} for n in vocab.names]
-    names = F.from_json(F.lit(json.dumps(pairs)), "array<struct<n:string,e:string>>")
-    normal = F.transform(F.filter(names, lambda p: F.contains(c, p["n"])), lambda p: p["e"])
+    if vocab.names:
+        normal = gazetteer.normalised_names_in(c, vocab.names, tuple(normalize_name(n, vocab.name_suffixes) for n in vocab.names))
+    else:
+        normal = F.array().cast("array<string>")
     if extra is not None:
         more = F.transform(
             F.coalesce(extra, F.array().cast("array<string>")),
@@ -56,6 +61,17 @@ def mentions(c: Column, vocab: Vocabulary, extra: Column | None = None) -> Colum
     return F.array_distinct(F.filter(normal, lambda n: n != ""))
 
 
+def first_mention(texts: Column, vocab: Vocabulary) -> Column:
+    """The first dictionary name, normalised, of the first text of an array that contains one."""
+    if len(vocab.names) > INLINE_NAMES:
+        return gazetteer.first_name_in(texts, vocab.names, tuple(normalize_name(n, vocab.name_suffixes) for n in vocab.names))
+    names = F.array(*[record(n=F.lit(n), e=F.lit(normalize_name(n, vocab.name_suffixes))) for n in vocab.names if n])
+    if not vocab.names:
+        return F.lit(None).cast("string")
+    inside = F.transform(texts, lambda t: F.get(F.filter(names, lambda p: (p["e"] != "") & F.contains(t, p["n"])), F.lit(0))["e"])
+    return F.get(F.filter(inside, lambda e: e.isNotNull()), F.lit(0))
+
+
 def find_mentions(texts: DataFrame, id_col: str, text_col: str, vocab: Vocabulary) -> DataFrame:
     """(id, ord, entity) for every dictionary entity of every text."""
     return texts.select(
@@ -63,24 +79,9 @@ def find_mentions(texts: DataFrame, id_col: str, text_col: str, vocab: Vocabular
     ).select(id_col, (F.col("i") + 1).alias("ord"), "entity")
 
 
-def find_mentions_join(texts: DataFrame, id_col: str, text_col: str, names: DataFrame,
-                       lengths) -> DataFrame:
-    """Mentions for a gazetteer too large to inline: substrings of the given lengths, equi join.
-
-    ``names(name, ord)``; ``lengths`` are the name lengths that occur. Each text sends each
-    distinct substring once.
-    """
-    body = F.coalesce(F.col(text_col), F.lit(""))
-
-    def substrings(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(body) - (n - 1), F.lit(1)))
-        return F.transform(starts, lambda i: F.substring(body, i, n))
-
-    grams = F.array_distinct(F.concat(*[substrings(n) for n in lengths]))
-    return (
-        texts.select(id_col, F.explode(grams).alias("name")).join(names, "name")
-        .select(id_col, "ord", F.col("name").alias("entity"))
-    )
+def find_mentions_join(texts: DataFrame, id_col: str, text_col: str, names: DataFrame) -> DataFrame:
+    """(id, ord, entity) for a gazetteer that is a table ``names(name, ord)``, of any length."""
+    return gazetteer.mentioned(texts, id_col, text_col, names).withColumnRenamed("name", "entity")
 
 
 def fact_id(*parts) -> Column:
@@ -159,13 +160,11 @@ def extract_table_facts(blocks: DataFrame, vocab: Vocabulary, file_name: str = "
     of_role = lambda r: F.filter("_entries", lambda e: e["role"] == r)
     first = lambda r: F.get(of_role(r), F.lit(0))["value"]
     by_column = text.none_if_empty(text.normalize_entity(first("entity"), vocab.name_suffixes))
-    in_unknown = F.get(
-        F.flatten(F.transform(of_role("other"), lambda e: mentions(e["value"], vocab))), F.lit(0)
-    )
-    in_text = F.get(mentions(F.coalesce("text", F.lit("")), vocab), F.lit(0))
+    # Without a named column, the first name of an unknown column counts, else the first of the whole row.
+    unnamed = F.when(by_column.isNull(), F.concat(F.transform(of_role("other"), lambda e: e["value"]), F.array(F.coalesce("text", F.lit("")))))
     staged = staged.select(
         "block_id", "doc_id", "text", "page_or_index", name.alias("_file"),
-        F.coalesce(by_column, in_unknown, in_text).alias("_entity"),
+        F.coalesce(by_column, first_mention(unnamed, vocab)).alias("_entity"),
         dates.parse_date(first("date")).alias("_date"),
         F.coalesce(dates.infer_year("text"), dates.infer_year(name)).alias("year"),
         F.transform(

@@ -133,27 +133,6 @@ def match_by_name(docs: DataFrame, templates: Sequence[str]) -> DataFrame:
     )
 
 
-def name_similarity(candidates: DataFrame, name: str, templates: Sequence[str]) -> DataFrame:
-    """Similarity of candidate names to template names, for pairs that share a trigram or a token.
-
-    Jaccard over character trigrams × 0.7 + min(1, token hits / 3) × 0.3. Template grams
-    are literals, so each candidate is scored in its own row, and only pairs with a hit leave it.
-    """
-    staged = candidates.withColumn("_g", text.trigrams(name))
-    per = []
-    for t in templates:
-        grams = text.trigrams(F.lit(t))
-        inter = F.size(F.array_intersect("_g", grams))
-        union = F.size("_g") + F.size(grams) - inter
-        jaccard = F.when((F.size("_g") == 0) | (F.size(grams) == 0), 0.0).otherwise(inter / union)
-        hits = F.size(F.filter(text.name_tokens(F.lit(t)), lambda w: F.contains(F.lower(F.col(name)), w)))
-        per.append(record(template=F.lit(t), jaccard=jaccard, hits=hits))
-    out = staged.select(*candidates.columns, F.inline(F.filter(F.array(*per), lambda x: (x["jaccard"] > 0) | (x["hits"] > 0))))
-    return out.withColumn(
-        "similarity", F.col("jaccard") * 0.7 + F.least(F.lit(1.0), F.col("hits") / 3.0) * 0.3
-    )
-
-
 # --- vectors ---------------------------------------------------------------------------
 
 

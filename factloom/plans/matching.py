@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.operators import matching, profiles
 from factloom.operators.matching import TemplateProfile
+from factloom.operators.similarity import similar_names
 from factloom.plans import fixtures as fx
 from factloom.plans.registry import query
 from factloom.plans.scans import part_blocks
@@ -88,7 +89,22 @@ def document_match_filename(spark: SparkSession, folder: str) -> DataFrame:
     return matching.match_by_name(fx.documents(spark, folder), NAMES).select("template", "doc_id")
 
 
-@query("trigram_similarity_join", """WITH n AS (SELECT p_partkey, p_name || '_' || p_brand AS file_name, replace(lower(p_name), ' ', '') || lower(p_brand) AS s FROM part),
+@query("trigram_similarity_join", """WITH n AS (SELECT p_partkey, lower(p_name || '_' || p_brand) AS low, replace(lower(p_name), ' ', '') || lower(p_brand) AS s FROM part),
+t AS (SELECT DISTINCT p_name || ' ' || p_type || '.xlsx' AS template, replace(lower(p_name), ' ', '') || lower(p_type) AS ts, string_split(lower(p_name || ' ' || p_type), ' ') AS toks FROM part),
+a AS (SELECT p_partkey, low, list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) AS a FROM n),
+b AS (SELECT template, toks, list_distinct(list_transform(range(1, length(ts) - 1), lambda i: substr(ts, i, 3))) AS b FROM t),
+g AS (SELECT p_partkey, template, len(list_intersect(a, b)) AS i, len(a) + len(b) AS n, len(list_filter(toks, lambda w: contains(low, w))) AS hits FROM a, b)
+SELECT p_partkey, template, hits, round(i / (n - i) * 0.7 + least(1.0, hits / 3.0) * 0.3, 9) AS similarity FROM g WHERE i / (n - i) * 0.7 + least(1.0, hits / 3.0) * 0.3 >= 0.5 - 1e-9""")
+def trigram_similarity_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Part names against the report names of all kinds of parts."""
+    part = fx.table(spark, folder, "part")
+    names = part.select("p_partkey", F.concat_ws("_", "p_name", "p_brand").alias("file_name"))
+    reports = part.select(F.concat(F.concat_ws(" ", "p_name", "p_type"), F.lit(".xlsx")).alias("template")).distinct().withColumn("name", F.col("template"))
+    out = similar_names(names, "p_partkey", "file_name", reports, "template", "name", 0.5)
+    return out.select("p_partkey", "template", "hits", F.round("similarity", 9).alias("similarity"))
+
+
+@query("trigram_similarity_named", """WITH n AS (SELECT p_partkey, p_name || '_' || p_brand AS file_name, replace(lower(p_name), ' ', '') || lower(p_brand) AS s FROM part),
 t AS (SELECT unnest(['small ring report.xlsx', 'Brand#2 blue-bolt.docx']) AS template, unnest(['smallringreport', 'brand#2bluebolt']) AS ts,
    unnest([['small', 'ring', 'report'], ['brand#', 'blue', 'bolt']]) AS toks),
 g AS (SELECT p_partkey, template, file_name, toks, list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) AS a,
@@ -96,9 +112,10 @@ g AS (SELECT p_partkey, template, file_name, toks, list_distinct(list_transform(
 SELECT p_partkey, template, round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) * 0.7
   + least(1.0, len(list_filter(toks, lambda w: contains(lower(file_name), w))) / 3.0) * 0.3, 9) AS similarity FROM g
   WHERE len(list_intersect(a, b)) > 0 OR len(list_filter(toks, lambda w: contains(lower(file_name), w))) > 0""")
-def trigram_similarity_join(spark: SparkSession, folder: str) -> DataFrame:
+def trigram_similarity_named(spark: SparkSession, folder: str) -> DataFrame:
     names = fx.table(spark, folder, "part").select("p_partkey", F.concat_ws("_", "p_name", "p_brand").alias("file_name"))
-    out = matching.name_similarity(names, "file_name", ["small ring report.xlsx", "Brand#2 blue-bolt.docx"])
+    asked = spark.createDataFrame([("small ring report.xlsx",), ("Brand#2 blue-bolt.docx",)], "template string").withColumn("name", F.col("template"))
+    out = similar_names(names, "p_partkey", "file_name", asked, "template", "name")
     return out.select("p_partkey", "template", F.round("similarity", 9).alias("similarity"))
 
 

@@ -259,13 +259,22 @@ def entity_mention_join(spark: SparkSession, folder: str) -> DataFrame:
 t AS (SELECT l_orderkey || '-' || l_linenumber AS item, p_brand || ' of ' || p_name || ' and small ring' AS body FROM lineitem JOIN part ON l_partkey = p_partkey)
 SELECT item, p_name AS entity FROM t JOIN n ON contains(body, p_name)""")
 def entity_mention_large_gazetteer(spark: SparkSession, folder: str) -> DataFrame:
-    """Part names in line-item texts through the substring equi join."""
+    """Part names in line-item texts, the names given as a table."""
     part = fx.table(spark, folder, "part").select("p_partkey", "p_name", "p_brand")
     texts = lineitem(spark, folder).join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("item"),
         F.concat("p_brand", F.lit(" of "), "p_name", F.lit(" and small ring")).alias("body"))
     names = part.groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("ord"))
-    return extraction.find_mentions_join(texts, "item", "body", names, range(5, 16)).select("item", "entity")
+    return extraction.find_mentions_join(texts, "item", "body", names).select("item", "entity")
+
+
+@query("entity_mention_dictionary", """WITH n AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{5,}')) AS entity FROM benchmark)
+SELECT doc_id, entity FROM documents JOIN n ON contains(text, entity)""")
+def entity_mention_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    """Every longer word of the benchmark table in whole documents."""
+    found = F.explode(F.regexp_extract_all("text", F.lit("([a-z]{5,})"), 1)).alias("name")
+    names = fx.table(spark, folder, "benchmark").select(found).distinct().withColumn("ord", F.xxhash64("name"))
+    return extraction.find_mentions_join(document_texts(spark, folder), "doc_id", "text", names).select("doc_id", "entity")
 
 
 # --- sequences ---------------------------------------------------------------------------
