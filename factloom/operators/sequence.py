@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.functions.text import record, strip
+from factloom.functions.text import let, record, strip
 from factloom.operators.common import carry_forward, rank_by_position, top_per_group
 from factloom.operators.extraction import nearest_entity
+from factloom.session import materialised
 
 
 def with_section_path(lines: DataFrame, key: str, pos: str, level: str, title: str) -> DataFrame:
@@ -40,27 +46,30 @@ def nearest_entity_at(texts: DataFrame, positions: str, anchors: str) -> DataFra
     ).withColumn("entity", nearest_entity(F.col(positions), F.col("anchor")))
 
 
-def chunk_texts(texts: Column, max_chars: int) -> Column:
-    """Greedy packing of an ordered array of texts; a line break is counted per text."""
-    start = record(
-        out=F.array().cast("array<string>"), buf=F.array().cast("array<string>"), n=F.lit(0),
-    )
+def _opened(lengths: Column, used: Column, max_chars: int) -> Column:
+    """Places (from 0) of the texts that open a chunk, ``used`` characters of an open chunk standing before the first one (0: none)."""
+    start = record(at=F.lit(0), used=used.cast("int"), opened=F.array().cast("array<int>"))
 
-    def step(acc: Column, t: Column) -> Column:
-        full = (F.size(acc["buf"]) > 0) & (acc["n"] + F.length(t) > max_chars)
-        closed = F.concat(acc["out"], F.array(F.array_join(acc["buf"], "\n")))
+    def step(acc: Column, n: Column) -> Column:
+        opens = (acc["used"] == 0) | (acc["used"] + n > max_chars)
         return record(
-            out=F.when(full, closed).otherwise(acc["out"]),
-            buf=F.when(full, F.array(t)).otherwise(F.concat(acc["buf"], F.array(t))),
-            n=F.when(full, F.lit(0)).otherwise(acc["n"]) + F.length(t) + 1,
-        )
+            at=acc["at"] + 1, used=F.when(opens, n + 1).otherwise(acc["used"] + n + 1),
+            opened=F.when(opens, F.concat(acc["opened"], F.array(acc["at"]))).otherwise(acc["opened"]))
+
+    return F.aggregate(lengths, start, step, lambda acc: acc["opened"])
+
 
-    def finish(acc: Column) -> Column:
-        rest = F.array(F.array_join(acc["buf"], "\n"))
-        return F.when(F.size(acc["buf"]) > 0, F.concat(acc["out"], rest)).otherwise(acc["out"])
+def _pieces(texts: Column, opened: Column) -> Column:
+    """The texts before the first opened place, and those from each opened place to the next, joined by line breaks (null: none)."""
+    edges = F.concat(F.array(F.lit(0)), opened, F.array(F.size(texts)))
+    return F.transform(F.sequence(F.lit(0), F.size(opened)), lambda i: F.when(
+        F.get(edges, i + 1) > F.get(edges, i), F.array_join(F.slice(texts, F.get(edges, i) + 1, F.get(edges, i + 1) - F.get(edges, i)), "\n")))
 
+
+def chunk_texts(texts: Column, max_chars: int) -> Column:
+    """Greedy packing of an ordered array of texts; a line break is counted per text."""
     clean = F.filter(F.transform(texts, strip), lambda t: t != "")
-    return F.aggregate(clean, start, step, finish)
+    return let(clean, lambda c: F.array_compact(_pieces(c, _opened(F.transform(c, F.length), F.lit(0), max_chars))))
 
 
 def chunk_documents(docs: DataFrame, doc_id: str, texts: Column, max_chars: int = 3000) -> DataFrame:
@@ -70,13 +79,74 @@ def chunk_documents(docs: DataFrame, doc_id: str, texts: Column, max_chars: int
     ).where(F.col("i").isNotNull()).select(doc_id, (F.col("i") + 1).alias("chunk_no"), "chunk")
 
 
-def chunk_blocks(blocks: DataFrame, key: str = "doc_id", pos: str = "page_or_index", max_chars: int = 3000) -> DataFrame:
-    """Chunks of a block table: the block texts of each document packed in the order of ``pos``.
+CHUNK_SLICE = 1_024  # positions of a document that are packed together
 
-    Packing goes from block to block, so one document is one group; documents are as large as a file is.
+
+def _slice_summary(lengths: np.ndarray, max_chars: int) -> dict:
+    """What a slice makes of any number of characters that an open chunk brings along.
+
+    ``ends[k]`` are the characters up to the end of text k. With u characters brought along the first break is at the first k
+    with ends[k] > max_chars - u; a slice that breaks first at k leaves ``used[k]`` characters open and begins ``opened[k]`` chunks.
+    """
+    n = lengths.size
+    begins = np.concatenate([[0], np.cumsum(lengths + 1)])
+    ends = begins[:-1] + lengths
+    following = np.maximum(np.searchsorted(ends, max_chars + begins[:-1], side="right"), np.arange(1, n + 1))
+    # The last chunk begun from each place on, and how many are begun, by pointer doubling.
+    last = np.where(following >= n, np.arange(n), following)
+    opened = np.where(following >= n, 0, 1)
+    while (last[last] != last).any():
+        opened, last = opened + opened[last], last[last]
+    seen = min(n, int(np.searchsorted(ends, max_chars, side="right")) + 1)
+    return {"ends": ends[:seen], "used": (begins[n] - begins[last])[:seen], "opened": (opened + 1)[:seen], "total": int(begins[n])}
+
+
+def _entries(slices: list[dict], max_chars: int) -> Iterator[dict]:
+    """Characters that each slice of a document finds open, and the chunks begun before it."""
+    used, begun = 0, 0
+    for s in slices:
+        yield {"slice": s["slice"], "used": used, "begun": begun}
+        k = bisect.bisect_right(s["ends"], max_chars - used) if used else 0
+        if k < len(s["ends"]):
+            used, begun = s["used"][k], begun + s["opened"][k]
+        else:
+            used += s["total"]
+
+
+def chunk_blocks(blocks: DataFrame, key: str = "doc_id", pos: str = "page_or_index", max_chars: int = 3000, width: int = CHUNK_SLICE) -> DataFrame:
+    """Chunks of a block table: the block texts of each document packed in the order of ``pos`` (nulls first, ties by text).
+
+    A document is cut into slices of ``width`` positions. Each slice says in a short table what it makes of any open chunk
+    before it, so the open chunk of every slice follows from these tables alone; each slice then packs its own texts, and
+    only the pieces of a chunk are put together. No task holds a whole document.
     """
-    texts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("at"), F.col("text").alias("t")))), lambda b: b["t"])
-    return chunk_documents(blocks.where("text is not null").groupBy(key).agg(texts.alias("_texts")), key, F.col("_texts"), max_chars)
+    clean = blocks.select(key, F.col(pos).alias("at"), strip("text").alias("t")).where("t <> ''")
+    at_slice = F.coalesce(F.floor(F.col("at") / width), F.lit(-(1 << 62))).cast("long").alias("_slice")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "t"))), lambda b: b["t"])
+    cut = materialised(clean.groupBy(key, at_slice).agg(ordered.alias("_texts")), "slices")
+
+    @F.arrow_udf("struct<ends:array<int>,used:array<int>,opened:array<int>,total:int>")
+    def summary(lengths: pa.Array) -> pa.Array:
+        kind = pa.struct([*((c, pa.list_(pa.int32())) for c in ("ends", "used", "opened")), ("total", pa.int32())])
+        return pa.array([_slice_summary(np.array(n, np.int64), max_chars) for n in lengths.to_pylist()], kind)
+
+    @F.arrow_udf("array<struct<slice:bigint,used:int,begun:int>>")
+    def entries(slices: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("slice", pa.int64()), ("used", pa.int32()), ("begun", pa.int32())]))
+        return pa.array([list(_entries(s, max_chars)) for s in slices.to_pylist()], kind)
+
+    # Documents of one slice begin with nothing open; only the others need the tables.
+    long = cut.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(key).alias("_key"))
+    told = cut.join(long, F.col(key).eqNullSafe(F.col("_key")), "left_semi").select(
+        F.col(key).alias("_key"), "_slice", summary(F.transform("_texts", F.length)).alias("s"))
+    by_document = told.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct(F.col("_slice").alias("slice"), "s.ends", "s.used", "s.opened", "s.total"))).alias("s"))
+    entered = by_document.select("_key", F.inline(entries("s"))).withColumnRenamed("slice", "_at")
+    known = cut.join(entered, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_slice") == F.col("_at")), "left")
+    used, begun = F.coalesce("used", F.lit(0)), F.coalesce("begun", F.lit(0))
+    packed = known.withColumn("_opened", _opened(F.transform("_texts", F.length), used, max_chars))
+    pieces = packed.select(key, "_slice", begun.alias("_begun"), F.posexplode(_pieces(F.col("_texts"), F.col("_opened"))).alias("_i", "_piece")).where("_piece is not null")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_slice", "_piece"))), lambda p: p["_piece"]), "\n")
+    return pieces.groupBy(key, (F.col("_begun") + F.col("_i")).alias("chunk_no")).agg(joined.alias("chunk"))
 
 
 def sample_paragraphs(blocks: DataFrame, key: str = "doc_id", pos: str = "page_or_index",
