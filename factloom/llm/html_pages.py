@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.llm.shared import small_batches, stored
+from factloom.llm.shared import BROADCAST_BYTES, small_batches, stored
 
 LEAST_PAGES = 3  # pages of different content that must have a slot before a text of it counts as template
 SHARE = 0.9  # part of the pages with a slot that must show the same text there
@@ -27,6 +27,8 @@ TEXTS = 16  # texts counted per slot
 ARTICLE = 1 / 3  # part of a page's text that one <article> or <main> must hold to stand for it, on hosts of fewer pages than LEAST_PAGES
 HOSTS_HELD = 1_000  # partial wrappers that a task holds before it passes them on
 SALTS = 32  # parts in which the partial wrappers of one host are first merged
+NODES = 256  # slots of a wrapper above which those on few of the pages since they first came up are left out
+RARE = SPREAD / 5  # that part of the pages
 
 # Elements by their role in HTML, and names by which pages mark what is no article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +46,12 @@ ASIDE_NAMES = frozenset("""ad ads adv advert adverts advertisement advertising a
     sidebar aside widget widgets related recommended trending cookie cookies consent gdpr notice notices notification alert popup modal overlay
     newsletter subscribe subscription signup login search share sharing social comment comments commentlist disqus respond reply replies
     skip tags copyright legal disclaimer""".split())
+# Words that say nothing beside such a name, words of an article, beside which only the names that follow say no article, and words that turn a name round.
+NEUTRAL = frozenset("site main list area box container posts item items wrapper wrap primary secondary inner outer user users block panel row column left right global".split())
+OF_ARTICLE = frozenset("article post entry story".split())
+BESIDE_ARTICLE = ASIDE_NAMES - frozenset("header footer tags search legal copyright disclaimer notice notices skip banner alert".split())
+TURNED = frozenset("has with no without not".split())
+SECTIONS = frozenset("article main section".split())  # a <header> inside one of them is its heading, any other the page's
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
 KEPT_TAGS = frozenset("html body article main".split())
 
@@ -54,9 +62,10 @@ _SPACE = re.compile(r"\s+")
 
 
 def _names_aside(token: str) -> bool:
-    """Whether a class or id says no article with all its words: ``cookie-notice`` does, ``has-sidebar`` and ``post-tags`` do not."""
-    names = [n.lower() for n in _NAME.findall(token)]
-    return bool(names) and ASIDE_NAMES.issuperset(names)
+    """Whether a class or id says no article: ``cookie-notice`` and ``related-posts`` do, ``has-sidebar``, ``search-result`` and ``post-tags`` do not."""
+    names = {n.lower() for n in _NAME.findall(token)}
+    marks = names & (BESIDE_ARTICLE if names & OF_ARTICLE else ASIDE_NAMES)
+    return bool(marks) and not names & TURNED and names <= marks | NEUTRAL | OF_ARTICLE
 
 
 class Node:
@@ -70,7 +79,7 @@ class Node:
             found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
             named = f"{found.get('class', '')} {found.get('id', '')}"
             names = [n.lower() for n in _NAME.findall(named)]
-            if names:
+            if names and tag not in KEPT_TAGS:
                 self.kind = f"{tag}.{'.'.join(dict.fromkeys(names))}"
             hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
             if tag not in KEPT_TAGS:
@@ -118,6 +127,8 @@ def parse(page: str) -> Node:
         else:
             _close_implied(stack, tag)
             node = Node(tag, found[3])
+            if tag == "header" and not any(above.tag in SECTIONS for above in stack):
+                node.aside = True
             stack[-1].content.append(node)
             closed = found[3].rstrip().endswith("/")
             if tag in RAW:
@@ -150,8 +161,8 @@ def _close_implied(stack: list[Node], tag: str) -> None:
 
 
 # ---------------------------------------------------------------- wrappers
-# A wrapper node is [kind, pages, texts, pages whose text is not counted, children], with texts as a list of [hash, pages], or 0 where no
-# page has text; a page is a wrapper of one page. Texts that are no article are not in it. Trees may be as deep as pages
+# A wrapper node is [kind, pages, texts, pages whose text is not counted, children, pages before it first came up (0 if left out)], with
+# texts as a list of [hash, pages], or 0 where no page has text; a page is a wrapper of one page. Texts that are no article are not in it. Trees may be as deep as pages
 # like: all walks have stacks of their own, and what is stored is flat.
 
 
@@ -251,17 +262,47 @@ def merged(left: list, right: list) -> list:
         one, two, whole = todo.pop()
         kids, i, j = whole[4], 0, 0
         for p, q in found[id(one), id(two)][1]:
-            kids += one[4][i:p] + two[4][j:q]
+            kids += one[4][i:p] + _later(two[4][j:q], left[1])
             kids.append(_joined(one[4][p], two[4][q]))
             todo.append((one[4][p], two[4][q], kids[-1]))
             i, j = p + 1, q + 1
-        kids += one[4][i:] + two[4][j:]
+        kids += one[4][i:] + _later(two[4][j:], left[1])
+    return top
+
+
+def _since(slot: list) -> int:
+    return slot[5] if len(slot) > 5 else 0
+
+
+def _later(slots: list[list], pages: int) -> list[list]:
+    """The same subtrees, come up after so many more pages."""
+    out = [[*s[:5], _since(s) + pages] for s in slots]
+    todo = [*out]
+    while todo:
+        slot = todo.pop()
+        slot[4] = [[*s[:5], _since(s) + pages] for s in slot[4]]
+        todo += slot[4]
+    return out
+
+
+def pruned(tree: list) -> list:
+    """The tree without slots that were on less than ``RARE`` of the pages since they first came up.
+
+    None of them can be template as they stand; what is left is bounded by the size of pages, not by their number, and the pages
+    that a slot on ``SPREAD`` of them loses by this are fewer than ``RARE`` of all.
+    """
+    top = [*tree[:5], _since(tree)]
+    todo = [top]
+    while todo:
+        slot = todo.pop()
+        slot[4] = [[*s[:5], _since(s)] for s in slot[4] if s[1] >= RARE * (tree[1] - _since(s))]
+        todo += slot[4]
     return top
 
 
 def _joined(left: list, right: list) -> list:
     if not left[2] or not right[2]:
-        return [left[0], left[1] + right[1], left[2] or right[2], left[3] + right[3], []]
+        return [left[0], left[1] + right[1], left[2] or right[2], left[3] + right[3], [], _since(left)]
     texts = dict(left[2])
     for text, n in right[2]:
         texts[text] = texts.get(text, 0) + n
@@ -270,7 +311,7 @@ def _joined(left: list, right: list) -> list:
         # Misra-Gries: what is taken off all counters is at most a seventeenth of the pages, and none of a text that is on all.
         lost = sorted(texts.values())[-TEXTS - 1]
         texts = {t: n - lost for t, n in texts.items() if n > lost}
-    return [left[0], left[1] + right[1], sorted(map(list, texts.items())), left[3] + right[3] + lost, []]
+    return [left[0], left[1] + right[1], sorted(map(list, texts.items())), left[3] + right[3] + lost, [], _since(left)]
 
 
 def flat(tree: list) -> list:
@@ -278,7 +319,7 @@ def flat(tree: list) -> list:
     out, todo = [], [tree]
     while todo:
         slot = todo.pop()
-        out.append([*slot[:4], len(slot[4])])
+        out.append([*slot[:4], len(slot[4]), _since(slot)])
         todo += reversed(slot[4])
     return out
 
@@ -286,8 +327,8 @@ def flat(tree: list) -> list:
 def nested(nodes: list) -> list:
     """The tree of ``flat`` nodes."""
     todo: list = []
-    for *slot, count in reversed(nodes):
-        todo.append([*slot, [todo.pop() for _ in range(count)]])
+    for *slot, count, since in reversed(nodes):
+        todo.append([*slot, [todo.pop() for _ in range(count)], since])
     return todo[0]
 
 
@@ -303,7 +344,8 @@ class Wrapper:
         self.tree = tree
 
     def add(self, other: Wrapper) -> Wrapper:
-        return Wrapper(merged(self.tree, other.tree))
+        tree = merged(self.tree, other.tree)
+        return Wrapper(pruned(tree) if len(flat(tree)) > NODES else tree)
 
     def dump(self) -> str:
         return json.dumps(flat(self.tree))
@@ -314,18 +356,26 @@ class Wrapper:
 
     def template_of(self, slot: list) -> int | None:
         """Hash of the text that nearly all pages with the slot show in it; none where too few pages have the slot."""
-        if not slot[2] or slot[1] < max(LEAST_PAGES, SPREAD * self.tree[1]):
+        if not slot[2] or slot[1] < self.least():
             return None
         text, n = max(slot[2], key=lambda t: t[1])
         return text if n + slot[3] >= SHARE * slot[1] else None
 
     def decided(self) -> Wrapper:
-        """The same wrapper with nothing but the template text of each slot, as small as rows that carry it should be."""
-        nodes = []
-        for kind, pages, texts, lost, count in flat(self.tree):
-            text = self.template_of([kind, pages, texts, lost])
-            nodes.append([kind, pages, [[text, pages]] if text is not None else 0, 0, count])
-        return Wrapper(nested(nodes))
+        """The same wrapper with nothing but the template text of each slot, without slots on too few pages: small, as what is sent about should be."""
+        top = [*self.tree[:5]]
+        todo = [top]
+        while todo:
+            slot = todo.pop()
+            text = self.template_of(slot)
+            slot[2], slot[3] = [[text, slot[1]]] if text is not None else 0, 0
+            slot[4] = [[*s[:5]] for s in slot[4] if s[1] >= self.least()]
+            todo += slot[4]
+        return Wrapper(top)
+
+    def least(self) -> float:
+        """Pages that have to have a slot for a text of it to be template."""
+        return max(LEAST_PAGES, SPREAD * self.tree[1])
 
     def mark(self, page: Node) -> None:
         """Mark the elements of a page whose text is the template text of their slot."""
@@ -465,20 +515,30 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     pages without an article, have an empty text; pages without a host share the wrapper of the empty host. Repeated rows
     are extracted each and count as one page in the wrapper.
     """
-    wrappers = stored(induce_wrappers(pages), "wrappers").withColumnsRenamed({"host": "_host", "wrapper": "_wrapper"})
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")).join(wrappers, F.col("host") == F.col("_host"), "left")
+    wrappers = stored(induce_wrappers(pages), "wrappers")
+    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("_host"))
+    if (wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0) <= BROADCAST_BYTES:
+        known = pages.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in wrappers.collect()})
+        rows = rows.withColumn("_wrapper", F.lit(None).cast("string"))
+    else:
+        known = None
+        rows = rows.join(wrappers.withColumnsRenamed({"host": "_of", "wrapper": "_wrapper"}), F.col("_host") == F.col("_of"), "left")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loaded: dict[str, Wrapper] = {}
+
+        def wrapper(host: str, text: str | None) -> Wrapper | None:
+            if host not in loaded:
+                text = known.value.get(host) if known else text
+                if len(loaded) >= HOSTS_HELD:
+                    loaded.clear()
+                loaded[host] = Wrapper.load(text) if text is not None else None
+            return loaded[host]
+
         for batch in batches:
-            found = []
-            for page, text in zip(batch.column("html"), batch.column("_wrapper").to_pylist()):
-                if text is not None and text not in loaded:
-                    if len(loaded) >= HOSTS_HELD:
-                        loaded.clear()
-                    loaded[text] = Wrapper.load(text)
-                found.append(main_text(page.as_py(), loaded.get(text)))
+            found = [main_text(page.as_py(), wrapper(host, text)) for page, host, text in
+                     zip(batch.column("html"), batch.column("_host").to_pylist(), batch.column("_wrapper").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string()),
                                               pa.array([len(t) for t in found], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.select("page_id", "url", "html", "_wrapper").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "_host", "_wrapper").mapInArrow(extract, "page_id long, url string, text string, n_chars long")

@@ -45,6 +45,75 @@ def test_foreign_elements_swallow_no_text(page, want):
     assert text(page) == want
 
 
+@pytest.mark.parametrize("name", ["related-posts", "site-header", "comment-list", "comments-area", "user-comment", "ad-container", "widget-area",
+                                  "article-comments", "newsletter-box", "main-sidebar", "post-navigation", "relatedPosts", "social-share"])
+def test_names_of_asides_hide_their_text(spark, name):
+    assert text(f"<div class='{name}'><p>other</p></div><p>story</p>") == "story"
+    rows = [(n, "http://a.example", f"<body><div class='{name}'><p>other {n}</p></div><div class=s><p>story {n}</p></div></body>") for n in range(12)]
+    wrapper = h.Wrapper(h.folded(h.parse(rows[0][2])))
+    for row in rows[1:]:
+        wrapper = wrapper.add(h.Wrapper(h.folded(h.parse(row[2]))))
+    assert [text(r[2], wrapper.decided()) for r in rows] == [f"story {n}" for n in range(12)]
+
+
+def induced(pages):
+    wrapper = h.Wrapper(h.folded(h.parse(pages[0])))
+    for page in pages[1:]:
+        wrapper = wrapper.add(h.Wrapper(h.folded(h.parse(page))))
+    return wrapper
+
+
+def test_header_of_the_page_is_no_article():
+    pages = [f"<header><p>Updated at {n} o'clock, {50 + n} users</p></header><div class=s><p>story {n}</p></div>" for n in range(12)]
+    wrapper = induced(pages).decided()
+    assert [text(p, wrapper) for p in pages] == [f"story {n}" for n in range(12)]
+    assert text("<header>My Site log in</header><p>story</p>") == "story"
+    assert text("<header>site</header><article><header><h1>Title</h1></header><p>story</p></article>") == "Title\nstory"
+    assert text("<main><header><h1>Title</h1></header><p>story</p></main>") == "Title\nstory"
+    assert text("<section><header><h1>Title</h1></header><p>story</p></section>") == "Title\nstory"
+
+
+def test_classes_of_the_body_keep_pages_aligned():
+    slugs = ["about", "contact", "news", "team", "jobs", "prices", "help", "blog"]
+    pages = [f"<html class='js-{s}'><body class='page-{s}'><div class=top>Home Products</div><main id='m-{s}'><p>all about {s}</p></main><div class=end>Call us</div></body></html>" for s in slugs]
+    wrapper = induced(pages).decided()
+    assert [text(p, wrapper) for p in pages] == [f"all about {s}" for s in slugs]
+
+
+def slug(n):
+    return "".join("abcdefghij"[int(c)] for c in f"{n:06d}")
+
+
+def test_wrappers_stay_small_however_many_names_there_are():
+    pages = 100_000
+    page = lambda n: h.Wrapper(h.folded(h.parse(
+        f"<body><div class=top>Home</div><div id='{slug(n)}'><h2 id='x{slug(n)}'>t {n}</h2><p>story {n}</p></div><div class=end>Call us</div></body>")))
+    wrapper, largest = None, 0
+    for start in range(0, pages, 20):  # partial wrappers first, as tasks make them
+        part = page(start)
+        for n in range(start + 1, start + 20):
+            part = part.add(page(n))
+        wrapper = part if wrapper is None else wrapper.add(part)
+        largest = max(largest, len(h.flat(wrapper.tree)))
+    assert wrapper.tree[1] == pages and largest < 2 * h.NODES
+    assert len(h.flat(wrapper.decided().tree)) < 10
+    told = text("<body><div class=top>Home</div><div id=new><h2>title</h2><p>story</p></div><div class=end>Call us</div></body>", wrapper.decided())
+    assert told == "title\nstory"
+
+
+def test_slots_that_come_up_late_are_counted(monkeypatch):
+    monkeypatch.setattr(h, "NODES", 8)
+    pages = [f"<body><div id='{slug(n)}'>story {n}</div>{'<div class=end>Call us</div>' if n >= 200 else ''}</body>" for n in range(400)]
+    wrapper = induced(pages).decided()
+    assert {text(p, wrapper) for p in pages} == {f"story {n}" for n in range(400)}
+
+
+def test_many_elements_of_different_classes():
+    page = "<body>" + "".join(f"<div class='{slug(n)}'>part {n}</div>" for n in range(8_000)) + "</body>"
+    wrapper = induced([page, page.replace("part 5<", "part five<"), page.replace("part 7<", "part seven<"), page.replace("part 9<", "part nine<")]).decided()
+    assert text(page, wrapper) == "part 5\npart 7\npart 9"
+
+
 def random_tree(rng, depth):
     kids = [random_tree(rng, depth - 1) for _ in range(rng.randrange(4))] if depth else []
     return [rng.choice("abc"), 1, 0, True, kids]
