@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from itertools import accumulate
 
 import numpy as np
@@ -163,36 +164,77 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, depth: int, budget: i
     return values[at], values[sets.root[at]]
 
 
+STEP = 4  # bits that crowded pairs of nodes are taken down at once
+
+
+def _prefix(fp, depth: int):
+    return F.shiftrightunsigned(fp, BITS - depth) if depth < BITS else F.col(fp)
+
+
+def _node_pairs(distinct: DataFrame, budget: int, subtrie: int, least_depth: int) -> dict[int, DataFrame]:
+    """Pairs of trie nodes to compare whole, by depth: ``(a, b)`` with a <= b, of nodes that exist and stay within the budget.
+
+    Nodes carry the number of their fingerprints. A pair that holds more than ``2 * subtrie`` of them is crowded and replaced by the
+    pairs of its nodes ``STEP`` bits further down, so each pair that is left is small, however the fingerprints lie.
+    """
+    pairs, done, depth = None, {}, least_depth
+    while True:
+        counts = distinct.groupBy(_prefix("fp", depth).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        if pairs is not None:
+            crowded_nodes = pairs.select(F.explode(F.array("pa", "pb")).alias("up")).distinct()
+            counts = counts.join(small_side(stored(crowded_nodes, "crowded"), 16), F.shiftrightunsigned("node", STEP) == F.col("up"), "leftsemi")
+        counts = stored(counts, "nodes")
+        a, b = (counts.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab")
+        fits = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= budget
+        if pairs is None:
+            # At most 2^least_depth nodes.
+            walked = a.join(F.broadcast(b), (F.col("a") <= F.col("b")) & fits)
+        else:
+            # Children of two nodes meet in one order, those of one node in both: there the smaller comes first.
+            once = (F.col("pa") != F.col("pb")) | (F.col("a") <= F.col("b"))
+            a, b = (side.withColumn(f"up_{x}", F.shiftrightunsigned(x, STEP)) for side, x in ((a, "a"), (b, "b")))
+            walked = pairs.join(a, F.col("pa") == F.col("up_a")).join(b, (F.col("pb") == F.col("up_b")) & once & fits)
+        total = F.when(F.col("a") == F.col("b"), F.col("na")).otherwise(F.col("na") + F.col("nb"))
+        walked = stored(walked.select("a", "b", total.alias("n")), "node-pairs")
+        crowded = F.col("n") > 2 * subtrie if depth < BITS else F.lit(False)
+        done[depth] = walked.where(~crowded).select("a", "b")
+        pairs = walked.where(crowded).select(F.col("a").alias("pa"), F.col("b").alias("pb"))
+        if pairs.isEmpty():
+            return done
+        depth += STEP
+
+
 def trie_self_join(distinct: DataFrame, budget: int = 3, subtrie: int = 1 << 16, least_depth: int = 4) -> DataFrame:
     """Edges ``(u, v)`` over ``distinct(fp)`` that connect exactly the fingerprints within ``budget`` differing bits.
 
-    The top of the trie is walked first: its nodes ``depth`` bits down form pairs, a pair over the budget is never made, and
-    each remaining pair of subtries is one group. ``depth`` follows the number of fingerprints so that a subtrie holds
-    about ``subtrie`` of them. A group gives the sets it links (at most one edge per value), not all its pairs.
+    The top of the trie is walked over the counts of its nodes: nodes form pairs, a pair over the budget or with a node that does not exist is
+    never made, and a pair is taken further down until it holds at most ``2 * subtrie`` fingerprints. Each such pair of subtries
+    is one group, so no group grows with the table, also where many fingerprints share a long prefix. A group gives the
+    sets it links (at most one edge per value), not all its pairs.
     """
-    count = distinct.count()
-    depth = least_depth
-    while count > subtrie << depth:
-        depth += 1
-    masks = [m for m in range(1 << depth) if m.bit_count() <= budget]
-    prefix = F.shiftrightunsigned("fp", BITS - depth)
-    other = prefix.bitwiseXOR(F.col("mask"))
-    pairs = distinct.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask")).select(
-        "fp", (F.least(prefix, other) * (1 << depth) + F.greatest(prefix, other)).alias("pair"))
+    found = []
+    for depth, pairs in _node_pairs(distinct, budget, subtrie, least_depth).items():
+        ends = pairs.withColumn("node", F.explode(F.array_distinct(F.array("a", "b"))))
+        if pairs.isEmpty():
+            continue
+        members = distinct.withColumn("node", _prefix("fp", depth)).join(small_side(ends, 48), "node").select("a", "b", "fp")
+        found.append(members.withColumn("depth", F.lit(depth)))
 
     def links(group: pa.Table) -> pa.Table:
-        pair = group.column("pair")[0].as_py()
+        depth, low, high = (group.column(c)[0].as_py() for c in ("depth", "a", "b"))
         values = np.sort(group.column("fp").to_numpy().view(np.uint64))
-        low, high = pair >> depth, pair & ((1 << depth) - 1)
         if low == high:
             u, v = trie_links(values, None, depth, budget)
         else:
-            cut = int(np.searchsorted(values, np.uint64(high << (BITS - depth))))
-            u, v = trie_links(values[:cut], values[cut:], depth, budget)
+            # Prefixes of all 64 bits are signed numbers here, so the smaller one may be the later one.
+            first = values >> np.uint64(BITS - depth) == np.uint64(low & ((1 << BITS) - 1)) if depth else np.ones(values.size, bool)
+            u, v = trie_links(values[first], values[~first], depth, budget)
         apart = u != v
         return pa.table({"u": pa.array(u[apart].view(np.int64)), "v": pa.array(v[apart].view(np.int64))})
 
-    return pairs.groupBy("pair").applyInArrow(links, "u long, v long")
+    if not found:
+        return distinct.select(F.col("fp").alias("u"), F.col("fp").alias("v")).where(F.lit(False))
+    return functools.reduce(DataFrame.unionByName, found).groupBy("depth", "a", "b").applyInArrow(links, "u long, v long")
 
 
 # ---------------------------------------------------------------- operator

@@ -105,6 +105,34 @@ def test_trie_join_equals_all_pairs(seed, budget, frontier, monkeypatch):
     assert {v: got[v] for v in values} == dict(zip(values, components))
 
 
+@pytest.mark.parametrize("seed,budget,subtrie", [(1, 3, 2), (4, 2, 40)])
+def test_crowded_pairs_are_taken_further_down(spark, seed, budget, subtrie):
+    """Most fingerprints lie under one long prefix; links equal those of all pairs, and no group holds more than it may."""
+    rng = random.Random(seed)
+    hot = 0xABCDEF0123456789
+    values = {hot ^ sum(1 << rng.randrange(24) for _ in range(rng.randrange(5))) & ((1 << 64) - 1) for _ in range(150)}
+    values |= {rng.getrandbits(64) for _ in range(60)} | {0, (1 << 64) - 1, 1 << 63, (1 << 63) | 1, (1 << 63) - 1, 3}
+    values = sorted(v & ((1 << 64) - 1) for v in values)
+    signed = {int(np.uint64(v).view(np.int64)): v for v in values}
+    distinct = spark.createDataFrame([(s,) for s in signed], "fp long")
+    label = {v: v for v in values}
+
+    def find(v):
+        while label[v] != v:
+            v = label[v]
+        return v
+
+    for e in simhash.trie_self_join(distinct, budget, subtrie).collect():
+        a, b = sorted((find(signed[e["u"]]), find(signed[e["v"]])))
+        label[b] = a
+    assert [find(v) for v in values] == brute_components(values, values, budget)
+    for depth, pairs in simhash._node_pairs(distinct, budget, subtrie, 4).items():
+        for r in pairs.collect():
+            mine = [v for v in values if v >> (64 - depth) in (r["a"] & ((1 << 64) - 1), r["b"] & ((1 << 64) - 1))]
+            assert len(mine) <= 2 * subtrie or depth == 64
+            assert (r["a"] ^ r["b"]).bit_count() <= budget if r["a"] >= 0 <= r["b"] else True
+
+
 def test_dense_ball_is_one_component(spark):
     base = 0x0123456789ABCDEF
     values = [base ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)]
