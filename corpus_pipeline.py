@@ -16,27 +16,30 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without text or letters go."""
+    """Documents whose language can be told; null and empty texts and those without a letter go.
+
+    Where no document of the input carries a language, nothing is learned and every text with a letter stays.
+    """
     return known_language(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
+    """One document of each group of equal texts (null and empty ones are one group), the one with the smallest id; of repeated rows one."""
     return exact_dedup(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
+    """One document of each SimHash component, the one with the smallest id; null, empty and wordless texts are one component."""
     return near_dedup(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, and an empty benchmark keeps all."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens, and digests of ids and decoded text, of each document that is left."""
+    """Number of tokens, and digests of ids and decoded text, of each document that is left; a null text counts as empty, repeated rows give a row each."""
     return bpe_digests(docs, public_tokenizers.path(VOCABULARY))
 
 

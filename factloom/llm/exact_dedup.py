@@ -26,15 +26,16 @@ def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     One row per (digest, doc_id): ``digest`` (sha256 hex), ``doc_id``, ``copies`` (rows with that id and text),
     ``keep_id`` (smallest id, nulls last) and ``group_size``. Lengths that occur once are out after the first step, prefixes
     that occur once after the second; only what survives both is hashed whole. Every step counts before
-    it shuffles, so a length, prefix or text shared by a third of the rows is no hot key.
+    it shuffles, and the lengths and prefixes that occur again are sent to the rows where they fit a broadcast, so a length, prefix or
+    text shared by a third of the rows is no hot key; beyond that size the rows are joined by a shuffle whose skewed keys Spark splits.
     """
     text = normalised(F.col("text"))
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("body")).select(
         "doc_id", F.octet_length("body").alias("bytes"), F.xxhash64(F.substring("body", 1, prefix)).alias("head"))
     sized = stored(sized, "sizes")
-    by_length = _repeated(sized, "bytes")
+    by_length = small_side(stored(_repeated(sized, "bytes"), "lengths"), 16)
     survivors = stored(_repeated(sized.join(by_length, "bytes", "leftsemi"), "bytes", "head"), "survivors")
-    ids = stored(sized.join(survivors, ["bytes", "head"], "leftsemi").select("doc_id").distinct(), "ids")
+    ids = stored(sized.join(small_side(survivors, 32), ["bytes", "head"], "leftsemi").select("doc_id").distinct(), "ids")
     ids = small_side(ids.select(F.col("doc_id").alias(ID)), 32)
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     whole = whole.join(ids, F.col("doc_id").eqNullSafe(F.col(ID)), "leftsemi")

@@ -1,12 +1,16 @@
 """Language identification by n-gram filters that hold a bitmask of languages per slot.
 
 The filter is one Bloom filter per language, bit-sliced: slot i holds a mask with one bit per language, and AND-ing
-the slots of an n-gram gives all languages whose filter contains it at once. N-grams are windows of bytes over the
-lower-cased text with every other character than a letter as one separator.
+the slots of an n-gram gives all languages whose filter contains it at once; more than 64 languages take several planes of
+such masks. N-grams are windows of bytes over the lower-cased text with every other character than a letter or a mark on a
+letter as one separator, in all scripts.
 """
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,25 +36,41 @@ _MULTIPLIERS = np.random.default_rng(6).integers(1 << 62, 1 << 63, 16, dtype=np.
 
 @dataclass(frozen=True)
 class LanguageFilters:
-    """Bit-sliced filters: one mask of languages per slot, and the false positive rate of each language."""
+    """Bit-sliced filters: one mask of languages per slot, and the false positive rate of each language.
+
+    Where there are more languages than a mask has bits, ``masks`` has one row of slots for each ``PLANE`` of them.
+    """
 
     languages: list[str]
     masks: np.ndarray
     false_rates: np.ndarray
 
+    def planes(self) -> np.ndarray:
+        return self.masks if self.masks.ndim == 2 else self.masks[None]
 
-def _folded() -> np.ndarray:
-    """Byte to byte: A-Z lowered, ASCII without letters to a blank, bytes of longer characters unchanged."""
-    return np.array([b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint8)
 
+PLANE = 64  # languages of a plane of masks
+_NO_LETTER = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+_FEW = 24  # different separators beyond ASCII that are worth a pass over the text each
 
-FOLD = _folded()
+
+@functools.cache
+def _separates(character: str) -> bool:
+    """Whether a character beyond ASCII is no letter and no mark on one."""
+    return unicodedata.category(character)[0] not in "LM"
 
 
 def letters(text: str) -> bytes:
-    """The text as the n-grams see it: between blanks, runs of bytes that are no letters are one blank each."""
-    folded = bytes(FOLD[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)])
-    return b" " + b" ".join(folded.split()) + b" "
+    """The text as the n-grams see it: lower-cased words of letters in UTF-8, with one blank before, between and after them."""
+    lowered = text.lower()
+    if not lowered.isascii():
+        between = [c for c in set(lowered) if c > "\x7f" and _separates(c)]
+        if len(between) > _FEW:
+            lowered = re.sub(f"[{re.escape(''.join(between))}]", " ", lowered)
+        else:
+            for c in between:
+                lowered = lowered.replace(c, " ")
+    return b" " + b" ".join(lowered.encode("utf-8", "replace").translate(_NO_LETTER).split()) + b" "
 
 
 def gram_hashes(raw: bytes, width: int) -> np.ndarray:
@@ -99,32 +119,37 @@ def train_filters(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Lang
     languages = sorted(sizes)
     if not languages:
         return LanguageFilters([], np.zeros(SLOTS, np.uint64), np.zeros(0))
-    if len(languages) > 64:
-        raise ValueError(f"{len(languages)} languages; a slot holds 64 bits")
-    share = F.lit(0.0)
-    for name, n in sizes.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))).otherwise(share)
+
+    def of_language(values: dict):
+        return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("lang"))
+
+    share = of_language({name: min(1.0, per_language / n) for name, n in sizes.items()})
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)
 
     grams = _gram_counts(rows.where(drawn)).groupBy("gram", "lang").agg(F.sum("n").alias("n"))
     totals = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    frequency = F.lit(0.0)
-    for name, n in totals.items():
-        frequency = F.when(F.col("lang") == name, F.col("n") / F.lit(float(n))).otherwise(frequency)
-    bit = F.lit(0).cast("long")
-    for place, name in enumerate(languages):
-        bit = F.when(F.col("lang") == name, F.lit(1 << place if place < 63 else -(1 << 63)).cast("long")).otherwise(bit)
-    member = grams.withColumn("f", frequency).groupBy("gram").agg(F.max("f").alias("top"), F.collect_list(F.struct("f", bit.alias("bit"))).alias("by"))
-    mask = F.aggregate(F.filter("by", lambda x: (x["f"] >= RATIO * F.col("top")) & (x["f"] >= LEAST)), F.lit(0).cast("long"),
-                       lambda acc, x: acc.bitwiseOR(x["bit"]))
-    table = member.select("gram", mask.alias("mask")).where("mask <> 0").toArrow()
-    small = next(kind for bits, kind in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(languages) <= bits)
-    masks = np.zeros(SLOTS, small)
-    gram, mask_of = table.column("gram").to_numpy().view(np.uint64), table.column("mask").to_numpy().view(np.uint64).astype(small)
-    for at in slots(gram):
-        np.bitwise_or.at(masks, at, mask_of)
-    filled = np.array([np.count_nonzero(masks & masks.dtype.type(1 << p)) / SLOTS for p in range(len(languages))])
-    return LanguageFilters(languages, masks, filled ** HASHES)
+    if not totals:
+        return LanguageFilters(languages, np.zeros(SLOTS, np.uint64), np.zeros(len(languages)))
+    frequency = F.col("n") / of_language({name: float(n) for name, n in totals.items()})
+    place = of_language({name: place for place, name in enumerate(languages)})
+    member = grams.select("gram", frequency.alias("f"), place.alias("p")).groupBy("gram").agg(F.max("f").alias("top"), F.collect_list(F.struct("f", "p")).alias("by"))
+    own = F.filter("by", lambda x: (x["f"] >= RATIO * F.col("top")) & (x["f"] >= LEAST))
+    n_planes = -(-len(languages) // PLANE)
+
+    def mask(plane: int):
+        inside = F.filter(own, lambda x: F.floor(x["p"] / PLANE) == plane)
+        return F.aggregate(inside, F.lit(0).cast("long"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(x["p"], F.lit(PLANE)).cast("int"))))
+
+    table = member.select("gram", *(mask(k).alias(f"m{k}") for k in range(n_planes))).where(" or ".join(f"m{k} <> 0" for k in range(n_planes))).toArrow()
+    small = next((kind for bits, kind in ((8, np.uint8), (16, np.uint16), (32, np.uint32)) if len(languages) <= bits), np.uint64)
+    masks = np.zeros((n_planes, SLOTS), small)
+    gram = table.column("gram").to_numpy().view(np.uint64)
+    for k in range(n_planes):
+        mask_of = table.column(f"m{k}").to_numpy().view(np.uint64).astype(small)
+        for at in slots(gram):
+            np.bitwise_or.at(masks[k], at, mask_of)
+    filled = np.array([np.count_nonzero(masks[p // PLANE] & small(1 << p % PLANE)) / SLOTS for p in range(len(languages))])
+    return LanguageFilters(languages, masks if n_planes > 1 else masks[0], filled ** HASHES)
 
 
 class _Tally:
@@ -182,12 +207,14 @@ def identify(text: str | None, filters: LanguageFilters) -> tuple[str, float]:
         return UNKNOWN, 0.0
     hits, total = np.zeros(len(filters.languages)), 0
     for hashes in _windows(text):
-        first, *more = slots(hashes)
-        found = filters.masks[first]
-        for at in more:
-            found = found & filters.masks[at]
+        places = slots(hashes)
         total += hashes.size
-        hits += [np.count_nonzero(found & found.dtype.type(1 << p)) for p in range(len(filters.languages))]
+        for k, masks in enumerate(filters.planes()):
+            found = masks[places[0]]
+            for at in places[1:]:
+                found = found & masks[at]
+            of_plane = range(k * PLANE, min(len(filters.languages), (k + 1) * PLANE))
+            hits[of_plane.start:of_plane.stop] += [np.count_nonzero(found & found.dtype.type(1 << p % PLANE)) for p in of_plane]
     # Of the n-grams that a filter does not hold, its false positive rate passes all the same.
     spare = 1 - filters.false_rates
     true = np.where(spare > 0, np.maximum(0.0, hits - total * filters.false_rates) / np.where(spare > 0, spare, 1), 0)
@@ -214,12 +241,31 @@ def held_out():
 
 
 def language_of(docs: DataFrame) -> DataFrame:
-    """Learn from the documents that are not held out, predict for all."""
+    """Learn from the documents that are not held out, predict for all.
+
+    Null texts, empty ones and those without a letter get ``und`` and score 0, as do all texts where no row teaches a language.
+    Repeated rows teach and are predicted each.
+    """
     filters = train_filters(docs.where(~held_out()))
     return predict_language(docs, filters).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def known_language(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose language is ``und``; learned from their own labels, judged where they lie."""
-    shared = docs.sparkSession.sparkContext.broadcast(train_filters(docs.where(~held_out())))
-    return kept_rows(docs, ["text"], lambda batch: [identify(t, shared.value)[0] != UNKNOWN for t in batch.column("text").to_pylist()])
+def known_language(docs: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """``docs`` without the documents whose language is ``und``, or none of ``wanted`` where that is given.
+
+    The filters learn from the labels of ``docs`` itself. ``und`` are null and empty texts and those without a letter; that alone is
+    what goes where ``wanted`` is None. Where no row teaches a language none can be told, so every text with a letter stays;
+    with ``wanted`` that is an error. All columns stay, repeated rows are judged each, and rows are judged where they lie.
+    """
+    filters = train_filters(docs.where(~held_out()))
+    if wanted is not None and not filters.languages:
+        raise ValueError("no document teaches a language")
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+
+    def keep(text: str | None) -> bool:
+        if not shared.value.languages:
+            return bool(text) and any(map(str.isalpha, text))
+        told = identify(text, shared.value)[0]
+        return told != UNKNOWN and (wanted is None or told in wanted)
+
+    return kept_rows(docs, ["text"], lambda batch: [keep(t) for t in batch.column("text").to_pylist()])

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from factloom.llm.shared import stored
 
 Tree = Sequence[tuple[str, str, int, float]]
+HELPER = "__factloom_"  # of columns beside a caller's own
+DRAW = f"{HELPER}draw"
 
 
 def even_tree(shards: int, per_rack: int = 4, racks: int = 2) -> Tree:
@@ -51,24 +53,27 @@ def _by_first(entries: list[tuple[tuple, float]]) -> dict[str, list[tuple[tuple,
 
 
 def with_shard(df: DataFrame, key: str, tree: Tree, out: str) -> DataFrame:
-    """Add the shard of ``key`` (null is a key of its own) by descending the tree; helper columns do not stay."""
+    """Add the shard of ``key`` (null is a key of its own) by descending the tree; helper columns do not stay.
+
+    Repeated keys go to one shard; a column named ``out`` is replaced, any other stays as it is.
+    """
     if not tree:
         raise ValueError("a tree needs a shard")
     if len({s for _, _, s, _ in tree}) < len(tree) or min(w for *_, w in tree) < 0 or not sum(w for *_, w in tree):
         raise ValueError("shards must be distinct, weights not negative and not all 0")
     entries = [((region, rack, str(shard)), weight) for region, rack, shard, weight in tree if weight]
     hashed = F.struct(F.col(key).cast("string").alias("k"), F.col(key).isNull().alias("none"))
-    df = df.withColumn("_draw_key", F.xxhash64(hashed["k"], hashed["none"]))
+    df = df.withColumn(DRAW, F.xxhash64(hashed["k"], hashed["none"]))
 
     def named(prefix: str, group: list) -> dict[str, float]:
         return {f"{prefix}/{name}": sum(w for _, w in below) for name, below in _by_first(group).items()}
 
-    steps = ["_region", "_rack", "_leaf"]
+    steps = [f"{HELPER}region", f"{HELPER}rack", f"{HELPER}leaf"]
     chosen = {"": entries}
     for step, above in zip(steps, [None, *steps]):
         branches, nxt = None, {}
         for prefix, group in chosen.items():
-            pick = _least(F.col("_draw_key"), named(prefix, group))
+            pick = _least(F.col(DRAW), named(prefix, group))
             for name, below in _by_first(group).items():
                 nxt[f"{prefix}/{name}"] = below
             if above is None:
@@ -76,7 +81,7 @@ def with_shard(df: DataFrame, key: str, tree: Tree, out: str) -> DataFrame:
             else:
                 branches = (F.when if branches is None else branches.when)(F.col(above) == prefix, pick)
         df, chosen = df.withColumn(step, branches), nxt
-    return df.withColumn(out, F.element_at(F.split("_leaf", "/"), -1).cast("int")).drop("_draw_key", *steps)
+    return df.withColumn(out, F.element_at(F.split(steps[-1], "/"), -1).cast("int")).drop(DRAW, *steps)
 
 
 def assign_shards(docs: DataFrame, tree: Tree, more: Tree | None = None, *, slice_rows: int = 20_000) -> DataFrame:

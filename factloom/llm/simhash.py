@@ -245,7 +245,8 @@ def simhash_components(docs: DataFrame, budget: int = 3, width: int = 3) -> Data
 
     Documents link when their fingerprints differ in at most ``budget`` bits; component_id is the smallest doc_id that
     can be reached (null only where the whole component has null ids), component the smallest fingerprint. Equal fingerprints are joined once, as
-    one node, however many documents share them. Repeated rows are returned as often as they occur.
+    one node, however many documents share them. Null, empty and wordless texts have fingerprint 0, linked like any other. Repeated rows are
+    returned as often as they occur.
     """
     rows = stored(fingerprints(docs, width), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")

@@ -240,6 +240,10 @@ def toxic_passages(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 
 def toxicity_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Learn from the labelled documents that are not held out, score all."""
+    """Learn from the labelled documents that are not held out, score all.
+
+    Null and empty texts hold no passage and score what the curve gives for none; a null id is not held out and has no label; of
+    several labels of an id the highest teaches; repeated rows score alike.
+    """
     held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
     return score_toxicity(docs, train_toxicity(docs, labels)).select("doc_id", held_out.alias("held_out"), "score", "predicted")

@@ -82,3 +82,85 @@ def test_filter_empty_clashing_and_unlabelled(spark, given):
     assert language.language_of(rows).count() == 3
     nothing = language.language_of(cases.documents(spark).withColumn("lang", F.lit(None).cast("string")))
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
+
+
+def grams_of(text, width):
+    """N-grams by definition, character by character."""
+    import unicodedata
+    kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
+    raw = (" " + " ".join(w for w in kept.split(" ") if w) + " ").encode()
+    return [raw[i:i + width] for i in range(len(raw) - width + 1)] if len(raw) >= 3 else []
+
+
+def brute_filters(rows):
+    """Exact sets of n-grams per language under the same rules, on Python dictionaries."""
+    counts = {}
+    for _, text, lang in rows:
+        for width in language.WIDTHS:
+            for g in grams_of(text, width):
+                counts.setdefault(lang, {}).setdefault(g, 0)
+                counts[lang][g] += 1
+    frequency = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    top = {}
+    for f in frequency.values():
+        for g, x in f.items():
+            top[g] = max(x, top.get(g, 0))
+    return {lang: {g for g, x in f.items() if x >= language.RATIO * top[g] and x >= language.LEAST} for lang, f in frequency.items()}
+
+
+def brute_identify(text, filters):
+    if not text or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    hits = {lang: sum(g in own for width in language.WIDTHS for g in grams_of(text, width)) for lang, own in sorted(filters.items())}
+    best = max(hits, key=lambda lang: hits[lang])
+    return (best, hits[best] / sum(hits.values())) if any(hits.values()) else (next(iter(hits)), 1 / len(hits))
+
+
+def test_filters_and_decisions_equal_sets(spark):
+    rows = [(1, "Der Hund läuft — über «die» Straße, ÜBER alles", "de"), (2, "The dog runs over the street; above all else", "en"),
+            (3, "Собака бежит по улице, над всем", "ru"), (4, "कुत्ता सड़क पर दौड़ता है", "hi"), (5, "犬は道を走る。犬は", "ja"), (6, "L’été – ÉTÉ\u00a0: le chien court", "fr")]
+    made = language.train_filters(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    exact = brute_filters(rows)
+    planes = made.planes()[0]
+    for p, name in enumerate(made.languages):
+        held = {g for own in exact.values() for g in own
+                if all(planes[at[0]] >> p & 1 for at in language.slots(language.gram_hashes(g, len(g))))}
+        assert held == exact[name]  # so few n-grams collide in no slot
+    for text in ["hund über straße", "the street", "собака", "सड़क पर", "道を走る", "été", "« ÉTÉ » — été", "123 !?", "", None, "zzz qqq", "ÜBER", "x" * 50]:
+        want, score = brute_identify(text, exact)
+        got = language.identify(text, made)
+        assert got[0] == want and got[1] == pytest.approx(score, abs=1e-3)
+
+
+@pytest.mark.parametrize("text,want", [
+    ("« Été » — ÉTÉ", " été été "), ("a\u00a0b\u200bc1d", " a b c d "), ("日本語、テスト。", " 日本語 テスト "), ("e\u0301te", " e\u0301te "), ("İ", " i\u0307 "), ("—", "  "),
+    ("".join(chr(c) for c in range(0x2000, 0x2070)) + "x", None)])
+def test_letters_of_all_scripts(text, want):
+    got = language.letters(text)
+    assert got == want.encode() if want is not None else b" x " in got and chr(0x2026).encode() not in got
+
+
+def test_more_languages_than_bits(spark):
+    alphabet = "abcdefghijklmnop"
+    word = lambda n: "".join(alphabet[(n >> 4 * k) % 16] * 2 for k in range(3)) + alphabet[n % 16] * 3
+    rows = [(n, f"{word(n)} {word(n)}", f"l{n:03d}") for n in range(150)]
+    made = language.train_filters(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(made.languages) == 150 and made.planes().shape[0] == 3
+    exact = brute_filters(rows)
+    for n in (0, 1, 63, 64, 65, 127, 128, 149):
+        assert language.identify(rows[n][1], made)[0] == brute_identify(rows[n][1], exact)[0]
+
+
+def test_nothing_is_lost_without_labels(spark):
+    docs = cases.documents(spark).withColumn("lang", F.lit(None).cast("string"))
+    kept = language.known_language(docs)
+    want = [r for r in docs.collect() if r["text"] and any(map(str.isalpha, r["text"]))]
+    assert cases.table(kept) == sorted((tuple(r) for r in want), key=lambda r: [(v is not None, str(type(v)), v) for v in r])
+    with pytest.raises(ValueError):
+        language.known_language(docs, ("en",))
+
+
+def test_only_wanted_languages(spark, given):
+    kept = language.known_language(given, ("de",))
+    told = {r["doc_id"]: r["lang_pred"] for r in language.language_of(given).collect()}
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, lang in told.items() if lang == "de")

@@ -1,5 +1,8 @@
+import math
 from collections import Counter
 
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from factloom.llm import sharding
@@ -43,6 +46,39 @@ def test_movement_is_confined_to_changed_subtrees(spark):
             assert b == 5
 
 
+def drawn(key, tree):
+    """The descent in plain Python: XXH64 of the key, chained with each child's path, 53 bits of it as a draw."""
+    h = xxhash.xxh64_intdigest(str(key).encode(), 42) if key is not None else 42
+    h = xxhash.xxh64_intdigest((1 if key is None else 0).to_bytes(4, "little"), h)
+    key_bytes = h.to_bytes(8, "little")
+
+    def draw(path, weight):
+        bits = xxhash.xxh64_intdigest(path.encode(), xxhash.xxh64_intdigest(key_bytes, 42)) >> 11
+        return -math.log((bits + 0.5) / (1 << 53)) / weight
+
+    prefix = ""
+    for level in range(3):
+        weights = {}
+        for region, rack, shard, weight in tree:
+            path = "/" + "/".join((region, rack, str(shard))[:level + 1])
+            if weight and path.startswith(prefix) and (level == 0 or path.rsplit("/", 1)[0] == prefix):
+                weights[path] = weights.get(path, 0) + weight
+        prefix = min(weights, key=lambda p: (draw(p, weights[p]), p))
+    return int(prefix.rsplit("/", 1)[1])
+
+
+@pytest.mark.parametrize("tree", [sharding.even_tree(16), sharding.grown(sharding.even_tree(16)), [("a", "r", 0, 1.0), ("a", "s", 1, 3.5), ("b", "r", 2, 4.0), ("b", "q", 3, 0.0)]])
+def test_draws_equal_plain_python(spark, tree):
+    ids = [*range(500), None, -7, 1 << 62]
+    rows = spark.createDataFrame([(i,) for i in ids], "id long")
+    assert {r["id"]: r["s"] for r in sharding.with_shard(rows, "id", tree, "s").collect()} == {i: drawn(i, tree) for i in ids}
+
+
+def test_columns_of_the_caller_stay(spark):
+    rows = spark.createDataFrame([(1, "a", "b", "c", "d")], "id long, _draw_key string, _region string, _rack string, _leaf string")
+    assert tuple(sharding.with_shard(rows, "id", sharding.even_tree(4), "s").drop("s").first()) == (1, "a", "b", "c", "d")
+
+
 def test_rows_slots_and_sizes(spark):
     docs = cases.documents(spark)
     tree = sharding.even_tree(4)
