@@ -1,4 +1,4 @@
-"""Election of one canonical fact per conflict group: batch, incremental, reviewed."""
+"""Election of one canonical fact per conflict group: in full, and as a log of changed flags for inserts, reviews and deletions."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.functions.text import record
-from factloom.operators.common import null_safe, top_per_group
+from factloom.operators.common import top_per_group
+from factloom.session import materialised, small_side
 
 GROUP = ("entity_type", "entity_name", "field_name", "year", "unit")
 
@@ -49,23 +50,82 @@ def elect_canonical(facts: DataFrame) -> DataFrame:
     )
 
 
-def affected_groups(facts: DataFrame) -> DataFrame:
-    return facts.select(*GROUP).distinct()
+# --- changes ---------------------------------------------------------------------------
+# An elected table holds one winner per conflict group, so a change is settled between winners: what comes in plays against the
+# winner of its group, and only a group whose own winner goes is elected again. The outcome is a log of the flags that change
+# (fact_id, is_canonical), which is joined to the facts by their unique id; facts are never shuffled by group.
+
+RANK = ("confidence", "has_number", "source_doc_id", "fact_id")
+GROUP_BYTES = 256  # what a group's keys take in a broadcast
+
+
+def _ranked(facts: DataFrame) -> list:
+    return [*GROUP, "confidence", F.col("value_num").isNotNull().alias("has_number"), "source_doc_id", "fact_id"]
+
+
+def in_groups(facts: DataFrame, groups: DataFrame, how: str) -> DataFrame:
+    """Facts whose conflict group is (``leftsemi``) or is not (``leftanti``) in a stored table of groups; sent to the facts where it is small."""
+    named = small_side(groups.select(*[F.col(c).alias(f"g_{c}") for c in GROUP]).distinct(), GROUP_BYTES)
+    same = F.lit(True)
+    for c in GROUP:
+        same = same & F.col(c).eqNullSafe(F.col(f"g_{c}"))
+    return facts.join(named, same, how)
+
+
+def flips(rows: DataFrame, on: bool, fact_id: str = "fact_id") -> DataFrame:
+    return rows.where(F.col(fact_id).isNotNull()).select(F.col(fact_id).alias("fact_id"), F.lit(on).alias("flag"))
+
+
+def insert_flips(store: DataFrame, new: DataFrame) -> DataFrame:
+    """Flags that change when ``new`` facts come to an elected ``store``: their winners that beat the store's, and those beaten."""
+    rank = F.struct(*RANK)
+    fresh = group_winners(new).select(*[F.col(c).alias(f"f_{c}") for c in GROUP], F.col("fact_id").alias("won"), rank.alias("_new"))
+    now = store.where("is_canonical").select(*_ranked(store)).select(*GROUP, F.col("fact_id").alias("lost"), rank.alias("_old"))
+    same = F.lit(True)
+    for c in GROUP:
+        same = same & F.col(f"f_{c}").eqNullSafe(F.col(c))
+    duels = fresh.join(now, same, "left").where(F.col("_old").isNull() | (F.col("_new") > F.col("_old"))).select("won", "lost")
+    duels = materialised(duels, "duels")
+    return flips(duels, True, "won").unionByName(flips(duels, False, "lost"))
+
+
+def with_flips(facts: DataFrame, changed: DataFrame) -> DataFrame:
+    """Elected facts with a log of changed flags applied."""
+    log = changed.select(F.col("fact_id").alias("_changed"), "flag")
+    return facts.join(log, F.col("fact_id") == F.col("_changed"), "left").withColumn(
+        "is_canonical", F.coalesce("flag", "is_canonical")).drop("_changed", "flag")
 
 
 def elect_affected(store: DataFrame, new: DataFrame) -> DataFrame:
-    """Add new facts and re-elect only the groups they touch."""
-    return reelect(store, new, affected_groups(new))
+    """An elected ``store`` with new facts added; flags change in the groups they win."""
+    added = new.withColumn("conflict_group_id", conflict_group_id()).withColumn("is_canonical", F.lit(False))
+    return with_flips(store.unionByName(added, allowMissingColumns=True), insert_flips(store, new))
+
 
+def reviewed_flips(facts: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Flags that change when elected ``facts`` get their latest review.
 
-def reelect(store: DataFrame, new: DataFrame | None, groups: DataFrame) -> DataFrame:
-    """Re-elect the given groups of ``store`` (plus ``new``); other groups stay as they are."""
-    cond = null_safe(store, groups, GROUP)
-    touched = store.join(groups, cond, "left_semi")
-    rest = store.join(groups, cond, "left_anti")
-    if new is not None:
-        touched = touched.unionByName(new, allowMissingColumns=True)
-    return rest.unionByName(elect_canonical(touched), allowMissingColumns=True)
+    A rejected winner vacates its group, which is elected again; a fact that is no longer rejected plays against the winner of its group.
+    """
+    last = latest_reviews(reviews).select("fact_id", F.trim("status").alias("_status"))
+    rejected = lambda c: F.coalesce(F.col(c), F.lit("")) == "rejected"
+    after = F.coalesce("_status", "status").alias("status")
+    touched = facts.join(last, "fact_id").select(
+        *GROUP, "confidence", "value_num", "source_doc_id", "fact_id", "is_canonical", after, rejected("status").alias("_was"))
+    touched = materialised(touched.where(rejected("status") != F.col("_was")), "reviewed")
+    toppled = touched.where(F.col("is_canonical") & rejected("status"))
+    opened = touched.where("_was")
+    vacated = materialised(toppled.select(*GROUP).distinct(), "vacated")
+    changed = flips(toppled, False).unionByName(insert_flips(facts, in_groups(opened, vacated, "leftanti")))
+    if vacated.isEmpty():
+        return changed
+    narrow = facts.join(last, "fact_id", "left").select(*GROUP, "confidence", "value_num", "source_doc_id", "fact_id", after)
+    return changed.unionByName(flips(group_winners(in_groups(narrow, vacated, "leftsemi")), True))
+
+
+def latest_reviews(reviews: DataFrame) -> DataFrame:
+    """The last review of each fact."""
+    return top_per_group(reviews, ["fact_id"], [F.desc("reviewed_at"), F.desc("status")])
 
 
 def apply_latest_reviews(facts: DataFrame, reviews: DataFrame) -> DataFrame:
@@ -73,7 +133,7 @@ def apply_latest_reviews(facts: DataFrame, reviews: DataFrame) -> DataFrame:
 
     ``reviews(fact_id, status, reviewer, note, reviewed_at string)``.
     """
-    last = top_per_group(reviews, ["fact_id"], [F.desc("reviewed_at"), F.desc("status")])
+    last = latest_reviews(reviews)
     notes = F.filter(
         F.array(
             *[
@@ -100,18 +160,22 @@ def apply_latest_reviews(facts: DataFrame, reviews: DataFrame) -> DataFrame:
 
 
 def apply_reviews(facts: DataFrame, reviews: DataFrame) -> DataFrame:
-    """All facts with their latest review, elected anew from narrow columns (see ``elect_canonical``)."""
-    return elect_canonical(apply_latest_reviews(facts, reviews))
+    """All facts with their latest review; where they are elected already, only flags that the reviews change do."""
+    updated = apply_latest_reviews(facts, reviews)
+    if "is_canonical" not in facts.columns:
+        return elect_canonical(updated)
+    return with_flips(updated, reviewed_flips(facts, reviews))
 
 
 def delete_documents(docs: DataFrame, blocks: DataFrame, facts: DataFrame, ids: DataFrame):
-    """Drop documents with their blocks and facts; groups that lost a fact are re-elected."""
+    """Drop documents with their blocks and elected facts; a group whose winner went is elected again."""
     gone = ids.select("doc_id").distinct()
     fact_key = gone.withColumnRenamed("doc_id", "source_doc_id")
-    lost = facts.join(fact_key, "source_doc_id", "left_semi")
     left = facts.join(fact_key, "source_doc_id", "left_anti").select(*facts.columns)
+    vacated = materialised(facts.where("is_canonical").join(fact_key, "source_doc_id", "left_semi").select(*GROUP).distinct(), "vacated")
+    again = group_winners(in_groups(left, vacated, "leftsemi"))
     return (
         docs.join(gone, "doc_id", "left_anti"),
         blocks.join(gone, "doc_id", "left_anti"),
-        reelect(left, None, affected_groups(lost)),
+        with_flips(left, flips(again, True)),
     )

@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from factloom.operators.canonical import GROUP, apply_latest_reviews, conflict_group_id, group_winners, merge_winners
+from factloom.operators.canonical import GROUP, apply_latest_reviews, conflict_group_id, group_winners, in_groups, merge_winners
 from factloom.operators.extraction import extract_facts
 from factloom.operators.store import is_instruction
+from factloom.session import materialised
 from factloom.sources.blocks import text_blocks
 from factloom.sources.office import file_blocks
 from factloom.sources.vocabulary import Vocabulary
@@ -185,19 +186,14 @@ def current_winners(spark: SparkSession, store: str) -> DataFrame:
     if reviews is not None:
         reviewed = reviews.select(F.col("fact_id").alias("r_id")).distinct()
         open_groups = open_groups.unionByName(facts.join(reviewed, F.col("fact_id") == F.col("r_id"), "leftsemi").select(*GROUP))
-        valid = _in_groups(valid, open_groups, "leftanti")
-    again = _in_groups(facts, open_groups, "leftsemi")
+        open_groups = materialised(open_groups.distinct(), "open-groups")
+        valid = in_groups(valid, open_groups, "leftanti")
+    else:
+        open_groups = materialised(open_groups.distinct(), "open-groups")
+    again = in_groups(facts, open_groups, "leftsemi")
     return merge_winners(valid.select(*group_winners_columns()).unionByName(group_winners(again, ("batch_id",)).select(*group_winners_columns())))
 
 
-def _in_groups(rows: DataFrame, groups: DataFrame, how: str) -> DataFrame:
-    named = groups.select(*[F.col(c).alias(f"g_{c}") for c in GROUP]).distinct()
-    same = F.lit(True)
-    for c in GROUP:
-        same = same & F.col(c).eqNullSafe(F.col(f"g_{c}"))
-    return rows.join(named, same, how)
-
-
 def group_winners_columns() -> list[str]:
     return [*GROUP, "confidence", "has_number", "source_doc_id", "fact_id", "batch_id"]
 
