@@ -4,8 +4,11 @@ The store is append-only per micro-batch: ``blocks/``, ``facts/``, ``winners/``,
 ``batch_id=N`` folder that a retried batch overwrites. A document counts in its latest batch only, so one that arrives again
 replaces what it said before, and a deleted one is a batch without content. Winners are partial elections of one batch each.
 The current winners are a merge of the partial ones; only groups that lost a partial winner to a later batch, a review or a
-deletion are elected anew, and nothing old is rewritten. ``compact_winners`` folds the partial elections into one table that the
-next reads start from.
+deletion are elected anew, and nothing old is rewritten.
+
+``compact`` writes a snapshot: under ``snapshots/upto=N`` the current state of every table up to batch N, without replaced and deleted
+versions, and last of all a commit mark. Reads start from the newest snapshot with a mark and add the batches after it,
+so they cost the same after a thousand batches as after one. ``expire`` deletes what no read needs any more.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factloom.operators.canonical import GROUP, apply_latest_reviews, conflict_group_id, group_winners, in_groups, merge_winners
+from factloom.operators.common import top_per_group
 from factloom.operators.extraction import extract_facts
 from factloom.operators.store import is_instruction
 from factloom.session import materialised
@@ -40,17 +44,29 @@ class Pipeline:
     to_facts: Callable[[DataFrame], DataFrame]
 
 
+def one_version(docs: DataFrame) -> DataFrame:
+    """One row of each document of a batch: of several rows with an id the one that sorts last by text (null first), then file name.
+
+    Only ids that come more than once are moved.
+    """
+    again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_again"))
+    same = F.col("doc_id").eqNullSafe(F.col("_again"))
+    settled = top_per_group(docs.join(again, same, "left_semi"), ["doc_id"], [F.desc("text"), F.desc("file_name")])
+    return docs.join(again, same, "left_anti").unionByName(settled)
+
+
 def text_pipeline(vocab: Vocabulary) -> Pipeline:
-    """For documents (doc_id, text, file_name), an id at most once per batch."""
+    """For documents (doc_id, text, file_name); an id that comes twice in a batch counts once (see ``one_version``)."""
 
     def blocks(docs: DataFrame) -> DataFrame:
+        docs = one_version(docs)
         good = text_blocks(docs.where("text is not null"), keep=("file_name",))
         bad = docs.where("text is null").select(
             F.col("doc_id").cast("string").alias("doc_id"), "file_name", F.lit("no text").alias("error"))
         return good.unionByName(bad, allowMissingColumns=True)
 
     return Pipeline(
-        lambda docs: docs.select(F.col("doc_id").cast("string").alias("doc_id")),
+        lambda docs: docs.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(),
         blocks, lambda b: extract_facts(b, vocab),
     )
 
@@ -128,40 +144,118 @@ def write_deletions(ids: DataFrame, batch_id: int, store: str) -> None:
 
 def next_batch(spark: SparkSession, store: str) -> int:
     """Number for a batch of reviews or deletions after all that the store holds."""
-    last = -1
+    last = snapshot(spark, store)
     for table in ("progress", "reviews"):
         if _there(spark, f"{store}/{table}"):
-            last = max(last, spark.read.parquet(f"{store}/{table}").agg(F.max("batch_id").alias("n")).first()["n"] or 0)
+            last = max([last, *_batches(spark, f"{store}/{table}")])
     return last + 1
 
 
-def _there(spark: SparkSession, path: str) -> bool:
+# --- snapshots -------------------------------------------------------------------------
+
+TABLES = ("blocks", "facts", "winners", "progress", "reviews")
+
+
+def _folder(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the ``name=N`` folders below a path."""
+    at, fs = _folder(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n.split("=")[1]) for n in names if "=" in n)
+
+
+def snapshot(spark: SparkSession, store: str) -> int:
+    """Last batch of the newest snapshot that was written to its end; -1 where there is none."""
+    done = [n for n in _batches(spark, f"{store}/snapshots") if _there(spark, f"{store}/snapshots/upto={n}/committed/_SUCCESS")]
+    return max(done, default=-1)
+
+
+def read_table(spark: SparkSession, store: str, table: str) -> DataFrame | None:
+    """A table of the store with ``batch_id``: the newest snapshot and the batches after it, whole ones only; None where there is nothing."""
+    upto = snapshot(spark, store)
+    known = set(_batches(spark, f"{store}/progress")) | set(_batches(spark, f"{store}/reviews"))
+    parts = [n for n in _batches(spark, f"{store}/{table}") if n > upto and n in known]
+    out = None
+    if parts:
+        out = spark.read.option("basePath", f"{store}/{table}").parquet(*[_part(store, table, n) for n in parts])
+    base = f"{store}/snapshots/upto={upto}/{table}"
+    if upto >= 0 and _there(spark, f"{base}/_SUCCESS"):
+        held = spark.read.parquet(base)
+        out = held if out is None else held.unionByName(out, allowMissingColumns=True)
+    return out
+
+
+def compact(spark: SparkSession, store: str, files: int = 8) -> int:
+    """Write the state after all whole batches as a snapshot and return its number.
+
+    Replaced and deleted versions of documents, reviews of facts that are gone and beaten partial winners are left behind; progress keeps every row. A
+    batch that is still being written is not part of it (batches are written one after the other). Repeating an interrupted
+    call writes the same folder again; readers see a snapshot only once it is whole.
+    """
+    begun = set(_batches(spark, f"{store}/blocks"))
+    whole = set(_batches(spark, f"{store}/progress"))
+    reviews = set(_batches(spark, f"{store}/reviews"))
+    open_batches = begun - whole
+    upto = max([n for n in whole | reviews if not open_batches or n < min(open_batches)], default=-1)
+    if upto <= snapshot(spark, store):
+        return snapshot(spark, store)
+    base = f"{store}/snapshots/upto={upto}"
+    state = {
+        "blocks": read_table(spark, store, "blocks"), "facts": read_table(spark, store, "facts"), "progress": read_table(spark, store, "progress"),
+        "reviews": read_table(spark, store, "reviews"), "winners": current_winners(spark, store).select(*group_winners_columns()),
+    }
+    latest = _latest(spark, store)
+    if state["blocks"] is not None:
+        state["blocks"] = _counting(state["blocks"].where("error is null"), latest, "leftsemi", "doc_id")
+    facts = state["facts"] = _counting(state["facts"], latest, "leftsemi")
+    if state["reviews"] is not None:
+        state["reviews"] = _held(facts, state["reviews"])
+    for table, rows in state.items():
+        if rows is not None:
+            rows.coalesce(files).write.mode("overwrite").parquet(f"{base}/{table}")
+    spark.createDataFrame([(upto,)], "upto long").coalesce(1).write.mode("overwrite").parquet(f"{base}/committed")
+    return upto
+
+
+def expire(spark: SparkSession, store: str) -> None:
+    """Delete the batch folders that the newest snapshot contains, and older snapshots. No reader may still be at work on them."""
+    upto = snapshot(spark, store)
+    if upto < 0:
+        return
+    gone = [_part(store, table, n) for table in TABLES for n in _batches(spark, f"{store}/{table}") if n <= upto]
+    gone += [f"{store}/snapshots/upto={n}" for n in _batches(spark, f"{store}/snapshots") if n < upto]
+    for path in gone:
+        at, fs = _folder(spark, path)
+        fs.delete(at, True)
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at, fs = _folder(spark, path)
+    return fs.exists(at)
 
 
 def _latest(spark: SparkSession, store: str) -> DataFrame:
     """The batch in which each document counts."""
-    return spark.read.parquet(f"{store}/progress").groupBy(F.col("doc_id").alias("l_doc")).agg(F.max("batch_id").alias("l_batch"))
+    return read_table(spark, store, "progress").groupBy(F.col("doc_id").alias("l_doc")).agg(F.max("batch_id").alias("l_batch"))
 
 
 def _counting(rows: DataFrame, latest: DataFrame, how: str, doc: str = "source_doc_id") -> DataFrame:
     return rows.join(latest, (F.col(doc) == F.col("l_doc")) & (F.col("batch_id") == F.col("l_batch")), how)
 
 
-def _reviews(spark: SparkSession, store: str) -> DataFrame | None:
-    return spark.read.parquet(f"{store}/reviews") if _there(spark, f"{store}/reviews") else None
-
-
 def current_blocks(spark: SparkSession, store: str) -> DataFrame:
     """Blocks of every document as it last arrived."""
-    return _counting(spark.read.parquet(f"{store}/blocks").where("error is null"), _latest(spark, store), "leftsemi", "doc_id")
+    return _counting(read_table(spark, store, "blocks").where("error is null"), _latest(spark, store), "leftsemi", "doc_id")
 
 
 def stored_facts(spark: SparkSession, store: str) -> DataFrame:
     """Facts of every document as it last arrived, with their latest review."""
-    facts = _counting(spark.read.parquet(f"{store}/facts"), _latest(spark, store), "leftsemi")
-    reviews = _reviews(spark, store)
+    facts = _counting(read_table(spark, store, "facts"), _latest(spark, store), "leftsemi")
+    reviews = read_table(spark, store, "reviews")
     return facts if reviews is None else apply_latest_reviews(facts, _held(facts, reviews))
 
 
@@ -173,16 +267,12 @@ def _held(facts: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def current_winners(spark: SparkSession, store: str) -> DataFrame:
     """Elected fact per conflict group over all batches so far, with the batch of the fact."""
-    partial = spark.read.parquet(f"{store}/winners")
-    if _there(spark, f"{store}/compacted"):
-        done = spark.read.parquet(f"{store}/compacted")
-        upto = done.agg(F.max("upto").alias("n")).first()["n"]
-        partial = partial.where(F.col("batch_id") > upto).unionByName(done.where(F.col("upto") == upto).drop("upto"))
+    partial = read_table(spark, store, "winners")
     latest = _latest(spark, store)
     valid = _counting(partial, latest, "leftsemi")
     facts = stored_facts(spark, store)
     open_groups = _counting(partial, latest, "leftanti").select(*GROUP)
-    reviews = _reviews(spark, store)
+    reviews = read_table(spark, store, "reviews")
     if reviews is not None:
         reviewed = reviews.select(F.col("fact_id").alias("r_id")).distinct()
         open_groups = open_groups.unionByName(facts.join(reviewed, F.col("fact_id") == F.col("r_id"), "leftsemi").select(*GROUP))
@@ -208,12 +298,6 @@ def canonical_store(spark: SparkSession, store: str) -> DataFrame:
     )
 
 
-def compact_winners(spark: SparkSession, store: str) -> None:
-    """Fold the partial elections up to now into one table; later reads start from it."""
-    upto = spark.read.parquet(f"{store}/winners").agg(F.max("batch_id").alias("n")).first()["n"]
-    current_winners(spark, store).select(*group_winners_columns()).write.mode("overwrite").parquet(f"{store}/compacted/upto={upto}")
-
-
 def progress_table(spark: SparkSession, store: str) -> DataFrame:
     """Status, counts and duration per document and batch."""
-    return spark.read.parquet(f"{store}/progress")
+    return read_table(spark, store, "progress")

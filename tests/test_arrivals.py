@@ -116,12 +116,12 @@ def test_a_document_that_comes_again_replaces_itself(spark, tmp_path):
     put(spark, store, 1, [("1", "济南 GDP总量 10亿元", "a.txt"), ("2", "济南 GDP总量 7亿元", "b.txt")])
     put(spark, store, 2, [("1", "济南 GDP总量 99亿元", "a.txt")])
     assert elected_values(spark, store) == [("1", 99.0, False), ("2", 7.0, True)]
-    ingest.compact_winners(spark, store)
+    ingest.compact(spark, store)
     assert elected_values(spark, store) == [("1", 99.0, False), ("2", 7.0, True)]
     put(spark, store, 3, [("2", None, "b.txt")])  # the winner's document is gone: its group is elected anew
     assert elected_values(spark, store) == [("1", 99.0, True)]
     put(spark, store, 4, [("3", "济南 GDP总量 5亿元", "c.txt")])
-    ingest.compact_winners(spark, store)
+    ingest.compact(spark, store)
     assert elected_values(spark, store) == [("1", 99.0, False), ("3", 5.0, True)]
 
 
@@ -140,6 +140,55 @@ def test_reviews_and_deletions_are_batches(spark, tmp_path):
     assert [r["doc_id"] for r in ingest.current_blocks(spark, store).collect()] == ["1"]
 
 
+def test_snapshots_hold_the_state_and_bound_what_is_read(spark, tmp_path):
+    store = str(tmp_path / "store")
+    for n in range(5):
+        put(spark, store, n, [("1", f"济南 GDP总量 {n}亿元", "a.txt"), (f"d{n}", f"青岛 GDP总量 {n}亿元", "b.txt")])
+    fact = next(r["fact_id"] for r in ingest.canonical_store(spark, store).collect() if r["source_doc_id"] == "d4")
+    review = [(fact, "rejected", "x", None, "2024-01-01"), ("gone", "rejected", "x", None, "2024-01-01")]
+    ingest.write_reviews(spark.createDataFrame(review, "fact_id string, status string, reviewer string, note string, reviewed_at string"), 5, store)
+    ingest.write_deletions(spark.createDataFrame([("d3",)], "doc_id string"), 6, store)
+    before = elected_values(spark, store)
+    assert before == [("1", 4.0, True), ("d0", 0.0, False), ("d1", 1.0, False), ("d2", 2.0, True), ("d4", 4.0, False)]
+    assert ingest.compact(spark, store) == 6 and ingest.compact(spark, store) == 6
+    assert elected_values(spark, store) == before
+    ingest.expire(spark, store)
+    assert elected_values(spark, store) == before and ingest.next_batch(spark, store) == 7
+    assert [p for t in ingest.TABLES for p in (tmp_path / "store" / t).glob("batch_id=*")] == []
+    versions = spark.read.parquet(f"{store}/snapshots/upto=6/facts").collect()
+    assert len(versions) == 5  # replaced and deleted versions are gone
+    assert len(ingest.read_table(spark, store, "reviews").collect()) == 1
+    assert ingest.progress_table(spark, store).count() == 11
+    put(spark, store, 7, [("d2", "青岛 GDP总量 1亿元", "b.txt")])
+    assert elected_values(spark, store) == [("1", 4.0, True), ("d0", 0.0, False), ("d1", 1.0, False), ("d2", 1.0, True), ("d4", 4.0, False)]
+    assert len(ingest.read_table(spark, store, "facts").inputFiles()) <= 10
+
+
+def test_unfinished_batches_and_snapshots_are_not_read(spark, tmp_path):
+    store = str(tmp_path / "store")
+    put(spark, store, 0, [("1", "济南 GDP总量 1亿元", "a.txt")])
+    put(spark, store, 1, [("2", "济南 GDP总量 9亿元", "a.txt")])
+    import shutil
+    shutil.move(f"{store}/progress/batch_id=1", f"{tmp_path}/held")  # batch 1 stopped before its last table
+    assert elected_values(spark, store) == [("1", 1.0, True)]
+    assert ingest.compact(spark, store) == 0
+    shutil.move(f"{tmp_path}/held", f"{store}/progress/batch_id=1")
+    ingest.compact(spark, store)
+    shutil.move(f"{store}/snapshots/upto=1/committed", f"{tmp_path}/mark")  # and this snapshot before its mark
+    assert ingest.snapshot(spark, store) == 0
+    assert elected_values(spark, store) == [("1", 1.0, False), ("2", 9.0, True)]
+    put(spark, store, 1, [("2", "济南 GDP总量 9亿元", "a.txt")])  # the retry
+    assert ingest.compact(spark, store) == 1
+    assert elected_values(spark, store) == [("1", 1.0, False), ("2", 9.0, True)]
+
+
+def test_an_id_twice_in_one_batch_counts_once(spark, tmp_path):
+    store = str(tmp_path / "store")
+    put(spark, store, 0, [("1", "济南 GDP总量 3亿元", "a.txt"), ("1", "济南 GDP总量 5亿元", "a.txt"), ("1", None, "a.txt"), ("2", "济南 GDP总量 1亿元", "b.txt"), ("2", "济南 GDP总量 1亿元", "b.txt")])
+    assert elected_values(spark, store) == [("1", 5.0, False), ("2", 1.0, True)]
+    assert sorted((r["doc_id"], r["status"], r["fact_count"]) for r in ingest.progress_table(spark, store).collect()) == [("1", "parsed", 1), ("2", "parsed", 1)]
+
+
 def test_equal_base_names_and_one_read_per_file(spark, tmp_path):
     for folder, value in (("x", 3), ("y", 4)):
         (tmp_path / folder).mkdir()
