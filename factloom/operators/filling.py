@@ -10,10 +10,19 @@ from factloom.functions import numbers, text
 from factloom.functions.text import strip
 from factloom.operators.common import rank_by_position, top_per_group
 from factloom.operators.extraction import canonicalize_headers
-from factloom.session import small_table
+from factloom.session import materialised, small_side, small_table
 from factloom.sources.vocabulary import Vocabulary
 
 SHEET = ("template", "sheet")
+SHEET_BYTES = 256  # what a row about a sheet takes in a broadcast
+
+
+def per_sheet(side: DataFrame) -> DataFrame:
+    """A table with a few rows per sheet as the side of a join: sent to the rows where it is small, so that a sheet with most rows is no hot key.
+
+    Beyond that size the rows are shuffled by sheet, and Spark splits the skewed ones.
+    """
+    return small_side(side, SHEET_BYTES)
 
 
 def detect_layout(cells: DataFrame, vocab: Vocabulary, known_fields: DataFrame | None = None,
@@ -53,7 +62,7 @@ def detect_layout(cells: DataFrame, vocab: Vocabulary, known_fields: DataFrame |
 def data_rows(cells: DataFrame, layout: DataFrame, vocab_suffixes=fv.ENTITY_SUFFIXES) -> DataFrame:
     """Rows below the header with their raw and normalised entity ('' when blank)."""
     h = layout.select(*SHEET, F.col("row").alias("_h"), "entity_col")
-    below = cells.join(h, list(SHEET)).where(F.col("row") > F.col("_h"))
+    below = cells.join(per_sheet(h), list(SHEET)).where(F.col("row") > F.col("_h"))
     raw = F.max(F.when(F.col("col") == F.col("entity_col"), F.col("value")))
     rows = below.groupBy(*SHEET, "row").agg(
         F.coalesce(raw, F.lit("")).alias("raw_entity"),
@@ -81,21 +90,21 @@ FACT_COLS = ("fact_id", "value_num", "value_text", "confidence", "source_span")
 
 
 def look_up(targets: DataFrame, lookup: DataFrame, entity: str, raw_entity: str | None = None,
-            field: str = "field") -> DataFrame:
-    """Best fact by normalised name, then by raw name; targets without a fact are dropped."""
-    def side(prefix: str) -> DataFrame:
-        return lookup.select(
-            F.col("entity_key").alias(f"{prefix}k"), F.col("field_name").alias(f"{prefix}f"),
-            F.struct(*FACT_COLS).alias(f"{prefix}v"))
-
-    a = side("_a")
-    out = targets.join(a, (F.col(entity) == F.col("_ak")) & (F.col(field) == F.col("_af")), "left")
-    best = F.col("_av")
+            field: str = "field", key=(*SHEET, "row", "col")) -> DataFrame:
+    """Best fact by normalised name, then by raw name; targets without a fact are dropped.
+
+    Both names of a target go into one join; ``key`` tells targets apart where they have two names.
+    """
+    found = lookup.select(F.col("entity_key").alias("_k"), F.col("field_name").alias("_f"), *[F.col(c).alias(f"_v_{c}") for c in FACT_COLS])
+    if raw_entity:
+        names = F.array_distinct(F.array(F.col(entity), F.col(raw_entity)))
+        asked = targets.select("*", F.posexplode(names).alias("_tier", "_name"))
+    else:
+        asked = targets.withColumns({"_tier": F.lit(0), "_name": F.col(entity)})
+    met = asked.join(found, (F.col("_name") == F.col("_k")) & (F.col(field) == F.col("_f")))
     if raw_entity:
-        b = side("_b")
-        out = out.join(b, (F.col(raw_entity) == F.col("_bk")) & (F.col(field) == F.col("_bf")), "left")
-        best = F.coalesce("_av", "_bv")
-    return out.withColumn("_fact", best).where("_fact is not null").select(*targets.columns, "_fact.*")
+        met = top_per_group(met, list(key), [F.asc("_tier")])
+    return met.select(*targets.columns, *[F.col(f"_v_{c}").alias(c) for c in FACT_COLS])
 
 
 def as_cells(filled: DataFrame, task_id: str, field: str = "field", evidence: int = 200) -> DataFrame:
@@ -113,7 +122,7 @@ def as_cells(filled: DataFrame, task_id: str, field: str = "field", evidence: in
 
 def fill_by_entity(rows: DataFrame, columns: DataFrame, lookup: DataFrame) -> DataFrame:
     """Rows that already name an entity × mapped columns, with the best fact of each."""
-    named = rows.where(strip("raw_entity") != "").join(columns, list(SHEET))
+    named = rows.where(strip("raw_entity") != "").join(per_sheet(columns), list(SHEET))
     named = named.withColumn("entity", F.when(F.col("entity") == "", F.col("raw_entity")).otherwise(F.col("entity")))
     return look_up(named, lookup, "entity", "raw_entity")
 
@@ -121,35 +130,37 @@ def fill_by_entity(rows: DataFrame, columns: DataFrame, lookup: DataFrame) -> Da
 def fill_new_rows(layout: DataFrame, columns: DataFrame, entities: DataFrame, lookup: DataFrame) -> DataFrame:
     """Blank template: one row per entity (``entities(template, sheet, entity, pos)``) in order."""
     placed = rank_by_position(entities, "pos", SHEET, "_k").join(
-        layout.select(*SHEET, F.col("row").alias("_h")), list(SHEET)
+        per_sheet(layout.select(*SHEET, F.col("row").alias("_h"))), list(SHEET)
     ).withColumn("row", F.col("_h") + F.col("_k"))
-    return look_up(placed.drop("_h", "_k", "pos").join(columns, list(SHEET)), lookup, "entity")
+    return look_up(placed.drop("_h", "_k", "pos").join(per_sheet(columns), list(SHEET)), lookup, "entity")
 
 
 def assign_rows(rows: DataFrame, layout: DataFrame, entities: DataFrame) -> DataFrame:
     """Entity of every template row: existing ones, blanks in order, leftovers appended.
 
-    Blank rows and entities are numbered separately and met by an equi join on the number;
-    an entity that already has a row still uses up its turn, as the rule demands.
+    Blank rows and entities are two sequences per sheet, numbered in one pass and zipped by their number, so a sheet with
+    most rows is spread over all tasks; an entity that already has a row still uses up its turn, as the rule demands.
     """
-    blank = rank_by_position(rows.where("entity = ''"), "row", SHEET, "_k").select(*SHEET, "row", "_k")
-    queue = rank_by_position(entities, "pos", SHEET, "_k").select(*SHEET, "entity", "_k")
     given = rows.where("entity <> ''").select(*SHEET, "row", "entity", F.lit(False).alias("is_new"))
-    drawn = blank.join(queue, [*SHEET, "_k"]).select(*SHEET, "row", "entity", F.lit(True).alias("is_new"))
-    placed = given.unionByName(drawn)
+    both = rows.where("entity = ''").select(*SHEET, F.lit(True).alias("_blank"), F.col("row").cast("long").alias("_at"), "row", F.lit(None).cast("string").alias("entity"))
+    both = both.unionByName(entities.select(*SHEET, F.lit(False).alias("_blank"), F.col("pos").cast("long").alias("_at"), F.lit(None).cast("int").alias("row"), "entity"))
+    ranked = rank_by_position(both, "_at", [*SHEET, "_blank"], "_k")
+    zipped = materialised(ranked.groupBy(*SHEET, "_k").agg(F.max("row").alias("row"), F.max("entity").alias("entity")), "zipped")
+    drawn = zipped.where("row is not null and entity is not null").select(*SHEET, "row", "entity", F.lit(True).alias("is_new"))
     last = rows.groupBy(*SHEET).agg(F.max("row").alias("_last"))
-    start = layout.select(*SHEET, F.col("row").alias("_h")).join(last, list(SHEET), "left")
-    left = entities.join(placed.select(*SHEET, "entity").distinct(), [*SHEET, "entity"], "left_anti")
-    appended = rank_by_position(left, "pos", SHEET, "_k").join(start, list(SHEET)).select(
-        *SHEET, (F.coalesce("_last", "_h") + F.col("_k")).alias("row"), "entity", F.lit(True).alias("is_new")
+    start = layout.select(*SHEET, F.col("row").alias("_h")).join(last, list(SHEET), "left").select(*SHEET, F.coalesce("_last", "_h").alias("_from"))
+    waiting = zipped.where("row is null").select(*SHEET, "entity", "_k")
+    left = waiting.join(given.select(*SHEET, "entity").distinct(), [*SHEET, "entity"], "left_anti")
+    appended = rank_by_position(left, "_k", SHEET, "_n").join(per_sheet(start), list(SHEET)).select(
+        *SHEET, (F.col("_from") + F.col("_n")).alias("row"), "entity", F.lit(True).alias("is_new")
     )
-    return placed.unionByName(appended)
+    return given.unionByName(drawn).unionByName(appended)
 
 
 def fill_mixed(rows: DataFrame, layout: DataFrame, columns: DataFrame, entities: DataFrame,
                lookup: DataFrame) -> DataFrame:
     """Existing entity rows in place, blank rows with the next entities, leftovers appended."""
-    return look_up(assign_rows(rows, layout, entities).join(columns, list(SHEET)), lookup, "entity")
+    return look_up(assign_rows(rows, layout, entities).join(per_sheet(columns), list(SHEET)), lookup, "entity")
 
 
 def place_in_order(items: DataFrame, rows: DataFrame, layout: DataFrame, pos: str = "pos") -> DataFrame:
@@ -157,7 +168,7 @@ def place_in_order(items: DataFrame, rows: DataFrame, layout: DataFrame, pos: st
     slots = rank_by_position(rows, "row", SHEET, "_k").select(*SHEET, "_k", "row")
     size = rows.groupBy(*SHEET).agg(F.count("*").alias("_n"), F.max("row").alias("_last"))
     start = layout.select(*SHEET, F.col("row").alias("_h")).join(size, list(SHEET), "left")
-    numbered = rank_by_position(items, pos, SHEET, "_k").join(start, list(SHEET))
+    numbered = rank_by_position(items, pos, SHEET, "_k").join(per_sheet(start), list(SHEET))
     below = F.coalesce("_last", "_h") + F.col("_k") - F.coalesce("_n", F.lit(0))
     return numbered.join(slots, [*SHEET, "_k"], "left").withColumn(
         "row", F.coalesce("row", below).cast("int")
@@ -172,14 +183,14 @@ def fill_row_groups(groups: DataFrame, rows: DataFrame, layout: DataFrame, colum
     """
     need = columns.select(*SHEET, "field").distinct().groupBy(*SHEET).agg(
         F.collect_set("field").alias("_fields"))
-    ok = groups.join(need, list(SHEET)).where(
+    ok = groups.join(per_sheet(need), list(SHEET)).where(
         F.size(F.array_intersect(F.map_keys("field_values"), "_fields")) >= F.least(F.lit(2), F.size("_fields"))
     )
     if entities is not None:
         scope = entities.select(*SHEET, F.col("entity").alias("_scope")).distinct()
         ok = ok.withColumn("_scope", text.normalize_entity("entity_name")).join(scope, [*SHEET, "_scope"], "left_semi")
     placed = place_in_order(ok.drop("_fields"), rows, layout)
-    values = placed.join(columns, list(SHEET)).withColumn("value", F.col("field_values")[F.col("field")])
+    values = placed.join(per_sheet(columns), list(SHEET)).withColumn("value", F.col("field_values")[F.col("field")])
     return values.where("value is not null").select(
         *SHEET, "row", "col", "field", F.col("entity_name").alias("entity"),
         numbers.to_double(F.col("value")).alias("value_num"), F.col("value").alias("value_text"),
@@ -199,7 +210,7 @@ def fill_direct(rows_in: DataFrame, data: DataFrame, layout: DataFrame, columns:
         for f, c in mapping.items()
     ])
     wide = placed.select(*SHEET, "row", F.col(entity_col).cast("string").alias("entity"), F.inline(pairs))
-    filled = wide.where("raw <> '' and raw <> 'None'").join(columns, [*SHEET, "field"])
+    filled = wide.where("raw <> '' and raw <> 'None'").join(per_sheet(columns), [*SHEET, "field"])
     num = F.col("raw").try_cast("double")
     return filled.select(
         *SHEET, "row", "col", "field", "entity", num.alias("value_num"),

@@ -64,7 +64,7 @@ def fact_lookup_join(spark: SparkSession, folder: str) -> DataFrame:
     cells = fx.table(spark, folder, "customer").select(
         "c_custkey", name.alias("raw"), F.regexp_replace(name, "市$", "").alias("entity"),
         F.explode(F.array(F.lit("acctbal"), F.lit("totalprice"))).alias("field"))
-    return filling.look_up(cells, lookup, "entity", "raw").select(
+    return filling.look_up(cells, lookup, "entity", "raw", key=("c_custkey", "field")).select(
         "c_custkey", F.col("field").alias("field_name"), "fact_id", "value_num")
 
 
