@@ -15,7 +15,7 @@ from factloom.functions import fixed_values as fv
 from factloom.functions.text import record, strings, strip
 from factloom.operators import gazetteer
 from factloom.operators.common import numbered, top_per_group
-from factloom.session import checkpointed, take_bounded
+from factloom.session import materialised, parameter_table
 from factloom.sources.blocks import row_entries
 from factloom.sources.vocabulary import Vocabulary
 
@@ -426,8 +426,9 @@ def run_extractor(chunks: DataFrame, extractor: Extractor, vocab: Vocabulary, me
     """Facts from a user-supplied extractor over chunk rows (doc_id, block_id, text, file_name).
 
     The extractor sees batches of chunks and returns rows of ``HOOK_ROWS``; the checks,
-    number parsing, unit conversion and confidence are column work. ``fields`` (a short
-    list) restricts the accepted field names.
+    number parsing, unit conversion and confidence are column work. ``fields`` (names, or a table ``(field)``)
+    restricts the accepted field names. A fact's place is that of its chunk (``page_or_index``, if the chunks have it),
+    then the number of its row among those of the chunk.
     """
     confidence, status = HOOK_CONFIDENCE[method]
     columns = [c.split(" ")[0] for c in HOOK_ROWS.split(", ")]
@@ -436,30 +437,37 @@ def run_extractor(chunks: DataFrame, extractor: Extractor, vocab: Vocabulary, me
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             # Year and span of a chunk travel with it, so its text is read once.
-            own = batch[["block_id", "_year", "_span"]].drop_duplicates("block_id")
-            yield extractor(batch[shown]).reindex(columns=columns).merge(own, on="block_id", how="left")
+            own = batch[["block_id", "_year", "_span", "_index"]].drop_duplicates("block_id")
+            rows = extractor(batch[shown]).reindex(columns=columns)
+            yield rows.assign(_row=rows.groupby("block_id", dropna=False).cumcount()).merge(own, on="block_id", how="left")[
+                [*columns, "_year", "_span", "_index", "_row"]].fillna({"_index": 0})
 
+    index = F.coalesce("page_or_index", F.lit(0)) if "page_or_index" in chunks.columns else F.lit(0)
     year = F.coalesce(dates.infer_year("text"), dates.infer_year(file_name))
-    sent = chunks.select(*shown, year.cast("double").alias("_year"), F.left("text", F.lit(200)).alias("_span"))
-    raw = sent.mapInPandas(call, f"{HOOK_ROWS}, _year double, _span string")
-    trimmed = raw.select("doc_id", "block_id", F.col("_year").cast("int").alias("year"), "_span", *[
+    sent = chunks.select(*shown, year.cast("double").alias("_year"), F.left("text", F.lit(200)).alias("_span"), index.cast("long").alias("_index"))
+    raw = sent.mapInPandas(call, f"{HOOK_ROWS}, _year double, _span string, _index long, _row long")
+    place = place_in_document(F.col("_index"), F.col("_row")).alias("pos")
+    trimmed = raw.select("doc_id", "block_id", F.col("_year").cast("int").alias("year"), "_span", place, *[
         text.none_if_empty(strip(F.coalesce(c, F.lit("")))).alias(c)
         for c in ("entity_name", "field_name", "value", "unit", "evidence")
     ])
     ok = trimmed.where("entity_name is not null and field_name is not null and value is not null")
-    wanted = None if fields is None else sorted({f.lower() for f in fields})
-    if wanted is not None:
-        ok = ok.where(F.lower("field_name").isin(*wanted) if wanted else F.lit(False))
+    wanted = None
+    if fields is not None:
+        given = fields if isinstance(fields, DataFrame) else parameter_table(chunks.sparkSession, [(f,) for f in fields], "field string")
+        wanted = given.select(F.lower("field").alias("_wanted")).distinct()
+        ok = ok.join(wanted, F.lower("field_name") == F.col("_wanted"), "left_semi")
     lookup = vocab.header_table(chunks.sparkSession).withColumnRenamed("field", "_canon")
     ok = ok.withColumn("_key", text.header_key("field_name")).join(
         lookup, F.col("_key") == F.col("alias_key"), "left"
     )
     resolved = F.coalesce("_canon", "field_name")
-    if wanted:
-        resolved = F.when(F.lower("_canon").isin(*wanted), F.col("_canon")).otherwise(F.col("field_name"))
+    if wanted is not None:
+        ok = ok.join(wanted, F.lower("_canon") == F.col("_wanted"), "left")
+        resolved = F.when(F.col("_wanted").isNotNull(), F.col("_canon")).otherwise(F.col("field_name"))
     num = numbers.number_unit("value", vocab.cell_units)
     ok = ok.withColumn("_n", num).select(
-        "doc_id", "block_id", "year", "_span", "entity_name", "evidence", "value", "_canon", resolved.alias("field_name"),
+        "doc_id", "block_id", "year", "_span", "pos", "entity_name", "evidence", "value", "_canon", resolved.alias("field_name"),
         F.col("_n.value").alias("value_num"), F.coalesce("_n.unit", "unit").alias("unit"),
     )
     conv = canonicalize(ok, vocab, "_canon", "value_num", "unit", F.col("_canon").isNotNull())
@@ -476,7 +484,7 @@ def run_extractor(chunks: DataFrame, extractor: Extractor, vocab: Vocabulary, me
         F.when(F.col("value_num").isNotNull(), F.col("unit")).alias("unit"), "year",
         F.col("doc_id").alias("source_doc_id"), F.col("block_id").alias("source_block_id"),
         F.col("_span").alias("source_span"), F.lit(confidence).alias("confidence"),
-        F.lit(status).alias("status"), meta.alias("metadata"), F.lit(0).cast("long").alias("pos"),
+        F.lit(status).alias("status"), meta.alias("metadata"), "pos",
     )
 
 
@@ -491,9 +499,8 @@ def extract_by_intent(blocks: DataFrame, vocab: Vocabulary, required: DataFrame,
                       date_to: str | None = None, entities=(), file_name: str = "file_name") -> DataFrame:
     """Rule facts, filtered by intent; the extractor runs only for the fields still missing.
 
-    The rule facts are checkpointed, since both the missing fields and the result need them
-    and the text would otherwise be parsed twice. Required fields are a parameter, so the
-    missing ones come to the driver as a bounded list.
+    The rule facts are a stored table, since both the missing fields and the result need them
+    and the text would otherwise be parsed twice. The missing fields stay a table: without any no chunk is sent to the extractor.
     """
     from factloom.operators.lineage import with_evidence
     from factloom.operators.selection import intent_filter
@@ -503,11 +510,9 @@ def extract_by_intent(blocks: DataFrame, vocab: Vocabulary, required: DataFrame,
     )
     if extractor is None:
         return rule
-    rule = checkpointed(rule)
-    gaps = [r["field"] for r in take_bounded(missing_fields(required, rule), 10_000, "required fields")]
-    if not gaps:
-        return rule
-    chunks = blocks.where(F.coalesce("text", F.lit("")) != "")
+    rule = materialised(rule, "rule-facts")
+    gaps = materialised(missing_fields(required, rule), "missing-fields")
+    chunks = blocks.where(F.coalesce("text", F.lit("")) != "").where(gaps.exists())
     hooked = run_extractor(chunks, extractor, vocab, "intent", gaps, file_name)
     return dedupe_facts(rule.unionByName(hooked))
 
@@ -515,7 +520,7 @@ def extract_by_intent(blocks: DataFrame, vocab: Vocabulary, required: DataFrame,
 def extract_with_fallback(blocks: DataFrame, vocab: Vocabulary, extractor: Extractor,
                           file_name: str = "file_name") -> DataFrame:
     """Rule facts; documents without any rule fact go to the extractor as a whole."""
-    rule = extract_facts(blocks, vocab, file_name)
+    rule = materialised(extract_facts(blocks, vocab, file_name), "rule-facts")
     covered = rule.select(F.col("source_doc_id").alias("doc_id")).distinct()
     rest = blocks.where("block_type <> 'table_row'").join(covered, "doc_id", "left_anti")
     return rule.unionByName(dedupe_facts(run_extractor(rest, extractor, vocab, "fallback", None, file_name)))

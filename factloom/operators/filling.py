@@ -10,7 +10,7 @@ from factloom.functions import numbers, text
 from factloom.functions.text import strip
 from factloom.operators.common import rank_by_position, top_per_group
 from factloom.operators.extraction import canonicalize_headers
-from factloom.session import materialised, small_side, small_table
+from factloom.session import materialised, parameter_table, small_side
 from factloom.sources.vocabulary import Vocabulary
 
 SHEET = ("template", "sheet")
@@ -248,8 +248,7 @@ def intent_columns(headers: DataFrame, intent_fields, vocab: Vocabulary) -> Data
     ``headers(template, sheet, col, value)``; entity columns are never field columns.
     """
     spark = headers.sparkSession
-    wanted = small_table(spark, [(f.lower(), f) for f in intent_fields], "_low string, intent_field string",
-                         10_000, "intent fields")
+    wanted = parameter_table(spark, [(f.lower(), f) for f in intent_fields], "_low string, intent_field string")
     cells = headers.where(~text.is_entity_header("value", vocab.entity_headers)).withColumn(
         "_s", text.normalize_header("value")).where("_s <> ''")
     named = canonicalize_headers(cells, "value", vocab)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -12,14 +13,9 @@ from pyspark.sql import functions as F
 
 from factloom.functions import fixed_values as fv
 from factloom.functions import text
-from factloom.functions.text import record, strings
+from factloom.operators import gazetteer
 from factloom.operators.common import top_per_group
-from factloom.session import small_table, take_bounded
-
-# A fill request names its templates; a batch of them is a parameter, not a table.
-MAX_TEMPLATES = 1_000
-MAX_TERMS = 100_000
-MAX_QUERY_VECTORS = 4_096
+from factloom.session import parameter_table, small_table
 
 # Thresholds of the matching rules (fixed values).
 FIELD_WEIGHT, ENTITY_WEIGHT, KEYWORD_WEIGHT, KEYWORD_CAP = 3.0, 4.0, 0.5, 2.0
@@ -35,38 +31,36 @@ class TemplateProfile:
     keywords: tuple[str, ...] = ()
 
 
-def _checked(profiles: Sequence[TemplateProfile]) -> list[TemplateProfile]:
-    if len(profiles) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates in one batch")
-    return list(profiles)
+def profile_terms(spark, profiles: Sequence[TemplateProfile]) -> DataFrame:
+    """``(template, kind, term)`` of any number of templates, each term once."""
+    rows = [(p.name, kind, t) for p in profiles for kind, ts in (("field", p.fields), ("entity", p.entities), ("keyword", p.keywords)) for t in dict.fromkeys(ts)]
+    return parameter_table(spark, rows, "template string, kind string, term string")
+
 
+def keyword_hits(cards: DataFrame, body: Column, wanted: DataFrame) -> DataFrame:
+    """``(template, doc_id, term)`` for ``wanted(template, term)``: keywords, in any case, that a card's text contains.
 
-def keyword_hits(haystack: Column, words: Column) -> Column:
-    return F.filter(words, lambda w: F.contains(haystack, F.lower(w)))
+    All keywords are searched at once (see ``gazetteer``), then joined to the templates that ask for them.
+    """
+    asked = wanted.select("template", "term", F.lower("term").alias("name")).where("name <> ''")
+    words = asked.select("name").distinct().withColumn("ord", F.lit(0).cast("long"))
+    found = gazetteer.mentioned(cards.select("doc_id", F.lower(body).alias("_body")), "doc_id", "_body", words)
+    return found.join(asked, "name").select("template", "doc_id", "term")
 
 
 def score_documents(cards: DataFrame, terms: DataFrame, profiles: Sequence[TemplateProfile]) -> DataFrame:
     """Rule score of every (template, document) that has a hit; pairs without one are never made.
 
     ``cards(doc_id, file_name, text_preview)``, ``terms(doc_id, kind, term)``. Field and entity hits are one equi join
-    against the templates' terms; keyword hits are tested inside the card's row and only the hits leave it. Hit
-    lists are bounded by the template's own terms.
+    against the templates' terms, keyword hits come from one search for all keywords in each card. Hit lists are
+    bounded by the template's own terms.
     """
-    spark = cards.sparkSession
-    profiles = _checked(profiles)
-    wanted = [(p.name, kind, t) for p in profiles for kind, ts in (("field", p.fields), ("entity", p.entities))
-              for t in dict.fromkeys(ts)]
-    t = small_table(spark, wanted or [("", "", "")], "template string, kind string, term string",
-                    MAX_TERMS, "template terms")
+    wanted = profile_terms(cards.sparkSession, profiles)
     plain = lambda df: df.withColumn(
         "term", F.when(F.col("kind") == "entity", text.normalize_entity("term")).otherwise(F.col("term")))
-    named = plain(terms).join(F.broadcast(plain(t).distinct()), ["kind", "term"]).select("template", "doc_id", "kind", "term")
-    body = F.concat_ws("\n", F.lower("file_name"), F.lower("text_preview"))
-    per_template = F.array(*[
-        record(template=F.lit(p.name), hits=keyword_hits(body, strings(dict.fromkeys(p.keywords)))) for p in profiles
-    ])
-    worded = cards.select("doc_id", F.inline(F.filter(per_template, lambda x: F.size(x["hits"]) > 0))).select(
-        "template", "doc_id", F.lit("keyword").alias("kind"), F.explode("hits").alias("term"))
+    named = plain(terms).join(plain(wanted.where("kind <> 'keyword'")).distinct(), ["kind", "term"]).select("template", "doc_id", "kind", "term")
+    worded = keyword_hits(cards, F.concat_ws("\n", "file_name", "text_preview"), wanted.where("kind = 'keyword'")).select(
+        "template", "doc_id", F.lit("keyword").alias("kind"), "term")
     of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("term")))).alias(f"{kind}_hits")
     hits = named.unionByName(worded).groupBy("template", "doc_id").agg(of("field"), of("entity"), of("keyword"))
     scored = hits.join(cards.select("doc_id", "file_name"), "doc_id").select(
@@ -91,8 +85,9 @@ def match_by_rules(scored: DataFrame, profiles: Sequence[TemplateProfile]) -> Da
         F.bool_or(F.size("entity_hits") > 0).alias("_e"), F.bool_or(F.size("field_hits") > 0).alias("_f"),
         F.max("score").alias("_top"),
     )
-    has_fields = [p.name for p in profiles if p.fields]
-    f_ok = F.col("_f") & (F.col("template").isin(*has_fields) if has_fields else F.lit(False))
+    asked = parameter_table(scored.sparkSession, [(p.name, bool(p.fields)) for p in profiles], "template string, _has_fields boolean")
+    best = best.join(asked, "template", "left")
+    f_ok = F.col("_f") & F.coalesce("_has_fields", F.lit(False))
     cutoff = F.greatest(F.col("_top") * 0.5, F.lit(1.0))
     mode = F.when(F.col("_e"), "entity").when(f_ok, "field").when(F.col("_top") >= cutoff, "score").otherwise(FALLBACK)
     keep = (
@@ -103,8 +98,7 @@ def match_by_rules(scored: DataFrame, profiles: Sequence[TemplateProfile]) -> Da
     tiers = best.select("template", "_top", mode.alias("mode"))
     found = scored.join(tiers, "template").where(keep).drop("_top")
     settled = tiers.where(F.col("mode") != FALLBACK).select("template")
-    asked = small_table(scored.sparkSession, [(p.name,) for p in profiles], "template string", MAX_TEMPLATES, "templates")
-    whole = asked.join(settled, "template", "left_anti").withColumn("mode", F.lit(FALLBACK))
+    whole = asked.select("template").join(settled, "template", "left_anti").withColumn("mode", F.lit(FALLBACK))
     return found.unionByName(whole, allowMissingColumns=True)
 
 
@@ -124,25 +118,30 @@ def suggest(scored: DataFrame, matched: DataFrame) -> DataFrame:
 
 def match_by_name(docs: DataFrame, templates: Sequence[str]) -> DataFrame:
     """(template, doc_id) where the file name contains a meaningful part of the template name."""
-    per = F.array(*[
-        record(template=F.lit(t), hits=keyword_hits(F.lower("file_name"), text.filename_keywords(F.lit(t))))
-        for t in templates
-    ])
-    return docs.select("doc_id", "file_name", F.inline(per)).where(F.size("hits") > 0).select(
-        "template", "doc_id", "file_name"
-    )
+    asked = parameter_table(docs.sparkSession, [(t,) for t in templates], "template string")
+    parts = asked.select("template", F.explode(text.filename_keywords("template")).alias("term"))
+    hits = keyword_hits(docs, F.col("file_name"), parts).select("template", "doc_id").distinct()
+    return hits.join(docs.select("doc_id", "file_name"), "doc_id").select("template", "doc_id", "file_name")
 
 
 # --- vectors ---------------------------------------------------------------------------
 
 
-def _slices(queries: DataFrame, query_id: str, vector: str) -> Iterator[tuple[list, np.ndarray]]:
-    rows = take_bounded(queries.select(query_id, vector), MAX_QUERY_VECTORS, "query vectors")
-    ids = [r[0] for r in rows]
-    matrix = np.array([r[1] for r in rows], dtype=np.float64)
-    norms = np.linalg.norm(matrix, axis=1) if len(rows) else np.zeros(0)
-    ok = norms > 0
-    yield [i for i, good in zip(ids, ok) if good], matrix[ok] / norms[ok, None]
+QUERY_BLOCK = 4_096  # query vectors that one pass over the blocks compares
+
+
+def _query_blocks(queries: DataFrame, query_id: str, vector: str) -> list[tuple[list, np.ndarray]]:
+    """Ids and unit vectors of the queries in blocks of about ``QUERY_BLOCK``, each a parameter of one pass; zero and null vectors are left out."""
+    n = 1 + queries.count() // QUERY_BLOCK
+    out = []
+    for i in range(n):
+        part = queries if n == 1 else queries.where(F.pmod(F.xxhash64(query_id), F.lit(n)) == i)
+        rows = [r for r in part.where(F.col(vector).isNotNull()).select(query_id, vector).collect()]
+        matrix = np.array([r[1] for r in rows], dtype=np.float64)
+        norms = np.linalg.norm(matrix, axis=1) if rows else np.zeros(0)
+        ok = norms > 0
+        out.append(([r[0] for r, good in zip(rows, ok) if good], matrix[ok] / norms[ok, None] if rows else matrix))
+    return out
 
 
 def vector_scores(blocks: DataFrame, queries: DataFrame, block_id: str, vector: str, group: str | None,
@@ -150,14 +149,20 @@ def vector_scores(blocks: DataFrame, queries: DataFrame, block_id: str, vector:
                   query_vector: str = "vector") -> DataFrame:
     """Best ``k`` cosines per query (and group) of every Arrow batch.
 
-    The query matrix is a parameter with a checked bound; each task multiplies its batches
-    with it and sends on at most k rows per query and group. Zero vectors never match.
+    Queries are a table of any length: each ``QUERY_BLOCK`` of them is one pass, in which a task multiplies its batches with their
+    matrix and sends on at most k rows per query and group. Zero vectors never match.
     """
-    (ids, matrix), = _slices(queries, query_id, query_vector)
-    keys = ["query_id"] + ([group] if group else [])
+    passes = [_scored_block(blocks, ids, matrix, dict(queries.dtypes)[query_id], block_id, vector, group, k, min_score)
+              for ids, matrix in _query_blocks(queries, query_id, query_vector)]
+    found = functools.reduce(DataFrame.unionByName, passes)
+    return top_per_group(found, ["query_id"] + ([group] if group else []), [F.desc("score"), F.asc(block_id)], k, rank="rank")
+
+
+def _scored_block(blocks: DataFrame, ids: list, matrix: np.ndarray, id_type: str, block_id: str, vector: str, group: str | None, k: int,
+                  min_score: float | None) -> DataFrame:
     cols = [block_id] + ([group] if group else [])
     types = dict(blocks.dtypes)
-    schema = f"query_id {dict(queries.dtypes)[query_id]}, " + ", ".join(
+    schema = f"query_id {id_type}, " + ", ".join(
         f"{c} {types[c]}" for c in cols) + ", score double"
 
     def best_of(part: pd.DataFrame) -> pd.DataFrame:
@@ -188,8 +193,7 @@ def vector_scores(blocks: DataFrame, queries: DataFrame, block_id: str, vector:
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
-    found = blocks.select(*cols, vector).mapInPandas(score, schema)
-    return top_per_group(found, keys, [F.desc("score"), F.asc(block_id)], k, rank="rank")
+    return blocks.select(*cols, vector).mapInPandas(score, schema)
 
 
 def vector_topk(blocks: DataFrame, queries: DataFrame, k: int, min_score: float | None = None,
@@ -234,10 +238,10 @@ def match_cascade(docs: DataFrame, templates: Sequence[str], by_name: DataFrame,
     Every tier is computed once; per template the lowest tier with a result is kept.
     """
     spark = docs.sparkSession
-    t = small_table(spark, [(x,) for x in templates], "template string", MAX_TEMPLATES, "templates")
+    t = parameter_table(spark, [(x,) for x in templates], "template string")
     named = by_name.select("template").distinct().withColumn("_named", F.lit(True))
     n_docs = docs.agg(F.count("*").alias("n")).scalar()
-    only = docs.where(n_docs == 1).select("doc_id", F.explode(strings(templates)).alias("template"))
+    only = t.where(n_docs == 1).withColumn("doc_id", docs.agg(F.min("doc_id").alias("doc_id")).scalar())
     tiers = [only.select("template", "doc_id", F.lit(0).alias("tier"), F.lit("single_candidate").alias("mode"))]
     if by_vector is not None:
         v = by_vector.join(named, "template", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,31 +117,46 @@ def distinct_values(rows: DataFrame, column: str, pos: Column, chars: str = "市
     return distinct_in_order(rows, clean, pos)
 
 
-def table_profile(df: DataFrame, max_distinct: int = 30, max_values: int = 15) -> DataFrame:
-    """Per column: type, rows, non-null count, distinct count, and values of categorical columns.
+RSD = 0.02  # relative standard deviation of the distinct counts of a sketch
+
+
+def _long(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(F.inline(F.array(*[record(column=F.lit(c), value=F.col(f"`{c}`").cast("string")) for c in columns])))
+
 
-    Values are counted in long form (column, value), pre-aggregated on the map side; only
-    columns with 2–30 distinct values list up to 15 of them.
+def table_profile(df: DataFrame, max_distinct: int = 30, max_values: int = 15, sketch: bool = False) -> DataFrame:
+    """Per column: type, rows, non-null count, distinct count, values of categorical columns, whether the distinct count is exact.
+
+    One pass makes mergeable sketches of all columns. Only columns that the sketch calls small are then counted value by value (exact,
+    pre-aggregated on the map side), and those with 2 to ``max_distinct`` values list up to ``max_values`` of them. With ``sketch`` the
+    distinct counts of the other columns stay estimates (relative standard deviation ``RSD``) and none of their values is shuffled;
+    without it they are counted exactly.
     """
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    cells = df.select(
-        F.inline(F.array(*[
-            record(column=F.lit(c), type=F.lit(types[c]), value=F.col(f"`{c}`").cast("string"))
-            for c in df.columns
-        ]))
-    )
-    values = cells.groupBy("column", "type", "value").agg(F.count("*").alias("n"))
-    stats = values.groupBy("column", "type").agg(
-        F.sum("n").alias("rows"),
-        F.sum(F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0)).alias("non_null"),
-        F.count("value").alias("n_distinct"),
-    )
-    few = top_per_group(values.where("value is not null"), ["column"], [F.asc("value")], max_values)
-    listed = few.groupBy("column").agg(F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("sample"))
-    shown = F.when(F.col("n_distinct").between(2, max_distinct), F.col("sample"))
-    return stats.join(listed, "column", "left").select(
-        "column", "type", "rows", "non_null", "n_distinct", shown.alias("values")
-    )
+    told = df.agg(*(record(rows=F.count(F.lit(1)), non_null=F.count(f"`{c}`"), about=F.approx_count_distinct(f"`{c}`", RSD)).alias(f"c{i}")
+                    for i, c in enumerate(df.columns))).first()
+    of = {c: told[f"c{i}"] for i, c in enumerate(df.columns)}
+    # The sketch is off by more than five deviations for no column in practice; twice the bound leaves room for far more.
+    small = [c for c in df.columns if of[c]["about"] <= 2 * max_distinct + 2]
+    large = [c for c in df.columns if c not in small]
+    stats = df.sparkSession.createDataFrame(
+        [(c, types[c], of[c]["rows"], of[c]["non_null"], of[c]["about"]) for c in df.columns], "column string, type string, rows long, non_null long, about long")
+    counted = []
+    if small:
+        values = _long(df, small).where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+        few = F.array_join(F.slice(F.sort_array(F.collect_list("value")), 1, max_values), ", ")  # a small column has few values
+        counted.append(values.groupBy("column").agg(F.count(F.lit(1)).alias("n"), few.alias("sample")))
+    if large and not sketch:
+        values = _long(df, large).where("value is not null").distinct()
+        counted.append(values.groupBy("column").agg(F.count(F.lit(1)).alias("n")).withColumn("sample", F.lit(None).cast("string")))
+    exact = F.col("column").isin(*(small if sketch else df.columns)) if small or not sketch else F.lit(False)
+    if not counted:
+        return stats.select("column", "type", "rows", "non_null", F.col("about").alias("n_distinct"), F.lit(None).cast("string").alias("values"), exact.alias("exact"))
+    found = functools.reduce(DataFrame.unionByName, counted)
+    joined = stats.join(found, "column", "left")
+    n = F.when(exact, F.coalesce("n", F.lit(0).cast("long"))).otherwise(F.col("about"))
+    return joined.select("column", "type", "rows", "non_null", n.alias("n_distinct"),
+                         F.when(exact & n.between(2, max_distinct), F.col("sample")).alias("values"), exact.alias("exact"))
 
 
 def head_sample(df: DataFrame, order, n: int = 5) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factloom.functions import dates
@@ -128,20 +128,21 @@ def nearest_hour_targets(rows: DataFrame, time_text: str, targets: DataFrame,
                          keys=()) -> DataFrame:
     """Nearest-hour rows for many targets ``(target, date, hour, *keys)`` at once.
 
-    Equi join on the date (and keys), minimum distance per target, equi join back: no
-    window over a target's rows. Targets without a row of their date give nothing.
+    The hours that occur are few per date and keys, so a target first chooses among those; its rows are then joined on date, keys
+    and the chosen hours. No row meets a target whose hours it has not. Targets without a row of their date give nothing.
     """
     text = F.col(time_text)
     dated = rows.withColumn("date", dates.iso_of(text)).withColumn("_hour", dates.hour_of(text))
-    pairs = dated.join(targets, ["date", *keys]).withColumn(
-        "_delta", F.abs(F.col("_hour") - F.col("hour"))
-    )
-    best = pairs.groupBy("target").agg(F.min("_delta").alias("_best"))
-    return (
-        pairs.join(best, "target")
-        .where(F.col("_delta").eqNullSafe(F.col("_best")))
-        .drop("_hour", "_delta", "_best")
-    )
+    hours = dated.select("date", *keys, "_hour").distinct()
+    pairs = hours.join(targets, ["date", *keys]).withColumn("_delta", F.abs(F.col("_hour") - F.col("hour")))
+    rank = F.dense_rank().over(Window.partitionBy("target").orderBy(F.asc_nulls_last("_delta")))
+    chosen = pairs.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_delta").withColumnRenamed("_hour", "_near")
+    for k in ["date", *keys]:
+        chosen = chosen.withColumnRenamed(k, f"_t_{k}")
+    same = F.col("_hour").eqNullSafe(F.col("_near"))
+    for k in ["date", *keys]:
+        same = same & (F.col(k) == F.col(f"_t_{k}"))
+    return dated.join(chosen, same).drop("_hour", "_near", *[f"_t_{k}" for k in ["date", *keys]])
 
 
 def query_rows(rows: DataFrame, entity_col: str | None, entity: str | None, time_col: str | None,

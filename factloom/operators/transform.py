@@ -124,7 +124,7 @@ def union_sources(sources) -> DataFrame:
 
 
 def enrich(main: DataFrame, extra: DataFrame, key: str) -> DataFrame:
-    """All rows of the main source with the columns of an extra one; its last row per key wins ties."""
+    """All rows of the main source with the columns of an extra one; a key that the extra one repeats gives a row for each (see ``last_record``)."""
     return main.join(extra, key, "left")
 
 

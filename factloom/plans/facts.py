@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from factloom.operators import canonical, extraction, lineage, profiles, transform
 from factloom.plans import fixtures as fx
 from factloom.plans.registry import query
-from factloom.plans.scans import elected, part_blocks
+from factloom.plans.scans import elected, part_blocks, stored_elected
 from factloom.session import materialised, spread
 from factloom.sources import blocks as bl
 
@@ -95,7 +95,7 @@ def canonical_facts(spark: SparkSession, folder: str) -> DataFrame:
 @query("canonical_incremental", f"{fx.ELECTED} SELECT fact_id, is_canonical FROM elected")
 def canonical_incremental(spark: SparkSession, folder: str) -> DataFrame:
     """Orders of one status arrive late; the outcome must equal the full election."""
-    facts = fx.facts(spark, folder)
+    facts = fx.stored_facts(spark, folder)
     late = (F.col("confidence") == 0.88) & (F.col("field_name") == "totalprice")
     store = materialised(canonical.elect_canonical(facts.where(~late)), "store")
     return canonical.elect_affected(store, facts.where(late)).select("fact_id", "is_canonical")
@@ -113,7 +113,7 @@ def review_fact(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "O", "rejected").otherwise("confirmed").alias("status"),
         F.col("l_returnflag").alias("reviewer"), F.lit(None).cast("string").alias("note"),
         F.concat_ws(" ", F.col("l_shipdate").cast("date").cast("string"), F.col("l_linenumber").cast("string")).alias("reviewed_at"))
-    out = canonical.apply_reviews(elected(spark, folder), reviews)
+    out = canonical.apply_reviews(stored_elected(spark, folder), reviews)
     meta = F.col("metadata")
     return out.select("fact_id", "status", "is_canonical", meta["reviewer"].alias("reviewer"),
                       meta["reviewed_at"].alias("reviewed_at"), meta["date"].alias("date"))
@@ -124,7 +124,7 @@ SELECT 'fact' AS kind, fact_id AS id, is_canonical FROM elected
 UNION ALL SELECT DISTINCT 'document', source_doc_id, NULL FROM base
 UNION ALL SELECT 'block', source_block_id, NULL FROM base""")
 def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
-    facts = elected(spark, folder)
+    facts = stored_elected(spark, folder)
     docs = facts.select(F.col("source_doc_id").alias("doc_id")).distinct()
     blocks = facts.select(F.col("source_doc_id").alias("doc_id"), F.col("source_block_id").alias("block_id"))
     ids = docs.where(F.col("doc_id").isin("orders_1997", "supplier"))
@@ -141,7 +141,7 @@ def cascade_delete(spark: SparkSession, folder: str) -> DataFrame:
 SELECT f.fact_id, f.source_doc_id || '.csv' AS file_name, f.source_span AS block_text, l_returnflag AS task_id, 'R' || l_linenumber AS cell_ref
 FROM facts f LEFT JOIN lineitem ON f.fact_id = 'o' || l_orderkey""")
 def provenance_trace(spark: SparkSession, folder: str) -> DataFrame:
-    facts = fx.facts(spark, folder)
+    facts = fx.stored_facts(spark, folder)
     docs = facts.select(F.col("source_doc_id").alias("doc_id")).distinct().withColumn(
         "file_name", F.concat("doc_id", F.lit(".csv")))
     blocks = facts.select(F.col("source_doc_id").alias("doc_id"), F.col("source_block_id").alias("block_id"),
@@ -176,13 +176,13 @@ def sentence_extractor(chunks: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names)
 
 
-HOOK_SHOWN = ["source_block_id", "entity_name", "field_name", "value_num", "value_text", "unit", "confidence", "status"]
+HOOK_SHOWN = ["pos", "source_block_id", "entity_name", "field_name", "value_num", "value_text", "unit", "confidence", "status"]
 
 
 @query("extractor_hook", f"""WITH {fx.SQL_CUSTOMER_TEXT}
-SELECT doc_id || '#1' AS source_block_id, nation AS entity_name, 'totalprice' AS field_name, o_totalprice AS value_num,
+SELECT 1 * 1048576 AS pos, doc_id || '#1' AS source_block_id, nation AS entity_name, 'totalprice' AS field_name, o_totalprice AS value_num,
   CAST(o_totalprice AS VARCHAR) AS value_text, 'USD' AS unit, CAST(0.75 AS DOUBLE) AS confidence, 'pending_review' AS status FROM sentences
-UNION ALL SELECT doc_id || '#1', nation, 'reported day', CAST(y AS DOUBLE), day, NULL, CAST(0.75 AS DOUBLE), 'pending_review' FROM sentences""")
+UNION ALL SELECT 1 * 1048576 + 1, doc_id || '#1', nation, 'reported day', CAST(y AS DOUBLE), day, NULL, CAST(0.75 AS DOUBLE), 'pending_review' FROM sentences""")
 def extractor_hook(spark: SparkSession, folder: str) -> DataFrame:
     out = extraction.run_extractor(text_fact_blocks(spark, folder), sentence_extractor, fx.VOCAB, "fallback")
     return out.select(*HOOK_SHOWN)
@@ -252,7 +252,7 @@ SELECT doc.source_doc_id AS doc_id, doc.source_doc_id || '.csv' AS file_name,
   (SELECT string_agg(substr(source_span, 1, 120), chr(10) ORDER BY k) FROM b WHERE b.source_doc_id = doc.source_doc_id AND k <= 4) AS text_preview
 FROM (SELECT DISTINCT source_doc_id FROM facts) doc""")
 def document_cards(spark: SparkSession, folder: str) -> DataFrame:
-    facts = elected(spark, folder)
+    facts = stored_elected(spark, folder)
     docs, blocks = fact_documents(facts)
     return profiles.document_cards(docs, blocks, facts)
 
@@ -336,7 +336,24 @@ SQL_PROFILE = " UNION ALL ".join(
 
 @query("table_profile", SQL_PROFILE)
 def table_profile(spark: SparkSession, folder: str) -> DataFrame:
-    return profiles.table_profile(fx.table(spark, folder, "part")).drop("type")
+    return profiles.table_profile(fx.table(spark, folder, "part")).drop("type", "exact")
+
+
+SQL_SKETCHED = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", count(*) AS rows, count({c}) AS non_null, CASE WHEN count(DISTINCT {c}) <= 30 THEN count(DISTINCT {c}) END AS n_distinct, true AS near,
+  CASE WHEN count(DISTINCT {c}) BETWEEN 2 AND 30 THEN array_to_string(list_slice(list_sort(list(DISTINCT CAST({c} AS VARCHAR))), 1, 15), ', ') END AS "values" FROM lineitem"""
+    for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"))
+
+
+@query("table_profile_sketched", SQL_SKETCHED)
+def table_profile_sketched(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items by sketches: small columns exact, the estimates of the others within 6 % of the exact count."""
+    rows = fx.table(spark, folder, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus")
+    told = profiles.table_profile(rows, sketch=True)
+    exact = rows.agg(*(F.count_distinct(c).alias(c) for c in rows.columns)).select(F.inline(F.array(*(
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("_n")) for c in rows.columns))))
+    near = F.abs(F.col("n_distinct") - F.col("_n")) <= 0.06 * F.col("_n")
+    return told.join(exact, "column").select("column", "rows", "non_null", F.when(F.col("exact"), F.col("n_distinct")).alias("n_distinct"), near.alias("near"), "values")
 
 
 @query("left_enrich_merge", """SELECT o_orderkey, o_totalprice, c_mktsegment FROM orders LEFT JOIN

@@ -190,7 +190,7 @@ UNION ALL SELECT sheet_name, cell_ref, 'year' FROM j WHERE year < 1950 OR year >
 UNION ALL SELECT sheet_name, cell_ref, 'low_confidence' FROM j WHERE confidence < 0.6""")
 def fill_warnings(spark: SparkSession, folder: str) -> DataFrame:
     cells, plan, columns = layout(spark, folder)
-    facts = customer_facts(spark, folder)
+    facts = fx.stored_facts(spark, folder, "c_name")
     filled = filling.fill_by_entity(filling.data_rows(cells, plan), columns, materialised(filling.fact_lookup(facts), "lookup"))
     return filling.fill_warnings(filling.as_cells(filled, "t1"), facts).select("sheet_name", "cell_ref", "warning")
 

@@ -58,7 +58,7 @@ def sql_case(c: str, pairs, default) -> str:
 
 
 def facts(spark: SparkSession, folder: str, entity: str = "n_name") -> DataFrame:
-    """Account balances of customers and suppliers and values of orders as facts, as a stored table."""
+    """Account balances of customers and suppliers and values of orders as facts."""
     t = lambda n: table(spark, folder, n)
     nation = t("nation").select("n_nationkey", "n_name")
     cust = t("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -100,7 +100,12 @@ def facts(spark: SparkSession, folder: str, entity: str = "n_name") -> DataFrame
         case_of(F.col("o_orderpriority"), PRIORITY_STATUS, "confirmed").alias("status"),
         F.create_map(F.lit("date"), date).alias("metadata"), (F.col("o_orderkey") * 4 + 2).alias("pos"),
     )
-    return materialised(a.unionByName(b).unionByName(c), "facts")
+    return a.unionByName(b).unionByName(c)
+
+
+def stored_facts(spark: SparkSession, folder: str, entity: str = "n_name") -> DataFrame:
+    """``facts`` as a stored table, for queries that read them more than once."""
+    return materialised(facts(spark, folder, entity), "facts")
 
 
 def sql_facts(entity: str = "n_name") -> str:

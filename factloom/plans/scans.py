@@ -171,8 +171,13 @@ SHOWN_SQL = ", ".join(SHOWN)
 
 
 def elected(spark: SparkSession, folder: str) -> DataFrame:
-    """The elected facts as a stored table: facts are made once, and what builds on the election reads it back."""
-    return materialised(elect_canonical(fx.facts(spark, folder)), "elected")
+    """The elected facts; the facts themselves are made once."""
+    return elect_canonical(fx.stored_facts(spark, folder))
+
+
+def stored_elected(spark: SparkSession, folder: str) -> DataFrame:
+    """``elected`` as a stored table, for queries that read it more than once."""
+    return materialised(elected(spark, folder), "elected")
 
 
 @query("filter_facts", f"""{fx.ELECTED} SELECT {SHOWN_SQL} FROM elected WHERE field_name = 'totalprice' AND status = 'confirmed'
@@ -197,12 +202,10 @@ def search_facts(spark: SparkSession, folder: str) -> DataFrame:
     return selection.search_facts(elected(spark, folder), "NATION_3", "totalprice", 1997).select(*SHOWN)
 
 
-@query("low_confidence_facts", f"""{fx.FACTS}, base AS (SELECT * FROM facts WHERE confidence < 0.9), {fx.sql_elected('base')}
-SELECT {SHOWN_SQL} FROM elected WHERE is_canonical AND confidence < 0.7""")
+@query("low_confidence_facts", f"""{fx.CUSTOMER_FACTS}, {fx.sql_elected()} SELECT {SHOWN_SQL} FROM elected WHERE is_canonical AND confidence < 0.7""")
 def low_confidence_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """Among elections without the surest facts, so that some weak ones win."""
-    weak = materialised(fx.facts(spark, folder).where("confidence < 0.9"), "weak-facts")
-    return selection.low_confidence(elect_canonical(weak)).select(*SHOWN)
+    """Among facts of single customers, of which many have one weak fact only."""
+    return selection.low_confidence(elect_canonical(fx.stored_facts(spark, folder, "c_name"))).select(*SHOWN)
 
 
 @query("filter_documents", f"""WITH {fx.SQL_DOCUMENTS} SELECT doc_id, file_name FROM docs
