@@ -42,7 +42,7 @@ def exact_groups(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
     hashed = whole.groupBy(F.sha2(text.cast("binary"), 256).alias("digest"), "doc_id").agg(F.count(F.lit(1)).alias("copies"))
     hashed = stored(hashed, "digests")
     groups = hashed.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size")).where("group_size > 1")
-    return hashed.join(groups, "digest")
+    return hashed.join(small_side(stored(groups, "digest-groups"), 128), "digest")
 
 
 def exact_dedup(docs: DataFrame, prefix: int = PREFIX) -> DataFrame:
