@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators import matching, profiles
+from factloom.operators import matching, profiles, vectors
 from factloom.operators.matching import TemplateProfile
 from factloom.operators.similarity import similar_names
 from factloom.plans import fixtures as fx
@@ -143,6 +143,16 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("vector_topk_indexed", f"""WITH {SQL_QUERY_VECTORS}, s AS (SELECT query_id, vec_id, {SQL_COSINE} AS score FROM embeddings, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
+def vector_topk_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same search without a least score, over an index that clusters too far off are skipped in."""
+    index = vectors.build_index(fx.table(spark, folder, "embeddings"), "vec_id", "embedding")
+    out = vectors.search(index, query_vectors(spark, folder), 10)
+    return out.select("query_id", "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
 # Matching wants near vectors: here the queries are vectors of the table itself, the first one of each label.
 SQL_FIRST_VECTORS = "q AS (SELECT label AS query_id, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label)"
 
@@ -193,15 +203,20 @@ def document_match_cascade(spark: SparkSession, folder: str) -> DataFrame:
 SOURCE_HEADERS = ("Part", "Brand", "Size", "Retail Price (USD)", "Region", "Date")
 
 
-@query("template_source_overlap", """WITH f AS (SELECT 'a' AS template, unnest(['Part', 'Size', 'Colour']) AS field UNION ALL SELECT 'b', unnest(['Weight', 'Colour', 'Maker', 'Shop'])),
-h AS (SELECT unnest(['Part', 'Brand', 'Size', 'Retail Price (USD)']) AS field WHERE (SELECT count(*) FROM part) > 0)
-SELECT template, count(*) AS n_fields, count(h.field) AS n_overlap, round(count(h.field) / count(*), 4) AS overlap,
-  CAST(1.0 AS DOUBLE) AS sheet_share, true AS all_structured, count(h.field) / count(*) >= 0.3 AS applicable FROM f LEFT JOIN h ON f.field = h.field GROUP BY template""")
+@query("template_source_overlap", """WITH f AS (SELECT DISTINCT l_returnflag || l_linestatus AS template, 'Brand#' || (l_suppkey % 40) AS field FROM lineitem WHERE l_quantity > 45),
+h AS (SELECT p_brand AS field FROM part UNION SELECT p_name FROM part),
+d AS (SELECT avg(CASE WHEN p_type <> 'PROMO' THEN 1.0 ELSE 0.0 END) AS share FROM (SELECT DISTINCT p_type FROM part))
+SELECT template, count(*) AS n_fields, count(h.field) AS n_overlap, round(count(h.field) / count(*), 4) AS overlap, round(any_value(share), 4) AS sheet_share, true AS all_structured,
+  count(h.field) / count(*) >= 0.3 AND any_value(share) >= 0.5 AS applicable FROM f LEFT JOIN h ON f.field = h.field, d GROUP BY template""")
 def template_source_overlap(spark: SparkSession, folder: str) -> DataFrame:
-    fields = spark.createDataFrame(
-        [("a", f) for f in ("Part", "Size", "Colour")] + [("b", f) for f in ("Weight", "Colour", "Maker", "Shop")], "template string, field string")
-    blocks = part_blocks(spark, folder)
-    docs = blocks.select("doc_id").distinct().withColumn("doc_type", F.lit("xlsx"))
+    """One document per type of part, whose headers are the brands and names of its parts; templates ask for the brands that line items name."""
+    fields = fx.table(spark, folder, "lineitem").where("l_quantity > 45").select(
+        F.concat("l_returnflag", "l_linestatus").alias("template"),
+        F.concat(F.lit("Brand#"), (F.col("l_suppkey") % 40).cast("string")).alias("field")).distinct()
+    headers = F.array("p_brand", "p_name")
+    blocks = fx.table(spark, folder, "part").select(F.col("p_type").alias("doc_id"), headers.alias("headers"), headers.alias("cells"))
+    kind = F.when(F.col("doc_id") == "PROMO", "docx").otherwise("xlsx")
+    docs = blocks.select("doc_id").distinct().withColumn("doc_type", kind)
     return matching.direct_fill_applicable(fields, blocks, docs)
 
 
