@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factloom.functions import dates, text
-from factloom.operators import common, profiles, selection, store
+from factloom.operators import common, paging, profiles, selection, store
 from factloom.operators.canonical import elect_canonical
 from factloom.plans import fixtures as fx
 from factloom.plans.registry import query
@@ -312,6 +312,15 @@ def page_facts(spark: SparkSession, folder: str) -> DataFrame:
     return common.page(fx.facts(spark, folder), selection.fact_order(), 50, 100).select("fact_id", "confidence")
 
 
+@query("page_rows_deep", """WITH r AS (SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM r WHERE k > (SELECT count(*) FROM r) / 2 AND k <= (SELECT count(*) FROM r) / 2 + 500""")
+def page_rows_deep(spark: SparkSession, folder: str) -> DataFrame:
+    """A page from the middle of all line items."""
+    rows = fx.table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    index = paging.build_page_index(rows, [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], 10_000)
+    return paging.page_at(index, 500, index.total // 2)
+
+
 @query("page_facts_total", f"{fx.FACTS} SELECT count(*) AS total FROM facts")
 def page_facts_total(spark: SparkSession, folder: str) -> DataFrame:
     return common.total(fx.facts(spark, folder))
