@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -242,58 +241,37 @@ DAY_TEXT = "((?:19|20)\\d{2}[年/-]\\d{1,2}[月/-]\\d{1,2}日?)"
 # What an alias stands for (fixed values): a number, a party name after it, or a day after it.
 NUMBER, PARTY, DAY = "number", "party", "day"
 AROUND = 8  # characters on both sides in which a longer alias of another field hides a match
-ALIASES = ("map<string,array<struct<n:int,ord:int,field:string,unit:string,kind:string,required:boolean,longer:array<string>>>>")
+SPAN = "struct<start:int,end:int,ord:int,n:int,field:string,unit:string,kind:string,required:boolean>"
 
 
-def alias_table(vocab: Vocabulary) -> Column:
-    """Longest alias that can stand at a place → all aliases that then stand there, as one literal.
+def alias_entries(vocab: Vocabulary) -> list[tuple[str, dict, tuple[str, ...]]]:
+    """Of each alias, in lower case: what it stands for, and the longer aliases of other fields that contain it.
 
-    These are its beginnings that are aliases themselves, each with its field and the longer aliases of other fields
-    that contain it. Keys are lower case.
+    Aliases are searched in each other by one automaton, so the table takes time in proportion to their text.
     """
     fields = {f.name: f for f in vocab.fields}
     rows = [(alias.lower(), name, ord_) for ord_, (alias, _, name, _) in enumerate(vocab.alias_rows)]
-    known = sorted({alias for alias, *_ in rows})
-    standing = {alias: {"n": len(alias), "longer": {}} for alias in known}
-    for alias in known:
-        standing[alias]["longer"] = [(o, name) for o, name, _ in rows if len(o) > len(alias) and alias in o]
+    inside = gazetteer.contained([alias for alias, *_ in rows])
+    longer: dict[str, set[tuple[str, str]]] = {}
+    for place, (other, name, _) in enumerate(rows):
+        for at in inside[place]:
+            if len(other) > len(rows[at][0]):
+                longer.setdefault(rows[at][0], set()).add((other, name))
 
     def entry(alias: str, name: str, ord_: int) -> dict:
-        kind = PARTY if name in vocab.text_fields else DAY if name in vocab.date_fields else NUMBER
         field = fields[name]
-        return {"n": len(alias), "ord": ord_, "field": name, "unit": field.unit, "kind": kind,
-                "required": (field.entity_type or "generic") in vocab.entity_required,
-                "longer": sorted({o for o, other in standing[alias]["longer"] if other != name})}
+        kind = PARTY if name in vocab.text_fields else DAY if name in vocab.date_fields else NUMBER
+        return {"ord": ord_, "n": len(alias), "field": name, "unit": field.unit, "kind": kind, "required": (field.entity_type or "generic") in vocab.entity_required}
 
-    table = {key: [entry(*row) for row in rows if key.startswith(row[0])] for key in known}
-    return F.from_json(F.lit(json.dumps(table)), ALIASES)
+    return [(alias, entry(alias, name, ord_), tuple(sorted({o for o, other in longer.get(alias, ()) if other != name}))) for alias, name, ord_ in rows]
 
 
 def alias_spans(body: Column, vocab: Vocabulary) -> Column:
-    """Alias occurrences of a text that no longer alias hides: array of struct<start, end, ord, n, field, unit, kind, required>.
+    """Alias occurrences of a text, in any case, that no longer alias of another field around them hides: array of ``SPAN``, by start.
 
-    One alternation over all aliases, longest first, finds the places where one begins: the text is split there, and the
-    lengths of the pieces give the places. The table then has every alias that stands at a place.
+    One pass of an automaton over all aliases finds them (see ``gazetteer``).
     """
-    words = sorted({alias for alias, *_ in vocab.alias_rows}, key=lambda w: (-len(w), w))
-    if not words:
-        return F.lit(None).cast("array<struct<start:int,end:int,ord:int,n:int,field:string,unit:string,kind:string,required:boolean>>")
-    any_alias = "|".join(text.quote(w) for w in words)
-    table, longest = alias_table(vocab), len(words[0])
-    pieces = F.split(body, f"(?iu)(?={any_alias})")
-    starts = F.aggregate(
-        pieces, record(at=F.lit(0), all=F.array().cast("array<int>")),
-        lambda acc, p: record(at=acc["at"] + F.length(p), all=F.concat(acc["all"], F.array(acc["at"]))), lambda acc: acc["all"])
-
-    def standing(start: Column) -> Column:
-        key = F.lower(F.regexp_extract(_window(body, start, longest), f"^(?iu:{any_alias})", 0))
-        near = lambda e: F.lower(_window(body, F.greatest(start - AROUND, F.lit(0)), F.least(start, F.lit(AROUND)) + e["n"] + AROUND))
-        shown = F.filter(F.coalesce(F.try_element_at(table, key), F.from_json(F.lit("[]"), ALIASES.removeprefix("map<string,").removesuffix(">"))),
-                         lambda e: ~F.exists(e["longer"], lambda w: F.contains(near(e), w)))
-        return F.transform(shown, lambda e: record(
-            start=start, end=start + e["n"], ord=e["ord"], n=e["n"], field=e["field"], unit=e["unit"], kind=e["kind"], required=e["required"]))
-
-    return F.flatten(F.transform(starts, standing))
+    return gazetteer.spans_in(body, alias_entries(vocab), AROUND, SPAN)
 
 
 def without_overlaps(found: Column) -> Column:

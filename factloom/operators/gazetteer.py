@@ -85,6 +85,64 @@ def first_name_in(c: Column, names: Sequence[str], normal: Sequence[str]) -> Col
     return search(c)
 
 
+def contained(names: Sequence[str]) -> list[list[int]]:
+    """For each name the places of the names that it contains: every name, of several equal ones each."""
+    places: dict[str, list[int]] = {}
+    for place, name in enumerate(names):
+        places.setdefault(name, []).append(place)
+    automaton = ahocorasick.Automaton()
+    for name in places:
+        if name:
+            automaton.add_word(name, name)
+    if not len(automaton):
+        return [[] for _ in names]
+    automaton.make_automaton()
+    return [sorted({p for _, found in automaton.iter(name) for p in places[found]}) if name else [] for name in names]
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, character by character, so that places stay the same."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def spans_in(c: Column, entries: Sequence[tuple[str, dict, tuple[str, ...]]], around: int, span: str) -> Column:
+    """Where lower-case names stand in a text, in any case: array of ``span`` (start, end, then the columns of the entry), by start.
+
+    An entry is (name, columns, names that hide it where one is within ``around`` characters of it).
+    """
+    names = tuple(dict.fromkeys(name for name, *_ in entries))
+    digest, shared = _of_names(names)
+    of_name: dict[str, list] = {}
+    for name, columns, hiding in entries:
+        of_name.setdefault(name, []).append((columns, hiding))
+    table = SparkSession.active().sparkContext.broadcast([of_name[n] for n in names])
+
+    @F.arrow_udf(f"array<{span}>")
+    def search(texts: pa.Array) -> pa.Array:
+        automaton, words = _automaton(digest, shared), shared.value
+
+        def spans(text: str | None) -> list[dict]:
+            out = []
+            if text and len(automaton):
+                low = lowered(text)
+                for last, place in automaton.iter(low):
+                    start, end = last + 1 - len(words[place]), last + 1
+                    near = low[max(0, start - around):end + around]
+                    out += [{"start": start, "end": end, **columns} for columns, hiding in table.value[place] if not any(h in near for h in hiding)]
+            return sorted(out, key=lambda s: (s["start"], s["ord"]))
+
+        return pa.array([spans(t) for t in texts.to_pylist()], _span_type(span))
+
+    return search(c)
+
+
+def _span_type(span: str) -> pa.DataType:
+    kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    fields = [f.split(":") for f in span.removeprefix("struct<").removesuffix(">").split(",")]
+    return pa.list_(pa.struct([(name, kinds[kind]) for name, kind in fields]))
+
+
 def _blocks(names: DataFrame, block_bytes: int) -> list[DataFrame]:
     """The names cut into blocks that stay below ``block_bytes`` on average."""
     size = names.agg(F.sum(F.octet_length("name") + NAME_BYTES)).first()[0] or 0

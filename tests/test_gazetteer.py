@@ -63,3 +63,31 @@ def test_vocabulary_of_any_size_gives_the_same(spark):
     assert [(r["few"], r["many"]) for r in got] == [(x, x) for x in ("Lyon", "济南", None, None, None, "Ly")]
     body = spark.createDataFrame([("Nice 青岛 Lyon",), (None,), ("",)], "t string").select(extraction.mentions(F.col("t"), few).alias("m")).collect()
     assert [r["m"] for r in body] == [["青岛", "Lyon", "Ly", "Nice"], [], []]
+
+
+def brute_spans(text, vocab):
+    """Every alias at every place, unless a longer alias of another field stands within eight characters around it."""
+    rows = [(alias.lower(), name, k) for k, (alias, _, name, _) in enumerate(vocab.alias_rows)]
+    low, out = (text or "").lower(), []
+    for at in range(len(low)):
+        for alias, name, k in rows:
+            if low.startswith(alias, at):
+                near = low[max(0, at - 8):at + len(alias) + 8]
+                if not any(o in near for o, other, _ in rows if len(o) > len(alias) and alias in o and other != name):
+                    out.append((at, at + len(alias), k, name))
+    return sorted(out)
+
+
+def test_alias_spans_equal_the_definition(spark):
+    vocab = Vocabulary(fields=(Field("GDP", "x", "city", ("gdp", "gross")), Field("per capita GDP", "y", "city", ("gdp per capita",)), Field("gross income", "", None, ("income", "oss")),
+                               Field("甲方", "", None, ("甲",))))
+    rng = random.Random(5)
+    parts = ["GDP", "gdp per capita", "Gross income", "income", "gross", " ", "x", "per capita ", "İ", "甲方", "甲", "GDPGDP", ", "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 14))) for _ in range(120)] + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    got = {r["id"]: [(s["start"], s["end"], s["ord"], s["field"]) for s in r["s"]] for r in df.select("id", extraction.alias_spans(F.col("t"), vocab).alias("s")).collect()}
+    for i, t in enumerate(texts):
+        if "İ" not in (t or ""):  # its lower case is longer; places are checked below
+            assert sorted(got[i]) == brute_spans(t, vocab)
+    one = spark.createDataFrame([("İİ GDP",)], "t string").select(extraction.alias_spans(F.col("t"), vocab).alias("s")).first()["s"]
+    assert [(s["start"], s["end"]) for s in one] == [(3, 6)] * 2
