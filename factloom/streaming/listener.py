@@ -11,16 +11,15 @@ PROGRESS = "query_id string, batch_id bigint, at string, input_rows bigint, batc
 
 
 class ProgressLog(StreamingQueryListener):
-    """Keeps the progress events of this session as rows; ``size`` (None: all) keeps the latest ones only."""
+    """Keeps the latest ``size`` progress events of this session as rows; ``flush`` moves them to a table that keeps all."""
 
-    def __init__(self, size: int | None = None) -> None:
+    def __init__(self, size: int = 10_000) -> None:
         self.size = size
         self.rows: list[tuple] = []
 
     def _add(self, row: tuple) -> None:
         self.rows.append(row)
-        if self.size is not None:
-            del self.rows[:-self.size]
+        del self.rows[:-self.size]
 
     def onQueryStarted(self, event) -> None:
         self._add((str(event.id), None, event.timestamp, None, None, "running", None))
@@ -37,5 +36,13 @@ class ProgressLog(StreamingQueryListener):
         self._add((str(event.id), None, None, None, None, "failed" if event.exception else "succeeded",
                    event.exception))
 
+    def flush(self, spark: SparkSession, path: str) -> int:
+        """Append the rows held so far to a table and forget them; returns how many there were."""
+        taken = len(self.rows)
+        if taken:
+            spark.createDataFrame(self.rows[:taken], PROGRESS).coalesce(1).write.mode("append").parquet(path)
+            del self.rows[:taken]
+        return taken
+
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, PROGRESS)

@@ -76,6 +76,9 @@ def test_ingest_equals_batch_and_survives_a_retry(spark, tmp_path):
     assert progress == {"1": ("parsed", 1), "2": ("failed", 0), "3": ("parsed", 1), "4": ("parsed", 2)}
     spark.streams.removeListener(log)
     assert log.table(spark).where(F.col("state") == "progress").count() >= 1
+    held = log.table(spark).count()
+    assert log.flush(spark, str(tmp_path / "progress-log")) == held and log.flush(spark, str(tmp_path / "progress-log")) == 0
+    assert spark.read.parquet(str(tmp_path / "progress-log")).count() == held
 
 
 def test_files_of_all_kinds_stream_in(spark, tmp_path):
