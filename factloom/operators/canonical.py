@@ -102,12 +102,12 @@ def elect_affected(store: DataFrame, new: DataFrame) -> DataFrame:
     return with_flips(store.unionByName(added, allowMissingColumns=True), insert_flips(store, new))
 
 
-def reviewed_flips(facts: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Flags that change when elected ``facts`` get their latest review.
+def reviewed_flips(facts: DataFrame, latest: DataFrame) -> DataFrame:
+    """Flags that change when elected ``facts`` get their ``latest`` reviews, one a fact.
 
     A rejected winner vacates its group, which is elected again; a fact that is no longer rejected plays against the winner of its group.
     """
-    last = latest_reviews(reviews).select("fact_id", F.trim("status").alias("_status"))
+    last = latest.select("fact_id", F.trim("status").alias("_status"))
     rejected = lambda c: F.coalesce(F.col(c), F.lit("")) == "rejected"
     after = F.coalesce("_status", "status").alias("status")
     touched = facts.join(last, "fact_id").select(
@@ -133,7 +133,10 @@ def apply_latest_reviews(facts: DataFrame, reviews: DataFrame) -> DataFrame:
 
     ``reviews(fact_id, status, reviewer, note, reviewed_at string)``.
     """
-    last = latest_reviews(reviews)
+    return _with_latest(facts, latest_reviews(reviews))
+
+
+def _with_latest(facts: DataFrame, last: DataFrame) -> DataFrame:
     notes = F.filter(
         F.array(
             *[
@@ -161,10 +164,10 @@ def apply_latest_reviews(facts: DataFrame, reviews: DataFrame) -> DataFrame:
 
 def apply_reviews(facts: DataFrame, reviews: DataFrame) -> DataFrame:
     """All facts with their latest review; where they are elected already, only flags that the reviews change do."""
-    updated = apply_latest_reviews(facts, reviews)
     if "is_canonical" not in facts.columns:
-        return elect_canonical(updated)
-    return with_flips(updated, reviewed_flips(facts, reviews))
+        return elect_canonical(apply_latest_reviews(facts, reviews))
+    last = materialised(latest_reviews(reviews), "latest-reviews")
+    return with_flips(_with_latest(facts, last), reviewed_flips(facts, last))
 
 
 def delete_documents(docs: DataFrame, blocks: DataFrame, facts: DataFrame, ids: DataFrame):

@@ -61,9 +61,14 @@ def _opened(lengths: Column, used: Column, max_chars: int) -> Column:
 
 def _pieces(texts: Column, opened: Column) -> Column:
     """The texts before the first opened place, and those from each opened place to the next, joined by line breaks (null: none)."""
-    edges = F.concat(F.array(F.lit(0)), opened, F.array(F.size(texts)))
-    return F.transform(F.sequence(F.lit(0), F.size(opened)), lambda i: F.when(
-        F.get(edges, i + 1) > F.get(edges, i), F.array_join(F.slice(texts, F.get(edges, i) + 1, F.get(edges, i + 1) - F.get(edges, i)), "\n")))
+    bound = record(t=texts, e=F.concat(F.array(F.lit(0)), opened, F.array(F.size(texts))))
+
+    def cut(b: Column) -> Column:
+        at = lambda i: F.get(b["e"], i)
+        return F.transform(F.sequence(F.lit(0), F.size(b["e"]) - 2), lambda i: F.when(
+            at(i + 1) > at(i), F.array_join(F.slice(b["t"], at(i) + 1, at(i + 1) - at(i)), "\n")))
+
+    return let(bound, cut)
 
 
 def chunk_texts(texts: Column, max_chars: int) -> Column:
