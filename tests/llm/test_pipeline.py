@@ -71,4 +71,4 @@ def test_stages_survive_odd_and_empty_tables(spark):
 
 def test_contract():
     assert [len(s) for s in corpus_pipeline.STAGES] == [2] * 5 and corpus_pipeline.ORACLE_SQL is None
-    assert sorted(QUERIES, key=lambda n: (len(n.split("_")[0]), n))[-1] and {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 11))}
+    assert sorted(QUERIES, key=lambda n: (len(n.split("_")[0]), n))[-1] and {n.split("_")[0] for n in QUERIES} == {"pipeline", *(f"op{n}" for n in range(1, 14))}
