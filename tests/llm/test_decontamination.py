@@ -77,14 +77,47 @@ def test_items_of_other_scripts_and_punctuation(spark):
     assert found(spark, docs, [(10, chinese), (11, french)]) == {(1, 10): 1.0, (3, 11): 1.0}
 
 
-def test_short_items_repeated_items_and_blocks(spark):
+def test_short_items_repeated_items_and_filters(spark):
     docs = [(1, "one two three"), (2, "one two four"), (1, "one two three"), (None, "x one two three")]
     items = [(1, "two three"), (2, "Two. Three!"), (3, "three two")]
-    for block in (1, 1 << 20):
-        got = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEMS), block_bytes=block)
+    for bits in (1 << 6, 1 << 10, 1 << 27):
+        got = d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, ITEMS), filter_bits=bits)
         assert sorted(((r["doc_id"] or 0, r["item_id"]) for r in got.collect())) == sorted([(1, 1), (1, 2), (1, 1), (1, 2), (0, 1), (0, 2)])
 
 
+def test_filter_holds_every_seed():
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(0, 1 << 64, 5000, np.uint64)
+    for bits in (6, 10, 20):
+        f = d.SeedFilter(np.zeros(1 << (bits - 6), np.uint64))
+        for slot in d.SeedFilter.slots(hashes, f.shift):
+            np.bitwise_or.at(f.bits, slot >> np.uint64(6), np.uint64(1) << (slot & np.uint64(63)))
+        assert f.may_hold(hashes).size == hashes.size
+    assert f.may_hold(rng.integers(0, 1 << 64, 100_000, np.uint64)).size < 1000
+
+
+@pytest.mark.parametrize("bits", [1 << 8, 1 << 27])
+def test_items_with_a_common_stem_equal_brute_force(spark, bits):
+    rng = random.Random(7)
+    stem, letters = "which of the following statements about the topic is true".split(), [f"w{n}" for n in range(12)]
+    items = [(n, stem + rng.choices(letters, k=rng.randrange(0, 30))) for n in range(60)]
+    docs = []
+    for n in range(150):
+        _, own = rng.choice(items)
+        cut = rng.randrange(len(own))
+        whole = rng.choice([own, own[cut:] + ["zz"] + own[:cut], own[:-1 - len(own) // 8], own[cut:], stem, rng.choices(letters, k=40) + own])
+        docs.append((n, rng.choices(letters, k=rng.randrange(20)) + whole + rng.choices(letters, k=3)))
+    want = set()
+    for doc, read in docs:
+        for item, own in items:
+            ids = {w: k for k, w in enumerate(dict.fromkeys(own))}
+            tiles = d.tiles(np.array([ids.get(w, -1) for w in read]), np.array([ids[w] for w in own]), 5)
+            if sum(n for *_, n in tiles) >= 0.8 * len(own):
+                want.add((doc, item, round(sum(n for *_, n in tiles) / len(own), 2)))
+    got = found(spark, [(n, " ".join(w)) for n, w in docs], [(n, " ".join(w)) for n, w in items], filter_bits=bits)
+    assert {(*k, v) for k, v in got.items()} == want and len(want) > 50
+
+
 def test_against_brute_force_on_given_tables(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
