@@ -78,7 +78,7 @@ def parse_quotes(messages: DataFrame) -> DataFrame:
     own = F.array_join(F.transform(F.filter("lines", lambda x: x["level"] == 0), lambda x: x["line"]), "\n")
     return (read.withColumn("body", F.regexp_replace(own, r"^\s*\n|\s+$", ""))
             .withColumn("quote_depth", F.array_max(F.transform("lines", lambda x: x["level"])))
-            .withColumn("passages", F.transform(_passages(), lambda x: x.withField("sentences", F.split(x["text"], SENTENCE_END))))
+            .withColumn("passages", F.transform(_passages(), lambda x: x.withField("sentences", F.filter(F.split(x["text"], SENTENCE_END), lambda s: s != ""))))
             .withColumn("units", F.flatten(F.transform("passages", _units)))
             .drop("lines", "passages"))
 
@@ -142,8 +142,8 @@ def reply_ordered(messages: DataFrame, partitions: int | None = None) -> DataFra
     ``reply_order`` numbers the messages of a conversation from 0. A message that quotes an earlier one other than the message
     just before it opens a branch below that message's branch; all others continue the branch they stand in. A branch is followed by its
     sub-branches in the order of their first turn. ``parent_turn`` is the quoted message, else the turn before (null for the first).
-    Messages without a conversation form one of their own; a null turn comes last; repeated rows and turns are kept, in the order of role
-    and text. Texts without quotes stay as they are but for outer blank lines.
+    Messages without a conversation form one of their own; a null turn comes last; repeated rows and turns are kept, in the order of role,
+    text and depth of quotes. Texts without quotes stay as they are but for outer blank lines.
     """
     spark = messages.sparkSession
     rows = messages.select(
@@ -173,7 +173,7 @@ def reply_ordered(messages: DataFrame, partitions: int | None = None) -> DataFra
     whole = (parsed.select("conv_id", "conv", "own_turn", "turn", "role", "body", "quote_depth")
              .join(threaded, ["conv", "turn"]))
     count = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = numbered(whole, ["conv"], ["path", "turn", "role", "body"], "reply_order", count)
+    ordered = numbered(whole, ["conv"], ["path", "turn", "role", "body", "quote_depth"], "reply_order", count)
     return ordered.select(
         "conv_id", "reply_order", F.col("own_turn").alias("turn"), "role", F.col("body").alias("text"),
         "parent_turn", (F.size("path") - 1).alias("branch_depth"), "quote_depth", F.col("linked").alias("linked_lines"))

@@ -39,19 +39,38 @@ def op4_quotation_linking(spark: SparkSession, folder: str) -> DataFrame:
 
 OP4_SQL = r"""
 WITH RECURSIVE messages AS (
-    SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), 'null') AS conv, turn AS own_turn, coalesce(turn, CAST(1 AS BIGINT) << 60) AS turn, role,
+    SELECT row_number() OVER () AS r, conv_id, coalesce(CAST(conv_id AS VARCHAR), 'null') AS conv, turn AS own_turn, coalesce(turn, CAST(1 AS BIGINT) << 60) AS turn, role,
            string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) AS lines FROM conversations
 ), parsed AS (
     SELECT *, list_transform(lines, lambda x: length(regexp_replace(regexp_extract(x, '^(?:[ \t]*>)+'), '[^>]', '', 'g'))) AS levels FROM messages
 ), whole AS (
     SELECT *, list_max(levels) AS quote_depth, regexp_replace(array_to_string(list_transform(list_filter(list_zip(lines, levels), lambda z: z[2] = 0), lambda z: z[1]), chr(10)),
            '^\s*\n|\s+$', '', 'g') AS body FROM parsed
-), lined AS (SELECT conv, turn, unnest(lines) AS line, unnest(levels) AS level FROM parsed
+), lined AS (SELECT r, conv, turn, unnest(lines) AS line, unnest(levels) AS level, generate_subscripts(lines, 1) - 1 AS place FROM parsed
 ), units AS (
-    SELECT conv, turn, level, trim(regexp_replace(lower(regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '')), '\s+', ' ', 'g')) AS unit FROM lined
+    SELECT r, conv, turn, level, place, trim(regexp_replace(lower(regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '')), '\s+', ' ', 'g')) AS unit FROM lined
+), edges AS (
+    SELECT *, CASE WHEN lag(place) OVER w = place - 1 AND lag(level) OVER w = level THEN 0 ELSE 1 END AS opens FROM units WHERE unit <> ''
+    WINDOW w AS (PARTITION BY r ORDER BY place)
+), runs AS (SELECT *, sum(opens) OVER (PARTITION BY r ORDER BY place) AS passage FROM edges
+), passages AS (
+    SELECT r, conv, turn, level, passage, min(place) AS place, max(place) AS last, string_agg(unit, chr(10) ORDER BY place) AS text FROM runs GROUP BY ALL
+), cut AS (
+    SELECT *, list_filter(string_split(regexp_replace(regexp_replace(text, '([.!?…])(\s)', '\1' || chr(1) || '\2', 'g'), '([。！？])', '\1' || chr(1), 'g'), chr(1)),
+                          lambda x: x <> '') AS parts FROM passages
+), sentences AS (
+    SELECT *, length(sentence) - length(replace(sentence, chr(10), '')) AS feeds FROM (SELECT *, unnest(parts) AS sentence, generate_subscripts(parts, 1) AS number FROM cut)
+), spans AS (SELECT *, sum(feeds) OVER (PARTITION BY r, passage ORDER BY number) AS upto FROM sentences
+), pieces AS (
+    SELECT r, conv, turn, level, 0 AS kind, replace(text, chr(10), ' ') AS piece, place AS first, last FROM passages
+    UNION ALL SELECT r, conv, turn, level, 1, trim(replace(sentence, chr(10), ' ')), place + upto - feeds + CAST(starts_with(sentence, chr(10)) AS INTEGER), place + upto FROM spans
+    UNION ALL SELECT r, conv, turn, level, 2, unit, place, place FROM units WHERE unit <> ''
+), found AS (
+    SELECT *, (SELECT max(o.turn) FROM pieces o WHERE o.level = 0 AND o.conv = q.conv AND o.piece = q.piece AND o.turn < q.turn AND (q.kind = 1 OR o.kind <> 1)) AS source
+    FROM pieces q WHERE q.level > 0
 ), links AS (
-    SELECT q.conv, q.turn, q.level, (SELECT max(o.turn) FROM units o WHERE o.level = 0 AND o.conv = q.conv AND o.unit = q.unit AND o.turn < q.turn) AS source
-    FROM units q WHERE q.level > 0 AND q.unit <> ''
+    SELECT conv, turn, level, arg_min(source, (kind, -source)) AS source
+    FROM (SELECT *, unnest(generate_series(CAST(first AS BIGINT), CAST(last AS BIGINT))) AS place FROM found WHERE source IS NOT NULL) GROUP BY r, conv, turn, level, place
 ), votes AS (SELECT conv, turn, source, min(level) AS level, count(*) AS n FROM links WHERE source IS NOT NULL GROUP BY conv, turn, source
 ), parents AS (SELECT conv, turn, arg_max(source, (-level, n, source)) AS parent, CAST(sum(n) AS BIGINT) AS linked FROM votes GROUP BY conv, turn
 ), turns AS (SELECT *, lag(turn) OVER (PARTITION BY conv ORDER BY turn) AS before FROM (SELECT DISTINCT conv, turn FROM messages)
@@ -63,7 +82,7 @@ WITH RECURSIVE messages AS (
     SELECT conv, start, [start] AS path FROM heads WHERE above IS NULL
     UNION ALL SELECT h.conv, h.start, list_append(p.path, h.start) FROM heads h JOIN paths p ON p.conv = h.conv AND p.start = h.above
 )
-SELECT w.conv_id, row_number() OVER (PARTITION BY w.conv ORDER BY b.path, w.turn, role NULLS FIRST, body) - 1 AS reply_order, own_turn AS turn, role, body AS text,
+SELECT w.conv_id, row_number() OVER (PARTITION BY w.conv ORDER BY b.path, w.turn, role NULLS FIRST, body, quote_depth) - 1 AS reply_order, own_turn AS turn, role, body AS text,
        coalesce(parent, before) AS parent_turn, len(b.path) - 1 AS branch_depth, quote_depth, coalesce(linked, 0) AS linked_lines
 FROM whole w JOIN placed p ON p.conv = w.conv AND p.turn = w.turn JOIN paths b ON b.conv = p.conv AND b.start = p.start
 """

@@ -81,6 +81,23 @@ def test_threads_equal_the_walk(spark):
     assert not any(">" in (r[4] or "") for r in got)
 
 
+LONG = "The first half of a long paragraph, which somebody wrote on one line, and its second half. Then one more sentence."
+QUOTING = [
+    (1, 0, "u", f"Hello.\n\n{LONG}\n\nBye"), (1, 1, "u", "ok"), (1, 2, "u", "other! Really?  Yes.\nAnd a line without an end\nthat goes on."),
+    (1, 3, "u", "> The first half of a long paragraph, which\n> somebody wrote on one line,\n> and its second half. Then one\n> more sentence.\nYes"),
+    (1, 4, "u", "> The first half of a long\n> paragraph, which somebody wrote on one line, and its\n> second half. And something new.\n>\n>> ok\n> Yes\nNo"),
+    (1, 5, "u", "first line\nok\nlast line"), (1, 6, "u", "ok"), (1, 7, "u", "> first line\n> ok\n> last line\nfine\n> Really?\n> and a line\n> without an end that goes on."),
+    (1, 8, "u", ">> Then one more\n>> sentence.\n> fine\nhm"), (1, 8, "u", ">> Then one more\n>> sentence.\n> fine\nhm"),
+    (2, 0, "u", "你好。我们明天见！"), (2, 1, "u", "> 我们明天见！\n好。"), (2, 2, "u", "> 没有人写过这句。\n> 好。\n再见。"), (2, 3, "u", "x. . y"), (2, 4, "u", "> 谁也没说。\n> . y"),
+    (None, 0, None, "lost. found"), (None, None, None, "> lost.\n> found"), (None, None, None, None),
+]
+
+
+def test_end_of_a_sentence_is_no_link(spark):
+    rows = [(1, 0, "u", "你好。"), (1, 1, "u", "其他。"), (1, 2, "u", "好"), (1, 3, "u", "> 没有人写过这句。\n是")]
+    assert parents(spark, rows)[3] == (2, 0)
+
+
 def parents(spark, rows):
     return {r[2]: (r[5], r[8]) for r in run(spark, rows)}
 
@@ -133,7 +150,7 @@ def test_sql_twin(spark):
     from tests.oracle import rows_of
     hot = [(1, n, "u", f"Same line\nown {n}" + (f"\n> own {n // 3}\n> same LINE" if n % 5 == 4 else "")) for n in range(60)]
     given = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
-    for rows in (THREAD, hot, given):
+    for rows in (THREAD, QUOTING, hot, given):
         con = duckdb.connect()
         frame = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
         con.register("conversations", frame)
