@@ -60,7 +60,8 @@ def _centres(blocks: DataFrame, block_id: str, vector: str, n: int) -> np.ndarra
             if len(m):
                 np.add.at(total, (m @ shared.value.T).argmax(1), m)
         some = np.flatnonzero(np.abs(total).sum(1))
-        yield pd.DataFrame({"cluster": some, "s": list(total[some])})
+        if some.size:  # a task without vectors (a split of a file without rows) gives none; an empty column has no array type
+            yield pd.DataFrame({"cluster": some, "s": list(total[some])})
 
     parts = blocks.select(vector).mapInPandas(sums, "cluster long, s array<double>")
     moved = start.copy()

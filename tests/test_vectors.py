@@ -37,3 +37,11 @@ def test_queries_in_blocks_and_empty_tables(spark, monkeypatch):
     assert sorted((r["query_id"], r["rank"], r["block_id"]) for r in vectors.search(index, queries, 3).collect()) == whole
     assert vectors.search(index, queries.where("false"), 3).collect() == []
     assert vectors.search(vectors.build_index(blocks.where("false")), queries, 3).collect() == []
+
+
+def test_index_over_splits_without_rows(spark):
+    """A file with one row group leaves splits of it empty; their tasks have no sums to give."""
+    rows = spark.range(0, 40, 1, 40).where("id % 8 = 3").selectExpr("id", "array(CAST(id AS DOUBLE), 1.0D) AS v")
+    index = vectors.build_index(rows, "id", "v", members=2)
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, vector array<double>")
+    assert [r["id"] for r in vectors.search(index, asked, 2).orderBy("rank").collect()] == [35, 27]
