@@ -15,7 +15,7 @@ from factloom.plans import fixtures as fx
 from factloom.plans.facts import SQL_TEXT_FACTS
 from factloom.plans.registry import query
 from factloom.plans.scans import SQL_ORDER_ROWS, order_rows
-from factloom.session import scratch_path, spread
+from factloom.session import dealt, scratch_path
 from factloom.sources import office
 from factloom.streaming import ingest
 
@@ -67,7 +67,7 @@ def make_docx(body: str) -> bytes:
 def order_files(spark: SparkSession, folder: str, make, suffix: str) -> DataFrame:
     """One office file per order as (path, content), made from the order's own row."""
     # Making and reading files is work for every core, though the rows themselves are small.
-    orders = spread(fx.table(spark, folder, "orders"))
+    orders = dealt(fx.table(spark, folder, "orders"))
 
     def build(priority: pd.Series, status: pd.Series, items: pd.Series) -> pd.Series:
         return pd.Series([make(p, s, [list(r) for r in it]) for p, s, it in zip(priority, status, items)])

@@ -12,7 +12,7 @@ from factloom.operators import canonical, extraction, lineage, profiles, transfo
 from factloom.plans import fixtures as fx
 from factloom.plans.registry import query
 from factloom.plans.scans import elected, part_blocks, stored_elected
-from factloom.session import materialised, spread
+from factloom.session import dealt, materialised
 from factloom.sources import blocks as bl
 
 ORDER_HEADERS = ["Customer", "Order Date", "Total Price (USD)", "Priority"]
@@ -21,7 +21,7 @@ ORDER_HEADERS = ["Customer", "Order Date", "Total Price (USD)", "Priority"]
 def order_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as spreadsheet rows."""
     cust = fx.table(spark, folder, "customer").select("c_custkey", "c_name")
-    orders = spread(fx.table(spark, folder, "orders")).join(cust, F.col("o_custkey") == F.col("c_custkey"))
+    orders = dealt(fx.table(spark, folder, "orders")).join(cust, F.col("o_custkey") == F.col("c_custkey"))
     rows = orders.withColumn("day", F.col("o_orderdate").cast("date"))
     return bl.rows_to_blocks(rows, "orders.xlsx", "orders", ["c_name", "day", "o_totalprice", "o_orderpriority"],
                              F.col("o_orderkey") + 1, ORDER_HEADERS).withColumn("file_name", F.lit("orders.xlsx"))

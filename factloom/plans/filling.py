@@ -9,7 +9,7 @@ from factloom.operators import evaluation, filling, profiles, transform
 from factloom.plans import fixtures as fx
 from factloom.plans.facts import ORDER_HEADERS, order_blocks
 from factloom.plans.registry import query
-from factloom.session import materialised, spread
+from factloom.session import dealt, materialised
 
 SHEET = ["template", "sheet"]
 
@@ -281,7 +281,7 @@ def template_intent(spark: SparkSession, folder: str) -> DataFrame:
   n_name AS entities FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
 def requirement_constraints(spark: SparkSession, folder: str) -> DataFrame:
     t = lambda n: fx.table(spark, folder, n)
-    j = spread(t("orders")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = dealt(t("orders")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     when = F.when(F.col("o_orderstatus") == "F", F.date_format("o_orderdate", "yyyy-M-d")).when(
         F.col("o_orderstatus") == "O", F.concat(F.year("o_orderdate").cast("string"), F.lit("年"))).otherwise("")
     req = j.select("o_orderkey", F.concat(F.lit("城市："), "n_name", F.lit("市；时间 "), when).alias("requirement"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.session import materialised, spread
+from factloom.session import dealt, materialised, spread
 from factloom.sources.blocks import text_blocks
 from factloom.sources.vocabulary import Field, Vocabulary
 
@@ -255,7 +255,7 @@ def template_cells(spark: SparkSession, folder: str, blank: str = "none") -> Dat
 def customer_text(spark: SparkSession, folder: str) -> DataFrame:
     """One sentence per order, for the prose rules."""
     t = lambda n: table(spark, folder, n)
-    j = spread(t("orders")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(
+    j = dealt(t("orders")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(
         t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     day = F.col("o_orderdate").cast("date").cast("string")
     sentence = F.concat(

@@ -10,7 +10,7 @@ from factloom.operators import common, paging, profiles, selection, store
 from factloom.operators.canonical import elect_canonical
 from factloom.plans import fixtures as fx
 from factloom.plans.registry import query
-from factloom.session import materialised, scratch_path, spread
+from factloom.session import dealt, materialised, scratch_path
 from factloom.sources import blocks as bl
 
 
@@ -53,7 +53,7 @@ def markdown_docs(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("# Order\nPriority "), "o_orderpriority", F.lit("\nopen\n\n### Items\n| Key | Value | Flag |\n|---|---|---|\n"),
         rows, F.lit("\n| | | |\nend of list\n## Status\n"), "o_orderstatus",
     )
-    return spread(fx.table(spark, folder, "orders")).select(
+    return dealt(fx.table(spark, folder, "orders")).select(
         F.col("o_orderkey").cast("string").alias("doc_id"), text_.alias("text"))
 
 

@@ -11,7 +11,7 @@ from factloom.operators import extraction, profiles, sequence, transform
 from factloom.plans import fixtures as fx
 from factloom.plans.registry import query
 from factloom.plans.scans import part_blocks, raw_date
-from factloom.session import materialised, spread
+from factloom.session import dealt, materialised, spread
 from factloom.sources.vocabulary import Field, Vocabulary
 
 
@@ -136,7 +136,7 @@ def infer_year(spark: SparkSession, folder: str) -> DataFrame:
     mark = F.when(F.col("o_orderstatus") == "P", "").otherwise("年")
     raw = F.concat(F.lit("第"), F.col("o_orderkey").cast("string"), F.lit("号 "), F.year("o_orderdate").cast("string"), mark, F.lit("1999年"))
     raw = F.when(F.col("o_orderstatus") == "P", F.regexp_replace(raw, "1999年$", "")).otherwise(raw)
-    return spread(fx.table(spark, folder, "orders")).select("o_orderkey", dates.infer_year(raw).alias("year"))
+    return dealt(fx.table(spark, folder, "orders")).select("o_orderkey", dates.infer_year(raw).alias("year"))
 
 
 @query("parse_date", f"""SELECT {ITEM_SQL}, CASE l_returnflag WHEN 'N' THEN NULL ELSE strftime(l_shipdate, '%Y-%m-%d') END AS date FROM lineitem""")
@@ -148,7 +148,7 @@ def parse_date(spark: SparkSession, folder: str) -> DataFrame:
   strftime(greatest(o_orderdate, DATE '1998-02-03'), '%Y-%m-%d') AS hi FROM orders""")
 def parse_date_range(spark: SparkSession, folder: str) -> DataFrame:
     raw = F.concat(F.lit("from "), F.date_format("o_orderdate", "yyyy/M/d"), F.lit(" or 1998-2-3 on"))
-    return spread(fx.table(spark, folder, "orders")).withColumn("r", dates.date_range(raw)).select("o_orderkey", "r.lo", "r.hi")
+    return dealt(fx.table(spark, folder, "orders")).withColumn("r", dates.date_range(raw)).select("o_orderkey", "r.lo", "r.hi")
 
 
 @query("parse_year_range", """SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN year(o_orderdate) - 2 WHEN o_orderstatus = 'F' THEN least(year(o_orderdate), 1998) END AS lo,
@@ -157,7 +157,7 @@ def parse_year_range(spark: SparkSession, folder: str) -> DataFrame:
     y = F.year("o_orderdate")
     raw = F.when(F.col("o_orderstatus") == "O", F.concat((y - 2).cast("string"), F.lit(" 至"), y.cast("string"), F.lit("年"))).when(
         F.col("o_orderstatus") == "F", F.concat(F.lit("1998年 与 "), y.cast("string"), F.lit("年"))).otherwise("无")
-    return spread(fx.table(spark, folder, "orders")).withColumn("r", dates.year_range(raw)).select("o_orderkey", "r.lo", "r.hi")
+    return dealt(fx.table(spark, folder, "orders")).withColumn("r", dates.year_range(raw)).select("o_orderkey", "r.lo", "r.hi")
 
 
 @query("parse_entity_list", """SELECT o_orderkey, array_to_string(list_distinct_in_order, ',') AS entities FROM (
@@ -165,7 +165,7 @@ def parse_year_range(spark: SparkSession, folder: str) -> DataFrame:
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)""")
 def parse_entity_list(spark: SparkSession, folder: str) -> DataFrame:
     t = lambda n: fx.table(spark, folder, n)
-    j = spread(t("orders")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = dealt(t("orders")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     name = F.replace("c_name", F.lit("#"), F.lit(""))
     pair = F.when(F.col("c_mktsegment") == "BUILDING", F.concat(name, F.lit("市、"), "n_name")).otherwise(
         F.concat("n_name", F.lit("区县，"), name))
@@ -199,7 +199,7 @@ SELECT o_orderkey, CASE WHEN n_nationkey >= 10 THEN n_name || '，total ' || o_t
 FROM t WHERE n_nationkey >= 10 OR o_orderstatus = 'F'""")
 def compress_text(spark: SparkSession, folder: str) -> DataFrame:
     t = lambda n: fx.table(spark, folder, n)
-    j = spread(t("orders")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    j = dealt(t("orders")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     raw = F.concat("n_name", F.lit("，priority 5，total "), F.col("o_totalprice").cast("string"), F.lit("；"),
                    F.col("o_orderdate").cast("date").cast("string"), F.lit("。none "), "o_orderstatus")
     dense = text.compress_text(raw, min_numbers=5, keep_keywords=["None F"])
@@ -294,7 +294,7 @@ def section_path_carry(spark: SparkSession, folder: str) -> DataFrame:
     """Six heading levels."""
     place = F.col("o_orderkey") % 9
     level = F.when(place.between(1, 6), place)
-    rows = spread(fx.table(spark, folder, "orders")).select("o_custkey", "o_orderkey", level.alias("lv"), F.col("o_orderkey").cast("string").alias("t"))
+    rows = dealt(fx.table(spark, folder, "orders")).select("o_custkey", "o_orderkey", level.alias("lv"), F.col("o_orderkey").cast("string").alias("t"))
     out = sequence.with_section_path(rows, "o_custkey", "o_orderkey", "lv", "t")
     return out.select("o_orderkey", F.array_join("section_path", "/").alias("path"))
 
@@ -308,7 +308,7 @@ SELECT o_orderkey, anchor, coalesce((SELECT arg_max(name, (place, k)) FROM p WHE
   (SELECT arg_min(name, (place, k)) FROM p WHERE p.o_orderkey = a.o_orderkey)) AS entity FROM a""")
 def nearest_preceding_entity(spark: SparkSession, folder: str) -> DataFrame:
     t = lambda n: fx.table(spark, folder, n)
-    j = spread(t("orders")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(
+    j = dealt(t("orders")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(
         t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     nation = F.replace("n_name", F.lit("_"), F.lit(""))
     body = F.concat(F.lit("total "), F.col("o_orderkey").cast("string"), F.lit(" by "), nation, F.lit(" and "), "r_name", F.lit(", balance of "), nation)

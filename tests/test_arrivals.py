@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from factloom.operators.canonical import elect_canonical
 from factloom.operators.extraction import extract_facts
-from factloom.plans.arrivals import HEAD, make_docx, make_xlsx, paragraph, word_table
+from factloom.plans.arrivals import HEAD, make_docx, make_xlsx, order_docx, order_files, paragraph, word_table
+from factloom.session import dealt
 from factloom.sources import office
 from factloom.sources.blocks import row_map, text_blocks
 from factloom.streaming import ingest
@@ -46,6 +48,29 @@ def test_word_documents(spark, tmp_path):
     assert HEAD
 
 
+def test_small_files_share_a_batch_and_large_ones_do_not(monkeypatch):
+    files = [("a.docx", make_docx(paragraph("x"))), ("b.txt", b"y" * 50), ("c.txt", b"z"), ("d.xlsx", b"damaged")] * 2
+    batch = pa.RecordBatch.from_pylist([{"path": p, "content": c} for p, c in files])
+    whole = list(office._open(iter([batch])))
+    assert [b.num_rows for b in whole] == [8]
+    monkeypatch.setattr(office, "OPENED_BYTES", 60)
+    cut = list(office._open(iter([batch])))
+    assert [b.num_rows for b in cut] == [1, 3, 1, 3]
+    assert pa.Table.from_batches(cut).to_pylist() == pa.Table.from_batches(whole).to_pylist()
+
+
+def test_orders_in_one_split_are_dealt_to_all_cores(spark):
+    """On a cluster the setting of local sessions is absent, and a small file is one split."""
+    set_ = spark.conf.get("spark.factloom.scan.partitions")
+    spark.conf.unset("spark.factloom.scan.partitions")
+    try:
+        files = order_files(spark, "/root/testdata/sf0.001", order_docx, ".docx")
+        assert files.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        assert dealt(spark.range(0, 1000, 1, 1), 10).rdd.getNumPartitions() == 100
+    finally:
+        spark.conf.set("spark.factloom.scan.partitions", set_)
+
+
 def test_text_encodings(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("济南".encode())
     (tmp_path / "b.txt").write_bytes("济南".encode("gbk"))
