@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from factloom.operators import similarity
 from factloom.operators.similarity import similar_names
 
 
@@ -50,3 +51,19 @@ def test_empty_sides(spark):
     a, b = spark.createDataFrame([(1, "report")], "a int, name string"), spark.createDataFrame([], "b int, name string")
     assert similar_names(a, "a", "name", b, "b", "name").collect() == []
     assert similar_names(b, "b", "name", a, "a", "name", 0.5).collect() == []
+
+
+@pytest.mark.parametrize("most", [16 << 20, 0])
+def test_equal_names_are_compared_once_and_all_their_ids_come_back(spark, monkeypatch, tmp_path, most):
+    """Also where no side may be broadcast: then none is, whatever Spark takes the size of its file for."""
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", most)
+    stored = {}
+    monkeypatch.setattr(similarity, "materialised", lambda df, what: stored.setdefault(what, df.localCheckpoint()))
+    left = [(i, n) for i, n in enumerate(["city report", "gdp budget", "city report.xlsx", None] * 25)]
+    right = [(i, n) for i, n in enumerate(["report city", "budget"] * 3)]
+    a, b = spark.createDataFrame(left, "a int, name string"), spark.createDataFrame(right, "b int, name string")
+    out = similar_names(a, "a", "name", b, "b", "name", 0.2)
+    assert sorted((r["a"], r["b"], round(r["similarity"], 9)) for r in out.collect()) == brute(left, right, 0.2)
+    assert stored["left-names"].count() == 3 and stored["right-names"].count() == 2
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert ("strategy=broadcast" in plan) == (most > 0)
