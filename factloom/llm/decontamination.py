@@ -117,7 +117,7 @@ def _all_free(free: np.ndarray, length: int) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of each word, remembered for the words of late."""
 
-    MOST = 1 << 20
+    MOST = 1 << 17  # about 25 MB of a worker, which lives on through the stages of a pipeline
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.MOST:

@@ -154,3 +154,12 @@ def test_odd_empty_and_clashing(spark):
     rows = cases.clashing(spark)
     left = d.decontaminate(rows, items)
     assert left.columns == rows.columns and [r["doc_id"] for r in left.collect()] == [3]
+
+
+def test_remembered_words_are_bounded(monkeypatch):
+    """A worker lives on through all stages, so what it remembers has a bound; hashes do not depend on it."""
+    assert d.WordHashes.MOST <= 1 << 17
+    monkeypatch.setattr(d.WordHashes, "MOST", 3)
+    few = d.WordHashes()
+    assert [few[b"%d" % i] for i in [*range(9), *range(9)]] == [d.xxhash.xxh3_64_intdigest(b"%d" % i) for i in [*range(9), *range(9)]]
+    assert len(few) <= 3
