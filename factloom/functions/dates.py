@@ -33,7 +33,10 @@ def serial_to_iso(days: Column) -> Column:
 
 
 def infer_year(c: Column | str, pattern: str = YEAR_MARK) -> Column:
-    return none_if_empty(F.regexp_extract(ascii_digits(as_col(c)), pattern, 1)).try_cast("int")
+    text = as_col(c)
+    # Only texts with full-width digits are rewritten.
+    plain = F.when(text.rlike("[０-９]"), ascii_digits(text)).otherwise(text)
+    return none_if_empty(F.regexp_extract(plain, pattern, 1)).try_cast("int")
 
 
 def parse_date(c: Column | str) -> Column:

@@ -36,10 +36,11 @@ def number_unit(c: Column | str, units=fv.CELL_UNITS) -> Column:
 def split_number(match: Column, units) -> Column:
     """(value, unit) of a matched number; both NULL for an empty match."""
     pattern = number_pattern(units)
-    return record(
-        value=to_double(none_if_empty(F.regexp_extract(match, pattern, 1))),
-        unit=none_if_empty(F.regexp_extract(match, pattern, 2)),
-    )
+    # The digits of a match hold no white space and are not empty, so they are cast as they are.
+    value = F.replace(F.regexp_extract(match, pattern, 1), F.lit(","), F.lit("")).try_cast("double")
+    unit = let(F.regexp_extract(match, pattern, 2), none_if_empty)
+    return F.when(match != "", record(value=value, unit=unit)).otherwise(
+        record(value=F.lit(None).cast("double"), unit=F.lit(None).cast("string")))
 
 
 def canonical_value(value: Column, unit: Column, known: Column, canonical: Column,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 
@@ -44,9 +45,14 @@ def none_if_empty(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+# What (?U)\\s matches (the property White_Space), and the C0 separators that Python strips as well.
+WHITE_SPACE = "\t\n\u000b\u000c\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+STRIPPED = WHITE_SPACE + "\u001c\u001d\u001e\u001f"
+
+
 def strip(c: Column | str) -> Column:
-    """Trim all Unicode white space, not only U+0020."""
-    return F.regexp_replace(as_col(c), "(?U)^[\\s\u001c-\u001f]+|[\\s\u001c-\u001f]+$", "")
+    """Trim all Unicode white space, not only U+0020. Looks at both ends only, not at each character as a regex does."""
+    return F.btrim(as_col(c), F.lit(STRIPPED))
 
 
 def lines(c: Column | str) -> Column:
@@ -88,11 +94,19 @@ def passthrough_name(c: Column | str) -> Column:
 
 def normalize_entity(c: Column | str, suffixes=fv.ENTITY_SUFFIXES) -> Column:
     """Entity name without separators and without one of each trailing suffix."""
-    name = F.regexp_replace(F.coalesce(as_col(c), F.lit("")), "(?U)[\\s:：\\-_/]+", "")
-    for suffix in suffixes:
-        # Cut only where at least two characters are left.
-        name = F.regexp_replace(name, f"^(.{{2,}}){quote(suffix)}$", "$1")
-    return name
+    plain = F.translate(F.coalesce(as_col(c), F.lit("")), WHITE_SPACE + ":：-_/", "")
+    if not suffixes:
+        return plain
+
+    def cut(name: Column) -> Column:
+        some = functools.reduce(Column.__or__, [name.endswith(suffix) for suffix in suffixes])
+        shorter = name
+        for suffix in suffixes:
+            # Cut only where at least two characters are left.
+            shorter = F.regexp_replace(shorter, f"^(.{{2,}}){quote(suffix)}$", "$1")
+        return F.when(some, shorter).otherwise(name)
+
+    return let(plain, cut)
 
 
 def strip_one_suffix(c: Column | str, chars: str = fv.TRAILING_SUFFIX_CHARS) -> Column:
@@ -112,8 +126,9 @@ def clean_entity_value(c: Column | str, breaks=fv.ENTITY_BREAKS, run="[\\u4e00-\
 def collapse_cjk_spaces(c: Column | str) -> Column:
     """Drop white space between CJK characters and ASCII letters, digits or percent signs."""
     cjk, asc = "[\\u4e00-\\u9fff\\u3400-\\u4dbf]", "[A-Za-z0-9%]"
+    # White space is looked for first, so that the look behind is not made at every character.
     return F.regexp_replace(
-        as_col(c), f"(?U)(?<={cjk})\\s+(?={asc})|(?<={asc})\\s+(?={cjk})", ""
+        as_col(c), f"(?U)(?=\\s)(?:(?<={cjk})\\s+(?={asc})|(?<={asc})\\s+(?={cjk}))", ""
     )
 
 

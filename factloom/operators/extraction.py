@@ -320,25 +320,22 @@ def extract_text_facts(blocks: DataFrame, vocab: Vocabulary, file_name: str = "f
     def valued(s: Column) -> Column:
         start, end = s["start"], s["end"]
         lead, left = F.least(start, F.lit(40)), F.greatest(start - 24, F.lit(0))
-        around = record(
-            fwd=numbers_in(_window(body, end, 40), vocab.prose_units, False),
-            bwd=numbers_in(_window(body, start - lead, lead), vocab.prose_units, True),
-            entity=nearest_entity(F.col("_positions"), start))
+        number = s["kind"] == NUMBER
+        fits = lambda n: n["value"].isNotNull() & numbers.unit_compatible(n["unit"], s["unit"])
+        after = numbers_in(_window(body, end, 40), vocab.prose_units, False)
+        # What stands in front is read only where the number behind does not do.
+        before = text.let(numbers_in(_window(body, start - lead, lead), vocab.prose_units, True), lambda n: F.when(fits(n), n))
+        near = F.when(number, text.let(after, lambda n: F.when(fits(n), n).otherwise(before)))
 
         def settled(w: Column) -> Column:
-            fwd, bwd = w["fwd"], w["bwd"]
-            use_fwd = fwd["value"].isNotNull() & numbers.unit_compatible(fwd["unit"], s["unit"])
-            use_bwd = ~use_fwd & bwd["value"].isNotNull() & numbers.unit_compatible(bwd["unit"], s["unit"])
-            number = s["kind"] == NUMBER
-            pick = lambda part: F.when(number & use_fwd, fwd[part]).when(number & use_bwd, bwd[part])
             return record(
                 by_length=-s["n"], ord=s["ord"], start=start, end=end, field_name=s["field"], entity=w["entity"],
-                value_num=pick("value"), unit=pick("unit"), text_value=~number, required=s["required"],
+                value_num=w["near"]["value"], unit=w["near"]["unit"], text_value=~number, required=s["required"],
                 value_text=F.when(s["kind"] == PARTY, strip(F.regexp_extract(_window(body, end, 48), PARTY_TEXT, 1)))
                 .when(s["kind"] == DAY, F.regexp_extract(_window(body, end, 40), DAY_TEXT, 1))
                 .otherwise(strip(_window(body, left, end + 24 - left))))
 
-        return text.let(around, settled)
+        return text.let(record(near=near, entity=nearest_entity(F.col("_positions"), start)), settled)
 
     holds = lambda v: (v["entity"].isNotNull() | ~v["required"]) & F.when(
         v["text_value"], v["value_text"] != "").otherwise(v["value_num"].isNotNull())
@@ -492,7 +489,10 @@ def extract_by_intent(blocks: DataFrame, vocab: Vocabulary, required: DataFrame,
     gaps = materialised(missing_fields(required, rule), "missing-fields")
     chunks = blocks.where(F.coalesce("text", F.lit("")) != "").where(gaps.exists())
     hooked = run_extractor(chunks, extractor, vocab, "intent", gaps, file_name)
-    return dedupe_facts(rule.unionByName(hooked))
+    # Only rule facts whose field the extractor may name, in any case, can meet one of its facts; the others are settled already.
+    asked = gaps.select(F.lower("field").alias("_asked")).distinct()
+    may_meet = F.lower("field_name") == F.col("_asked")
+    return rule.join(asked, may_meet, "left_anti").unionByName(dedupe_facts(rule.join(asked, may_meet, "left_semi").unionByName(hooked)))
 
 
 def extract_with_fallback(blocks: DataFrame, vocab: Vocabulary, extractor: Extractor,

@@ -113,34 +113,44 @@ def spans_in(c: Column, entries: Sequence[tuple[str, dict, tuple[str, ...]]], ar
     """
     names = tuple(dict.fromkeys(name for name, *_ in entries))
     digest, shared = _of_names(names)
+    kinds = _span_types(span)
     of_name: dict[str, list] = {}
-    for name, columns, hiding in entries:
-        of_name.setdefault(name, []).append((columns, hiding))
-    table = SparkSession.active().sparkContext.broadcast([of_name[n] for n in names])
+    for row, (name, columns, hiding) in enumerate(entries):
+        of_name.setdefault(name, []).append((columns["ord"], row, hiding))
+    # The columns of the entries are Arrow arrays from which spans take their rows, so no struct is built value by value.
+    taken = [pa.array([columns[c] for _, columns, _ in entries], kind) for c, kind in kinds[2:]]
+    table = SparkSession.active().sparkContext.broadcast(([of_name[n] for n in names], taken))
 
     @F.arrow_udf(f"array<{span}>")
     def search(texts: pa.Array) -> pa.Array:
         automaton, words = _automaton(digest, shared), shared.value
+        of_place, taken = table.value
 
-        def spans(text: str | None) -> list[dict]:
+        def spans(text: str | None) -> list[tuple[int, int, int, int]]:
             out = []
             if text and len(automaton):
                 low = lowered(text)
                 for last, place in automaton.iter(low):
                     start, end = last + 1 - len(words[place]), last + 1
                     near = low[max(0, start - around):end + around]
-                    out += [{"start": start, "end": end, **columns} for columns, hiding in table.value[place] if not any(h in near for h in hiding)]
-            return sorted(out, key=lambda s: (s["start"], s["ord"]))
+                    out += [(start, ord_, end, row) for ord_, row, hiding in of_place[place] if not any(h in near for h in hiding)]
+            return sorted(out, key=lambda s: s[:2])
 
-        return pa.array([spans(t) for t in texts.to_pylist()], _span_type(span))
+        per_text = [spans(t) for t in texts.to_pylist()]
+        offsets = pa.array([0, *itertools.accumulate(map(len, per_text))], pa.int32())
+        flat = list(itertools.chain.from_iterable(per_text))
+        rows = pa.array([row for *_, row in flat], pa.int32())
+        places = [pa.array([s[0] for s in flat], pa.int32()), pa.array([s[2] for s in flat], pa.int32())]
+        values = pa.StructArray.from_arrays([*places, *[t.take(rows) for t in taken]], fields=[pa.field(c, kind) for c, kind in kinds])
+        return pa.ListArray.from_arrays(offsets, values)
 
     return search(c)
 
 
-def _span_type(span: str) -> pa.DataType:
+def _span_types(span: str) -> list[tuple[str, pa.DataType]]:
     kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
     fields = [f.split(":") for f in span.removeprefix("struct<").removesuffix(">").split(",")]
-    return pa.list_(pa.struct([(name, kinds[kind]) for name, kind in fields]))
+    return [(name, kinds[kind]) for name, kind in fields]
 
 
 def _blocks(names: DataFrame, block_bytes: int) -> list[DataFrame]:

@@ -33,4 +33,4 @@ def with_evidence(facts: DataFrame, method: str, length: int = 200) -> DataFrame
         F.lit("evidence_text"), F.left(F.coalesce("source_span", F.lit("")), F.lit(length)),
     )
     missing = F.map_filter(extra, lambda k, v: ~F.map_contains_key(old, k))
-    return facts.withColumn("metadata", F.map_concat(old, missing))
+    return facts.withColumn("metadata", F.when(F.size(old) == 0, extra).otherwise(F.map_concat(old, missing)))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from factloom.functions.text import record, MARK_A, MARK_B, MARK_C, as_col, lines, none_if_empty, strip
+from factloom.functions.text import LINE_BREAK, record, MARK_A, MARK_B, MARK_C, as_col, let, lines, none_if_empty, strip
 
 TEXT_HEADING = (
     "^(?:[一二三四五六七八九十]+[、.．]|\\d{1,2}(?:\\.\\d{1,2}){0,2}[、.．])(?U:\\s*)(\\S.*)$"
@@ -79,7 +79,10 @@ def text_items(text: Column) -> Column:
         paras = F.transform(paragraphs(body), lambda p: block_item("paragraph", p, path))
         return F.when(i > 0, F.concat(head, paras)).otherwise(paras)
 
-    return F.flatten(F.transform(F.split(marked, MARK_A), section))
+    # A text of one line that is no heading, as most short ones are, is a paragraph as it stands.
+    split = F.flatten(F.transform(F.split(marked, MARK_A), section))
+    single = lambda line: F.filter(F.array(block_item("paragraph", line, F.array().cast(NO_TEXTS))), lambda b: b["text"] != "")
+    return F.when(~text.rlike(LINE_BREAK), let(strip(text), lambda line: F.when(line.rlike(TEXT_HEADING), split).otherwise(single(line)))).otherwise(split)
 
 
 def section_paths(levels_titles: Column) -> Column:
