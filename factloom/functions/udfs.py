@@ -21,17 +21,31 @@ def find_num_sql() -> str:
     """
     sizes = ", ".join(f"{_literal(u)}, {float(m)!r}D" for u, m in fv.UNIT_MAGNITUDE.items())
     size = lambda unit: f"coalesce(try_element_at(map({sizes}), {unit}), 1.0D)"
-    number, gap = _literal(r"([\d,]+\.?\d*)(?U:\s*)"), _literal(r"[^\d]{0,12}")
+    number, space, gap = r"[\d,]+\.?\d*", r"(?U:\s*)", r"[^\d]{0,12}"
     tail = f"if(u = '', {_literal(r'(?![\u4e00-\u9fff\d])')}, concat({_literal(chr(92) + 'Q')}, u, {_literal(chr(92) + 'E')}))"
+    # One pattern takes, from the start of the text, the units in turn, each after and then before the keyword, where the text has the
+    # unit at all; groups of other places stay empty. It is the same for all rows of a call, so it is compiled once and not for each
+    # unit of each row. A find without a number (',') does not count: only then are all places looked at, hit or not.
+    look = lambda parts: f"concat('(?=(?s:.*?)(?:', {parts}, '))')"
+    group = lambda side: f"'(?<{side}', cast(i AS STRING), {_literal('>' + number + ')' + space)}"
+    after = look(f"keyword, {_literal(gap)}, {group('a')}, {tail}")
+    before = look(f"{group('b')}, {tail}, {_literal('[^。；' + chr(92) + 'n]{0,12}?')}, keyword")
+    has_unit = f"if(u = '', '', concat('(?=(?s:.*?)', {_literal(chr(92) + 'Q')}, u, {_literal(chr(92) + 'E')}, ')'))"
+    begin = _literal(chr(92) + "A")
+    places = f"array_join(transform(us, (u, i) -> concat({has_unit}, '(?:', {after}, '|', {before}, ')')), '|')"
+    first, some = f"concat({begin}, '(?:', {places}, '|)(?s:.*)')", f"concat({begin}, '(?:', {places}, ')')"
+    every = f"concat({begin}, array_join(transform(us, (u, i) -> concat('(?:', {after}, '|)(?:', {before}, '|)')), ''), '(?s:.*)')"
+    shown = f"array_join(transform(us, (u, i) -> concat('${{a', cast(i AS STRING), '}};${{b', cast(i AS STRING), '}}')), ';')"
     digits = "translate(text, '０１２３４５６７８９', '0123456789')"
-    found = lambda pattern: (
-        f"try_cast(replace(nullif(regexp_extract({digits}, {pattern}, 1), ''), ',', '') AS DOUBLE) * {size('u')} / {size('coalesce(target, ' + _literal('') + ')')}")
-    after = found(f"concat(keyword, {gap}, {number}, {tail})")
-    before = found(f"concat({number}, {tail}, {_literal('[^。；' + chr(92) + 'n]{0,12}?')}, keyword)")
+    value = (f"if(n = '', CAST(NULL AS DOUBLE), try_cast(replace(n, ',', '') AS DOUBLE) * {size('us[CAST(i DIV 2 AS INT)]')} / "
+             f"{size('coalesce(target, ' + _literal('') + ')')})")
     units = "array_distinct(concat(filter(concat(array(coalesce(target, '')), split(coalesce(alternatives, ''), ',')), u -> u <> ''), array('')))"
+    pick = lambda hits: f"get(filter(transform(split({hits}, ';'), (n, i) -> {value}), v -> v IS NOT NULL), 0)"
+    hits = lambda pattern: f"regexp_replace({digits}, {pattern}, {shown})"
     return (
         "CREATE OR REPLACE TEMPORARY FUNCTION find_num(text STRING, keyword STRING, target STRING, alternatives STRING) RETURNS DOUBLE "
-        f"RETURN get(filter(flatten(transform({units}, u -> array({after}, {before}))), v -> v IS NOT NULL), 0)")
+        f"RETURN get(transform(array({units}), us -> get(transform(array({hits(first)}), hit -> coalesce({pick('hit')}, "
+        f"if(NOT {digits} RLIKE {some}, CAST(NULL AS DOUBLE), {pick(hits(every))}))), 0)), 0)")
 
 
 def text_blocks_sql() -> str:

@@ -32,3 +32,14 @@ def test_one_line_is_one_paragraph_without_splitting(spark):
     got = {r["doc_id"]: [(b["block_type"], b["text"]) for b in r["b"]] for r in items.collect()}
     assert got == {1: [("paragraph", "one line")], 2: [("heading", "head")], 3: [("paragraph", "a b"), ("paragraph", "c")], 4: [], 5: []}
     assert "case when not rlike" in plan(items).lower() or "rlike(text" in plan(items).lower()
+
+
+def test_find_num_takes_one_pattern_for_all_units(spark):
+    from factloom.functions.udfs import find_num_sql, register
+
+    register(spark)
+    rows = [("GDP 5 亿元", 5.0), ("以 7 万元的GDP", 0.0007), ("GDP 9", 9.0 / 1e8), ("GDP, 亿元 3 万元", 0.0003), ("3 亿元", None), (None, None)]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "i int, t string").repartition(2)
+    got = {r["i"]: r["v"] for r in df.selectExpr("i", "find_num(t, 'GDP', '亿元', '万元') AS v").collect()}
+    assert [None if got[i] is None else round(got[i], 12) for i in range(len(rows))] == [None if w is None else round(w, 12) for _, w in rows]
+    assert "regexp_extract(" not in find_num_sql()
