@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from factloom.functions import dates, text
 from factloom.functions import fixed_values as fv
-from factloom.functions.text import record, strip
+from factloom.functions.text import let, record, strip
 from factloom.operators.common import top_per_group
 from factloom.operators.extraction import canonicalize_headers, mentions
+from factloom.session import materialised, small_side
 from factloom.sources.vocabulary import Vocabulary
 
 
@@ -82,15 +83,22 @@ def document_cards(docs: DataFrame, blocks: DataFrame, facts: DataFrame) -> Data
 def keyword_table(df: DataFrame, key: str, text_col: str, stop_words=fv.GENERIC_TOKENS) -> DataFrame:
     """Keywords of long texts: (key, first_pos, keyword), case-insensitively distinct.
 
-    Linear in the text; equal tokens are combined before the shuffle.
+    A text is made distinct inside its row by sorting its tokens, so only keys are shuffled; rows whose key comes more than once
+    (none in a table of documents) are then combined by key.
     """
-    tokens = df.select(
-        key, F.posexplode(text.keyword_tokens(text_col, stop_words)).alias("p", "token")
-    )
+    def firsts(tokens: Column) -> Column:
+        ordered = F.array_sort(F.transform(tokens, lambda t, i: record(low=F.lower(t), p=i, token=t)))
+        return let(ordered, lambda o: F.filter(o, lambda x, i: (i == 0) | (F.get(o, i - 1)["low"] != x["low"])))
+
+    again = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(key).alias("_again"))
+    # Stored and counted, so that the texts are not shuffled to meet a table of few or no keys.
+    again = small_side(materialised(again, "repeated-keys"), 64)
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    found = lambda rows: rows.select(key, F.inline(firsts(text.keyword_tokens(text_col, stop_words))))
+    merged = found(df.join(again, same, "left_semi")).groupBy(key, "low").agg(F.min(F.struct("p", "token")).alias("m"))
     return (
-        tokens.groupBy(key, F.lower("token").alias("_low"))
-        .agg(F.min(F.struct("p", "token")).alias("m"))
-        .select(key, F.col("m.p").alias("first_pos"), F.col("m.token").alias("keyword"))
+        found(df.join(again, same, "left_anti")).select(key, F.col("p").alias("first_pos"), F.col("token").alias("keyword"))
+        .unionByName(merged.select(key, F.col("m.p").alias("first_pos"), F.col("m.token").alias("keyword")))
     )
 
 

@@ -43,3 +43,12 @@ def test_find_num_takes_one_pattern_for_all_units(spark):
     got = {r["i"]: r["v"] for r in df.selectExpr("i", "find_num(t, 'GDP', '亿元', '万元') AS v").collect()}
     assert [None if got[i] is None else round(got[i], 12) for i in range(len(rows))] == [None if w is None else round(w, 12) for _, w in rows]
     assert "regexp_extract(" not in find_num_sql()
+
+
+def test_keywords_of_a_text_are_not_shuffled(spark):
+    from factloom.operators.profiles import keyword_table
+
+    df = spark.createDataFrame([(1, "Ab ab cd AB"), (2, "xy"), (2, "zz XY")], "k int, t string").repartition(2)
+    out = keyword_table(df, "k", "t")
+    assert {tuple(r) for r in out.collect()} == {(1, 0, "Ab"), (1, 2, "cd"), (2, 0, "xy"), (2, 0, "zz")}
+    assert plan(out).count("Aggregate") == 1
