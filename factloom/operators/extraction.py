@@ -303,8 +303,27 @@ def entity_positions(body: Column, section_path: Column, vocab: Vocabulary) -> C
     return F.array_sort(F.filter(located, lambda p: p["at"] >= 0))
 
 
-def extract_text_facts(blocks: DataFrame, vocab: Vocabulary, file_name: str = "file_name") -> DataFrame:
-    """Alias occurrences in prose with their nearest entity and number."""
+def distinct_spans(settled: Column, file: Column) -> Column:
+    """Of a block's spans the one of each (entity, field, text value) that ``dedupe_facts`` keeps: array<struct<i, s>> with their places.
+
+    ``settled`` is sorted without equal elements, so of two spans the smaller one comes first.
+    """
+    name = lambda s: F.coalesce(s["entity"], file)
+    sure = lambda s: s["entity"].isNotNull()
+
+    def beaten(x: Column) -> Column:
+        return F.exists(settled, lambda y: (y["value_text"] == x["value_text"]) & (y["field_name"] == x["field_name"]) & (name(y) == name(x)) & (
+            (sure(y) & ~sure(x)) | ((sure(y) == sure(x)) & (y < x))))
+
+    placed = F.transform(settled, lambda s, i: record(_i=i, _s=s))
+    return F.when(F.size(settled) > 1, F.filter(placed, lambda p: ~beaten(p["_s"]))).otherwise(placed)
+
+
+def extract_text_facts(blocks: DataFrame, vocab: Vocabulary, file_name: str = "file_name", distinct: bool = False) -> DataFrame:
+    """Alias occurrences in prose with their nearest entity and number.
+
+    ``distinct``: as ``dedupe_facts`` leaves them where no block comes twice; settled inside the block, without a shuffle.
+    """
     prose = blocks.where((F.col("block_type") != "table_row") & (F.coalesce("text", F.lit("")) != ""))
     name = F.coalesce(F.col(file_name), F.lit(""))
     staged = prose.select(
@@ -340,10 +359,14 @@ def extract_text_facts(blocks: DataFrame, vocab: Vocabulary, file_name: str = "f
     holds = lambda v: (v["entity"].isNotNull() | ~v["required"]) & F.when(
         v["text_value"], v["value_text"] != "").otherwise(v["value_num"].isNotNull())
     staged = staged.withColumn("_found", F.filter(F.transform("_spans", valued), holds))
+    if distinct:
+        staged = staged.withColumn("_settled", without_overlaps(F.col("_found")))
+        spans = F.inline_outer(distinct_spans(F.col("_settled"), F.col("_file")))
+    else:
+        spans = F.posexplode_outer(without_overlaps(F.col("_found"))).alias("_i", "_s")
     staged = staged.select(
         "block_id", "doc_id", "_file", "_body", "_index",
-        F.coalesce(dates.infer_year(body), dates.infer_year("_file")).alias("year"),
-        F.posexplode_outer(without_overlaps(F.col("_found"))).alias("_i", "_s"),
+        F.coalesce(dates.infer_year(body), dates.infer_year("_file")).alias("year"), spans,
     ).where(F.col("_i").isNotNull()).select(
         "block_id", "doc_id", "_file", "_body", "_index", "year", "_i", "_s.field_name", F.col("_s.entity").alias("_entity"),
         "_s.value_num", "_s.unit", "_s.value_text", F.col("_s.text_value").alias("_text_value"))

@@ -24,18 +24,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from factloom.operators.canonical import GROUP, apply_latest_reviews, conflict_group_id, group_winners, in_groups, merge_winners
 from factloom.operators.common import top_per_group
-from factloom.operators.extraction import extract_facts
+from factloom.operators.extraction import extract_facts, extract_text_facts
 from factloom.operators.store import is_instruction
-from factloom.session import materialised
+from factloom.session import BROADCAST_BYTES, materialised, small_side
 from factloom.sources.blocks import text_blocks
 from factloom.sources.office import file_blocks
 from factloom.sources.vocabulary import Vocabulary
 
+ID_BYTES = 256  # what a document id takes in a broadcast
+
+
 @dataclass(frozen=True)
 class Pipeline:
     """What a micro-batch goes through.
 
-    ``to_ids``: documents to their ``doc_id``; ``to_blocks``: documents to blocks, with one
+    ``to_ids``: documents to their ``doc_id`` (an id may come more than once); ``to_blocks``: documents to blocks, with one
     row carrying ``error`` for a document that cannot be read; ``to_facts``: blocks to facts.
     """
 
@@ -47,9 +50,13 @@ class Pipeline:
 def one_version(docs: DataFrame) -> DataFrame:
     """One row of each document of a batch: of several rows with an id the one that sorts last by text (null first), then file name.
 
-    Only ids that come more than once are moved.
+    Only ids that come more than once are moved; without any the documents stay as they are.
     """
     again = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_again"))
+    again = materialised(again, "ids-again")
+    if again.isEmpty():
+        return docs
+    again = small_side(again, ID_BYTES)
     same = F.col("doc_id").eqNullSafe(F.col("_again"))
     settled = top_per_group(docs.join(again, same, "left_semi"), ["doc_id"], [F.desc("text"), F.desc("file_name")])
     return docs.join(again, same, "left_anti").unionByName(settled)
@@ -66,8 +73,9 @@ def text_pipeline(vocab: Vocabulary) -> Pipeline:
         return good.unionByName(bad, allowMissingColumns=True)
 
     return Pipeline(
-        lambda docs: docs.select(F.col("doc_id").cast("string").alias("doc_id")).distinct(),
-        blocks, lambda b: extract_facts(b, vocab),
+        lambda docs: docs.select(F.col("doc_id").cast("string").alias("doc_id")),
+        # A plain text has no table rows, and each of its blocks comes once, so its facts are made distinct inside the block.
+        blocks, lambda b: extract_text_facts(b, vocab, distinct=True),
     )
 
 
@@ -88,6 +96,24 @@ def _part(store: str, table: str, batch_id: int) -> str:
     return f"{store}/{table}/batch_id={batch_id}"
 
 
+def document_counts(ids: DataFrame, blocks: DataFrame, facts: DataFrame) -> DataFrame:
+    """``(doc_id, status, block_count, fact_count)`` of each of the ``ids``; blocks of a document with an error do not count.
+
+    All three tables meet in one grouping by document. A null id is a document whose blocks and facts are not told apart from others: it counts none.
+    """
+    number = lambda **n: [F.lit(n.get(c, 0)).alias(c) if isinstance(n.get(c, 0), int) else n[c].cast("int").alias(c)
+                          for c in ("_here", "_bad", "_blocks", "_facts")]
+    failed = F.col("error").isNotNull()
+    rows = ids.select("doc_id", *number(_here=1)).unionByName(
+        blocks.where("doc_id is not null").select("doc_id", *number(_bad=failed, _blocks=~failed))).unionByName(
+        facts.where("source_doc_id is not null").select(F.col("source_doc_id").alias("doc_id"), *number(_facts=1)))
+    sums = rows.groupBy("doc_id").agg(F.max("_here").alias("_here"), F.max("_bad").alias("_bad"), F.sum("_blocks").alias("_blocks"), F.sum("_facts").alias("_facts"))
+    bad = F.col("_bad") == 1
+    return sums.where("_here = 1").select(
+        "doc_id", F.when(bad, "failed").otherwise("parsed").alias("status"),
+        F.when(bad, F.lit(0)).otherwise(F.col("_blocks")).alias("block_count"), F.col("_facts").alias("fact_count"))
+
+
 def write_batch(docs: DataFrame, batch_id: int, store: str, pipeline: Pipeline) -> None:
     """One micro-batch. Overwrites its own folders only, so a retry is harmless."""
     spark = docs.sparkSession
@@ -97,20 +123,14 @@ def write_batch(docs: DataFrame, batch_id: int, store: str, pipeline: Pipeline)
     blocks = pipeline.to_blocks(docs)
     blocks.write.mode("overwrite").parquet(_part(store, "blocks", batch_id))
     written = spark.read.schema(blocks.schema).parquet(_part(store, "blocks", batch_id))
-    bad = written.where("error is not null").select("doc_id").distinct()
-    stored_blocks = written.where("error is null").join(bad, "doc_id", "left_anti")
+    bad = materialised(written.where("error is not null").select("doc_id").distinct(), "bad-documents")
+    stored_blocks = written.where("error is null").join(small_side(bad, ID_BYTES), "doc_id", "left_anti")
     facts = pipeline.to_facts(stored_blocks)
     facts.write.mode("overwrite").parquet(_part(store, "facts", batch_id))
     stored = spark.read.schema(facts.schema).parquet(_part(store, "facts", batch_id))
     group_winners(stored).write.mode("overwrite").parquet(_part(store, "winners", batch_id))
-    b = stored_blocks.groupBy("doc_id").agg(F.count("*").alias("block_count"))
-    f = stored.groupBy(F.col("source_doc_id").alias("doc_id")).agg(F.count("*").alias("fact_count"))
-    status = pipeline.to_ids(docs).join(bad.withColumn("_bad", F.lit(True)), "doc_id", "left").select(
-        "doc_id", F.when(F.col("_bad"), "failed").otherwise("parsed").alias("status"))
-    progress = status.join(b, "doc_id", "left").join(f, "doc_id", "left").select(
-        "doc_id", "status",
-        F.coalesce("block_count", F.lit(0)).alias("block_count"),
-        F.coalesce("fact_count", F.lit(0)).alias("fact_count"),
+    progress = document_counts(pipeline.to_ids(docs), written, stored).select(
+        "doc_id", "status", "block_count", "fact_count",
         F.lit(started.isoformat()).alias("started_at"),
         F.lit(round(perf_counter() - clock, 3)).alias("batch_seconds"),
     )
@@ -208,10 +228,10 @@ def compact(spark: SparkSession, store: str, files: int = 8) -> int:
         "blocks": read_table(spark, store, "blocks"), "facts": read_table(spark, store, "facts"), "progress": read_table(spark, store, "progress"),
         "reviews": read_table(spark, store, "reviews"), "winners": current_winners(spark, store).select(*group_winners_columns()),
     }
-    latest = _latest(spark, store)
+    moved = _moved(spark, store)
     if state["blocks"] is not None:
-        state["blocks"] = _counting(state["blocks"].where("error is null"), latest, "leftsemi", "doc_id")
-    facts = state["facts"] = _counting(state["facts"], latest, "leftsemi")
+        state["blocks"] = _counting(state["blocks"].where("error is null"), moved, "doc_id")
+    facts = state["facts"] = _counting(state["facts"], moved)
     if state["reviews"] is not None:
         state["reviews"] = _held(facts, state["reviews"])
     for table, rows in state.items():
@@ -238,23 +258,50 @@ def _there(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
-def _latest(spark: SparkSession, store: str) -> DataFrame:
-    """The batch in which each document counts."""
-    return read_table(spark, store, "progress").groupBy(F.col("doc_id").alias("l_doc")).agg(F.max("batch_id").alias("l_batch"))
+@dataclass(frozen=True)
+class Moved:
+    """Documents that are in more than one batch, as a stored table ``(m_doc, m_batch)`` with the batch in which each counts; the last batch of all."""
+
+    docs: DataFrame
+    newest: int
+    rows: int
+
+
+def _moved(spark: SparkSession, store: str) -> Moved:
+    docs = read_table(spark, store, "progress").where("doc_id is not null").groupBy(F.col("doc_id").alias("m_doc")).agg(
+        F.max("batch_id").alias("m_batch"), F.min("batch_id").alias("_first")).where("_first < m_batch").select("m_doc", "m_batch")
+    docs = materialised(docs, "moved-documents")
+    newest = max([snapshot(spark, store), *_batches(spark, f"{store}/progress")])
+    return Moved(docs, newest, docs.count())
+
+
+def _older(rows: DataFrame, moved: Moved, how: str, doc: str) -> DataFrame:
+    """Rows before the newest batch that a later one has (``leftsemi``) or has not (``leftanti``) replaced."""
+    docs = F.broadcast(moved.docs) if moved.rows * ID_BYTES <= BROADCAST_BYTES else moved.docs
+    return rows.where(F.col("batch_id") < moved.newest).join(docs, (F.col(doc) == F.col("m_doc")) & (F.col("batch_id") < F.col("m_batch")), how)
+
+
+def _counting(rows: DataFrame, moved: Moved, doc: str = "source_doc_id") -> DataFrame:
+    """Rows of documents in the batch in which they count. Nothing replaces what the newest batch says, so only older rows are looked up."""
+    named = rows.where(F.col(doc).isNotNull())
+    if not moved.rows:
+        return named
+    return named.where(F.col("batch_id") >= moved.newest).unionByName(_older(named, moved, "leftanti", doc))
 
 
-def _counting(rows: DataFrame, latest: DataFrame, how: str, doc: str = "source_doc_id") -> DataFrame:
-    return rows.join(latest, (F.col(doc) == F.col("l_doc")) & (F.col("batch_id") == F.col("l_batch")), how)
+def _replaced(rows: DataFrame, moved: Moved, doc: str = "source_doc_id") -> DataFrame:
+    """The other rows."""
+    return rows.where(F.col(doc).isNull()).unionByName(_older(rows, moved, "leftsemi", doc))
 
 
 def current_blocks(spark: SparkSession, store: str) -> DataFrame:
     """Blocks of every document as it last arrived."""
-    return _counting(read_table(spark, store, "blocks").where("error is null"), _latest(spark, store), "leftsemi", "doc_id")
+    return _counting(read_table(spark, store, "blocks").where("error is null"), _moved(spark, store), "doc_id")
 
 
-def stored_facts(spark: SparkSession, store: str) -> DataFrame:
+def stored_facts(spark: SparkSession, store: str, moved: Moved | None = None) -> DataFrame:
     """Facts of every document as it last arrived, with their latest review."""
-    facts = _counting(read_table(spark, store, "facts"), _latest(spark, store), "leftsemi")
+    facts = _counting(read_table(spark, store, "facts"), moved or _moved(spark, store))
     reviews = read_table(spark, store, "reviews")
     return facts if reviews is None else apply_latest_reviews(facts, _held(facts, reviews))
 
@@ -265,13 +312,13 @@ def _held(facts: DataFrame, reviews: DataFrame) -> DataFrame:
     return reviews.join(now, (F.col("fact_id") == F.col("f_id")) & (F.col("batch_id") >= F.col("f_batch")), "leftsemi")
 
 
-def current_winners(spark: SparkSession, store: str) -> DataFrame:
+def current_winners(spark: SparkSession, store: str, moved: Moved | None = None) -> DataFrame:
     """Elected fact per conflict group over all batches so far, with the batch of the fact."""
     partial = read_table(spark, store, "winners")
-    latest = _latest(spark, store)
-    valid = _counting(partial, latest, "leftsemi")
-    facts = stored_facts(spark, store)
-    open_groups = _counting(partial, latest, "leftanti").select(*GROUP)
+    moved = moved or _moved(spark, store)
+    valid = _counting(partial, moved)
+    facts = stored_facts(spark, store, moved)
+    open_groups = _replaced(partial, moved).select(*GROUP)
     reviews = read_table(spark, store, "reviews")
     if reviews is not None:
         reviewed = reviews.select(F.col("fact_id").alias("r_id")).distinct()
@@ -290,9 +337,10 @@ def group_winners_columns() -> list[str]:
 
 def canonical_store(spark: SparkSession, store: str) -> DataFrame:
     """Current facts with their canonical flag."""
-    won = current_winners(spark, store).select("fact_id", F.lit(True).alias("_won"))
+    moved = _moved(spark, store)
+    won = materialised(current_winners(spark, store, moved).select("fact_id", F.lit(True).alias("_won")), "winners")
     return (
-        stored_facts(spark, store).join(won, "fact_id", "left")
+        stored_facts(spark, store, moved).join(small_side(won, ID_BYTES), "fact_id", "left")
         .withColumn("conflict_group_id", conflict_group_id())
         .withColumn("is_canonical", F.coalesce("_won", F.lit(False))).drop("_won", "batch_id")
     )
