@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
+import functools
+import struct
+import zlib
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -25,12 +26,29 @@ PKG = "http://schemas.openxmlformats.org/package/2006/relationships"
 WML = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
 
+ZIP_DATE = 1 << 5 | 1  # 1980-01-01, as a zip header writes it
+
+
+@functools.lru_cache(256)
+def packed(name: str, xml: str) -> tuple[bytes, bytes, bytes]:
+    """A part stored in a zip archive: its place there with content, and its directory entry before and after the offset."""
+    path, data = name.encode(), xml.encode()
+    # Version, flags (names in UTF-8), method, time, date, checksum, sizes, length of the name, no extra field.
+    head = struct.pack("<5H3L2H", 20, 0x800, 0, 0, ZIP_DATE, zlib.crc32(data), len(data), len(data), len(path), 0)
+    return b"PK\3\4" + head + path + data, b"PK\1\2\x14\0" + head + bytes(10), path
+
+
 def archive(parts: dict[str, str]) -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, xml in parts.items():
-            z.writestr(name, xml)
-    return out.getvalue()
+    """A zip archive of stored parts, written at once: ``zipfile`` takes several times as long for files this small."""
+    contents, directory, size = [], [], 0
+    for name, xml in parts.items():
+        content, entry, path = packed(name, xml)
+        contents.append(content)
+        directory += (entry, size.to_bytes(4, "little"), path)
+        size += len(content)
+    listed = b"".join(directory)
+    end = struct.pack("<4s4H2LH", b"PK\5\6", 0, 0, len(parts), len(parts), len(listed), size, 0)
+    return b"".join((*contents, listed, end))
 
 
 def make_xlsx(sheets: dict[str, list[list[str]]]) -> bytes:
@@ -50,6 +68,7 @@ def make_xlsx(sheets: dict[str, list[list[str]]]) -> bytes:
     return archive(parts)
 
 
+@functools.lru_cache(1024)
 def paragraph(text: str, style: str = "") -> str:
     mark = f'<w:pPr><w:pStyle w:val="{style}"/></w:pPr>' if style else ""
     return f"<w:p>{mark}<w:r><w:t>{escape(text)}</w:t></w:r></w:p>"
@@ -69,10 +88,12 @@ def order_files(spark: SparkSession, folder: str, make, suffix: str) -> DataFram
     # Making and reading files is work for every core, though the rows themselves are small.
     orders = dealt(fx.table(spark, folder, "orders"))
 
-    def build(priority: pd.Series, status: pd.Series, items: pd.Series) -> pd.Series:
-        return pd.Series([make(p, s, [list(r) for r in it]) for p, s, it in zip(priority, status, items)])
+    def build(priority: pd.Series, status: pd.Series, *texts: pd.Series) -> pd.Series:
+        return pd.Series([make(p, s, [t[:3], t[3:]]) for p, s, *t in zip(priority, status, *texts)])
 
-    content = F.pandas_udf(build, "binary")("o_orderpriority", "o_orderstatus", order_rows())
+    # The six texts travel as columns of their own, since nested arrays are slow to bring to pandas.
+    texts = [order_rows()[row][column] for row in range(2) for column in range(3)]
+    content = F.pandas_udf(build, "binary")("o_orderpriority", "o_orderstatus", *texts)
     path = F.concat(F.lit("/orders/"), F.col("o_orderkey").cast("string"), F.lit(suffix))
     return orders.select(path.alias("path"), content.alias("content"))
 

@@ -105,7 +105,7 @@ def fit(cells: Column, headers: Column) -> Column:
     """Cells cut or padded with blanks to the header width."""
     n = F.size(headers)
     padded = F.concat(cells, F.array_repeat(F.lit(""), F.greatest(n - F.size(cells), F.lit(0))))
-    return F.slice(padded, F.lit(1), n)
+    return F.when(F.size(cells) == n, cells).otherwise(F.slice(padded, F.lit(1), n))
 
 
 def markdown_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
